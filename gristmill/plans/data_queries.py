@@ -305,6 +305,7 @@ EVENT_TYPES = {
     "value": "f64",
     "value_n": "f64",
     "value_half": "f64",
+    "value_rare": "f64",
     "type_n": "str",
     "num_text": "str",
     "flag01": "i32",
@@ -313,7 +314,7 @@ EVENT_TYPES = {
 }
 
 
-def _events_profile_sql(*columns: str) -> str:
+def events_profile_sql(*columns: str) -> str:
     return _profile_sql(events_sql(*columns), {c: EVENT_TYPES[c] for c in columns})
 
 
@@ -334,7 +335,7 @@ MODE_SQL = f"(SELECT type_n FROM {events_sql('type_n')} WHERE type_n IS NOT NULL
 MEAN_SQL = _stats_sql("value_n", "avg(value_n)")
 
 HINTS_SQL = f"""
-WITH p AS ({_events_profile_sql(*HINT_COLUMNS)}),
+WITH p AS ({events_profile_sql(*HINT_COLUMNS)}),
 h AS (
   SELECT name, 'high_missing' AS hint, CASE WHEN mean IS NOT NULL THEN 'fill_mean' ELSE 'fill_mode' END AS suggested_action FROM p WHERE null_percent >= 40
   UNION ALL SELECT name, 'moderate_missing', NULL FROM p WHERE null_percent >= 10 AND null_percent < 40
@@ -509,8 +510,8 @@ DATA_QUERIES = {
         "b AS (SELECT event_id, value_n, lo, w, CAST(least(floor((value_n - lo) / w), 7) AS INTEGER) AS i FROM e, s) "
         "SELECT event_id, value_n, i AS bin_index, round(lo + i * w, 6) AS bin_low, round(lo + i * w + w, 6) AS bin_high FROM b",
     ),
-    "profile_column": (profile_column, _events_profile_sql("value_n")),
-    "profile_all": (profile_all, _events_profile_sql(*PROFILE_INPUT)),
+    "profile_column": (profile_column, events_profile_sql("value_n")),
+    "profile_all": (profile_all, events_profile_sql(*PROFILE_INPUT)),
     "profile_lineitem": (
         profile_lineitem,
         _profile_sql(
@@ -521,7 +522,7 @@ DATA_QUERIES = {
     ),
     "profile_approx": (
         profile_approx,
-        f"SELECT * EXCLUDE (unique_count) FROM ({_events_profile_sql('event_type', 'flag01', 'const', 'value')})",
+        f"SELECT * EXCLUDE (unique_count) FROM ({events_profile_sql('event_type', 'flag01', 'const', 'value')})",
     ),
     "filled_profile": (
         filled_profile,
