@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import as_double, col, is_numeric, is_scalar, is_text, quoted, require_columns
+from ..functions.expressions import as_double, col, is_numeric, is_scalar, is_text, quoted, require_columns, text_literal
 from ..operators.charts import pair_correlations
 from ..operators.ordering import column_medians, with_row_index
 
@@ -188,7 +188,7 @@ def learn_preparation(df: DataFrame, features: Sequence[str], max_categories: in
     categories = {f: _categories(df, f, max_categories) for f in texts}
     stages: list[Transformer] = [
         _select([f"coalesce({_finite_sql(df, f)}, double('{fills[f]!r}')) AS {quoted(f + '__num')}" for f in numbers]
-                + [f"coalesce({quoted(f)}, '{MISSING}') AS {quoted(f + '__txt')}" for f in texts])
+                + [f"coalesce({quoted(f)}, {text_literal(MISSING)}) AS {quoted(f + '__txt')}" for f in texts])
     ]
     if texts:
         stages.append(

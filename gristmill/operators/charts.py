@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, bin_index, col, is_numeric, numeric_columns, require_columns, require_numeric
+from ..functions.expressions import (
+    as_double,
+    bin_index,
+    col,
+    is_numeric,
+    numeric_columns,
+    quoted,
+    require_columns,
+    require_numeric,
+    text_literal,
+)
 from .cleaning import value_counts
 from .features import EPSILON, learn_spread
 from .ordering import group_quantiles, rows_at, spread_ranks
 
-PAIRS_PER_PASS = 150
+WIDE_PAIRS = 15
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -74,21 +83,30 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """One row (col_a, col_b, r) per pair and group, many pairs per pass over the table."""
+    """One row (col_a, col_b, r) per pair and group, in one pass over the table.
+
+    A few pairs are columns of one aggregation. Many would be too much generated code for
+    the JVM to compile, so then each row is spread over the pairs and combined per pair
+    before the exchange.
+    """
     numbers = {c: as_double(df, c) for p in pairs for c in p}
-    passes = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        used = sorted({c for p in chunk for c in p})
-        narrow = df.select(*[col(b) for b in by], *[numbers[c].alias(c) for c in used])
-        terms = [pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)]
+    groups = [col(b) for b in by]
+    narrow = df.select(*groups, *[x.alias(f"__{c}") for c, x in numbers.items()])
+    if len(pairs) <= WIDE_PAIRS:
+        terms = [pearson(col(f"__{a}"), col(f"__{b}")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
         rows = [
             F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
+            for i, (a, b) in enumerate(pairs)
         ]
-        wide = narrow.groupBy(*[col(b) for b in by]).agg(*terms)
-        passes.append(wide.select(*[col(b) for b in by], F.inline(F.array(*rows))))
-    return functools.reduce(DataFrame.unionByName, passes)
+        return narrow.groupBy(*groups).agg(*terms).select(*groups, F.inline(F.array(*rows)))
+    spread = [
+        f"struct({i} AS pair, {quoted(f'__{a}')} AS x, {quoted(f'__{b}')} AS y)" for i, (a, b) in enumerate(pairs)
+    ]
+    long = narrow.select(*groups, F.inline(F.expr(f"array({', '.join(spread)})")))
+    found = long.groupBy(*groups, "pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    first, second = (F.expr("array(" + ", ".join(text_literal(p[i]) for p in pairs) + ")") for i in (0, 1))
+    names = [F.element_at(n, F.col("pair") + 1).alias(c) for n, c in ((first, "col_a"), (second, "col_b"))]
+    return found.select(*groups, *names, "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

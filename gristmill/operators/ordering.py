@@ -26,6 +26,8 @@ SORT_KEY = "__sort_key"
 TASK_ROWS = 200_000
 # Above this, a bucket that is also far larger than the others counts as hot.
 HOT_ROWS = 5_000_000
+# More percentiles than this are grouped by column name, not columns of one aggregation.
+WIDE_COLUMNS = 15
 
 
 @dataclass(frozen=True)
@@ -234,7 +236,7 @@ def column_medians(df: DataFrame, columns: Sequence[str], in_memory_rows: int =
     """The exact median of each column, NULL and NaN left out; None where nothing is left."""
     if not columns:
         return {}
-    if df.count() <= in_memory_rows:
+    if len(columns) <= WIDE_COLUMNS and df.count() <= in_memory_rows:
         row = df.agg(*[F.percentile(as_double(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]).first()
         return {c: row[i] for i, c in enumerate(columns)}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value")) for c in columns])
