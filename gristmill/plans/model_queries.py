@@ -15,7 +15,7 @@ from .tables import events, events_sql, rounded, table
 HASH_SQL = "CAST('0x' || substr(md5('{seed}|' || CAST({key} AS VARCHAR)), 1, {digits}) AS BIGINT)"
 
 
-def _hash_sql(key: str, seed: int | str = 42, digits: int = 8) -> str:
+def hash_sql(key: str, seed: int | str = 42, digits: int = 8) -> str:
     return HASH_SQL.format(key=key, seed=seed, digits=digits)
 
 
@@ -201,7 +201,7 @@ def user_runs(spark, folder) -> DataFrame:
 RUNS_SQL = f"""(WITH s AS (
   SELECT user_id AS run, event_id, CAST({RUN_RULE} AS INT) AS label,
          CAST((CAST({RUN_RULE} AS INT) = CAST(({RUN_RULE}) <> ({FLIP_RULE}) AS INT)) AS INT) AS hit,
-         {_hash_sql('event_id')} % 100 < 40 AS is_test FROM events)
+         {hash_sql('event_id')} % 100 < 40 AS is_test FROM events)
 SELECT run, 'classification' AS task, round(avg(hit) FILTER (WHERE NOT is_test), 4) AS train_score,
        round(avg(hit) FILTER (WHERE is_test), 4) AS test_score,
        round(least(avg(label) * 100, 100 - avg(label) * 100), 2) AS minority_pct,
@@ -367,15 +367,15 @@ MODEL_QUERIES = {
         "UNION ALL SELECT 'value_n', corr(value_n, value) FROM e UNION ALL SELECT 'user_id', corr(user_id, value) FROM e) "
         "SELECT feature, round(c, 4) AS correlation FROM r WHERE abs(c) > 0.95",
     ),
-    "split_holdout": (split_holdout, f"SELECT event_id, event_type, {_hash_sql('event_id')} % 100 < 20 AS is_test FROM events"),
+    "split_holdout": (split_holdout, f"SELECT event_id, event_type, {hash_sql('event_id')} % 100 < 20 AS is_test FROM events"),
     "split_stratified": (
         split_stratified,
-        f"WITH e AS (SELECT event_id, event_type, {_hash_sql('event_id', 42, 13)} AS h FROM events) "
+        f"WITH e AS (SELECT event_id, event_type, {hash_sql('event_id', 42, 13)} AS h FROM events) "
         "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY h) <= round(0.2 * count(*) OVER (PARTITION BY event_type)) AS is_test FROM e",
     ),
     "cv_fold_assignment": (
         cv_fold_assignment,
-        f"SELECT event_id, CAST({_hash_sql('event_id', 'fold42')} % 5 AS INTEGER) AS fold FROM events",
+        f"SELECT event_id, CAST({hash_sql('event_id', 'fold42')} % 5 AS INTEGER) AS fold FROM events",
     ),
     "feature_screen": (
         feature_screen,
