@@ -155,8 +155,10 @@ def double_array(values: Iterable[float]) -> Column:
 
 
 def bin_index(value: Column, low: Column, width: Column, bins: int) -> Column:
-    """Equal-width bin number, with the top edge counted in the last bin."""
-    return F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
+    """Equal-width bin number, with the top edge counted in the last bin; NULL stays NULL,
+    which ``least`` alone would turn into the last bin."""
+    place = F.least(F.floor((value - low) / width), F.lit(bins - 1))
+    return F.when(value.isNotNull(), F.greatest(place, F.lit(0))).cast("int")
 
 
 def named(columns: Sequence[str]) -> list[Column]:

@@ -185,7 +185,7 @@ def learn_preparation(df: DataFrame, features: Sequence[str], max_categories: in
     clean = df.select(*[finite(df, f).alias(f) for f in numbers]) if numbers else df
     medians = column_medians(clean, numbers, **options)
     fills = {f: float(medians[f]) if medians[f] is not None else 0.0 for f in numbers}
-    categories = {f: _categories(df, f, max_categories) for f in texts}
+    categories = _categories(df, texts, max_categories)
     stages: list[Transformer] = [
         _select([f"coalesce({_finite_sql(df, f)}, double('{fills[f]!r}')) AS {quoted(f + '__num')}" for f in numbers]
                 + [f"coalesce({quoted(f)}, {text_literal(MISSING)}) AS {quoted(f + '__txt')}" for f in texts])
@@ -222,12 +222,20 @@ def _finite_sql(df: DataFrame, name: str) -> str:
     return f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('Infinity') THEN {x} END"
 
 
-def _categories(df: DataFrame, name: str, limit: int) -> list[str]:
-    text = F.coalesce(col(name), F.lit(MISSING)).alias("v")
-    values = [r.v for r in df.select(text).distinct().limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"column {name} has more than {limit} categories; it looks like free text")
-    return sorted(values)
+def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """The sorted distinct texts of each column, from one grouping of (column, text) pairs."""
+    if not names:
+        return {}
+    text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in names]
+    pairs = df.select(F.inline(F.array(*text))).distinct()
+    sizes = {r.name: r["count"] for r in pairs.groupBy("name").count().collect()}
+    wide = [n for n in names if sizes.get(n, 0) > limit]
+    if wide:
+        raise ValueError(f"more than {limit} categories, which looks like free text, in {', '.join(wide)}")
+    found: dict[str, list[str]] = {n: [] for n in names}
+    for r in pairs.collect():
+        found[r.name].append(r.text)
+    return {n: sorted(v) for n, v in found.items()}
 
 
 def learn_classes(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> list[tuple[str, int]]:

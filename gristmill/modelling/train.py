@@ -162,7 +162,26 @@ def training_set(
         raise ValueError(f"unknown task: {task}")
     if fit_scope not in ("train", "all"):
         raise ValueError("fit_scope is train or all")
-    data = df.select(*dict.fromkeys([key, target, *features]))
+    # Every step below reads this table again, so its few columns are kept until the end.
+    data = df.select(*dict.fromkeys([key, target, *features])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed)
+    finally:
+        data.unpersist()
+
+
+def _training_set(
+    df: DataFrame,
+    data: DataFrame,
+    target: str,
+    features: Sequence[str],
+    task: str,
+    key: str,
+    test_size: float,
+    positive_class,
+    fit_scope: str,
+    seed: int,
+) -> TrainingSet:
     known = data.where(col(target).isNotNull() if task == "classification" else finite(data, target).isNotNull())
     rows, kept = data.agg(F.count("*"), F.count(F.when(_known_target(data, target, task), 1))).first()
     if kept < 2:

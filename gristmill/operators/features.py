@@ -101,7 +101,7 @@ def bin_with(df: DataFrame, column: str, bins: int, spread: Spread, name: str |
         raise ValueError(f"column {column} has no values to bin")
     name = name or f"{column}_binned"
     low, width = F.lit(spread.low), F.lit(bin_width(spread, bins))
-    place = F.greatest(bin_index(as_double(df, column), low, width, bins), F.lit(0))
+    place = bin_index(as_double(df, column), low, width, bins)
     start = low + place * width
     label = F.format_string("%.1f-%.1f", start, start + width)
     return df.withColumns(

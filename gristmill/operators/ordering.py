@@ -179,18 +179,18 @@ def running_totals(
         place = (F.count(F.lit(1)).over(inside) - 1).alias(index)
         return cut.df.select(*named(df.columns), *running, place)
     local = cut.df.groupBy(*named(parts)).agg(
-        F.count("*").alias("__n"), *[F.sum(col(s)).alias(f"__sum_{i}") for i, s in enumerate(sums)]
+        F.count("*").alias("__rows_before"), *[F.sum(col(s)).alias(f"__total_before_{i}") for i, s in enumerate(sums)]
     )
     groups = named(by) or [F.lit(0)]
     before = Window.partitionBy(*groups).orderBy(F.col(BUCKET) * direction).rowsBetween(Window.unboundedPreceding, -1)
     offsets = local.select(
         *named(parts),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"),
-        *[F.coalesce(F.sum(f"__sum_{i}").over(before), F.lit(0)).alias(f"__sum_{i}") for i in range(len(sums))],
+        F.coalesce(F.sum("__rows_before").over(before), F.lit(0)).alias("__rows_before"),
+        *[F.coalesce(F.sum(f"__total_before_{i}").over(before), F.lit(0)).alias(f"__total_before_{i}") for i in range(len(sums))],
     )
     joined = cut.df.join(offsets if by else F.broadcast(offsets), parts)
-    running = [(F.col(f"__sum_{i}") + F.sum(col(s)).over(inside)).alias(f"running_{s}") for i, s in enumerate(sums)]
-    place = (F.col("__n") + F.count(F.lit(1)).over(inside) - 1).alias(index)
+    running = [(F.col(f"__total_before_{i}") + F.sum(col(s)).over(inside)).alias(f"running_{s}") for i, s in enumerate(sums)]
+    place = (F.col("__rows_before") + F.count(F.lit(1)).over(inside) - 1).alias(index)
     return joined.select(*named(df.columns), *running, place)
 
 

@@ -507,7 +507,7 @@ DATA_QUERIES = {
     "bin_column": (
         bin_column,
         f"WITH e AS {events_sql('event_id', 'value_n')}, s AS (SELECT min(value_n) AS lo, (max(value_n) - min(value_n)) / 8 AS w FROM e), "
-        "b AS (SELECT event_id, value_n, lo, w, CAST(least(floor((value_n - lo) / w), 7) AS INTEGER) AS i FROM e, s) "
+        "b AS (SELECT event_id, value_n, lo, w, CASE WHEN value_n IS NOT NULL THEN CAST(least(floor((value_n - lo) / w), 7) AS INTEGER) END AS i FROM e, s) "
         "SELECT event_id, value_n, i AS bin_index, round(lo + i * w, 6) AS bin_low, round(lo + i * w + w, 6) AS bin_high FROM b",
     ),
     "profile_column": (profile_column, events_profile_sql("value_n")),

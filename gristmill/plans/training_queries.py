@@ -250,7 +250,7 @@ def projection_2d(spark, folder):
 
 # Explanation -----------------------------------------------------------------------------
 
-COEFFICIENTS = {"value": 0.5, "user_id": -0.02, "signed": 0.25, "flag01": 3.0}
+COEFFICIENTS = {"value": 0.4, "user_id": -0.02, "signed": 0.2, "flag01": 3.0}
 
 
 def _attributions(spark, folder):
@@ -316,8 +316,8 @@ SELECT vec_id, CAST(arg_min(label, d) AS INTEGER) AS cluster FROM d GROUP BY vec
 _SILHOUETTE_SQL = f"""
 WITH f AS {_FLAT_SQL},
 p AS (SELECT a.vec_id, a.label AS own, b.label AS other, b.vec_id AS o, sum((a.x - b.x) * (a.x - b.x)) AS d
-      FROM f a JOIN f b USING (j) GROUP BY ALL),
-m AS (SELECT vec_id, own, other, CASE WHEN own = other THEN sum(d) / nullif(count(*) - 1, 0) ELSE avg(d) END AS d FROM p GROUP BY ALL),
+      FROM f a JOIN f b USING (j) GROUP BY a.vec_id, a.label, b.label, b.vec_id),
+m AS (SELECT vec_id, own, other, CASE WHEN own = other THEN sum(d) / nullif(count(*) - 1, 0) ELSE avg(d) END AS d FROM p GROUP BY vec_id, own, other),
 s AS (SELECT vec_id, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own <> other) AS b FROM m GROUP BY vec_id)
 SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq FROM s
 """

@@ -40,7 +40,7 @@ def load_csv(
         if first is None:
             raise ValueError(f"{path} is empty")
         sep = detect_separator(first[0])
-    options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "enforceSchema": False}
+    options = {"header": True, "sep": sep, "mode": "PERMISSIVE"}
     if schema is None:
         head = [r[0] for r in spark.read.text(path).limit(infer_rows + 1).collect()]
         schema = spark.read.csv(spark.sparkContext.parallelize(head, 1), header=True, sep=sep, inferSchema=True).schema
