@@ -228,13 +228,12 @@ def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, li
         return {}
     text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in names]
     pairs = df.select(F.inline(F.array(*text))).distinct()
-    sizes = {r.name: r["count"] for r in pairs.groupBy("name").count().collect()}
-    wide = [n for n in names if sizes.get(n, 0) > limit]
-    if wide:
-        raise ValueError(f"more than {limit} categories, which looks like free text, in {', '.join(wide)}")
     found: dict[str, list[str]] = {n: [] for n in names}
-    for r in pairs.collect():
+    for r in pairs.limit(limit * len(names) + 1).collect():
         found[r.name].append(r.text)
+    wide = [n for n in names if len(found[n]) > limit]
+    if wide:
+        raise ValueError(f"more than {limit} categories, which looks like free text, in {', '.join(wide)}")
     return {n: sorted(v) for n, v in found.items()}
 
 

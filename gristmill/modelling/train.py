@@ -43,6 +43,8 @@ from .split import fold_number, holdout_flag, split_stratified
 SEED = 42
 DEEPEST = 30
 TREE_BINS = 64
+MOVABLE_ROWS = 10_000_000
+PARTITION_ROWS = 20_000
 
 # The target as numbers, while a table may still hold a column called label.
 LABEL = "__label"
@@ -209,7 +211,7 @@ def _training_set(
     wide = preparation.transform(sided)
     leaky = _leaky_features(wide, features)
     prepared = wide.select(col(key), F.col(LABEL).alias("label"), "is_test", "features")
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = _balanced(prepared, key, kept).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows, test_rows = prepared.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
     positive = None
     if positive_class is not None and len(classes) == 2 and _as_class(positive_class, classes) is not None:
@@ -233,6 +235,19 @@ def _training_set(
     )
 
 
+def _balanced(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A small table in as many partitions as its rows deserve, in a fixed row order.
+
+    Iterative training runs a job per step, so one partition too many or too few counts many
+    times over. A large table has enough input splits and keeps them.
+    """
+    if rows > MOVABLE_ROWS:
+        return df
+    wanted = math.ceil(rows / PARTITION_ROWS)
+    wanted = max(1, min(wanted, df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(wanted, col(key)).sortWithinPartitions(col(key))
+
+
 def _known_target(df: DataFrame, target: str, task: str) -> Column:
     return col(target).isNotNull() if task == "classification" else finite(df, target).isNotNull()
 
