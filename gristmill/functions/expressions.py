@@ -151,6 +151,7 @@ def long_array(values: Iterable[int]) -> Column:
 
 
 def double_array(values: Iterable[float]) -> Column:
+    """An array literal of doubles, infinities included."""
     return F.expr("array(" + ",".join(f"double('{float(v)!r}')" for v in values) + ")")
 
 

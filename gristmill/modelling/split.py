@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import col, hash_number, require_columns
 from ..operators.ordering import running_totals
 
 # 13 hex digits fit a double exactly.
 FINE_DIGITS = 13
+CLASS_LIMIT = 10_000
+# Standard deviations around the expected hash.
+BRACKET = 8.0
 
 
 def holdout_flag(key: Column, test_size: float = 0.2, seed: int = 42) -> Column:
@@ -24,29 +30,65 @@ def split_holdout(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 4
 
 
 def split_stratified(
-    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, name: str = "is_test", **options
+    df: DataFrame,
+    key: str,
+    label: str,
+    test_size: float = 0.2,
+    seed: int = 42,
+    name: str = "is_test",
+    bracket: float = BRACKET,
+    **options,
 ) -> DataFrame:
     """The same share of every class goes to the test side: round(test_size * class rows),
     in the order of a hash of the key.
 
     A class can be most of the table, so its rows are never ranked in one window: the hash
-    value at the wanted rank is found per class, and rows are compared with it.
+    value at the wanted rank is found per class, and rows are compared with it. Only rows
+    whose hash is near the expected value take part in finding it; should they not suffice,
+    all rows do.
     """
     require_columns(df, key, label)
-    ticket = hash_number(col(key), seed, FINE_DIGITS)
-    tickets = df.select(col(label).alias("__class"), ticket.cast("double").alias("__ticket"))
-    counts = tickets.where("__class IS NOT NULL").groupBy("__class", "__ticket").agg(F.count("*").alias("__n"))
-    ranked = running_totals(counts, "__ticket", ["__n"], ["__class"], **options)
-    sizes = counts.groupBy("__class").agg(F.round(F.sum("__n") * test_size).alias("__wanted"))
+    ticket = hash_number(col(key), seed, FINE_DIGITS).cast("double")
+    tickets = df.select(col(label).alias("__class"), ticket.alias("__ticket")).where("__class IS NOT NULL")
+    sizes = tickets.groupBy("__class").agg(F.count("*").alias("n")).limit(CLASS_LIMIT + 1).collect()
+    if len(sizes) > CLASS_LIMIT:
+        raise ValueError(f"more than {CLASS_LIMIT} classes")
+    bounds = [(r["__class"], *_expected(r.n, test_size, bracket)) for r in sizes]
+    schema = T.StructType(
+        [
+            T.StructField("__class", df.select(col(label)).schema[0].dataType),
+            T.StructField("__wanted", T.LongType()),
+            T.StructField("__low", T.DoubleType()),
+            T.StructField("__high", T.DoubleType()),
+        ]
+    )
+    placed = tickets.join(F.broadcast(df.sparkSession.createDataFrame(bounds, schema)), "__class")
+    under, inside = F.col("__ticket") < F.col("__low"), F.col("__ticket").between(F.col("__low"), F.col("__high"))
+    found = placed.groupBy("__class", "__wanted").agg(F.count_if(under).alias("__below"), F.count_if(inside).alias("__inside"))
+    rows = found.collect()
+    if any(not r["__below"] <= r["__wanted"] <= r["__below"] + r["__inside"] for r in rows):
+        return split_stratified(df, key, label, test_size, seed, name, bracket=float("inf"), **options)
+    below = df.sparkSession.createDataFrame([(r["__class"], r["__below"]) for r in rows], T.StructType([schema[0], T.StructField("__below", T.LongType())]))
+    counts = placed.where(inside).groupBy("__class", "__ticket", "__wanted").agg(F.count("*").alias("__n"))
     last = (
-        ranked.join(F.broadcast(sizes), "__class")
-        .where(F.col("running___n") <= F.col("__wanted"))
+        running_totals(counts, "__ticket", ["__n"], ["__class"], **options)
+        .join(F.broadcast(below), "__class")
+        .where(F.col("running___n") + F.col("__below") <= F.col("__wanted"))
         .groupBy("__class")
         .agg(F.max("__ticket").alias("__last"))
     )
     joined = df.join(F.broadcast(last), df[label] == last["__class"], "left")
-    chosen = F.coalesce(ticket.cast("double") <= F.col("__last"), F.lit(False))
-    return joined.withColumn(name, chosen).drop("__class", "__last")
+    return joined.withColumn(name, F.coalesce(ticket <= F.col("__last"), F.lit(False))).drop("__class", "__last")
+
+
+def _expected(rows: int, share: float, bracket: float) -> tuple[int, float, float]:
+    """How many rows of a class are wanted, and between which tickets the last of them lies.
+
+    Tickets are hashes, so the one at a given share of the rows is within a few standard
+    deviations of that share of their range."""
+    top = float(16**FINE_DIGITS)
+    slack = bracket * (math.sqrt(share * (1 - share) / rows) + 1 / rows)
+    return math.floor(rows * share + 0.5), (share - slack) * top, (share + slack) * top
 
 
 def fold_number(key: Column, folds: int = 5, seed: int = 42) -> Column:

@@ -16,7 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import as_double, col, is_scalar, is_text, long_array, named, require_columns
+from ..functions.expressions import (
+    as_double,
+    col,
+    double_array,
+    is_scalar,
+    is_text,
+    long_array,
+    named,
+    require_columns,
+)
 from ..session import cut_lineage
 
 BUCKET = "__bucket"
@@ -200,36 +209,69 @@ def group_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     in_memory_rows: int = 500_000,
+    accuracy: int = 10_000,
     **options,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row per group with ``n`` and array ``q``.
+    """Exact linearly interpolated quantiles: one row per (non-NULL) group with ``n`` and array ``q``.
 
     Spark's own ``percentile`` keeps the distinct values of a group in one task, so it serves
-    only groups of a checked size. Larger ones are counted per value, laid out in ordered
-    buckets, and read off at the wanted positions.
+    only groups of a checked size. For larger ones, approximate quantiles a little to each
+    side enclose every wanted rank. Only the values in between are exchanged: they are counted
+    per value, laid out in ordered buckets, and read off at the rank. Should an enclosure
+    miss its rank, all values take part.
     """
     rows = df.select(*named(by), value.cast("double").alias("__v")).where("__v IS NOT NULL")
     largest = rows.groupBy(*named(by)).count().agg(F.max("count")).first()[0] or 0
     if largest <= in_memory_rows:
         shares = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*named(by)).agg(F.count("*").alias("n"), F.percentile("__v", shares).alias("q"))
-    counts = rows.groupBy(*named([*by, "__v"])).agg(F.count("*").alias("__c"))
-    totals = counts.groupBy(*named(by)).agg(F.sum("__c").alias("n"))
-    ranked = running_totals(counts, "__v", ["__c"], by, **options)
-    placed = ranked.join(totals, list(by)) if by else ranked.withColumn("n", F.lit(totals.first().n))
-    first, last = F.col("running___c") - F.col("__c"), F.col("running___c") - 1
-    picks = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            picks.append(F.max(F.when(rank.between(first, last), F.col("__v"))).alias(f"__{side}_{i}"))
-    found = placed.groupBy(*named([*by, "n"])).agg(*picks)
-    values = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        part = place - F.floor(place)
-        values.append(F.col(f"__lo_{i}") * (1 - part) + F.col(f"__hi_{i}") * part)
-    return found.select(*named(by), "n", F.array(*values).alias("q"))
+    found = cut_lineage(_enclosed_quantiles(rows, probs, by, accuracy, options))
+    if found.where(F.exists("q", lambda v: v.isNull())).isEmpty():
+        return found
+    return _enclosed_quantiles(rows, probs, by, None, options)
+
+
+def _enclosed_quantiles(rows: DataFrame, probs: Sequence[float], by: Sequence[str], accuracy: int | None, options: dict) -> DataFrame:
+    """Quantiles read off between approximate bounds (or none); NULL where they miss a rank."""
+    groups, k = named(by), len(probs)
+    if accuracy is None:
+        bounds = F.array(*[F.lit(float("-inf"))] * k, *[F.lit(float("inf"))] * k)
+    else:
+        ends = [max(0.0, p - 3 / accuracy) for p in probs] + [min(1.0, p + 3 / accuracy) for p in probs]
+        bounds = F.percentile_approx("__v", ends, accuracy)
+    cuts = rows.groupBy(*groups).agg(F.count("*").alias("n"), bounds.alias("__cuts"))
+    if by:
+        bounded = rows.join(cuts, list(by))
+    else:
+        row = cuts.first()
+        bounded = rows.withColumn("n", F.lit(row.n)).withColumn("__cuts", double_array(row["__cuts"]))
+    low, high = (lambda i: F.col("__cuts")[i]), (lambda i: F.col("__cuts")[k + i])
+    probes = [F.struct(F.lit(i).alias("__probe"), low(i).alias("__low"), high(i).alias("__high")) for i in range(k)]
+    inside = bounded.select(*groups, "__v", F.inline(F.array(*probes))).where("__v BETWEEN __low AND __high")
+    counts = inside.groupBy(*groups, "__probe", "__v").agg(F.count("*").alias("__c"))
+    ranked = running_totals(counts, "__v", ["__c"], [*by, "__probe"], **options)
+    below = bounded.groupBy(*groups, "n").agg(*[F.count_if(F.col("__v") < low(i)).alias(f"__b{i}") for i in range(k)])
+    missed = [
+        F.struct(F.lit(i).alias("__probe"), F.lit(float(p)).alias("__p"), F.col(f"__b{i}").alias("__below"))
+        for i, p in enumerate(probs)
+    ]
+    below = below.select(*groups, "n", F.inline(F.array(*missed)))
+    place = F.col("__p") * (F.col("n") - 1)
+    first = F.col("__below") + F.col("running___c") - F.col("__c")
+    last = F.col("__below") + F.col("running___c") - 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(rank.between(first, last), F.col("__v")))
+
+    part = place - F.floor(place)
+    read = (
+        below.join(ranked, [*by, "__probe"], "left")
+        .groupBy(*groups, "n", "__probe", "__p")
+        .agg(at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"))
+        .select(*groups, "n", "__probe", (F.col("__lo") * (1 - part) + F.col("__hi") * part).alias("__q"))
+    )
+    values = [F.max(F.when(F.col("__probe") == i, F.col("__q"))) for i in range(k)]
+    return read.groupBy(*groups, "n").agg(F.array(*values).alias("q"))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], in_memory_rows: int = 500_000, **options) -> dict[str, float | None]:

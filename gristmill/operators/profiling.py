@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from ..functions.expressions import col, is_numeric, is_scalar, require_columns, type_name, without_nan
 
 
+# Text longer than a digest.
+LONG_TEXT = 64
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per column: counts, distinct values (NULL is one of them) and number moments.
 
@@ -96,8 +100,12 @@ def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _identity(df: DataFrame, name: str) -> Column:
-    """Text that is equal exactly where the values are; 0.0 and -0.0 are one value."""
+    """Text that is equal exactly where the values are; 0.0 and -0.0 are one value.
+
+    Long text is grouped by its digest, so that whole documents do not travel."""
     c = without_nan(df, name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.when(F.length(c) > LONG_TEXT, F.sha2(c, 256)).otherwise(c)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         c = c + F.lit(0.0).cast(df.schema[name].dataType)
     return c.cast("string")

@@ -150,6 +150,8 @@ def test_split_does_not_depend_on_partitions(spark):
         for p in (1, 4, 17)
     ]
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 33 * 3
+    narrow = split.split_stratified(df, "id", "y", bracket=0.0).where("is_test")
+    assert {r.id for r in narrow.collect()} == runs[0]
     assert sorted(r["count"] for r in split.assign_folds(df, "id").groupBy("fold").count().collect())[0] > 60
 
 

@@ -65,17 +65,31 @@ def test_running_totals_per_group(spark, descending, options):
             assert (r.running_c, r.position) == (total, at)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_group_quantiles_equal_linear_interpolation(spark, limit):
+@pytest.mark.parametrize("limit, accuracy", [(10**6, 10_000), (0, 10_000), (0, 100), (0, 2)])
+def test_group_quantiles_equal_linear_interpolation(spark, limit, accuracy):
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=501), "b": np.full(300, 2.5), "c": rng.integers(0, 9, 77) * 1.0}
     df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    for r in ordering.group_quantiles(df, F.col("v"), probs, ["g"], in_memory_rows=limit, **SPREAD).collect():
+    for r in ordering.group_quantiles(df, F.col("v"), probs, ["g"], in_memory_rows=limit, accuracy=accuracy, **SPREAD).collect():
         assert r.n == len(data[r.g])
         assert np.allclose(r.q, np.quantile(data[r.g], probs))
 
 
+def test_a_missed_enclosure_falls_back_to_all_values(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    enclosed, asked = ordering._enclosed_quantiles, []
+
+    def missing(rows, probs, by, accuracy, options):
+        asked.append(accuracy)
+        found = enclosed(rows, probs, by, accuracy, options)
+        return found if accuracy is None else found.withColumn("q", F.array(F.lit(None).cast("double")))
+
+    monkeypatch.setattr(ordering, "_enclosed_quantiles", missing)
+    assert ordering.group_quantiles(df, F.col("v"), [0.5], in_memory_rows=0).first().q == [499.5]
+    assert asked == [10_000, None]
+
+
 def test_column_medians_both_ways(spark):
     df = spark.createDataFrame([(1.0, 5), (float("nan"), 7), (3.0, None), (None, 100)], "a double, b long")
     for limit in (10, 0):
