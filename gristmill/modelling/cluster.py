@@ -26,6 +26,7 @@ NOTABLE_PERCENT = 10.0
 POINTS = "point"
 # Points that fit an executor several times over; above it, only the linear form is offered.
 EUCLIDEAN_ROWS = 20_000
+RATED_CLUSTERS = 10_000
 
 
 # Scaling ---------------------------------------------------------------------------------
@@ -137,41 +138,36 @@ def cluster_sizes(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
     return sizes.select("cluster", "size", found.alias("n_clusters"))
 
 
-def _cluster_sums(points: DataFrame, cluster: str, dims: int) -> list:
-    sums = [F.sum(F.col(POINTS)[j]).alias(f"s{j}") for j in range(dims)]
-    own = F.aggregate(F.col(POINTS), F.lit(0.0), lambda t, x: t + x * x)
-    rows = points.groupBy(col(cluster).alias("c")).agg(F.count("*").alias("n"), F.sum(own).alias("q"), *sums)
-    return sorted(rows.limit(10_001).collect(), key=lambda r: r.c)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, v: total + v)
 
 
-def silhouette_rows(points: DataFrame, cluster: str = "cluster") -> DataFrame:
+def silhouette_rows(points: DataFrame, cluster: str = "cluster", most: int = RATED_CLUSTERS) -> DataFrame:
     """Per row, the silhouette under squared Euclidean distance.
 
     The mean squared distance from x to a cluster is |x|^2 + mean|y|^2 - 2 x . mean(y), so one
-    pass for the cluster sums and one projection are exact, without any pair of rows.
+    pass for the cluster means and one projection are exact, without any pair of rows. The
+    means of at most ``most`` clusters travel to the tasks as one value.
     """
     first = points.select(F.size(POINTS)).first()
     if first is None:
         raise ValueError("no points")
-    dims = first[0]
-    stats = _cluster_sums(points, cluster, dims)
-    if not 2 <= len(stats) <= 10_000:
-        raise ValueError("silhouette needs 2 to 10000 clusters")
     x = F.col(POINTS)
-    norm = F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v)
-    means = []
-    for r in stats:
-        dot = F.aggregate(F.zip_with(x, double_array([r[f"s{j}"] / r.n for j in range(dims)]), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-        means.append(F.greatest(F.col("__norm") + F.lit(r.q / r.n) - 2 * dot, F.lit(0.0)))
-    codes = F.array(*[F.lit(r.c) for r in stats])
-    sizes = F.array(*[F.lit(r.n) for r in stats])
-    rated = points.withColumn("__norm", norm).withColumn("__means", F.array(*means)).withColumn("__at", F.array_position(codes, col(cluster)).cast("int"))
-    n = F.element_at(sizes, F.col("__at")).cast("double")
-    own = F.element_at("__means", F.col("__at")) * n / (n - 1)
+    means = [F.avg(x[j]) for j in range(first[0])]
+    stats = points.groupBy(col(cluster).alias("c")).agg(F.count("*").alias("n"), F.avg(_dot(x, x)).alias("q"), F.array(*means).alias("m"))
+    if not 2 <= stats.limit(most + 1).count() <= most:
+        raise ValueError(f"silhouette needs 2 to {most} clusters")
+    entries = F.collect_list(F.struct("c", "n", "q", "m"))
+    rated = points.withColumn("__stats", stats.agg(entries).scalar()).withColumn("__norm", _dot(x, x))
+    distance = F.transform("__stats", lambda s: F.greatest(F.col("__norm") + s["q"] - 2 * _dot(x, s["m"]), F.lit(0.0)))
+    rated = rated.withColumn("__means", distance)
+    rated = rated.withColumn("__at", F.array_position(F.col("__stats.c"), col(cluster)).cast("int"))
+    n = F.element_at(F.col("__stats.n"), F.col("__at")).cast("double")
+    own = F.when(n > 1, F.element_at("__means", F.col("__at")) * n / (n - 1))
     other = F.array_min(F.filter("__means", lambda m, i: i + 1 != F.col("__at")))
-    rated = rated.withColumn("__a", F.when(n > 1, own)).withColumn("__b", other)
+    rated = rated.withColumn("__a", own).withColumn("__b", other)
     value = F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0))
-    return rated.withColumn("silhouette", value).drop("__norm", "__means", "__at", "__a", "__b")
+    return rated.withColumn("silhouette", value).drop("__stats", "__norm", "__means", "__at", "__a", "__b")
 
 
 def silhouette_sq(points: DataFrame, cluster: str = "cluster", places: int = 4) -> DataFrame:
@@ -314,7 +310,9 @@ def cluster(
 
     points = scaled_points(df, features, key).persist(StorageLevel.MEMORY_AND_DISK)
     if algorithm == "kmeans":
-        labels = assign_nearest(points, [list(map(float, c)) for c in kmeans(points, k).clusterCenters()])
+        model = kmeans(points, k)
+        scored = model.transform(points.withColumn("features", array_to_vector(POINTS)))
+        labels = scored.select(*named(points.columns), F.col("prediction").alias("cluster"))
     elif algorithm == "hierarchical":
         labels = hierarchical(points, k)
     elif algorithm == "dbscan":
@@ -323,5 +321,5 @@ def cluster(
         raise ValueError(f"unknown algorithm: {algorithm}")
     found = cluster_sizes(labels).first()
     n = found.n_clusters if found else 0
-    rated = silhouette_sq(labels).first()[0] if 1 < n < 10_000 else None
+    rated = silhouette_sq(labels).first()[0] if 1 < n < RATED_CLUSTERS else None
     return ClusterResult(labels, n, rated)
