@@ -134,17 +134,16 @@ def scatter_sample(df: DataFrame, x: str, y: str, order_by: Sequence[str], most:
 
 
 def _group_values(df: DataFrame, number: str, group: str, most: int) -> DataFrame:
-    """The values of the largest groups; the groups, being at most ``most``, are broadcast."""
+    """The values of the largest groups, which are found first; being at most ``most`` names,
+    they become a filter."""
     require_columns(df, number, group)
     values = df.select(col(group).cast("string").alias("group"), as_double(df, number).alias("value"))
     values = values.where("`group` IS NOT NULL AND value IS NOT NULL")
-    largest = values.groupBy("group").count().orderBy(F.desc("count"), F.asc("group")).limit(most).select("group")
-    return values.join(F.broadcast(largest), "group")
+    largest = values.groupBy("group").count().orderBy(F.desc("count"), F.asc("group")).limit(most).collect()
+    return values.where(F.col("group").isin([r.group for r in largest]))
 
 
-def box_plot(df: DataFrame, number: str, group: str, most: int = 20, **options) -> DataFrame:
-    """Size, range and exact quartiles of the largest groups."""
-    values = _group_values(df, number, group, most)
+def _boxes(values: DataFrame, options: dict) -> DataFrame:
     ranges = values.groupBy("group").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = group_quantiles(values, F.col("value"), [0.25, 0.5, 0.75], ["group"], **options)
     return ranges.join(F.broadcast(quartiles), "group").select(
@@ -158,10 +157,15 @@ def box_plot(df: DataFrame, number: str, group: str, most: int = 20, **options)
     )
 
 
+def box_plot(df: DataFrame, number: str, group: str, most: int = 20, **options) -> DataFrame:
+    """Size, range and exact quartiles of the largest groups."""
+    return _boxes(_group_values(df, number, group, most), options)
+
+
 def box_outliers(df: DataFrame, number: str, group: str, most: int = 20, per_group: int = 50, **options) -> DataFrame:
     """The smallest ``per_group`` values outside 1.5 times the quartile range, per group."""
     values = _group_values(df, number, group, most)
-    fences = box_plot(df, number, group, most, **options).select(
+    fences = _boxes(values, options).select(
         "group",
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"),
