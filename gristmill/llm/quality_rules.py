@@ -85,24 +85,25 @@ def measure_texts(docs: DataFrame) -> DataFrame:
         F.expr("size(filter(lines, l -> ltrim(l) rlike '^[-*•]'))").cast("long").alias("n_bullet_lines"),
         F.expr("size(filter(lines, l -> rtrim(l) rlike '(\\\\.\\\\.\\\\.|…)$'))").cast("long").alias("n_ellipsis_lines"),
         F.expr(
-            "CASE WHEN size(words) < 3 THEN array() ELSE "
-            "transform(slice(words, 1, size(words) - 2), (w, i) -> xxhash64(w, words[i + 1], words[i + 2])) END"
-        ).alias("windows"),
+            "CASE WHEN size(words) < 3 THEN array() ELSE zip_with(words, zip_with(slice(words, 2, size(words)), "
+            "slice(words, 3, size(words)), (b, c) -> CASE WHEN c IS NOT NULL THEN struct(b, c) END), "
+            "(a, t) -> CASE WHEN t IS NOT NULL THEN xxhash64(a, t.b, t.c) END) END"
+        ).alias("padded"),
     )
+    windows = windows.withColumn("windows", F.array_compact("padded")).drop("padded")
+    # Lambdas here look at nothing but their own arguments: if the optimizer moves these expressions into
+    # a filter, an array is computed anew a few times per row, not once per element.
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    in_order = "sort_array(transform(windows, (h, i) -> struct(h, i)))"
-    ordered = windows.withColumn("in_order", F.when(repeated, F.expr(in_order))).drop("windows")
-    # Positions of the windows that occur more than once; equal windows stand next to each other.
+    in_order = F.when(repeated, F.expr("sort_array(transform(windows, (h, i) -> struct(h, i)))"))
+    ordered = windows.withColumn("in_order", in_order).drop("windows")
+    # Equal windows stand next to each other; both of such a pair are repeated ones.
+    pairs = "zip_with(in_order, slice(in_order, 2, size(in_order)), (s, t) -> CASE WHEN s.h = t.h THEN array(s.i, t.i) END)"
     places = ordered.withColumn(
-        "places",
-        F.expr(
-            "sort_array(transform(filter(in_order, (s, j) -> "
-            "get(in_order, j - 1).h <=> s.h OR get(in_order, j + 1).h <=> s.h), s -> s.i))"
-        ),
+        "places", F.expr(f"sort_array(array_distinct(flatten(filter({pairs}, p -> p IS NOT NULL))))")
     ).drop("in_order")
     # Each such window covers three words, fewer when the next one starts before its end.
-    covered = "aggregate(transform(places, (p, j) -> least(3, coalesce(get(places, j + 1), p + 3) - p)), 0, (a, x) -> a + x)"
-    repeats = F.coalesce(F.expr(covered), F.lit(0)).cast("long")
+    covered = "zip_with(places, slice(places, 2, size(places)), (p, q) -> least(3, coalesce(q, p + 3) - p))"
+    repeats = F.coalesce(F.expr(f"aggregate({covered}, 0, (a, x) -> a + x)"), F.lit(0)).cast("long")
     return places.withColumn("n_repeat_words", repeats).drop("places")
 
 
