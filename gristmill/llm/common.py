@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 from gristmill.session import ensure_checkpoint_dir
 
+# Rows that a task turns into Python objects at a time; an Arrow batch may hold many thousand texts.
+ROWS_AT_ONCE = 256
+
 # At most this many keys can each hold 1/HOT_KEYS of all rows, so a list of them is small for any input.
 HOT_KEYS = 256
 
@@ -26,6 +31,18 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ROWS_AT_ONCE, without copying them."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
+def row_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in small_batches(batches):
+        yield from zip(*[column.to_pylist() for column in batch.columns])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares for checkpoints."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, written
+from .common import keyed_texts, small_batches, written
 
 PERCENT = 75
 SHINGLE_WORDS = 5
@@ -55,7 +55,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes; word hashes are remembered."""
 
-    def __init__(self, width: int = SHINGLE_WORDS, remembered: int = 1_000_000):
+    def __init__(self, width: int = SHINGLE_WORDS, remembered: int = 200_000):
         self._width, self._remembered = width, remembered
         self._hashes: dict[bytes, int] = {}
 
@@ -82,6 +82,16 @@ class Shingler:
         return np.unique(mixed(total))
 
 
+_SHINGLERS: dict[int, Shingler] = {}
+
+
+def shingler_of(width: int) -> Shingler:
+    """This process's shingler, shared by the tasks that run in it."""
+    if width not in _SHINGLERS:
+        _SHINGLERS[width] = Shingler(width)
+    return _SHINGLERS[width]
+
+
 def set_key(elements: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit key of a set."""
     return xxhash.xxh64_intdigest(elements.tobytes(), seed) - (1 << 63)
@@ -232,8 +242,8 @@ def _first_pass(width: int):
         return pa.record_batch([nulls(len(values))] * 4 + [pa.array(values), pa.array(counts, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size, seen = Shingler(width), [], 0, set()
-        for batch in batches:
+        shingler, held, size, seen = shingler_of(width), [], 0, set()
+        for batch in small_batches(batches):
             sizes, keys, others = [], [], []
             for text in batch.column(1).to_pylist():
                 elements = shingler(text)
@@ -244,7 +254,7 @@ def _first_pass(width: int):
                     seen.add(keys[-1])
                     held.append(elements)
                     size += len(elements)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield shingle_rows(held)
                     held, size = [], 0
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, keys, others))]
@@ -273,8 +283,8 @@ def _frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _signer(width: int, percent: int, frequent, rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, (known, known_levels) = Shingler(width), set(), frequent.value
-        for batch in batches:
+        shingler, seen, (known, known_levels) = shingler_of(width), set(), frequent.value
+        for batch in small_batches(batches):
             rows, keys = [], []
             for text in batch.column(1).to_pylist():
                 elements = shingler(text)
@@ -355,8 +365,8 @@ def _groups(pairs, crowd, singles) -> pa.RecordBatch:
 
 def _elements(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
+        shingler = shingler_of(width)
+        for batch in small_batches(batches):
             wanted = batch.column(1).to_pylist()
             rows = []
             for text, node in zip(batch.column(0).to_pylist(), wanted):
@@ -393,7 +403,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts_ = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             kept = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in texts_]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
@@ -409,8 +419,8 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
         return None
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
+        shingler = shingler_of(width)
+        for batch in small_batches(batches):
             for text in batch.column(0).to_pylist():
                 elements = shingler(text)
                 if len(elements):
@@ -464,7 +474,7 @@ def _crowded_pairs(crowded, labels, pairs, texts, nodes, percent: int, width: in
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         rows = []
         for raw in batch.column(2).to_pylist():
             cells = np.frombuffer(raw, np.uint64) & np.uint64(SKETCH_BITS - 1)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 
-from .common import keyed_texts, written
+from .common import keyed_texts, small_batches
 from .quality_rules import STOP_WORDS
 
 # About this many labelled rows are learned from; more do not move the split points of so few statistics.
@@ -211,7 +211,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
 
 def _measured_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         values = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
         yield pa.record_batch([batch.column(0), batch.column(2), values], names=["doc_id", "quality", "values"])
 
@@ -228,7 +228,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(shared):
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             if batch.num_rows:
                 values = np.array([statistics(t) for t in batch.column(1).to_pylist()])
                 yield pa.record_batch([batch.column(0), pa.array(trees.scores(values))], names=["doc_id", "score"])

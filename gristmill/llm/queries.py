@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, token_counts, token_files, url_filter
+from . import (
+    decontaminate,
+    jaccard_join,
+    packing,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    token_files,
+    url_filter,
+)
 from .common import read_table, scratch_path
 from .encoding import tokenizer_path
 
@@ -17,12 +27,24 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(read_table(spark, folder, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.with_checksum(token_files.read_tokens(spark, path))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
     host, _ = url_filter.url_parts(F.col("url"))
@@ -47,7 +69,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_quality_classifier": (op2_quality_classifier, None),
+    "op3_decontamination": (op3_decontamination, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_jaccard_join": (op6_jaccard_join, None),
     "op7_url_filter": (op7_url_filter, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_quality_rules": (op9_quality_rules, None),
