@@ -15,6 +15,9 @@ from gristmill.session import ensure_checkpoint_dir
 # Rows that a task turns into Python objects at a time; an Arrow batch may hold many thousand texts.
 ROWS_AT_ONCE = 256
 
+# Ids that are handed to all tasks (8 bytes each, with as much again for a second id); more are joined by an exchange.
+FEW_IDS = 1_000_000
+
 # At most this many keys can each hold 1/HOT_KEYS of all rows, so a list of them is small for any input.
 HOT_KEYS = 256
 
@@ -60,6 +63,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(ids: DataFrame, name: str) -> DataFrame:
+    """A table of ids, written, and marked for broadcast if it has at most FEW_IDS rows."""
+    kept = written(ids, name)
+    return F.broadcast(kept) if kept.count() <= FEW_IDS else kept
+
+
 def join_without_hot_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join of many rows with a table that has one row per key, for keys of any frequency.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 
-from .common import keyed_texts, small_batches
+from .common import bounded, keyed_texts, small_batches
 from .jaccard_join import mixed
 
 THRESHOLD = 0.75
@@ -205,7 +205,8 @@ def leaks(
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents (all columns) in which nothing was found; rows without doc_id stay."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = bounded(found.select("doc_id").distinct(), "leaking")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def _finder(shared, threshold: float):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, small_batches, written
+from .common import bounded, keyed_texts, small_batches, written
 
 PERCENT = 75
 SHINGLE_WORDS = 5
@@ -36,8 +36,6 @@ PIVOTS = 4
 # Members of a crowded group that meet in one task.
 BLOCK = 8192
 SKETCH_BITS = 2048
-# Ids of documents that are handed to all tasks (8 bytes each); more are joined by an exchange.
-FEW_IDS = 2_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _SETS = "node long, size long, elements binary"
@@ -383,9 +381,7 @@ def _elements(width: int):
 def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, size and elements of the wanted nodes, made again from one document each."""
     reps = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    named = written(reps.where("doc_id IS NOT NULL"), "representatives")
-    if named.count() <= FEW_IDS:
-        named = F.broadcast(named)
+    named = bounded(reps.where("doc_id IS NOT NULL"), "representatives")
     own = texts.where("doc_id IS NOT NULL").join(named, "doc_id").select("text", "node")
     sets = own.mapInArrow(_elements(width), _SETS)
     nameless = reps.where("doc_id IS NULL").select("node")

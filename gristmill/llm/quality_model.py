@@ -205,6 +205,18 @@ def score(docs: DataFrame, trees: FlatTrees, keep: float = KEEP_SCORE) -> DataFr
     )
 
 
+def accepted(docs: DataFrame, trees: FlatTrees, keep: float = KEEP_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least `keep`."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            values = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(shared.value.scores(values) >= keep))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: float = KEEP_SCORE) -> DataFrame:
     """Learn from the labels and score every document; see learn and score."""
     return score(docs, learn(docs, labels, sample_rows), keep)
@@ -229,8 +241,7 @@ def _scorer(shared):
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in small_batches(batches):
-            if batch.num_rows:
-                values = np.array([statistics(t) for t in batch.column(1).to_pylist()])
-                yield pa.record_batch([batch.column(0), pa.array(trees.scores(values))], names=["doc_id", "score"])
+            values = np.array([statistics(t) for t in batch.column(1).to_pylist()])
+            yield pa.record_batch([batch.column(0), pa.array(trees.scores(values))], names=["doc_id", "score"])
 
     return score_batches

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     jaccard_join,
+    licence_scan,
     packing,
     quality_model,
     quality_rules,
@@ -35,6 +36,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op4_licence_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan.scan_licences(read_table(spark, folder, "documents"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(read_table(spark, folder, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -71,6 +76,7 @@ LLM_QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
     "op3_decontamination": (op3_decontamination, None),
+    "op4_licence_scans": (op4_licence_scans, None),
     "op5_token_files": (op5_token_files, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
     "op7_url_filter": (op7_url_filter, None),

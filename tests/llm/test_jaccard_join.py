@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute
-from gristmill.llm import jaccard_join
+from gristmill.llm import common, jaccard_join
 
 
 def expected(rows):
@@ -80,7 +80,7 @@ def test_groups(groups):
 
 def test_small_blocks_and_groups(groups, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "FEW_IDS", 0)
+    monkeypatch.setattr(common, "FEW_IDS", 0)
     assert found(jaccard_join.near_duplicates(groups)) == expected(groups.collect())
 
 

@@ -1,0 +1,52 @@
+"""The pipeline's stages, one by one, against plain versions on their own inputs."""
+
+import os
+import sys
+from collections import Counter
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import brute
+import corpus_pipeline
+from gristmill.llm import secret_scan
+from gristmill.llm.common import written
+from test_jaccard_join import expected
+
+
+def test_stages(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    columns, tables = docs.columns, [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        tables.append(written(stage(spark, tables[-1], folder), "stage"))
+    assert all(t.columns == columns for t in tables[:-1])
+    start, good, single, clean, masked, packed = [t.collect() for t in tables]
+
+    kept = {r.doc_id for r in good}
+    assert sum(q != (d in kept) for d, q in labels.items()) <= 0.02 * len(labels)
+    components = {i: c for i, _, c in expected(good)}
+    assert {r.doc_id for r in single} == set(components.values())
+    leaking = {r.doc_id for r in single if any(i in r.text for i in items)}
+    assert leaking and not leaking & {r.doc_id for r in clean}
+    assert len(single) - len(clean) <= 1.2 * len(leaking) + 2
+    assert {r.doc_id for r in masked} == {r.doc_id for r in clean}
+    texts = {r.doc_id: r.text for r in clean}
+    for r in masked:
+        found = secret_scan.spans(texts[r.doc_id])
+        assert (r.text == texts[r.doc_id]) == (not found) and r.n_chars == len(r.text)
+        assert not found or brute.base_secrets(r.text)[:3] == (0, 0, 0)
+    assert {r.doc_id for r in packed} == {r.doc_id for r in masked}
+    assert all(r.length <= 2048 for r in packed)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    folder = "/root/testdata/sf0.001"
+    for docs in (odd_docs, no_docs):
+        docs = docs.selectExpr("*", "1L AS n_chars")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns
+            assert out.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
