@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_double, col, double_array, is_text, named, require_columns
 from ..operators.ordering import rows_at
+from ..session import cut_lineage
 from .prepare import learn_preparation, model_features
 
 RESTARTS = 10
@@ -24,9 +26,8 @@ MICRO_CLUSTERS = 256
 PROFILED_FEATURES = 5
 NOTABLE_PERCENT = 10.0
 POINTS = "point"
-# Points that fit an executor several times over; above it, only the linear form is offered.
-EUCLIDEAN_ROWS = 20_000
-RATED_CLUSTERS = 10_000
+# Clusters whose means travel to the tasks as one value.
+RATED_AT_ONCE = 1_000
 
 
 # Scaling ---------------------------------------------------------------------------------
@@ -88,7 +89,7 @@ def assign_nearest(points: DataFrame, centers: Sequence[Sequence[float]], name:
 def ward_groups(centers: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
     """Merge weighted centers by Ward's criterion until ``k`` groups are left.
 
-    The centers stand for micro-clusters and number a few hundred at most.
+    The centers stand for micro-clusters: a few hundred, or a few times ``k``.
     """
     groups = {i: [i] for i in range(len(centers))}
     center, weight = dict(enumerate(centers.astype(float))), dict(enumerate(weights.astype(float)))
@@ -115,6 +116,7 @@ def ward_groups(centers: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
 def hierarchical(points: DataFrame, k: int = 3, micro: int = MICRO_CLUSTERS, seed: int = FIRST_SEED) -> DataFrame:
     """Ward clusters of K-Means micro-clusters: the rows are only ever assigned, and the
     merging works on a few hundred centers whatever the size of the table."""
+    micro = max(micro, 3 * k)
     distinct = points.select(POINTS).distinct().limit(micro).count()
     if distinct < k:
         raise ValueError(f"fewer than {k} different points")
@@ -142,12 +144,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, v: total + v)
 
 
-def silhouette_rows(points: DataFrame, cluster: str = "cluster", most: int = RATED_CLUSTERS) -> DataFrame:
+def silhouette_rows(points: DataFrame, cluster: str = "cluster", at_once: int = RATED_AT_ONCE) -> DataFrame:
     """Per row, the silhouette under squared Euclidean distance.
 
     The mean squared distance from x to a cluster is |x|^2 + mean|y|^2 - 2 x . mean(y), so one
     pass for the cluster means and one projection are exact, without any pair of rows. The
-    means of at most ``most`` clusters travel to the tasks as one value.
+    means travel to the tasks in values of about ``at_once`` clusters each.
     """
     first = points.select(F.size(POINTS)).first()
     if first is None:
@@ -155,18 +157,27 @@ def silhouette_rows(points: DataFrame, cluster: str = "cluster", most: int = RAT
     x = F.col(POINTS)
     means = [F.avg(x[j]) for j in range(first[0])]
     stats = points.groupBy(col(cluster).alias("c")).agg(F.count("*").alias("n"), F.avg(_dot(x, x)).alias("q"), F.array(*means).alias("m"))
-    if not 2 <= stats.limit(most + 1).count() <= most:
-        raise ValueError(f"silhouette needs 2 to {most} clusters")
+    stats = cut_lineage(stats)
+    clusters = stats.count()
+    if clusters < 2:
+        raise ValueError("silhouette needs at least 2 clusters")
     entries = F.collect_list(F.struct("c", "n", "q", "m"))
-    rated = points.withColumn("__stats", stats.agg(entries).scalar()).withColumn("__norm", _dot(x, x))
-    distance = F.transform("__stats", lambda s: F.greatest(F.col("__norm") + s["q"] - 2 * _dot(x, s["m"]), F.lit(0.0)))
-    rated = rated.withColumn("__means", distance)
-    rated = rated.withColumn("__at", F.array_position(F.col("__stats.c"), col(cluster)).cast("int"))
-    n = F.element_at(F.col("__stats.n"), F.col("__at")).cast("double")
-    own = F.when(n > 1, F.element_at("__means", F.col("__at")) * n / (n - 1))
-    other = F.array_min(F.filter("__means", lambda m, i: i + 1 != F.col("__at")))
-    rated = rated.withColumn("__a", own).withColumn("__b", other)
+    nothing = F.lit(None).cast("double")
+    rated = points.withColumns({"__norm": _dot(x, x), "__a": nothing, "__b": nothing})
+    parts = math.ceil(clusters / at_once)
+    part = F.pmod(F.xxhash64("c"), F.lit(parts))
+    for i in range(parts):
+        rated = rated.withColumn("__stats", stats.where(part == i).agg(entries).scalar())
+        distance = F.transform("__stats", lambda s: F.greatest(F.col("__norm") + s["q"] - 2 * _dot(x, s["m"]), F.lit(0.0)))
+        rated = rated.withColumn("__means", distance)
+        rated = rated.withColumn("__at", F.array_position(F.col("__stats.c"), col(cluster)).cast("int"))
+        here = F.when(F.col("__at") > 0, F.col("__at"))
+        n = F.element_at(F.col("__stats.n"), here).cast("double")
+        own = F.when(n > 1, F.element_at("__means", here) * n / (n - 1))
+        other = F.array_min(F.filter("__means", lambda m, i: i + 1 != F.col("__at")))
+        rated = rated.withColumns({"__a": F.coalesce("__a", own), "__b": F.least("__b", other)})
     value = F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0))
+    value = F.when(F.col("__a").isNull(), F.lit(0.0)).otherwise(value)
     return rated.withColumn("silhouette", value).drop("__stats", "__norm", "__means", "__at", "__a", "__b")
 
 
@@ -174,41 +185,6 @@ def silhouette_sq(points: DataFrame, cluster: str = "cluster", places: int = 4)
     return silhouette_rows(points, cluster).agg(F.round(F.avg("silhouette"), places).alias("silhouette_sq"))
 
 
-def silhouette_euclidean(points: DataFrame, cluster: str = "cluster", most: int = EUCLIDEAN_ROWS) -> float:
-    """The mean silhouette under plain Euclidean distance.
-
-    It needs every distance, so it is offered for tables of at most ``most`` rows, which are
-    sent to the executors once; each task rates its own rows against them. Larger tables
-    get an error and should use ``silhouette_sq``.
-    """
-    rows = points.select(POINTS, col(cluster).alias("c")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; use silhouette_sq")
-    names, codes = np.unique([r.c for r in rows], return_inverse=True)
-    if not 1 < len(names) < len(rows):
-        raise ValueError("silhouette needs at least 2 clusters and fewer clusters than rows")
-    shared = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], float), codes, names))
-
-    def rate(batches):
-        everything, of, labels = shared.value
-        sizes = np.bincount(of)
-        for batch in batches:
-            result = []
-            for x, c in zip(batch[POINTS], batch["c"]):
-                totals = np.bincount(of, np.sqrt(((everything - np.asarray(x)) ** 2).sum(1)))
-                own = int(np.searchsorted(labels, c))
-                if sizes[own] == 1:
-                    result.append(0.0)
-                    continue
-                a, means = totals[own] / (sizes[own] - 1), totals / sizes
-                b = np.delete(means, own).min()
-                result.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-            yield batch.assign(s=result)[["s"]]
-
-    rated = points.select(POINTS, col(cluster).alias("c")).mapInPandas(rate, "s double")
-    return rated.agg(F.avg("s")).first()[0]
-
-
 # Description -----------------------------------------------------------------------------
 
 
@@ -254,14 +230,7 @@ def describe_clusters(profile: DataFrame) -> DataFrame:
     def listed(side: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("feature"))))
 
-    grouped = profile.groupBy("cluster", "size").agg(listed("higher").alias("higher"), listed("lower").alias("lower"))
-    average = (F.size("higher") == 0) & (F.size("lower") == 0)
-    text = F.concat_ws(
-        ", and ",
-        F.when(F.size("higher") > 0, F.concat(F.lit("higher-than-average "), F.array_join("higher", " and "))),
-        F.when(F.size("lower") > 0, F.concat(F.lit("lower-than-average "), F.array_join("lower", " and "))),
-    )
-    return grouped.withColumn("description", F.when(average, "close to the overall average").otherwise(text))
+    return profile.groupBy("cluster", "size").agg(listed("higher").alias("higher"), listed("lower").alias("lower"))
 
 
 @dataclass(frozen=True)
@@ -321,5 +290,5 @@ def cluster(
         raise ValueError(f"unknown algorithm: {algorithm}")
     found = cluster_sizes(labels).first()
     n = found.n_clusters if found else 0
-    rated = silhouette_sq(labels).first()[0] if 1 < n < RATED_CLUSTERS else None
+    rated = silhouette_sq(labels).first()[0] if n > 1 else None
     return ClusterResult(labels, n, rated)

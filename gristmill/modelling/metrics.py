@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_double, col, is_text, named, require_columns, safe_ratio
-from ..operators.ordering import rows_at, running_totals
+from ..operators.ordering import match_groups, rows_at, running_totals
 
 PLACES = 4
 CLASS_LIMIT = 1_000
@@ -26,9 +26,12 @@ def classification_metrics(
     df: DataFrame, label: str, prediction: str, by: Sequence[str] = (), positive=None, places: int = PLACES
 ) -> DataFrame:
     """Accuracy, precision, recall and F1: of the positive class while at most two classes
-    occur among the labels, else weighted by class size. Divisions by zero count as 0."""
-    cells = confusion_cells(df, label, prediction, by)
-    n, hit = F.col("count"), F.col("actual") == F.col("predicted")
+    occur among the labels, else weighted by class size. Divisions by zero count as 0.
+
+    Rows without a label are left out; a label without a prediction counts as missed. The positive
+    class of text labels is the largest that occurs among the labels."""
+    cells = confusion_cells(df.where(col(label).isNotNull()), label, prediction, by)
+    n, hit = F.col("count"), F.col("actual").eqNullSafe(F.col("predicted"))
     sides = F.array(
         F.struct(
             F.col("actual").cast("string").alias("class"),
@@ -45,28 +48,31 @@ def classification_metrics(
     )
     per_class = (
         cells.select(*named(by), F.explode(sides).alias("s"))
+        .where("s.class IS NOT NULL")
         .groupBy(*named(by), F.col("s.class").alias("class"))
         .agg(F.sum("s.support").alias("support"), F.sum("s.hits").alias("hits"), F.sum("s.claimed").alias("claimed"))
     )
     precision = F.coalesce(safe_ratio(F.col("hits"), F.col("claimed")), F.lit(0.0))
     recall = F.coalesce(safe_ratio(F.col("hits"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(safe_ratio(2 * precision * recall, precision + recall), F.lit(0.0))
-    if positive is None:
-        chosen = F.max("class") if is_text(df, label) else F.lit(1).cast(df.schema[label].dataType).cast("string")
+    ratings = F.struct("p", "r", "f")
+    if positive is None and is_text(df, label):
+        occurs = F.when(F.col("support") > 0, F.col("class"))
+        chosen = F.max_by(ratings, occurs)
     else:
-        chosen = F.lit(positive).cast(df.schema[label].dataType).cast("string")
+        wanted = F.lit(1 if positive is None else positive).cast(df.schema[label].dataType).cast("string")
+        chosen = F.max(F.when(F.col("class") == wanted, ratings))
     rated = per_class.select("*", precision.alias("p"), recall.alias("r"), f1.alias("f"))
     grouped = rated.groupBy(*named(by)).agg(
         F.sum("support").alias("rows"),
         F.count_if(F.col("support") > 0).alias("classes"),
         F.sum("hits").alias("hits"),
-        F.map_from_entries(F.collect_list(F.struct("class", F.struct("p", "r", "f")))).alias("of"),
         chosen.alias("positive"),
         *[F.sum(F.col(m) * F.col("support")).alias(f"all_{m}") for m in "prf"],
     )
 
     def value(m: str) -> Column:
-        one = F.coalesce(F.try_element_at("of", F.col("positive"))[m], F.lit(0.0))
+        one = F.coalesce(F.col("positive")[m], F.lit(0.0))
         return F.round(F.when(F.col("classes") > 2, F.col(f"all_{m}") / F.col("rows")).otherwise(one), places)
 
     return grouped.select(
@@ -123,7 +129,7 @@ def _ranked_scores(df: DataFrame, positive: Column, score: Column, by: Sequence[
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.count("*").alias("points")
     )
     if by:
-        return running.join(totals, list(by))
+        return match_groups(running, totals, by)
     row = totals.first()
     return running.withColumns({c: F.lit(row[c]) for c in ("all_pos", "all_neg", "points")})
 

@@ -29,6 +29,16 @@ def split_holdout(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 4
     return df.withColumn(name, holdout_flag(col(key), test_size, seed))
 
 
+def both_sides(df: DataFrame, key: str, seed: int = 42, name: str = "is_test") -> DataFrame:
+    """A split of at least two rows without an empty side: one gets the row with the least hash."""
+    sides = df.agg(F.count("*").alias("n"), F.count_if(col(name)).alias("test")).first()
+    if sides.n < 2 or 0 < sides.test < sides.n:
+        return df
+    ticket = hash_number(col(key), seed, FINE_DIGITS)
+    least = df.agg(F.min(ticket)).first()[0]
+    return df.withColumn(name, F.when(ticket == least, sides.test == 0).otherwise(col(name)))
+
+
 def split_stratified(
     df: DataFrame,
     key: str,

@@ -9,7 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -38,13 +40,16 @@ from .prepare import (
     learn_preparation,
     model_features,
 )
-from .split import fold_number, holdout_flag, split_stratified
+from .split import both_sides, fold_number, split_holdout, split_stratified
 
 SEED = 42
 DEEPEST = 30
 TREE_BINS = 64
-MOVABLE_ROWS = 10_000_000
+# Rows per partition of a training set, and of a large one beyond its first few partitions.
 PARTITION_ROWS = 20_000
+LARGE_PARTITION_ROWS = 2_000_000
+# The least rows of a leaf in either style of boosting.
+BOOSTED_LEAF_ROWS = {"xgboost": 1, "lightgbm": 20}
 
 # The target as numbers, while a table may still hold a column called label.
 LABEL = "__label"
@@ -98,6 +103,8 @@ def make_estimator(task: str, algorithm: str, train_rows: int, classes: int = 2,
         cacheNodeIds=True,
         checkpointInterval=10,
     )
+    # Leaves hold at least as many rows as in the styles' own defaults.
+    shared["minInstancesPerNode"] = int(h.get("min_child_samples", BOOSTED_LEAF_ROWS[algorithm]))
     if task == "regression":
         return GBTRegressor(**shared)
     boosted = GBTClassifier(**shared)
@@ -205,7 +212,8 @@ def _training_set(
     if stratify:
         sided = split_stratified(labelled, key, LABEL, test_size, seed)
     else:
-        sided = labelled.withColumn("is_test", holdout_flag(col(key), test_size, seed))
+        sided = split_holdout(labelled, key, test_size, seed)
+        sided = both_sides(sided, key, seed)
     learn_from = sided if fit_scope == "all" else sided.where(~F.col("is_test"))
     preparation = learn_preparation(learn_from, features)
     wide = preparation.transform(sided)
@@ -236,15 +244,12 @@ def _training_set(
 
 
 def _balanced(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """A small table in as many partitions as its rows deserve, in a fixed row order.
+    """The table in as many partitions as its rows deserve, in a fixed row order.
 
     Iterative training runs a job per step, so one partition too many or too few counts many
-    times over. A large table has enough input splits and keeps them.
+    times over. The number follows from the rows alone, as sampling in MLlib depends on it.
     """
-    if rows > MOVABLE_ROWS:
-        return df
-    wanted = math.ceil(rows / PARTITION_ROWS)
-    wanted = max(1, min(wanted, df.sparkSession.sparkContext.defaultParallelism))
+    wanted = max(1, min(math.ceil(rows / PARTITION_ROWS), 8 + rows // LARGE_PARTITION_ROWS))
     return df.repartition(wanted, col(key)).sortWithinPartitions(col(key))
 
 
@@ -661,6 +666,7 @@ class Regularized:
     chosen: Any
     improved: bool
     resolved: bool = field(default=False)
+    failed: tuple[tuple[str, str], ...] = ()
 
 
 def walk_levels(test_score: float, gap: float, levels: Sequence[tuple[str, dict]], attempt: Callable[[str, dict], Any]) -> Regularized:
@@ -668,10 +674,15 @@ def walk_levels(test_score: float, gap: float, levels: Sequence[tuple[str, dict]
 
     ``attempt`` gives something with ``test_score`` and ``gap``. An attempt is kept when it
     holds 95 % of the best test score so far and narrows the gap; without one, the mildest.
+    A level that cannot be fitted is noted in ``failed`` and passed over.
     """
-    best, best_score, narrowest, tried = None, test_score, gap, []
+    best, best_score, narrowest, tried, failed = None, test_score, gap, [], []
     for name, hyperparams in levels:
-        result = attempt(name, hyperparams)
+        try:
+            result = attempt(name, hyperparams)
+        except (ValueError, ArithmeticError, PySparkException, Py4JError) as error:
+            failed.append((name, str(error)[:200]))
+            continue
         tried.append((name, result))
         if result.test_score >= best_score * KEPT_SHARE and result.gap < narrowest:
             best, best_score, narrowest = result, result.test_score, result.gap
@@ -679,7 +690,7 @@ def walk_levels(test_score: float, gap: float, levels: Sequence[tuple[str, dict]
             break
     chosen = best if best is not None else (tried[0][1] if tried else None)
     resolved = chosen is not None and chosen.gap < RESOLVED_FOR_USER
-    return Regularized(tuple(tried), chosen, best is not None, resolved)
+    return Regularized(tuple(tried), chosen, best is not None, resolved, tuple(failed))
 
 
 def auto_regularize(result: TrainResult, levels: Sequence[tuple[str, dict]] | None = None) -> Regularized:

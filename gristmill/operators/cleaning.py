@@ -182,8 +182,8 @@ def type_recommendations(df: DataFrame, threshold: float = 0.8) -> DataFrame:
         if dtype == "str":
             terms += [F.count(c).alias(f"n{i}"), F.count_if(looks_numeric(F.trim(c))).alias(f"k{i}")]
             share = F.try_divide(F.col(f"k{i}").cast("double"), F.col(f"n{i}").cast("double"))
-            reason = F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("% of values are numeric"))
-            advice.append(_advice(i, field.name, dtype, "f64", reason, F.coalesce(share > threshold, F.lit(False))))
+            fits = F.coalesce(share > threshold, F.lit(False))
+            advice.append(_advice(i, field.name, dtype, "f64", "numeric_text", F.round(share, 4), fits))
         elif dtype in bool_like:
             terms += [
                 F.count_if(c == 0).alias(f"z{i}"),
@@ -192,22 +192,23 @@ def type_recommendations(df: DataFrame, threshold: float = 0.8) -> DataFrame:
             ]
             zeros, ones, rows = F.col(f"z{i}"), F.col(f"o{i}"), F.col(f"n{i}")
             fits = (zeros > 0) & (ones > 0) & (zeros + ones == rows)
-            advice.append(_advice(i, field.name, dtype, "bool", F.lit("Column contains only 0 and 1"), fits))
+            advice.append(_advice(i, field.name, dtype, "bool", "only_0_and_1", F.lit(1.0), fits))
     if not advice:
         return df.sparkSession.createDataFrame([], ADVICE_SCHEMA)
     rows = df.agg(*terms).select(F.inline(F.array(*advice)))
-    return rows.where("fits").select("column", "current_type", "recommended_type", "reason")
+    return rows.where("fits").select("column", "current_type", "recommended_type", "reason", "share")
 
 
-ADVICE_SCHEMA = "column string, current_type string, recommended_type string, reason string"
+ADVICE_SCHEMA = "column string, current_type string, recommended_type string, reason string, share double"
 
 
-def _advice(i: int, name: str, current: str, wanted: str, reason: Column, fits: Column) -> Column:
+def _advice(i: int, name: str, current: str, wanted: str, reason: str, share: Column, fits: Column) -> Column:
     return F.struct(
         F.lit(i).alias("ord"),
         F.lit(name).alias("column"),
         F.lit(current).alias("current_type"),
         F.lit(wanted).alias("recommended_type"),
-        reason.alias("reason"),
+        F.lit(reason).alias("reason"),
+        share.alias("share"),
         fits.alias("fits"),
     )

@@ -35,6 +35,8 @@ SORT_KEY = "__sort_key"
 TASK_ROWS = 200_000
 # Above this, a bucket that is also far larger than the others counts as hot.
 HOT_ROWS = 5_000_000
+# Tables of at most this many groups, with a few numbers for each, are handed to all tasks.
+FEW_GROUPS = 10_000
 # More percentiles than this are grouped by column name, not columns of one aggregation.
 WIDE_COLUMNS = 15
 
@@ -58,6 +60,14 @@ class Bucketed:
         return F.element_at(long_array(self.starts), F.col(BUCKET) + 1)
 
 
+def match_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns where NULL is a group like any other; the columns of `by` come from the left."""
+    renamed = {name: f"__match_{i}" for i, name in enumerate(by)}
+    right = right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
+    same = [col(name).eqNullSafe(F.col(other)) for name, other in renamed.items()]
+    return left.join(right, same, how).drop(*renamed.values())
+
+
 def bucket_by_order(
     df: DataFrame,
     order_by: Sequence[str],
@@ -197,7 +207,7 @@ def running_totals(
         F.coalesce(F.sum("__rows_before").over(before), F.lit(0)).alias("__rows_before"),
         *[F.coalesce(F.sum(f"__total_before_{i}").over(before), F.lit(0)).alias(f"__total_before_{i}") for i in range(len(sums))],
     )
-    joined = cut.df.join(offsets if by else F.broadcast(offsets), parts)
+    joined = match_groups(cut.df, offsets if by else F.broadcast(offsets), parts)
     running = [(F.col(f"__total_before_{i}") + F.sum(col(s)).over(inside)).alias(f"running_{s}") for i, s in enumerate(sums)]
     place = (F.col("__rows_before") + F.count(F.lit(1)).over(inside) - 1).alias(index)
     return joined.select(*named(df.columns), *running, place)
@@ -212,7 +222,7 @@ def group_quantiles(
     accuracy: int = 10_000,
     **options,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row per (non-NULL) group with ``n`` and array ``q``.
+    """Exact linearly interpolated quantiles: one row per group, NULL included, with ``n`` and array ``q``.
 
     Spark's own ``percentile`` keeps the distinct values of a group in one task, so it serves
     only groups of a checked size. For larger ones, approximate quantiles a little to each
@@ -241,7 +251,9 @@ def _enclosed_quantiles(rows: DataFrame, probs: Sequence[float], by: Sequence[st
         bounds = F.percentile_approx("__v", ends, accuracy)
     cuts = rows.groupBy(*groups).agg(F.count("*").alias("n"), bounds.alias("__cuts"))
     if by:
-        bounded = rows.join(cuts, list(by))
+        # One row per group. The rows of few groups stay where they are, however many a group has.
+        cuts = cut_lineage(cuts)
+        bounded = match_groups(rows, F.broadcast(cuts) if cuts.count() <= FEW_GROUPS else cuts, by)
     else:
         row = cuts.first()
         bounded = rows.withColumn("n", F.lit(row.n)).withColumn("__cuts", double_array(row["__cuts"]))
@@ -265,7 +277,7 @@ def _enclosed_quantiles(rows: DataFrame, probs: Sequence[float], by: Sequence[st
 
     part = place - F.floor(place)
     read = (
-        below.join(ranked, [*by, "__probe"], "left")
+        match_groups(below, ranked, [*by, "__probe"], "left")
         .groupBy(*groups, "n", "__probe", "__p")
         .agg(at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"))
         .select(*groups, "n", "__probe", (F.col("__lo") * (1 - part) + F.col("__hi") * part).alias("__q"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import (
+    epoch_seconds,
     NUMBER_PATTERN,
     col,
     is_numeric,
@@ -67,6 +68,9 @@ def _converted(df: DataFrame, name: str, target: str) -> Column:
     c, dtype = col(name), df.schema[name].dataType
     if isinstance(dtype, T.StringType) and target in ("double", "bigint"):
         return F.when(looks_numeric(c), c.try_cast(target))
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) and target in ("double", "bigint"):
+        seconds = epoch_seconds(df, name)
+        return seconds if target == "double" else F.floor(seconds)
     if isinstance(dtype, T.NumericType) and target == "boolean":
         return c != 0
     return c.try_cast(target)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import NUMBER_PATTERN
 from ..operators import charts, cleaning, features, profiling, shape
+from ..operators.ordering import group_quantiles
 from ..operators.recipe import Recipe, steps_from_json, replay
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as sources
@@ -81,6 +82,36 @@ def load_csv_orders(spark, folder):
     return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+# Whole numbers first; fractions, large numbers and words only in the last rows of the file.
+LATE_RULES = {
+    "o_orderkey": "o_orderkey",
+    "fraction": "CASE WHEN o_orderkey > (SELECT max(o_orderkey) FROM orders) - 20 THEN o_orderkey + 5e-1 ELSE o_orderkey END",
+    "large": "CASE WHEN o_orderkey > (SELECT max(o_orderkey) FROM orders) - 20 THEN 9999999999 + o_orderkey ELSE o_orderkey END",
+    "word": "CASE WHEN o_orderkey > (SELECT max(o_orderkey) FROM orders) - 20 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END",
+}
+
+
+def load_csv_late_types(spark, folder):
+    path, orders = _scratch(spark) + "/late_csv", table(spark, folder, "orders")
+    latest = orders.agg(F.max("o_orderkey")).first()[0]
+    late = orders.selectExpr(*[f"{r.replace('(SELECT max(o_orderkey) FROM orders)', str(latest))} AS {n}" for n, r in LATE_RULES.items()])
+    late.orderBy("o_orderkey").write.option("header", True).csv(path)
+    return sources.load_csv(spark, path).select("o_orderkey", "fraction", F.col("large").cast("bigint").alias("large"), "word")
+
+
+def cast_timestamp(spark, folder):
+    df = events(spark, folder, "event_id", "ts").withColumn("whole", F.col("ts"))
+    cast = shape.cast_columns(df, {"ts": "f64", "whole": "i64"})
+    return cast.select("event_id", F.round("ts", 3).alias("ts"), "whole")
+
+
+def quantiles_by_nullable_group(spark, folder):
+    """Exact quartiles per event type, one of them missing, by the way of large groups."""
+    df = events(spark, folder, "type_n", "value")
+    found = group_quantiles(df, F.col("value"), [0.25, 0.5, 0.75], ["type_n"], in_memory_rows=0)
+    return found.select("type_n", "n", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the checkpoint folder, which all executors can reach."""
     return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
@@ -360,10 +391,10 @@ b AS (
       for c, d in (('event_id', 'i64'), ('flag01', 'i32'), ('flag01_n', 'i32'), ('value', 'f64')))}
 )
 SELECT "column", 'str' AS current_type, 'f64' AS recommended_type,
-       CAST(CAST(round(k * 100.0 / n) AS INTEGER) AS VARCHAR) || '% of values are numeric' AS reason
+       'numeric_text' AS reason, round(CAST(k AS DOUBLE) / n, 4) AS share
 FROM t WHERE k * 1.0 / n > 0.8
 UNION ALL
-SELECT "column", current_type, 'bool', 'Column contains only 0 and 1' FROM b WHERE u = 2 AND lo = 0 AND hi = 1
+SELECT "column", current_type, 'bool', 'only_0_and_1', CAST(1 AS DOUBLE) FROM b WHERE u = 2 AND lo = 0 AND hi = 1
 """
 
 CORRELATION_SQL = "WITH e AS {source} " + "SELECT col_a, col_b, round(r, 6) AS r FROM ({pairs})"
@@ -465,6 +496,21 @@ DATA_QUERIES = {
         load_csv_orders,
         "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus",
     ),
+    "load_csv_late_types": (
+        load_csv_late_types,
+        "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(fraction AS DOUBLE) AS fraction, CAST(large AS BIGINT) AS large, word FROM (SELECT "
+        + ", ".join(f"{rule} AS {name}" for name, rule in LATE_RULES.items())
+        + " FROM orders)",
+    ),
+    "cast_timestamp": (
+        cast_timestamp,
+        "SELECT event_id, round(epoch_us(ts) / 1e6, 3) AS ts, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS whole FROM events",
+    ),
+    "quantiles_by_nullable_group": (
+        quantiles_by_nullable_group,
+        "SELECT type_n, count(value) AS n, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, "
+        f"round(quantile_cont(value, 0.75), 6) AS q3 FROM {events_sql('type_n', 'value')} GROUP BY type_n",
+    ),
     "coerce_numeric": (
         coerce_numeric,
         f"SELECT event_id, TRY_CAST(num_text AS DOUBLE) AS num_text, num_text_low, event_type FROM {events_sql('event_id', 'num_text', 'num_text_low', 'event_type')}",

@@ -124,6 +124,15 @@ def metrics_positive_class(spark, folder):
     return metrics.classification_metrics(scored_events(spark, folder), "label", "prediction", positive=0)
 
 
+MISSING_GUESS = "CASE WHEN event_id % 5 = 0 THEN 'zz' WHEN event_id % 5 = 1 THEN NULL WHEN event_id % 5 = 2 THEN 'purchase' ELSE event_type END"
+
+
+def metrics_with_missing_labels(spark, folder):
+    """Two text classes; some labels and guesses are missing, some guesses are of a class without labels."""
+    df = events(spark, folder, "event_id", "event_type", "type_n").where("event_type IN ('click', 'purchase')")
+    return metrics.classification_metrics(df.selectExpr("type_n", f"{MISSING_GUESS} AS guess"), "type_n", "guess")
+
+
 def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(guessed_types(spark, folder), "event_type", "guess")
 
@@ -332,6 +341,16 @@ FROM (SELECT *, row_number() OVER (ORDER BY avg_importance DESC, feature) AS ord
 
 _MEDIAN_SQL = "(SELECT quantile_cont({c}, 0.5) FROM e WHERE isfinite({c}))"
 
+_MISSING_SQL = f"""
+WITH e AS (SELECT type_n AS a, {MISSING_GUESS} AS p FROM {events_sql('event_id', 'event_type', 'type_n')}
+           WHERE event_type IN ('click', 'purchase') AND type_n IS NOT NULL),
+m AS (SELECT max(a) AS c FROM e),
+k AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = p) AS hits, count(*) FILTER (WHERE a = c) AS support,
+             count(*) FILTER (WHERE p = c) AS claimed, count(*) FILTER (WHERE a = c AND p = c) AS tp FROM e, m)
+SELECT n AS rows, round(CAST(hits AS DOUBLE) / n, 4) AS accuracy, round(CAST(tp AS DOUBLE) / claimed, 4) AS precision,
+       round(CAST(tp AS DOUBLE) / support, 4) AS recall, round(2e0 * tp / (claimed + support), 4) AS f1 FROM k
+"""
+
 MODEL_QUERIES = {
     "label_encode": (
         label_encode,
@@ -393,6 +412,7 @@ MODEL_QUERIES = {
     "classification_metrics": (classification_metrics, _WEIGHTED_SQL),
     "classification_metrics_binary": (classification_metrics_binary, _binary_sql(1)),
     "metrics_positive_class": (metrics_positive_class, _binary_sql(0)),
+    "metrics_with_missing_labels": (metrics_with_missing_labels, _MISSING_SQL),
     "confusion_matrix": (
         confusion_matrix,
         f"WITH e AS (SELECT event_type AS a, {GUESS_RULE} AS p FROM events), k AS (SELECT a AS c FROM e UNION SELECT p FROM e) "

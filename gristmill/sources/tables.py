@@ -14,8 +14,6 @@ from ..functions.expressions import col, require_columns
 # Separators looked for, earlier ones winning ties.
 SEPARATORS = (",", "\t", ";", "|")
 
-INFER_ROWS = 10_000
-
 
 def detect_separator(header: str) -> str:
     """The candidate that occurs most often in the header line; a comma when none does."""
@@ -27,13 +25,12 @@ def load_csv(
     path: str,
     sep: str | None = None,
     schema: T.StructType | str | None = None,
-    infer_rows: int = INFER_ROWS,
 ) -> DataFrame:
     """Delimited text with a header row.
 
-    Types come from ``schema``, or are inferred from the first rows, so the file is read
-    once at full size, not twice. A later value that does not fit its inferred type is
-    read as NULL. Tables without rows or columns are an error.
+    Types come from ``schema``, or from all rows, which Spark reads in one more distributed pass: a
+    column has the narrowest type that every value fits, text at last, so no value is lost. With
+    a ``schema``, a value that does not fit is read as NULL. Tables without rows or columns are an error.
     """
     if sep is None:
         first = spark.read.text(path).first()
@@ -41,10 +38,7 @@ def load_csv(
             raise ValueError(f"{path} is empty")
         sep = detect_separator(first[0])
     options = {"header": True, "sep": sep, "mode": "PERMISSIVE"}
-    if schema is None:
-        head = [r[0] for r in spark.read.text(path).limit(infer_rows + 1).collect()]
-        schema = spark.read.csv(spark.sparkContext.parallelize(head, 1), header=True, sep=sep, inferSchema=True).schema
-    df = spark.read.csv(path, schema=schema, **options)
+    df = spark.read.csv(path, schema=schema, inferSchema=schema is None, **options)
     if not df.columns:
         raise ValueError(f"{path} has no columns")
     if df.isEmpty():

@@ -127,3 +127,30 @@ def test_deep_page_equals_shallow_page(spark, monkeypatch):
     assert [r.id for r in shape.table_page(df, ["id"], 120, 15).collect()] == shallow == list(range(120, 135))
     assert shape.table_page(df, ["id"], 295, 100).count() == 5
     assert shape.table_page(df, ["id"], 900, 10).count() == 0
+
+
+def test_missing_groups_on_both_sides_of_each_threshold(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN concat('g', id % 3) END AS g", "CAST(id % 101 AS DOUBLE) AS v", "id")
+    small = ordering.group_quantiles(df, F.col("v"), [0.25, 0.9], ["g"])
+    large = ordering.group_quantiles(df, F.col("v"), [0.25, 0.9], ["g"], in_memory_rows=0, task_rows=10)
+    rows = {(r.g, r.n, *r.q) for r in small.collect()}
+    assert len(rows) == 3 and rows == {(r.g, r.n, *r.q) for r in large.collect()}
+    one, many = (
+        {(r.g, r.id, r.position, r.running_v) for r in ordering.running_totals(df, "id", ["v"], ["g"], task_rows=n).collect()}
+        for n in (10_000, 10)
+    )
+    assert len(one) == 3000 and one == many
+
+
+def test_large_groups_stay_in_place(spark):
+    """The rows are not exchanged by group, however Spark is set."""
+    df = spark.range(3000).selectExpr("concat('g', id % 3) AS g", "CAST(id AS DOUBLE) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cuts = df.groupBy("g").agg(F.max("v").alias("top"))
+        plan = ordering.match_groups(df, F.broadcast(cuts), ["g"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert ordering.group_quantiles(df, F.col("v"), [0.5], ["g"], in_memory_rows=0).count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
