@@ -379,7 +379,7 @@ def test_ward_of_many_clusters(spark):
 
 def test_metrics_without_some_labels(spark):
     rows = [("a", "a"), ("a", "b"), ("b", "b"), ("b", None), (None, "b"), (None, None), ("b", "c")]
-    r = M.classification_metrics(spark.createDataFrame(rows, "y string, p string"), "y", "p").first()
+    r = metrics.classification_metrics(spark.createDataFrame(rows, "y string, p string"), "y", "p").first()
     assert (r.rows, r.accuracy, r.precision, r.recall) == (5, 0.4, 0.5, round(1 / 3, 4))
 
 
