@@ -15,14 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, written
+from .common import keyed_texts, row_tuples, small_batches, written
 
 WORD_MARK = "▁"
-# Pre-tokens that make up at least 1/HEAD_SHARE of all pre-tokens are counted inside the tasks that
-# read the texts. There are at most HEAD_SHARE of them, whatever the input.
-HEAD_SHARE = 1 << 18
+# This many pre-tokens at most, the most frequent ones, are added up inside the tasks that read the
+# texts. All others are joined, so the number decides only how many rows are exchanged.
+HEAD = 1 << 18
 # Distinct pre-tokens that a task holds before it passes its sums on.
-HELD = 400_000
+HELD = 250_000
 
 _SEEN = pa.schema([("pre", pa.string()), ("seen", pa.int64())])
 _PIECES = pa.schema([("pre", pa.string()), ("seen", pa.int64()), ("pieces", pa.int64())])
@@ -70,8 +70,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
         distinct.mapInArrow(_piece_counter(model_path), "pre string, seen long, pieces long"), "piece-counts"
     )
 
-    total = pieces.agg(F.sum("seen")).first()[0] or 0
-    is_head = F.col("seen") * HEAD_SHARE >= total
+    is_head = F.col("seen") >= _head_threshold(pieces)
     head = pieces.where(is_head).select("pre", "pieces").toArrow()
     known = texts.sparkSession.sparkContext.broadcast(dict(zip(*[c.to_pylist() for c in head.columns])))
 
@@ -84,14 +83,27 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def _head_threshold(pieces: DataFrame) -> int:
+    """The least number of occurrences that at most HEAD pre-tokens reach, to the next step of a tenth."""
+    step = F.floor(F.log(F.col("seen").cast("double")) / F.log(F.lit(1.1))).cast("int")
+    # A few hundred rows: one per step.
+    steps = pieces.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("least"))
+    reached, threshold = 0, 1 << 62
+    for row in steps.orderBy(F.desc("step")).collect():
+        reached += row["n"]
+        if reached > HEAD:
+            break
+        threshold = row["least"]
+    return threshold
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(pre_tokens(text))
-            if len(counts) > HELD:
-                yield pa.record_batch([list(counts), list(counts.values())], schema=_SEEN)
-                counts = Counter()
+    for (text,) in row_tuples(batches):
+        counts.update(pre_tokens(text))
+        if len(counts) > HELD:
+            yield pa.record_batch([list(counts), list(counts.values())], schema=_SEEN)
+            counts = Counter()
     yield pa.record_batch([list(counts), list(counts.values())], schema=_SEEN)
 
 
@@ -118,7 +130,7 @@ def _part_maker(known):
     def parts(batches):
         pieces = known.value
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, ids, sizes, pres, times, sums = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys = pre_tokens(text)
@@ -139,9 +151,6 @@ def _part_maker(known):
                 sums.append(sum(found))
                 sums += [0] * (n - 1)
                 row += 1
-                if len(rows) > 200_000:
-                    yield pa.record_batch([rows, ids, sizes, pres, times, sums], schema=_PARTS)
-                    rows, ids, sizes, pres, times, sums = [], [], [], [], [], []
             yield pa.record_batch([rows, ids, sizes, pres, times, sums], schema=_PARTS)
 
     return parts
