@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 
-from .common import join_without_hot_keys, written
+from .common import join_without_hot_keys, small_batches, written
 
 
 class SecretRule(NamedTuple):
@@ -145,7 +145,7 @@ def _scanner(rules: tuple[SecretRule, ...], version: str):
     base = [r.kind for r in BASE_RULES]
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = spans(text, rules)
