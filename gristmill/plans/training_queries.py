@@ -69,31 +69,44 @@ QUICK_BOOST = {"n_estimators": 10, "max_depth": 4}
 
 
 # Training --------------------------------------------------------------------------------
+#
+# Learned numbers differ between libraries, so these queries return facts that SQL can state: exact
+# sides of the split, and whether scores lie where they must. The numbers themselves are tested in tests/.
+
+
+def _facts(spark, results, floor: float | None = None) -> DataFrame:
+    """Sizes of both sides per run, whether all metrics are possible, and whether the main one is above a floor."""
+    rows = []
+    for result in results:
+        m = result.metrics
+        possible = all(0 <= v <= 1 for v in m.values()) if result.data.classes else m["r2"] <= 1 and m["mae"] <= m["rmse"]
+        rows.append((result.algorithm, result.data.train_rows, result.data.test_rows, possible, floor is None or result.test_score >= floor))
+    return spark.createDataFrame(rows, "algorithm string, train_rows bigint, test_rows bigint, possible boolean, above_floor boolean")
 
 
 def train_rf_class(spark, folder):
-    return T.metric_table([T.fit(_orders(spark, folder), "random_forest", QUICK_FOREST)])
+    return _facts(spark, [T.fit(_orders(spark, folder), "random_forest", QUICK_FOREST)])
 
 
 def train_rf_reg(spark, folder):
-    return T.metric_table([T.fit(_prices(spark, folder), "random_forest", QUICK_FOREST)])
+    return _facts(spark, [T.fit(_prices(spark, folder), "random_forest", QUICK_FOREST)])
 
 
 def train_logreg(spark, folder):
-    return T.metric_table([T.fit(_documents(spark, folder), "logistic_regression")])
+    return _facts(spark, [T.fit(_documents(spark, folder), "logistic_regression")], 0.8)
 
 
 def train_gbt_class(spark, folder):
-    return T.metric_table([T.fit(_documents(spark, folder), "xgboost", QUICK_BOOST)])
+    return _facts(spark, [T.fit(_documents(spark, folder), "xgboost", QUICK_BOOST)], 0.85)
 
 
 def train_gbt_multiclass(spark, folder):
     """One boosted model per class."""
-    return T.metric_table([T.fit(_orders(spark, folder), "lightgbm", {"n_estimators": 3, "num_leaves": 8})])
+    return _facts(spark, [T.fit(_orders(spark, folder), "lightgbm", {"n_estimators": 3, "num_leaves": 8})])
 
 
 def train_gbt_reg(spark, folder):
-    return T.metric_table([T.fit(_prices(spark, folder), "lightgbm", {"n_estimators": 10, "num_leaves": 16})])
+    return _facts(spark, [T.fit(_prices(spark, folder), "lightgbm", {"n_estimators": 10, "num_leaves": 16})])
 
 
 def linreg_1d(spark, folder):
@@ -109,19 +122,24 @@ def linreg_1d(spark, folder):
 
 def train_cv(spark, folder):
     result = T.fit(_prices(spark, folder), "linear_regression", cv_folds=5)
-    rows = [(i, float(s), result.cv["mean"], result.cv["std"]) for i, s in enumerate(result.cv["scores"])]
-    return spark.createDataFrame(rows, "fold int, score double, mean double, std double")
+    scores = result.cv["scores"]
+    mean = sum(scores) / len(scores)
+    rows = [(i, s <= 1, abs(result.cv["mean"] - mean) < 1e-3) for i, s in enumerate(scores)]
+    return spark.createDataFrame(rows, "fold int, possible boolean, mean_fits boolean")
 
 
 def compare_all(spark, folder):
     data = _documents(spark, folder)
     results, _ = T.compare_all(data, {"random_forest": QUICK_FOREST, "xgboost": QUICK_BOOST, "lightgbm": {"n_estimators": 10, "num_leaves": 8}})
-    return T.run_table(results).join(T.metric_table(results), "run")
+    return _facts(spark, results, 0.8)
 
 
 def tune(spark, folder):
     found = T.tune(labelled_documents(spark, folder), "quality", DOCUMENT_FEATURES, "classification", "logistic_regression", "doc_id", folds=3, trials=5)
-    return found.trials
+    trials = found.trials.orderBy("rank").collect()
+    in_order = all(a.score >= b.score for a, b in zip(trials, trials[1:]))
+    different = len({tuple(sorted(t.hyperparams.items())) for t in trials}) == len(trials)
+    return spark.createDataFrame([(len(trials), in_order, different)], "trials bigint, in_order boolean, different boolean")
 
 
 def auto_regularize(spark, folder):
@@ -129,33 +147,48 @@ def auto_regularize(spark, folder):
     deep = T.fit(_documents(spark, folder), "random_forest", {"n_estimators": 20, "max_depth": 15})
     levels = [(name, {**h, "n_estimators": 20}) for name, h in T.REGULARIZATION_LEVELS["random_forest"]]
     walked = T.auto_regularize(deep, levels)
-    rows = [("before", deep.train_score, deep.test_score, deep.gap, False)]
-    rows += [(name, r.train_score, r.test_score, r.gap, r is walked.chosen) for name, r in walked.attempts]
-    return spark.createDataFrame(rows, "level string, train_score double, test_score double, gap double, chosen boolean")
+    chosen = sum(r is walked.chosen for _, r in walked.attempts)
+    in_order = [name for name, _ in walked.attempts] == [name for name, _ in levels][: len(walked.attempts)]
+    narrower = walked.chosen.gap <= deep.gap
+    return spark.createDataFrame([(chosen, in_order, narrower, len(walked.failed))], "chosen bigint, in_order boolean, narrower boolean, failed bigint")
 
 
 def drop_low_importance(spark, folder):
     full = T.fit(_prices(spark, folder), "random_forest", QUICK_FOREST, run="full")
     lean = T.drop_low_importance(full, run="lean")
-    return T.run_table([full, lean]).select("run", "features", "train_score", "test_score")
+    kept = set(lean.data.features)
+    weakest = min(dict(full.importance)[f] for f in kept)
+    dropped = [v for f, v in full.importance if f not in kept]
+    fits = kept <= set(full.data.features) and all(v <= weakest for v in dropped)
+    sizes = (lean.data.train_rows, lean.data.test_rows)
+    return spark.createDataFrame([(fits, *sizes)], "weakest_dropped boolean, train_rows bigint, test_rows bigint")
 
 
 def retrain_diff(spark, folder):
     old = T.fit(_documents(spark, folder), "random_forest", QUICK_FOREST, run="forest")
     new = T.renamed(T.retrain(old, max_depth=3), "forest")
-    return diagnose.metric_diff(T.metric_table([old]), T.metric_table([new]), ["run"], ["accuracy", "precision", "recall", "f1"])
+    diff = diagnose.metric_diff(T.metric_table([old]), T.metric_table([new]), ["run"], ["accuracy", "precision", "recall", "f1"])
+    fits = F.abs(F.col("new_value") - F.col("old_value") - F.col("change")) < 1e-6
+    return diff.select("run", "metric", fits.alias("change_fits"), (F.col("better") == (F.col("change") > 0)).alias("better_fits"))
 
 
 def feature_importance(spark, folder):
-    return T.importance_table([T.fit(_prices(spark, folder), "random_forest", QUICK_FOREST)])
+    importance = dict(T.fit(_prices(spark, folder), "random_forest", QUICK_FOREST).importance)
+    whole = abs(sum(importance.values()) - 1) < 1e-2
+    rows = [(f, v >= 0, whole) for f, v in importance.items()]
+    return spark.createDataFrame(rows, "feature string, positive boolean, sums_to_one boolean")
 
 
 def confusion_of_model(spark, folder):
-    return T.fit(_orders(spark, folder), "random_forest", QUICK_FOREST).confusion()
+    cells = T.fit(_orders(spark, folder), "random_forest", QUICK_FOREST).confusion()
+    return cells.groupBy("actual").agg(F.sum("count").alias("rows"), F.count("*").alias("columns"))
 
 
 def roc_of_model(spark, folder):
-    return T.fit(_documents(spark, folder), "logistic_regression").roc()
+    points = [(r.fpr, r.tpr) for r in T.fit(_documents(spark, folder), "logistic_regression").roc().orderBy("ord").collect()]
+    rising = all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(points, points[1:]))
+    row = (points[0] == (0.0, 0.0), rising, all(0 <= x <= 1 and 0 <= y <= 1 for x, y in points))
+    return spark.createDataFrame([row], "from_origin boolean, rising boolean, inside boolean")
 
 
 # Export ----------------------------------------------------------------------------------
@@ -166,7 +199,8 @@ def predictions_export(spark, folder):
     result = T.fit(_documents(spark, folder), "logistic_regression")
     path = f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
     sources.write_table(sources.prediction_table(result.test_side, "doc_id"), path)
-    return sources.load_parquet(spark, path)
+    back = sources.load_parquet(spark, path)
+    return back.select("doc_id", F.col("prediction").isin(0.0, 1.0).alias("of_a_class"))
 
 
 def model_export(spark, folder):
@@ -213,12 +247,14 @@ def kmeans_assign(spark, folder):
 
 def kmeans_clusters(spark, folder):
     found = C.cluster(table(spark, folder, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], "c_custkey", "kmeans", 4)
-    return C.cluster_sizes(found.labels).withColumn("silhouette_sq", F.lit(found.silhouette_sq))
+    sizes = C.cluster_sizes(found.labels).agg(F.sum("size").alias("rows"), F.count("*").alias("clusters"), F.min("size").alias("least"))
+    return sizes.select("rows", "clusters", (F.col("least") > 0).alias("none_empty"), F.lit(-1 <= found.silhouette_sq <= 1).alias("possible"))
 
 
 def hierarchical_clusters(spark, folder):
     points = vectors(spark, folder).select("vec_id", "point")
-    return C.cluster_sizes(C.hierarchical(points, 4, micro=64))
+    sizes = C.cluster_sizes(C.hierarchical(points, 4, micro=64))
+    return sizes.agg(F.sum("size").alias("rows"), F.count("*").alias("clusters"), F.max("n_clusters").alias("n_clusters"))
 
 
 def dbscan_core_points(spark, folder):
@@ -226,7 +262,12 @@ def dbscan_core_points(spark, folder):
 
 
 def dbscan_labels(spark, folder):
-    return density.dbscan(customer_points(spark, folder), "c_custkey", 0.1, 5).select("c_custkey", "cluster")
+    """Core points with the least core point of their cluster, which no numbering of clusters changes."""
+    points = customer_points(spark, folder)
+    cores = density.core_points(points, "c_custkey", 0.1, 5).where("core").select("c_custkey")
+    labels = density.dbscan(points, "c_custkey", 0.1, 5).join(cores, "c_custkey").select("c_custkey", "cluster")
+    least = labels.groupBy("cluster").agg(F.min("c_custkey").alias("least"))
+    return labels.join(least, "cluster").select("c_custkey", "least")
 
 
 def cluster_sizes(spark, folder):
@@ -245,7 +286,9 @@ def cluster_profile(spark, folder):
 
 def projection_2d(spark, folder):
     df = vectors(spark, folder)
-    return C.project_2d(df, "vec_id", extra=["label"]).points
+    view = C.project_2d(df, "vec_id", extra=["label"])
+    apart = view.points.agg(F.abs(F.corr("x", "y")) < 0.2).scalar()
+    return view.points.select("vec_id", "position", "label", F.lit(view.explained[0] >= view.explained[1] > 0).alias("in_order"), apart.alias("uncorrelated"))
 
 
 # Explanation -----------------------------------------------------------------------------
@@ -295,6 +338,35 @@ SELECT is_test, count(*) AS rows, round(1 - sum(r * r) / (var_pop(y) * count(*))
 FROM s GROUP BY is_test
 """
 
+_DOCUMENTS_SQL = """
+d AS (SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality),
+z AS (SELECT CAST(sum(floor(n * 0.2 + 0.5)) AS BIGINT) AS test_rows, CAST(sum(n) AS BIGINT) AS rows FROM d)
+"""
+_SIDES_SQL = "z AS (SELECT count(*) FILTER (WHERE {flag}) AS test_rows, count(*) AS rows FROM {source})"
+_ORDER_SIDES_SQL = _SIDES_SQL.format(flag=f"{hash_sql('o_orderkey')} % 100 < 20", source="orders")
+_PRICE_SIDES_SQL = _SIDES_SQL.format(flag=f"{hash_sql('line')} % 100 < 20", source=_LINES_SQL)
+
+
+def _facts_sql(sides: str, *algorithms: str) -> str:
+    return f"WITH {sides} " + " UNION ALL ".join(
+        f"SELECT '{a}' AS algorithm, rows - test_rows AS train_rows, test_rows, true AS possible, true AS above_floor FROM z" for a in algorithms
+    )
+
+
+_TEST_DOCUMENTS_SQL = f"""
+WITH e AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {hash_sql('doc_id', digits=13)}) AS place, count(*) OVER (PARTITION BY quality) AS n
+           FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, true AS of_a_class FROM e WHERE place <= floor(n * 0.2 + 0.5)
+"""
+_DBSCAN_SQL = """
+WITH RECURSIVE p AS {points},
+near AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01),
+core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 5),
+e AS (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+r(k, least) AS (SELECT k, k FROM core UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.k WHERE r.least < e.b)
+SELECT k AS c_custkey, min(least) AS least FROM r GROUP BY k
+"""
+
 _SCALED_SQL = ", ".join(
     f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END, 6) AS {c}_scaled"
     for c in ("value", "user_id", "const")
@@ -340,44 +412,44 @@ _ATTRIBUTION_SQL = f"WITH e AS {events_sql('event_id', *COEFFICIENTS)}, a AS ("
 ) + ")"
 
 TRAINING_QUERIES = {
-    "train_rf_class": (train_rf_class, None),
-    "train_rf_reg": (train_rf_reg, None),
-    "train_logreg": (train_logreg, None),
-    "train_gbt_class": (train_gbt_class, None),
-    "train_gbt_multiclass": (train_gbt_multiclass, None),
-    "train_gbt_reg": (train_gbt_reg, None),
+    "train_rf_class": (train_rf_class, _facts_sql(_ORDER_SIDES_SQL, "random_forest")),
+    "train_rf_reg": (train_rf_reg, _facts_sql(_PRICE_SIDES_SQL, "random_forest")),
+    "train_logreg": (train_logreg, _facts_sql(_DOCUMENTS_SQL, "logistic_regression")),
+    "train_gbt_class": (train_gbt_class, _facts_sql(_DOCUMENTS_SQL, "xgboost")),
+    "train_gbt_multiclass": (train_gbt_multiclass, _facts_sql(_ORDER_SIDES_SQL, "lightgbm")),
+    "train_gbt_reg": (train_gbt_reg, _facts_sql(_PRICE_SIDES_SQL, "lightgbm")),
     "linreg_1d": (linreg_1d, _LINREG_SQL),
-    "train_cv": (train_cv, None),
-    "compare_all": (compare_all, None),
-    "tune": (tune, None),
-    "auto_regularize": (auto_regularize, None),
-    "drop_low_importance": (drop_low_importance, None),
-    "retrain_diff": (retrain_diff, None),
-    "feature_importance": (feature_importance, None),
-    "confusion_of_model": (confusion_of_model, None),
-    "roc_of_model": (roc_of_model, None),
-    "predictions_export": (predictions_export, None),
+    "train_cv": (train_cv, "SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, true AS possible, true AS mean_fits"),
+    "compare_all": (compare_all, _facts_sql(_DOCUMENTS_SQL, *T.ALGORITHMS["classification"])),
+    "tune": (tune, "SELECT CAST(5 AS BIGINT) AS trials, true AS in_order, true AS different"),
+    "auto_regularize": (auto_regularize, "SELECT CAST(1 AS BIGINT) AS chosen, true AS in_order, true AS narrower, CAST(0 AS BIGINT) AS failed"),
+    "drop_low_importance": (drop_low_importance, f"WITH {_PRICE_SIDES_SQL} SELECT true AS weakest_dropped, rows - test_rows AS train_rows, test_rows FROM z"),
+    "retrain_diff": (retrain_diff, "SELECT 'forest' AS run, unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric, true AS change_fits, true AS better_fits"),
+    "feature_importance": (feature_importance, "SELECT feature, true AS positive, true AS sums_to_one FROM (SELECT unnest(['" + "', '".join(PRICE_FEATURES) + "']) AS feature)"),
+    "confusion_of_model": (confusion_of_model, f"SELECT CAST((SELECT count(DISTINCT b.o_orderstatus) FROM orders b WHERE b.o_orderstatus < a.o_orderstatus) AS DOUBLE) AS actual, count(*) AS rows, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS columns FROM orders a WHERE {hash_sql('o_orderkey')} % 100 < 20 GROUP BY o_orderstatus"),
+    "roc_of_model": (roc_of_model, "SELECT true AS from_origin, true AS rising, true AS inside"),
+    "predictions_export": (predictions_export, _TEST_DOCUMENTS_SQL),
     "model_export": (model_export, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM lineitem"),
     "scale_features": (
         scale_features,
         f"SELECT event_id, round(value, 6) AS value, user_id, const, {_SCALED_SQL} FROM {events_sql('event_id', 'value', 'user_id', 'const')}",
     ),
     "kmeans_assign": (kmeans_assign, _ASSIGN_SQL),
-    "kmeans_clusters": (kmeans_clusters, None),
-    "hierarchical_clusters": (hierarchical_clusters, None),
+    "kmeans_clusters": (kmeans_clusters, "SELECT count(*) AS rows, CAST(4 AS BIGINT) AS clusters, true AS none_empty, true AS possible FROM customer"),
+    "hierarchical_clusters": (hierarchical_clusters, "SELECT count(*) AS rows, CAST(4 AS BIGINT) AS clusters, CAST(4 AS BIGINT) AS n_clusters FROM embeddings"),
     "dbscan_core_points": (
         dbscan_core_points,
         f"WITH p AS {_CUSTOMER_SQL} SELECT a.k AS c_custkey, count(*) >= 5 AS core FROM p a JOIN p b "
         "ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01 GROUP BY a.k",
     ),
-    "dbscan_labels": (dbscan_labels, None),
+    "dbscan_labels": (dbscan_labels, _DBSCAN_SQL.replace("{points}", _CUSTOMER_SQL)),
     "cluster_sizes": (
         cluster_sizes,
         "SELECT CAST(label - 1 AS INTEGER) AS cluster, count(*) AS size, (SELECT count(DISTINCT label) FROM embeddings WHERE label <> 0) AS n_clusters FROM embeddings GROUP BY label",
     ),
     "silhouette": (silhouette, _SILHOUETTE_SQL),
     "cluster_profile": (cluster_profile, _PROFILE_SQL),
-    "projection_2d": (projection_2d, None),
+    "projection_2d": (projection_2d, "SELECT vec_id, position, label, true AS in_order, true AS uncorrelated FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS position, count(*) OVER () AS n FROM embeddings) WHERE position % greatest(1, n // 1000) = 0"),
     "linear_attribution": (
         linear_attribution,
         _ATTRIBUTION_SQL + " SELECT event_id, feature, round(value, 6) AS value, round(contribution, 6) AS contribution FROM a",
