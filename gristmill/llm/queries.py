@@ -17,6 +17,7 @@ from . import (
     token_files,
     url_filter,
 )
+from .check_sql import JACCARD_SQL, QUALITY_RULES_SQL, url_filter_sql
 from .common import read_table, scratch_path
 from .encoding import tokenizer_path
 
@@ -47,7 +48,8 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(read_table(spark, folder, "documents"))
+    found = jaccard_join.near_duplicates(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +66,7 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.apply_rules(read_table(spark, folder, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", "kept", "n_stop_words", "n_lines", "failed")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "n_stop_words", "n_lines")
 
 
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,9 +80,9 @@ LLM_QUERIES = {
     "op3_decontamination": (op3_decontamination, None),
     "op4_licence_scans": (op4_licence_scans, None),
     "op5_token_files": (op5_token_files, None),
-    "op6_jaccard_join": (op6_jaccard_join, None),
-    "op7_url_filter": (op7_url_filter, None),
+    "op6_jaccard_join": (op6_jaccard_join, JACCARD_SQL),
+    "op7_url_filter": (op7_url_filter, url_filter_sql(URL_RULES)),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
-    "op9_quality_rules": (op9_quality_rules, None),
+    "op9_quality_rules": (op9_quality_rules, QUALITY_RULES_SQL),
     "op10_secret_scans": (op10_secret_scans, None),
 }
