@@ -59,6 +59,11 @@ HEADLINES = (
     "linreg_1d",
     "train_rf_reg",
     "train_logreg",
+    "train_gbt_class",
+    "dbscan_labels",
+    "hierarchical_clusters",
+    "quantiles_by_nullable_group",
+    "load_csv_late_types",
 )
 
 

@@ -305,11 +305,11 @@ def linear_attribution(spark, folder):
 
 
 def top_contributions(spark, folder):
-    return rounded(explain.top_contributions(_attributions(spark, folder), "event_id", 2))
+    return rounded(explain.top_contributions(_attributions(spark, folder), "event_id", 10))
 
 
 def push_pull(spark, folder):
-    return rounded(explain.push_pull(_attributions(spark, folder), "event_id", 1))
+    return rounded(explain.push_pull(_attributions(spark, folder), "event_id", 2))
 
 
 def tree_attribution(spark, folder):
@@ -458,13 +458,13 @@ TRAINING_QUERIES = {
         top_contributions,
         _ATTRIBUTION_SQL
         + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(contribution) DESC, feature) AS rank FROM a) "
-        "SELECT event_id, feature, round(value, 6) AS value, round(contribution, 4) AS contribution, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2",
+        "SELECT event_id, feature, round(value, 6) AS value, round(contribution, 4) AS contribution, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10",
     ),
     "push_pull": (
         push_pull,
         _ATTRIBUTION_SQL
         + ", r AS (SELECT *, CASE WHEN contribution > 0 THEN 'push' ELSE 'pull' END AS direction, row_number() OVER (PARTITION BY event_id, contribution > 0 ORDER BY abs(contribution) DESC, feature) AS rank FROM a WHERE contribution <> 0) "
-        "SELECT event_id, direction, CAST(rank AS INTEGER) AS rank, feature, round(contribution, 6) AS contribution FROM r WHERE rank <= 1",
+        "SELECT event_id, direction, CAST(rank AS INTEGER) AS rank, feature, round(contribution, 6) AS contribution FROM r WHERE rank <= 2",
     ),
     "tree_attribution": (tree_attribution, None),
     "model_report": (model_report, None),
