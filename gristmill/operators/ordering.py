@@ -79,8 +79,8 @@ def bucket_by_order(
 
     The bucket is a fixed function of the first order column, taken from its approximate
     quantiles, so nothing is shuffled here. Where that column has no numeric form, or one of
-    its values holds too many rows, Spark's range exchange over all order columns is written
-    down once and its partitions are the buckets.
+    its values holds too many rows, the order columns alone go through Spark's range exchange
+    and are written down once; a row's bucket then follows from comparing it with their borders.
     """
     require_columns(df, *order_by)
     buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -106,9 +106,21 @@ def bucket_by_order(
             sizes = _bucket_sizes(placed)
             if max(sizes) <= max(hot_rows, 4 * summary.n // buckets):
                 return Bucketed(placed, sizes)
-    ranged = df.repartitionByRange(buckets, *named(order_by)).withColumn(BUCKET, F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    return Bucketed(ranged, _bucket_sizes(ranged))
+    keys = df.select(*named(order_by))
+    rows = keys.count()
+    if rows <= task_rows:
+        return Bucketed(df.withColumn(BUCKET, F.lit(0)), [rows])
+    ranged = keys.repartitionByRange(buckets, *named(order_by)).withColumn(BUCKET, F.spark_partition_id())
+    # The partition of a row is taken from the written copy, which another run of the exchange might not repeat.
+    key = F.struct(*named(order_by))
+    tops = cut_lineage(cut_lineage(ranged).groupBy(BUCKET).agg(F.max(key).alias("__top"), F.count("*").alias("n")))
+    sizes = [r.n for r in tops.orderBy(BUCKET).select("n").collect()]
+    if len(sizes) < 2:
+        return Bucketed(df.withColumn(BUCKET, F.lit(0)), sizes or [0])
+    borders = tops.agg(F.array_sort(F.collect_list("__top"))).scalar()
+    placed = df.withColumn("__borders", borders)
+    placed = placed.withColumn(BUCKET, F.size(F.filter("__borders", lambda top: top < key))).drop("__borders")
+    return Bucketed(placed, sizes)
 
 
 def _sort_key(df: DataFrame, name: str) -> Column:
