@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
     """One row (col_a, col_b, r) per pair and group, in one pass over the table.
 
     A few pairs are columns of one aggregation. Many would be too much generated code for
-    the JVM to compile, so then each row is spread over the pairs and combined per pair
-    before the exchange.
+    the JVM to compile: then blocks of rows are multiplied as matrices, and only their sums are
+    exchanged. Groups and infinite values go by pair instead: each row is spread over the
+    pairs and combined per pair before the exchange.
     """
     numbers = {c: as_double(df, c) for p in pairs for c in p}
     groups = [col(b) for b in by]
@@ -99,6 +102,14 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
             for i, (a, b) in enumerate(pairs)
         ]
         return narrow.groupBy(*groups).agg(*terms).select(*groups, F.inline(F.array(*rows)))
+    if not by:
+        names = list(numbers)
+        ends = narrow.agg(
+            *[F.avg(col(f"__{c}")).alias(f"m{i}") for i, c in enumerate(names)],
+            F.coalesce(F.max(F.greatest(*[F.abs(col(f"__{c}")) for c in names])), F.lit(0.0)).alias("top"),
+        ).first()
+        if ends.top < float("inf"):
+            return _pairs_by_blocks(narrow, names, [ends[i] or 0.0 for i in range(len(names))], pairs)
     spread = [
         f"struct({i} AS pair, {quoted(f'__{a}')} AS x, {quoted(f'__{b}')} AS y)" for i, (a, b) in enumerate(pairs)
     ]
@@ -109,6 +120,36 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
     return found.select(*groups, *names, "r")
 
 
+def _pairs_by_blocks(narrow: DataFrame, names: Sequence[str], means: Sequence[float], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson's r of all pairs from products of blocks of rows, taken around the means."""
+    center, width = np.array(means), len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            known = ~np.isnan(x)
+            x = np.where(known, x - center, 0.0)
+            known = known.astype(float)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        at = np.arange(width)
+        columns = [np.repeat(at, width), np.tile(at, width), *total.reshape(4, -1)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "n", "s", "q", "p"])
+
+    sums = narrow.select(*[col(f"__{c}") for c in names]).mapInArrow(products, "a long, b long, n double, s double, q double, p double")
+    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nsqp"])
+    wanted = [(names.index(a), names.index(b), a, b) for a, b in pairs]
+    wanted = F.broadcast(narrow.sparkSession.createDataFrame(wanted, "a long, b long, col_a string, col_b string"))
+    # The sums over b next to a, where both are known, are those of (b, a).
+    other = sums.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s").alias("t"), F.col("q").alias("u"))
+    both = sums.join(wanted, ["a", "b"]).join(other, ["a", "b"])
+    n = F.col("n")
+    varied = (F.col("q") / n - F.pow(F.col("s") / n, F.lit(2))) * (F.col("u") / n - F.pow(F.col("t") / n, F.lit(2)))
+    shared = F.col("p") / n - F.col("s") / n * F.col("t") / n
+    value = F.when((n > 1) & (varied > 0), F.greatest(F.least(shared / F.sqrt(varied), F.lit(1.0)), F.lit(-1.0)))
+    return both.select("col_a", "col_b", F.coalesce(value, F.lit(0.0)).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The full matrix of the numeric columns in long form, diagonal 1."""
     columns = list(columns) if columns is not None else numeric_columns(df)

@@ -260,6 +260,12 @@ def correlation_matrix(spark, folder):
     return rounded(charts.correlation_matrix(events(spark, folder, *CORRELATED)))
 
 
+def correlation_embeddings(spark, folder):
+    """All pairs of the 64 components."""
+    parts = [F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(64)]
+    return rounded(charts.correlation_matrix(table(spark, folder, "embeddings").select(*parts)))
+
+
 def correlation_lineitem(spark, folder):
     df = table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return rounded(charts.correlation_matrix(df))
@@ -587,6 +593,12 @@ DATA_QUERIES = {
         f"SELECT 'type_n' AS column, 'frequency' AS kind, CAST(row_number() OVER (ORDER BY count(*) DESC, type_n) - 1 AS INTEGER) AS ord, type_n AS label, count(*) AS count FROM {events_sql('type_n')} WHERE type_n IS NOT NULL GROUP BY type_n",
     ),
     "correlation_matrix": (correlation_matrix, _correlation_sql(events_sql(*CORRELATED), CORRELATED)),
+    "correlation_embeddings": (
+        correlation_embeddings,
+        "WITH f AS (SELECT vec_id, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) "
+        "SELECT 'e' || a.j AS col_a, 'e' || b.j AS col_b, CASE WHEN a.j = b.j THEN 1e0 ELSE round(corr(a.x, b.x), 6) END AS r "
+        "FROM f a JOIN f b USING (vec_id) GROUP BY a.j, b.j",
+    ),
     "correlation_lineitem": (
         correlation_lineitem,
         _correlation_sql("(SELECT * FROM lineitem)", ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),

@@ -238,3 +238,18 @@ def test_write_and_read_back(spark, small, tmp_path):
     assert sources.load_csv(spark, str(tmp_path / "csv")).columns == small.columns
     with pytest.raises(ValueError):
         sources.write_table(small, str(tmp_path / "x"), "orc?")
+
+
+def test_correlation_by_blocks_equals_pair_by_pair(spark):
+    columns = [f"c{i}" for i in range(8)]
+    rule = "CASE WHEN hash(id, {i}) % 5 = 0 THEN NULL ELSE CAST(hash(id, {i}, 7) % 1000 AS DOUBLE) * {i} + id END"
+    df = spark.range(500).selectExpr(*[f"{rule.format(i=i)} AS c{i}" for i in range(8)]).repartition(4)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    blocks = {(r.col_a, r.col_b): r.r for r in charts.pair_correlations(df, pairs).collect()}
+    assert len(blocks) == 28
+    for a, b in pairs:
+        one = charts.pair_correlations(df, [(a, b)]).first().r
+        assert blocks[a, b] == pytest.approx(one, abs=1e-9)
+    # An infinite value goes pair by pair.
+    endless = df.withColumn("c0", F.when(F.col("c1") > 0, F.lit(float("inf"))).otherwise(F.col("c0")))
+    assert len(charts.pair_correlations(endless, pairs).collect()) == 28
