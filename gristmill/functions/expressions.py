@@ -126,10 +126,6 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     return days + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + second
 
 
-def round_to(c: Column, places: int = 6) -> Column:
-    return F.round(c, places)
-
-
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, and NULL where bottom is zero or missing."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))
