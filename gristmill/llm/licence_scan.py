@@ -1,8 +1,8 @@
 """Licence scans: runs of lines compared with licence templates by the Dice coefficient over word bigrams.
 
 A run of n bigrams and a template of m can reach a coefficient t only if n lies between m·t/(2-t) and
-m·(2-t)/t; templates of other sizes are passed over. Lines without any bigram of a template start and
-end no run, so nearly all lines of ordinary text are left after one look-up per word.
+m·(2-t)/t; templates of other sizes are passed over. A line without any bigram of a template would
+only lower the coefficient at the start or end of a run, so nearly all lines of ordinary text are left after one look-up per word.
 """
 
 from __future__ import annotations
@@ -53,20 +53,12 @@ class Templates:
             self._sizes.append((size * threshold / (2 - threshold), size * (2 - threshold) / threshold))
         self._largest = max((high for _, high in self._sizes), default=0)
         self._known = {gram for _, grams in self._all for gram in grams}
-        self._words = {word for gram in self._known for word in gram}
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, lines) of the best run of lines for each licence."""
-        lines = text.split("\n")
-        words = [normalised(line) for line in lines]
-        # A line can begin or end a run if it shares a bigram with a template, or is a lone word of one.
-        known, vocabulary = self._known, self._words
-        marked = [
-            i
-            for i, w in enumerate(words)
-            if (not known.isdisjoint(zip(w, w[1:])) if len(w) > 1 else bool(w) and w[0] in vocabulary)
-        ]
-        best: dict[str, tuple[float, int, int]] = {}
+        """(licence, coefficient, first line, lines): the best runs that do not overlap, one for each licence."""
+        words = [normalised(line) for line in text.split("\n")]
+        marked = self._marked(words)
+        matches: list[tuple[float, int, int, str]] = []
         for at, first in enumerate(marked):
             run: list[str] = []
             done = first
@@ -74,20 +66,45 @@ class Templates:
                 for line in words[done : last + 1]:
                     run += line
                 done = last + 1
-                size = max(1, len(run) - 1)
-                if size > self._largest:
+                if len(run) - 1 > self._largest:
                     break
-                self._compare(run, size, first, done - first, best)
-        return [(name, *found) for name, found in sorted(best.items())]
-
-    def _compare(self, run, size, first, lines, best) -> None:
-        grams = None
+                matches += [(-value, done - first, first, name) for name, value in self._compare(run)]
+        return best_runs(matches)
+
+    def _marked(self, words: list[list[str]]) -> list[int]:
+        """Lines with a word of a template's bigram, within the line or across a border; others end no best run."""
+        known, marked, before = self._known, set(), None
+        for i, line in enumerate(words):
+            if not line:
+                continue
+            if not known.isdisjoint(zip(line, line[1:])) or (len(line) == 1 and (line[0], "") in known):
+                marked.add(i)
+            if before is not None and (words[before][-1], line[0]) in known:
+                marked.update((before, i))
+            before = i
+        return sorted(marked)
+
+    def _compare(self, run: list[str]) -> list[tuple[str, float]]:
+        size, grams, found = max(1, len(run) - 1), None, []
         for (name, template), (low, high) in zip(self._all, self._sizes):
             if low <= size <= high:
                 grams = bigrams(run) if grams is None else grams
                 value = dice(grams, template)
-                if value >= self._threshold and (name not in best or value > best[name][0]):
-                    best[name] = (value, first, lines)
+                if value >= self._threshold:
+                    found.append((name, value))
+        return found
+
+
+def best_runs(matches: list[tuple[float, int, int, str]]) -> list[tuple[str, float, int, int]]:
+    """From (minus coefficient, lines, first line, licence): the best first, without those that overlap a better one."""
+    taken: set[int] = set()
+    best: dict[str, tuple[float, int, int]] = {}
+    for value, lines, first, name in sorted(matches):
+        own = range(first, first + lines)
+        if name not in best and taken.isdisjoint(own):
+            best[name] = (-value, first, lines)
+            taken.update(own)
+    return [(name, *found) for name, found in sorted(best.items())]
 
 
 def scan_licences(
@@ -95,8 +112,9 @@ def scan_licences(
 ) -> DataFrame:
     """doc_id, licence, dice, first_line and n_lines of licence texts in documents.
 
-    One row per document row and licence, for the run of lines that is most like one of its
-    templates (the first and shortest of several). Missing and empty texts and lines without words hold nothing.
+    One row per document row and licence, for the run of lines that is most like one of its templates; runs
+    that overlap one with a higher coefficient are left out (of equal ones the shorter, then the
+    earlier stays, then the first by name). Missing and empty texts and lines without words hold nothing.
     Repeated rows are reported each; other columns are left out. A list of templates without
     entries, or an empty table, gives no rows.
     """

@@ -9,15 +9,15 @@ from gristmill.llm.licence_texts import NOTICES, TEXTS
 
 
 def brute(text, templates, threshold):
-    lines, best = [licence_scan.normalised(x) for x in (text or "").split("\n")], {}
+    lines, matches = [licence_scan.normalised(x) for x in (text or "").split("\n")], []
     for first in range(len(lines)):
         for last in range(first, len(lines)):
             run = licence_scan.bigrams([w for x in lines[first : last + 1] for w in x])
             for name, template in templates:
                 value = licence_scan.dice(run, licence_scan.bigrams(licence_scan.normalised(template)))
-                if value >= threshold and value > best.get(name, 0):
-                    best[name] = value
-    return {(name, round(value, 9)) for name, value in best.items()}
+                if value >= threshold:
+                    matches.append((-value, last - first + 1, first, name))
+    return {(name, round(value, 9)) for name, value, *_ in licence_scan.best_runs(matches)}
 
 
 def test_dice():
