@@ -54,8 +54,8 @@ def url_filter_sql(rules: str) -> str:
 WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
              regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
-v AS (SELECT host, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*', ' ', 'g'),
-             '<style[^>]*>[^<]*', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[a-z]+;', '&', 'g'), '[ \t\n\r]+', ' ', 'g')) AS seen FROM p),
+v AS (SELECT host, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*|<[^>]*>', ' ', 'g'),
+             '&[a-z]+;', '&', 'g'), '[ \t\n\r]+', ' ', 'g')) AS seen FROM p),
 o AS (SELECT host, CASE WHEN length(seen) - length(replace(seen, ' ', '')) + 1 >= 20
                          AND length(seen) - length(regexp_replace(seen, '[#*$%&|!]+', '', 'g')) <= length(seen) * 0.02e0 THEN 1 ELSE 0 END AS good FROM v),
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS k, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM o GROUP BY host),

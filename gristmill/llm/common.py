@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from gristmill.functions.expressions import col, require_columns
 from gristmill.session import ensure_checkpoint_dir
 
+# Fixed value: Spark's setting for the bytes of an Arrow batch, and what it is lowered to.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 # Rows that a task turns into Python objects at a time; an Arrow batch may hold many thousand texts.
 ROWS_AT_ONCE = 256
 
@@ -29,11 +33,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text under fixed names, whatever other columns there are; a missing text counts as empty."""
     require_columns(docs, key, text)
+    small_arrow_batches(docs.sparkSession)
     return docs.select(
         col(key).cast("long").alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text")
     )
 
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Let no more text travel to Python at once than a few documents or BATCH_BYTES."""
+    if int(spark.conf.get(BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ROWS_AT_ONCE, without copying them."""
     for batch in batches:

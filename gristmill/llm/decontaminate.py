@@ -18,14 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 
 from .common import bounded, keyed_texts, small_batches
-from .jaccard_join import mixed
+from .word_hashes import WORD_HASHES, mixed
 
 THRESHOLD = 0.75
 SHINGLE_WORDS = 5
@@ -38,7 +37,7 @@ STRIDE_SHARE = 12
 # Items and bytes of item texts that one pass over the documents looks for.
 PASS_ITEMS, PASS_BYTES = 10_000, 64 << 20
 # Words that are fingerprinted at once.
-CHUNK_WORDS = 1 << 14
+CHUNK_WORDS = 1 << 15
 
 _FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
@@ -48,27 +47,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-class WordHasher:
-    def __init__(self, remembered: int = 200_000):
-        self._hashes: dict[bytes, int] = {}
-        self._remembered = remembered
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        hashes = self._hashes
-        if len(hashes) > self._remembered:
-            hashes.clear()
-        found = list(map(hashes.get, words))
-        if None in found:
-            for word in {w for w, f in zip(words, found) if f is None}:
-                hashes[word] = xxhash.xxh64_intdigest(word)
-            found = list(map(hashes.__getitem__, words))
-        return np.array(found, dtype=np.uint64)
-
-
-# This process's word hashes, shared by the tasks that run in it.
-_HASHER = WordHasher()
-
-
 def window_sizes(longest: int) -> list[int]:
     """1, 2, ... and from 10 on growing by SIZE_STEP, up to beyond the longest item."""
     sizes = [1]
@@ -172,7 +150,7 @@ class ItemIndex:
             nearest = int(sizes[np.abs(np.log(sizes / len(w))).argmin()])
             by_size.setdefault(nearest, []).append(k)
         self.sizes = {
-            size: (np.array(own), FingerprintIndex(np.array([fingerprint(_HASHER(self.items[k][1])) for k in own], dtype=np.uint64)))
+            size: (np.array(own), FingerprintIndex(np.array([fingerprint(WORD_HASHES(self.items[k][1])) for k in own], dtype=np.uint64)))
             for size, own in sorted(by_size.items())
         }
         self.longest = max(self.sizes, default=0)
@@ -211,7 +189,7 @@ def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _finder(shared, threshold: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hasher = shared.value, _HASHER
+        index, hasher = shared.value, WORD_HASHES
         rows, chunk, size = [], [], 0
         for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -256,7 +234,7 @@ def _done(chunk, unfinished) -> list[tuple]:
     return rows
 
 
-def _search(index: ItemIndex, hasher: WordHasher, chunk, threshold: float) -> None:
+def _search(index: ItemIndex, hasher, chunk, threshold: float) -> None:
     """Fingerprint the windows of all pieces at once and verify the candidates."""
     lengths = np.array([len(p[4]) for p in chunk])
     begins = np.concatenate([[0], np.cumsum(lengths)])

@@ -12,6 +12,8 @@ ID_TYPE = np.dtype("<u4")
 # A space before a visible character always starts a new pre-token of byte-level BPE.
 _WORD_START = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
+# Latin letters (of blocks without unassigned places) up to an ASCII mark, white space or the end.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ʯ]+(?=[!-/:-@\[-`{-~\s]|\Z)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +22,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself if visible, else the next one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {**{b: chr(b) for b in visible}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class TextEncoder:
     """Texts to ids, equal to the library's encode(text, add_special_tokens=False).
 
@@ -27,13 +39,14 @@ class TextEncoder:
     remembered. Two generations of at most `remembered` words bound the memory.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
+        self._tokenize = self._library.model.tokenize
         split = repr(self._library.pre_tokenizer)
         added = self._library.get_added_tokens_decoder().values()
         self._by_word = (
@@ -41,11 +54,14 @@ class TextEncoder:
             and split.startswith("ByteLevel(")
             and "add_prefix_space=False" in split
             and "use_regex=True" in split
-            and not any(" " in t.content or t.lstrip or t.rstrip for t in added)
+            and type(self._library.model).__name__ == "BPE"
+            and not any(" " in t.content or t.lstrip or t.rstrip or t.content[:1].isalpha() for t in added)
         )
         self._remembered = remembered
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._rests: dict[str, bytes] = {}
+        self._id_bytes = [i.to_bytes(ID_TYPE.itemsize, "little") for i in range(self._library.get_vocab_size())]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -64,15 +80,45 @@ class TextEncoder:
         missing = {w for w, f in zip(words, found) if f is None}
         if len(self._new) + len(missing) > self._remembered:
             self._old, self._new = self._new, {w: f for w, f in zip(words, found) if f is not None}
-        unknown = []
+        new, old, rests, odd = self._new, self._old, self._rests, []
+        if len(rests) > self._remembered:
+            rests.clear()
         for word in missing:
-            ids = self._old.get(word)
+            ids = old.get(word)
             if ids is None:
-                unknown.append(word)
-            else:
-                self._new[word] = ids
-        self._new.update(zip(unknown, self._encode_all([" " + w for w in unknown])))
+                letters = _LETTERS.match(word)
+                if letters is None:
+                    odd.append(word)
+                    continue
+                # A run of letters ends at an ASCII mark, and what follows is split as if it stood alone.
+                start, rest = letters[0], word[letters.end() :]
+                ids = new.get(start) or old.get(start)
+                if ids is None:
+                    ids = new[start] = self._merge(start)
+                if rest:
+                    tail = rests.get(rest)
+                    if tail is None:
+                        tail = rests[rest] = self._encode_all([rest])[0]
+                    ids += tail
+            new[word] = ids
+        if odd:
+            new.update(zip(odd, self._encode_all([" " + w for w in odd])))
+
+    def _merge(self, letters: str) -> bytes:
+        """The ids of one pre-token, a space and letters, by the library's model alone."""
+        mapped = (" " + letters).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return b"".join([self._id_bytes[token.id] for token in self._tokenize(mapped)])
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         encoded = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=ID_TYPE).tobytes() for e in encoded]
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """This process's encoder; tasks that run in the same process share what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, keyed_texts, small_batches, written
+from .word_hashes import WORD_HASHES, mixed
 
 PERCENT = 75
 SHINGLE_WORDS = 5
@@ -41,21 +42,11 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _SETS = "node long, size long, elements binary"
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xFF51AFD7ED558CCD)
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ (values >> np.uint64(33))
-
-
 class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes; word hashes are remembered."""
+    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
-    def __init__(self, width: int = SHINGLE_WORDS, remembered: int = 200_000):
-        self._width, self._remembered = width, remembered
-        self._hashes: dict[bytes, int] = {}
+    def __init__(self, width: int = SHINGLE_WORDS):
+        self._width = width
 
     def __call__(self, text: str) -> np.ndarray:
         # bytes.lower and bytes.split know A-Z and ASCII white space only, which is what is asked for.
@@ -63,31 +54,16 @@ class Shingler:
         n, width = len(words), self._width
         if not n:
             return np.zeros(0, dtype=np.uint64)
-        hashes = self._hashes
-        if len(hashes) > self._remembered:
-            hashes.clear()
-        found = list(map(hashes.get, words))
-        if None in found:
-            for word in {w for w, f in zip(words, found) if f is None}:
-                hashes[word] = xxhash.xxh64_intdigest(word)
-            found = list(map(hashes.__getitem__, words))
-        values = np.array(found, dtype=np.uint64)
+        values = WORD_HASHES(words)
         span = min(n, width)
         rows = n - span + 1
         total = np.full(rows, span, dtype=np.uint64)
         for i in range(span):
             total = total * _MULTIPLIERS[i % 5] + values[i : i + rows]
-        return np.unique(mixed(total))
-
-
-_SHINGLERS: dict[int, Shingler] = {}
-
-
-def shingler_of(width: int) -> Shingler:
-    """This process's shingler, shared by the tasks that run in it."""
-    if width not in _SHINGLERS:
-        _SHINGLERS[width] = Shingler(width)
-    return _SHINGLERS[width]
+        total = mixed(total)
+        total.sort()
+        new = total[1:] != total[:-1]
+        return total if new.all() else total[np.concatenate([[True], new])]
 
 
 def set_key(elements: np.ndarray, seed: int = 0) -> int:
@@ -135,6 +111,20 @@ def signatures(elements: np.ndarray, levels: np.ndarray, percent: int, rule=part
     return np.concatenate(out).view(np.int64)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of SKETCH_BITS cells.
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    cells = (elements & np.uint64(SKETCH_BITS - 1)).astype(np.intp)
+    return np.packbits((np.bincount(cells, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """False where sets that differ in at least `apart` elements, of these sizes together, cannot be similar."""
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -153,10 +143,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     other columns are left out.
     """
     texts = keyed_texts(docs)
-    first = written(texts.mapInArrow(_first_pass(width), "doc_id long, size long, node long, other long, element long, seen long"), "sets")
-    sizes = first.where(F.col("seen").isNull()).select("doc_id", "size", "node", "other")
+    first = written(texts.mapInArrow(_first_pass(width), "doc_id long, size long, node long, other long, sketch binary, element long, seen long"), "sets")
+    sizes = first.where(F.col("seen").isNull()).select("doc_id", "size", "node", "other", "sketch")
     nodes = sizes.where("node IS NOT NULL").groupBy("node")
-    nodes = nodes.agg(F.min("doc_id").alias("rep"), F.min("other").alias("low"), F.max("other").alias("high"))
+    nodes = nodes.agg(F.min("doc_id").alias("rep"), F.min("other").alias("low"), F.max("other").alias("high"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     if not nodes.where("low <> high").isEmpty():
         raise ValueError("two different sets have the same key; use another hash seed")
@@ -170,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     labels = components(links)
 
     crowded = signed.where("kind = 1").select(F.col("b").alias("signature"), F.col("a").alias("node"))
-    more = _crowded_pairs(crowded, labels, pairs, texts, nodes, percent, width)
+    more = _crowded_pairs(crowded, labels, pairs, nodes, percent)
     if more is not None:
         links = written(links.union(_verified(more, texts, nodes, percent, width)), "all-links")
         labels = components(links)
@@ -229,26 +219,29 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
 
 def _first_pass(width: int):
     """Rows of documents (size and keys of their sets) and of shingles that a task saw in more than one set."""
-    names = ["doc_id", "size", "node", "other", "element", "seen"]
+    names = ["doc_id", "size", "node", "other", "sketch", "element", "seen"]
 
-    def nulls(n):
-        return pa.nulls(n, pa.int64())
+    def nulls(n, kind=pa.int64()):
+        return pa.nulls(n, kind)
 
     def shingle_rows(held):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         values, counts = values[counts > 1].view(np.int64), counts[counts > 1]
-        return pa.record_batch([nulls(len(values))] * 4 + [pa.array(values), pa.array(counts, pa.int64())], names=names)
+        n = len(values)
+        return pa.record_batch([nulls(n)] * 4 + [nulls(n, pa.binary()), pa.array(values), pa.array(counts, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size, seen = shingler_of(width), [], 0, set()
+        shingler, held, size, seen = Shingler(width), [], 0, set()
         for batch in small_batches(batches):
-            sizes, keys, others = [], [], []
+            sizes, keys, others, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 elements = shingler(text)
                 sizes.append(len(elements))
                 keys.append(set_key(elements) if len(elements) else None)
                 others.append(set_key(elements, 1) if len(elements) else None)
+                sketches.append(None)
                 if keys[-1] is not None and keys[-1] not in seen:
+                    sketches[-1] = sketch(elements)
                     seen.add(keys[-1])
                     held.append(elements)
                     size += len(elements)
@@ -256,6 +249,7 @@ def _first_pass(width: int):
                     yield shingle_rows(held)
                     held, size = [], 0
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, keys, others))]
+            columns.append(pa.array(sketches, pa.binary()))
             yield pa.record_batch([*columns, nulls(len(sizes)), nulls(len(sizes))], names=names)
         if held:
             yield shingle_rows(held)
@@ -281,7 +275,7 @@ def _frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _signer(width: int, percent: int, frequent, rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, (known, known_levels) = shingler_of(width), set(), frequent.value
+        shingler, seen, (known, known_levels) = Shingler(width), set(), frequent.value
         for batch in small_batches(batches):
             rows, keys = [], []
             for text in batch.column(1).to_pylist():
@@ -325,15 +319,15 @@ def _grouper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures_, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], signatures_[1:] != signatures_[:-1]])) if len(nodes) else []
         ends = np.append(starts[1:], len(nodes)) if len(nodes) else []
-        for start, end in zip(starts, ends):
+        # Nearly all signatures occur once. Only runs of several rows, the first, which may go on with the last
+        # run of the batch before, and the last, which may go on in the next, are looked at.
+        several = np.flatnonzero(np.asarray(ends) - np.asarray(starts) > 1) if len(nodes) else []
+        for run in dict.fromkeys([*([0] if len(nodes) else []), *(int(x) for x in several), *([len(starts) - 1] if len(nodes) else [])]):
+            start, end = int(starts[run]), int(ends[run])
             current = int(signatures_[start])
-            if current == signature and not members:
-                raise AssertionError("a run without members")
             if current != signature:
                 flush(pairs)
                 signature, members, crowded = current, [], False
-            elif end - start == 1 and not crowded and members[-1] == nodes[start]:
-                continue
             for node in np.unique(nodes[start:end]).tolist() if end - start > 1 else (int(nodes[start]),):
                 if members and node == members[-1]:
                     continue
@@ -363,7 +357,7 @@ def _groups(pairs, crowd, singles) -> pa.RecordBatch:
 
 def _elements(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shingler_of(width)
+        shingler = Shingler(width)
         for batch in small_batches(batches):
             wanted = batch.column(1).to_pylist()
             rows = []
@@ -393,6 +387,21 @@ def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) ->
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
+    own = nodes.select("node", "size", "sketch")
+    for side in "ab":
+        named = [F.col(c).alias(f"{c}_{side}") for c in ("size", "sketch")]
+        pairs = pairs.join(own.select(F.col("node").alias(side), *named), side)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            sizes = [batch.column(i).to_numpy() for i in (2, 3)]
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)]
+            kept = may_be_similar(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64), sizes[0] + sizes[1], percent)
+            kept &= 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    columns = ["a", "b", "size_a", "size_b", "sketch_a", "sketch_b"]
+    pairs = written(pairs.select(*columns).mapInArrow(likely, "a long, b long"), "likely-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(wanted, texts, nodes, width).select("node", "elements")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
@@ -415,7 +424,7 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
         return None
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shingler_of(width)
+        shingler = Shingler(width)
         for batch in small_batches(batches):
             for text in batch.column(0).to_pylist():
                 elements = shingler(text)
@@ -429,12 +438,11 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
     return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
-def _crowded_pairs(crowded, labels, pairs, texts, nodes, percent: int, width: int) -> DataFrame | None:
+def _crowded_pairs(crowded, labels, pairs, nodes, percent: int) -> DataFrame | None:
     """Pairs in crowded groups that are in different components and that a sketch cannot rule out.
 
-    The sketch has the parity of the elements in each of SKETCH_BITS cells; two sets differ in at least
-    as many elements as their sketches in bits. Groups are cut into blocks, and each pair of
-    blocks is compared in a task of its own.
+    Groups are cut into blocks, and each pair of blocks is compared by itself. Members of the most frequent
+    component are only compared with others.
     """
     labelled = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = labelled.groupBy("signature").agg(
@@ -444,9 +452,8 @@ def _crowded_pairs(crowded, labels, pairs, texts, nodes, percent: int, width: in
     members = written(labelled.join(groups, "signature"), "crowded")
     if members.isEmpty():
         return None
-    sketches = _sets(members.select("node").distinct(), texts, nodes, width).mapInArrow(_sketch, "node long, size long, sketch binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    members = members.join(sketches, "node").withColumn("block", own)
+    members = members.join(nodes.select("node", "size", "sketch"), "node").withColumn("block", own)
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
 
@@ -456,24 +463,16 @@ def _crowded_pairs(crowded, labels, pairs, texts, nodes, percent: int, width: in
         sizes, labels_, nodes_ = (group[c].to_numpy() for c in ("size", "label", "node"))
         block, one_block = group["block"].to_numpy(), group["low"].iloc[0] == group["high"].iloc[0]
         bits = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint64).reshape(len(group), -1)
-        last = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-        for i in range(len(group)):
-            j = np.arange(i + 1, last[i])
-            j = j[(labels_[j] != labels_[i]) & (one_block | (block[j] != block[i]))]
+        names, codes = np.unique(labels_, return_inverse=True)
+        large = codes == np.bincount(codes).argmax()
+        within = np.searchsorted(sizes, -(-sizes * percent // 100)), np.searchsorted(sizes, sizes * 100 // percent, side="right")
+        for i in np.flatnonzero(~large):
+            j = np.arange(within[0][i], within[1][i])
+            j = j[(large[j] | (j > i)) & (codes[j] != codes[i]) & (one_block | (block[j] != block[i]))]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[apart * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent)]
+            j = j[may_be_similar(apart, sizes[j] + sizes[i], percent)]
             found.append(np.stack([np.minimum(nodes_[i], nodes_[j]), np.maximum(nodes_[i], nodes_[j])], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     met = members.groupBy("signature", "low", "high").applyInPandas(compare, "a long, b long").distinct()
     return written(met.join(pairs, ["a", "b"], "left_anti"), "crowded-pairs")
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        rows = []
-        for raw in batch.column(2).to_pylist():
-            cells = np.frombuffer(raw, np.uint64) & np.uint64(SKETCH_BITS - 1)
-            parity = np.bincount(cells.astype(np.intp), minlength=SKETCH_BITS) & 1
-            rows.append(np.packbits(parity.astype(np.uint8)).tobytes())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["node", "size", "sketch"])

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, written
-from .encoding import ID_TYPE, TextEncoder
+from .common import keyed_texts, small_batches, written
+from .encoding import ID_TYPE, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank"))
+    ranked = pieces.join(bases.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank"))
     places = pieces.sparkSession.sparkContext.broadcast(_by_length(plan(histogram, capacity)))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
     return ranked.select(*columns).mapInArrow(_placer(places), _PLACED)
@@ -129,14 +129,14 @@ def _by_length(runs) -> dict[int, np.ndarray]:
 
 def _cutter(tokenizer: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer)
+        texts = encoder(tokenizer)
         end = np.array([end_id], dtype=ID_TYPE).tobytes()
         task, width = TaskContext.get().partitionId(), ID_TYPE.itemsize
         ranks: dict[int, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+                ids = texts.encode(text) + end
                 total = len(ids) // width
                 edges = list(range(total % capacity, total + 1, capacity))
                 edges = edges if edges[0] == 0 else [0, *edges]

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
-from .encoding import ID_TYPE, TextEncoder
+from .common import keyed_texts, row_tuples
+from .encoding import ID_TYPE, encoder
 
 FILE_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 WRITER_OPTIONS = {
@@ -77,24 +77,22 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
 
 def _encoder(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer)
+        texts = encoder(tokenizer)
         end = np.array([end_id], dtype=ID_TYPE).tobytes()
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            keys, held, sizes, size = [], [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
-                keys.append(doc_id)
-                held.append(ids)
-                sizes.append(len(ids) // ID_TYPE.itemsize)
-                size += sizes[-1]
-                if size > BATCH_IDS:
-                    yield _rows(keys, shard, start, sizes, held)
-                    start += size
-                    keys, held, sizes, size = [], [], [], 0
-            if keys:
+        keys, held, sizes, size = [], [], [], 0
+        for doc_id, text in row_tuples(batches):
+            ids = texts.encode(text) + end
+            keys.append(doc_id)
+            held.append(ids)
+            sizes.append(len(ids) // ID_TYPE.itemsize)
+            size += sizes[-1]
+            if size > BATCH_IDS:
                 yield _rows(keys, shard, start, sizes, held)
                 start += size
+                keys, held, sizes, size = [], [], [], 0
+        if keys:
+            yield _rows(keys, shard, start, sizes, held)
 
     return encode
 

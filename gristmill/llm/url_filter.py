@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
 
-from .common import join_without_hot_keys
+from .common import join_without_hot_keys, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Beta priors are worth between this many pages, whatever the estimate.
@@ -76,7 +76,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     n_labelled, mean, lower, upper.
     """
     labelled = F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")
-    hosts = outcomes.groupBy("host").agg(*labelled).withColumns(host_levels(F.col("host")))
+    # One row per host. All levels are summed up from it, so the pages are read once.
+    hosts = written(outcomes.groupBy("host").agg(*labelled), "host-counts").withColumns(host_levels(F.col("host")))
     total, up = (F.sum("n").alias("n"), F.sum("k").alias("k")), {}
     up["domain"] = hosts.groupBy("domain", "suffix").agg(*total)
     up["suffix"] = up["domain"].groupBy("suffix").agg(*total)
@@ -123,16 +124,17 @@ def judge_urls(
 
 def html_outcome(html: Column, max_symbols: float = 0.02, min_words: int = 20) -> Column:
     """1 for a page of prose, 0 for one that is short or full of symbols; null without html."""
-    visible = html
-    for tag in ("script", "style"):
-        visible = F.regexp_replace(visible, rf"<{tag}[^>]*>[^<]*", " ")
-    visible = F.regexp_replace(F.regexp_replace(visible, "<[^>]*>", " "), "&[a-z]+;", "&")
-    squeezed = F.trim(F.regexp_replace(visible, r"[ \t\n\r]+", " "))
-    letters = F.length(squeezed)
-    symbols = letters - F.length(F.regexp_replace(squeezed, "[#*$%&|!]+", ""))
-    words = letters - F.length(F.regexp_replace(squeezed, " ", "")) + 1
-    good = (words >= min_words) & (symbols <= letters * F.lit(max_symbols))
-    return F.when(html.isNotNull(), good.cast("int"))
+    visible = F.regexp_replace(html, "<(script|style)[^>]*>[^<]*|<[^>]*>", " ")
+    visible = F.regexp_replace(F.regexp_replace(visible, "&[a-z]+;", "&"), r"[ \t\n\r]+", " ")
+
+    def good(text: Column) -> Column:
+        letters = F.length(text)
+        symbols = letters - F.length(F.regexp_replace(text, "[#*$%&|!]+", ""))
+        words = letters - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+        return ((words >= min_words) & (symbols <= letters * F.lit(max_symbols))).cast("int")
+
+    # As the argument of a function the text is made once per page, not once per use.
+    return F.when(html.isNotNull(), F.transform(F.array(F.trim(visible)), good)[0])
 
 
 def _strength(level: DataFrame) -> float:

@@ -75,8 +75,10 @@ def test_leaks(spark, pass_items):
     docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
     texts = items.collect()
     inside = {(d.doc_id, i.item_id) for d in docs.collect() for i in texts if i.text in d.text}
-    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, pass_items=pass_items).collect() if r.similarity == 1}
-    assert inside and found == inside
+    found = decontaminate.leaks(docs, items, pass_items=pass_items).collect()
+    # An item whose first or last word is glued to another is found with less than full similarity.
+    assert inside and inside == {(r.doc_id, r.item_id) for r in found}
+    assert {(r.doc_id, r.item_id) for r in found if r.similarity == 1} <= inside
 
 
 def test_leaks_odd_rows(odd_docs, no_docs, spark):
