@@ -263,7 +263,11 @@ def _search(index: ItemIndex, hasher, chunk, threshold: float) -> None:
         first = np.concatenate([grid[~across], edges])
         if not len(first):
             continue
-        windows, items = fingerprint_index.search(np.concatenate([grid_prints, edge_prints]))
+        prints = np.concatenate([grid_prints, edge_prints])
+        if size == 1:
+            # A lone word is paired with itself, as in `fingerprint`.
+            first, prints = np.arange(total), mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + hashes)
+        windows, items = fingerprint_index.search(prints)
         for window, item in zip(windows.tolist(), own[items].tolist()):
             _verify(index, chunk[piece_of[first[window]]], int(first[window] - begins[piece_of[first[window]]]), size, stride, item, threshold)
 
