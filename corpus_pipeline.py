@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, jaccard_join, packing, quality_model, secret_scan
-from gristmill.llm.common import bounded, read_table, small_batches, written
+from gristmill.llm.common import bounded, join_without_hot_keys, read_table, small_arrow_batches, small_batches, written
 from gristmill.llm.encoding import tokenizer_path
 
+# Findings of up to so many bytes are handed to all tasks; more are joined by an exchange.
+FEW_BYTES = 32 << 20
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier accepts; it learns from the labels of documents in docs.
@@ -30,9 +33,18 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Of rows that are given several times one stays. Rows without an id cannot be named and stay.
     """
-    found = jaccard_join.near_duplicates(docs)
-    copies = bounded(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    found = jaccard_join.near_duplicates(docs).where("doc_id IS NOT NULL").withColumn("is_copy", F.expr("doc_id <> component_id"))
+    ids = found.groupBy("doc_id").agg(F.max("is_copy").alias("some"), F.min("is_copy").alias("every"))
+    ids = written(ids.where("some"), "ids-of-copies")
+    copies = bounded(ids.where("every").select("doc_id"), "copies")
     left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    mixed = bounded(ids.where("NOT every").select("doc_id"), "mixed-ids")
+    if not mixed.isEmpty():
+        # Ids of several texts, some of them copies: these are told apart by their sets.
+        gone = found.where("is_copy").join(mixed, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+        own = jaccard_join.with_set_keys(left.join(mixed, "doc_id", "left_semi").select(*docs.columns))
+        own = own.join(gone, (F.col("row.doc_id") == gone["doc_id"]) & (own["set_key"] == gone["set_key"]), "left_anti")
+        left = left.join(mixed, "doc_id", "left_anti").select(*docs.columns).union(own.select("row.*"))
     repeated = bounded(left.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     return single.union(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
@@ -45,11 +57,18 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars counted anew."""
-    findings, _ = secret_scan.scan(docs)
-    found = findings.where("spans <> ''").select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans"))
-    joined = docs.join(found.dropDuplicates(["found_id"]), docs["doc_id"] == F.col("found_id"), "left")
+    small_arrow_batches(spark)
+    ledger = spark.createDataFrame([], secret_scan.LEDGER_SCHEMA)
+    fresh = written(secret_scan.scan_unseen(docs, ledger), "secret-ledger")
+    found = fresh.where("spans <> ''").select("blob", F.col("spans").alias("found_spans"))
+    # The text decides, so rows without an id and ids of several texts get the spans of their own.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), secret_scan.blob_of("text").alias("blob"))
+    if (found.agg(F.sum(F.length("found_spans") + 64)).first()[0] or 0) <= FEW_BYTES:
+        joined = rows.join(F.broadcast(found), "blob", "left")
+    else:
+        joined = join_without_hot_keys(rows, found, "blob")
     columns = docs.columns
-    masked = joined.select(*columns, "found_spans").mapInArrow(_mask, docs.schema)
+    masked = joined.select("row.*", "found_spans").mapInArrow(_mask, docs.schema)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, keyed_texts, small_batches, written
+from .common import bounded, keyed_texts, small_arrow_batches, small_batches, written
 from .word_hashes import WORD_HASHES, mixed
 
 PERCENT = 75
@@ -133,14 +133,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id and n_links.
+    """Per row: doc_id, n_shingles, component_id, n_links and set_key.
 
     Documents link when the Jaccard similarity of their sets of `width`-word shingles is at least
     percent/100. component_id is the smallest doc_id reachable by links, n_links the number of other
     sets that a document's set links to. Texts with equal sets form one class, whose copies are
     never paired. Missing texts and texts without words have no shingles, link with nothing and are
     their own components; a row without doc_id takes part, but names no component. Repeated rows come back each;
-    other columns are left out.
+    other columns are left out. set_key is equal for equal sets and missing for those without shingles.
     """
     texts = keyed_texts(docs)
     first = written(texts.mapInArrow(_first_pass(width), "doc_id long, size long, node long, other long, sketch binary, element long, seen long"), "sets")
@@ -177,9 +177,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("node").alias("set_key"),
     )
 
 
+def with_set_keys(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows as structs `row`, with the set_key that near_duplicates gives their texts."""
+    small_arrow_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in small_batches(batches):
+            sets = [shingler(text) for text in batch.column(1).to_pylist()]
+            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.record_batch([batch.column(0), keys], names=["row", "set_key"])
+
+    return rows.mapInArrow(keyed, rows.select("row", F.lit(None).cast("long").alias("set_key")).schema)
+
+
 def written_groups(signed: DataFrame) -> DataFrame:
     """Candidates from signature groups: kind 0 a pair (a, b), 1 a member a of crowded group b, 2 a set a to treat singly."""
     shuffles = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))

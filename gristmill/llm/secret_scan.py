@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import col, require_columns
@@ -75,11 +75,15 @@ def spans(text: str, rules: Sequence[SecretRule] = ALL_RULES) -> list[tuple[int,
     return [(start, kind, end) for start, _, kind, end in sorted(found)]
 
 
+def blob_of(text: str) -> Column:
+    """SHA-256 of the UTF-8 text, missing as empty."""
+    return F.sha2(F.coalesce(col(text).cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def address(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Path and blob (SHA-256 of the UTF-8 text, missing as empty) of every version."""
     require_columns(versions, path, text)
-    content = F.coalesce(col(text).cast("string"), F.lit(""))
-    return versions.select(col(path).alias("path"), F.sha2(content.cast("binary"), 256).alias("blob"))
+    return versions.select(col(path).alias("path"), blob_of(text).alias("blob"))
 
 
 def scan_unseen(
@@ -95,9 +99,7 @@ def scan_unseen(
     # The row with the least path stands for its blob, so copies never meet in one task.
     unseen = address(versions, path, text).groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
     content = F.coalesce(col(text).cast("string"), F.lit(""))
-    texts = versions.select(
-        col(path).alias("own_path"), content.alias("text"), F.sha2(content.cast("binary"), 256).alias("own_blob")
-    )
+    texts = versions.select(col(path).alias("own_path"), content.alias("text"), blob_of(text).alias("own_blob"))
     to_scan = texts.join(
         unseen, (F.col("own_path").eqNullSafe(F.col("path"))) & (F.col("own_blob") == F.col("blob"))
     ).select("blob", "text")
