@@ -44,13 +44,25 @@ BASE_RULES = (
     SecretRule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
+# What stands between the lines of a key: white space, written escapes, marks of quotes, comments and patches.
+_GAP = r"""(?:[\s"'>#*|,;]|-(?!-)|\\{1,4}[nrt])*+"""
+_BASE64 = r"(?:[A-Za-z0-9+/=]|\\/)"
+# From BEGIN to the END after it; without one, header lines and the run of base64, whose last line may be short.
+# No part reads over the next five dashes by more than a bounded number of characters, so all scans are linear.
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----+END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_GAP}[A-Za-z][A-Za-z-]{{2,20}}:(?:[^\n\r\\]{{0,200}}+(?=[\n\r\\])|\x20?[^\s\\]{{1,80}}+)){{0,8}}(?:{_GAP}{_BASE64}{{16,}}+)++"
+    rf"""(?:{_GAP}={_BASE64}{{4}}|{_GAP}{_BASE64}{{1,15}}+(?:(?<==)|(?=[\t\x20"',]{{0,8}}(?:[\n\r]|\\{{1,4}}[nr]|\Z))))?)?"""
+)
+
 # Further kinds, by the public forms of their tokens.
 MORE_RULES = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    SecretRule("private_key", _PRIVATE_KEY, 0, 1),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     SecretRule("hosting_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     SecretRule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@", 0, 10),
+    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]++@", 0, 10),
 )
 ALL_RULES = BASE_RULES + MORE_RULES
 
