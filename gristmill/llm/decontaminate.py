@@ -61,6 +61,11 @@ def pair_bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)
 
 
+def sum_kind(size: int):
+    """The smallest type whose running sums are right for windows of that many words."""
+    return np.uint8 if size <= 255 else np.uint16 if size < 1 << 15 else np.uint32
+
+
 def sums_of(bits: np.ndarray, kind) -> np.ndarray:
     """Running sums over features, with a first row of zeros.
 
@@ -154,9 +159,6 @@ class ItemIndex:
             for size, own in sorted(by_size.items())
         }
         self.longest = max(self.sizes, default=0)
-        # Running sums wrap at 2 ** 16, so longer windows would be misread.
-        if self.longest >= 1 << 15:
-            raise ValueError("items of more than 30,000 words must be split")
 
 
 def leaks(
@@ -241,15 +243,15 @@ def _search(index: ItemIndex, hasher, chunk, threshold: float) -> None:
     hashes = hasher([w for p in chunk for w in p[4]])
     # The last word has no successor; the feature at a piece's end is never inside a window.
     bits = pair_bits(np.append(hashes, hashes[-1:]))
-    narrow = sums_of(bits, np.uint8)
-    wide = sums_of(bits, np.uint16) if index.longest > 255 else narrow
+    kinds = {size: sum_kind(size) for size in index.sizes}
+    sums_by_kind = {kind: sums_of(bits, kind) for kind in set(kinds.values())}
     piece_of = np.repeat(np.arange(len(chunk)), lengths)
     total = len(hashes)
     for size, (own, fingerprint_index) in index.sizes.items():
         features = max(1, size - 1)
         stride = max(1, size // STRIDE_SHARE)
         long = np.flatnonzero(lengths >= size)
-        sums = narrow if size <= 255 else wide
+        sums = sums_by_kind[kinds[size]]
         # Windows on a grid over all pieces; those that reach over the end of a piece are passed over.
         grid = np.arange(0, max(0, total - size + 1), stride)
         across = piece_of[grid] != piece_of[grid + size - 1]
@@ -279,7 +281,25 @@ def _verify(index: ItemIndex, piece, at: int, size: int, stride: int, item: int,
     reach = stride + abs(n - size)
     at += offset
     known = best.get(item_id)
-    for start in range(max(0, at - reach), max(0, min(at + reach, len(words) - n)) + 1):
-        similarity = weighted_similarity(shingle_weights(words[start : start + n]), index.weights[item])
+    last = max(0, min(at + reach, len(words) - n))
+    for start, similarity in _similarities(words, max(0, at - reach), last, n, index.weights[item]):
         if similarity >= threshold and (known is None or (-similarity, start) < (-known[0], known[1])):
             known = best[item_id] = (similarity, start, min(n, len(words) - start))
+
+
+def _similarities(words: list[bytes], first: int, last: int, n: int, weights: Counter) -> Iterator[tuple[int, float]]:
+    """Start and weighted similarity of the windows of n words from first to last; each differs by two shingles from the one before."""
+    if first > last:
+        return
+    own = shingle_weights(words[first : first + n])
+    both = sum(min(k, weights[s]) for s, k in own.items())
+    total = sum(own.values()) + sum(weights.values())
+    yield first, both / (total - both)
+    width = min(SHINGLE_WORDS, n)
+    for start in range(first + 1, last + 1):
+        gone, new = tuple(words[start - 1 : start - 1 + width]), tuple(words[start + n - width : start + n])
+        both -= own[gone] <= weights[gone]
+        own[gone] -= 1
+        own[new] += 1
+        both += own[new] <= weights[new]
+        yield start, both / (total - both)

@@ -1,6 +1,7 @@
 """The quality classifier on held-out labels, and decontamination against plain search."""
 
 import os
+import random
 import sys
 import zlib
 from collections import Counter
@@ -90,3 +91,26 @@ def test_leaks_odd_rows(odd_docs, no_docs, spark):
     assert decontaminate.leaks(odd_docs, items.limit(0)).count() == 0
     left = decontaminate.without_leaks(odd_docs, decontaminate.leaks(odd_docs, items))
     assert left.columns == odd_docs.columns and left.where("doc_id = 7").count() == 0
+
+
+def test_leaks_very_long_item(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    changed = [w if rng.random() > 0.01 else "other" for w in words]
+    around = [f"v{rng.randrange(5000)}" for _ in range(8_000)]
+    rows = [(1, " ".join(around[:5_000] + words + around[5_000:])), (2, " ".join(changed)), (3, " ".join(words[:20_000])), (4, "x " + " ".join(words[100:140]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[100:140]))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
+    assert set(found) == {(1, 7), (2, 7), (1, 8), (3, 8), (4, 8)} | ({(2, 8)} & set(found))
+    assert found[1, 7] == (5_000, 40_000, 1.0) and found[2, 7][:2] == (0, 40_000)
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 20, 80])
+def test_similarities_of_moving_windows(n):
+    rng = random.Random(n)
+    words, item = ([b"%d" % rng.randrange(2) for _ in range(k)] for k in (60, n))
+    weights = decontaminate.shingle_weights(item)
+    last = max(0, len(words) - n)
+    expected = [(i, decontaminate.weighted_similarity(decontaminate.shingle_weights(words[i : i + n]), weights)) for i in range(last + 1)]
+    assert list(decontaminate._similarities(words, 0, last, n, weights)) == expected
