@@ -55,7 +55,10 @@ class Templates:
         self._known = {gram for _, grams in self._all for gram in grams}
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, lines): the best runs that do not overlap, one for each licence."""
+        """(licence, coefficient, first line, lines): the best runs that do not overlap, one for each licence.
+
+        Runs of whole lines come first; lines in none of them are searched for runs of their words.
+        """
         words = [normalised(line) for line in text.split("\n")]
         marked = self._marked(words)
         matches: list[tuple[float, int, int, str]] = []
@@ -69,7 +72,46 @@ class Templates:
                 if len(run) - 1 > self._largest:
                     break
                 matches += [(-value, done - first, first, name) for name, value in self._compare(run)]
-        return best_runs(matches)
+        found = best_runs(matches)
+        names, taken = {f[0] for f in found}, {i for _, _, first, n in found for i in range(first, first + n)}
+        inside = [(-value, 1, i, name) for i in marked if i not in taken for name, value in self._inside(words[i])]
+        return sorted(found + best_runs([m for m in inside if m[3] not in names]))
+
+    def _inside(self, line: list[str]) -> list[tuple[str, float]]:
+        """The best run of a line's words for each template, starting and ending with bigrams of it.
+
+        A run that goes on with words of some template is a part of a longer text and not reported.
+        """
+        grams = list(zip(line, line[1:]))
+        known, found = [g in self._known for g in grams], []
+        for (name, template), (low, high) in zip(self._all, self._sizes):
+            size, most, width = sum(template.values()), 0.0, int(high)
+            if len(grams) < low or sum(known) < low:
+                continue
+            at = [i for i, g in enumerate(grams) if known[i] and g in template]
+            # Bigrams shared with the template in the widest run from each start, each as often as it has them.
+            own: Counter = Counter()
+            both = end = 0
+            for k, start in enumerate(at):
+                while end < len(at) and at[end] < start + width:
+                    gram = grams[at[end]]
+                    both += own[gram] < template[gram]
+                    own[gram] += 1
+                    end += 1
+                if both >= low and (start == 0 or not known[start - 1]):
+                    here: Counter = Counter()
+                    shared = 0
+                    for i in at[k:end]:
+                        shared += here[grams[i]] < template[grams[i]]
+                        here[grams[i]] += 1
+                        if i + 1 == len(grams) or not known[i + 1]:
+                            most = max(most, 2 * shared / (size + i - start + 1))
+                gone = grams[start]
+                own[gone] -= 1
+                both -= own[gone] < template[gone]
+            if most >= self._threshold:
+                found.append((name, most))
+        return found
 
     def _marked(self, words: list[list[str]]) -> list[int]:
         """Lines with a word of a template's bigram, within the line or across a border; others end no best run."""
@@ -112,7 +154,8 @@ def scan_licences(
 ) -> DataFrame:
     """doc_id, licence, dice, first_line and n_lines of licence texts in documents.
 
-    One row per document row and licence, for the run of lines that is most like one of its templates; runs
+    One row per document row and licence, for the run of lines that is most like one of its templates, or else
+    for a line that holds such a run of words among others; runs
     that overlap one with a higher coefficient are left out (of equal ones the shorter, then the
     earlier stays, then the first by name). Missing and empty texts and lines without words hold nothing.
     Repeated rows are reported each; other columns are left out. A list of templates without

@@ -45,6 +45,22 @@ BSD_END = (
     "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
+SEE_SITE = "If not, see https://www.gnu.org/licenses/."
+POSTAL = (
+    "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+)
+
+
+def gnu_header(licence: str, version: str, end: str = SEE_SITE) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {licence} as "
+        f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {licence} for more details. "
+        f"You should have received a copy of the {licence} along with this program. {end}"
+    )
+
+
 TEXTS = (
     (
         "MIT",
@@ -78,15 +94,12 @@ TEXTS = (
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
         "governing permissions and limitations under the License.",
     ),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
-        "details. You should have received a copy of the GNU General Public License along with this program. If not, see "
-        "https://www.gnu.org/licenses/.",
-    ),
+    ("GPL-3.0", gnu_header("GNU General Public License", "3")),
+    ("GPL-2.0", gnu_header("GNU General Public License", "2")),
+    ("GPL-2.0", gnu_header("GNU General Public License", "2", POSTAL)),
+    ("LGPL-3.0", gnu_header("GNU Lesser General Public License", "3")),
+    ("LGPL-2.1", gnu_header("GNU Lesser General Public License", "2.1")),
+    ("AGPL-3.0", gnu_header("GNU Affero General Public License", "3")),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "

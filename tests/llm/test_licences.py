@@ -58,3 +58,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert {(r.doc_id, r.licence) for r in found} >= {(6, "one"), (11, "lines")}
     assert licence_scan.scan_licences(no_docs).count() == 0
     assert licence_scan.scan_licences(odd_docs, []).count() == 0
+
+
+def test_inside_long_lines():
+    finder = licence_scan.Templates(NOTICES + TEXTS, 0.85)
+    prose = " ".join(f"word{i}" for i in range(400))
+    for name, text in NOTICES + TEXTS:
+        for line in (f"{prose} {text} {prose}", f"{text} {prose}", f"{prose} {text}", f"Short prose. {text}"):
+            found = {f[0]: f[1:] for f in finder.find(f"first\n{line}\nlast")}
+            # The whole line may be near enough to be found as a run of lines, words before it and all.
+            assert name in found and (found[name] == (1.0, 1, 1) or line.startswith("Short")), (name, line)
+
+
+def test_gnu_headers_get_their_own_names():
+    finder = licence_scan.Templates(NOTICES + TEXTS, 0.85)
+    for name, text in TEXTS:
+        assert finder.find(text)[0][:2] == (name, 1.0)
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"} <= {name for name, _ in TEXTS}
