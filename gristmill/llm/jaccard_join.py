@@ -132,8 +132,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links and set_key.
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS, link_counts: bool = False
+) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id and set_key, with `link_counts` also n_links.
 
     Documents link when the Jaccard similarity of their sets of `width`-word shingles is at least
     percent/100. component_id is the smallest doc_id reachable by links, n_links the number of other
@@ -141,6 +143,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     never paired. Missing texts and texts without words have no shingles, link with nothing and are
     their own components; a row without doc_id takes part, but names no component. Repeated rows come back each;
     other columns are left out. set_key is equal for equal sets and missing for those without shingles.
+
+    Components need few of the links within a large group; with `link_counts` all its pairs are compared.
     """
     texts = keyed_texts(docs)
     first = written(texts.mapInArrow(_first_pass(width), "doc_id long, size long, node long, other long, sketch binary, element long, seen long"), "sets")
@@ -160,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     labels = components(links)
 
     crowded = signed.where("kind = 1").select(F.col("b").alias("signature"), F.col("a").alias("node"))
-    more = _crowded_pairs(crowded, labels, pairs, nodes, percent)
+    more = _crowded_pairs(crowded, labels, pairs, nodes, percent, link_counts)
     if more is not None:
         links = written(links.union(_verified(more, texts, nodes, percent, width)), "all-links")
         labels = components(links)
@@ -168,16 +172,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     # The smallest document of a component, over all nodes that carry its label.
     node_labels = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = node_labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    counts = both.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # Only nodes of more than one document or with links need a look-up; there are at most as many as documents.
-    known = node_labels.join(least, "label").join(counts, "node", "left").select("node", "component_id", "n_links")
+    known = node_labels.join(least, "label").select("node", "component_id")
+    if link_counts:
+        both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+        known = known.join(both.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left")
     return sizes.join(known, "node", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("node").alias("set_key"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if link_counts else []),
     )
 
 
@@ -454,8 +459,8 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
     return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
-def _crowded_pairs(crowded, labels, pairs, nodes, percent: int) -> DataFrame | None:
-    """Pairs in crowded groups that are in different components and that a sketch cannot rule out.
+def _crowded_pairs(crowded, labels, pairs, nodes, percent: int, every: bool) -> DataFrame | None:
+    """Pairs in crowded groups that are in different components (or `every` pair) and that a sketch cannot rule out.
 
     Groups are cut into blocks, and each pair of blocks is compared by itself. Members of the most frequent
     component are only compared with others.
@@ -464,7 +469,7 @@ def _crowded_pairs(crowded, labels, pairs, nodes, percent: int) -> DataFrame | N
     groups = labelled.groupBy("signature").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    groups = groups.where("low <> high").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    groups = groups.where(F.lit(every) | (F.col("low") != F.col("high"))).select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = written(labelled.join(groups, "signature"), "crowded")
     if members.isEmpty():
         return None
@@ -482,9 +487,10 @@ def _crowded_pairs(crowded, labels, pairs, nodes, percent: int) -> DataFrame | N
         names, codes = np.unique(labels_, return_inverse=True)
         large = codes == np.bincount(codes).argmax()
         within = np.searchsorted(sizes, -(-sizes * percent // 100)), np.searchsorted(sizes, sizes * 100 // percent, side="right")
-        for i in np.flatnonzero(~large):
+        for i in range(len(group)) if every else np.flatnonzero(~large):
             j = np.arange(within[0][i], within[1][i])
-            j = j[(large[j] | (j > i)) & (codes[j] != codes[i]) & (one_block | (block[j] != block[i]))]
+            apart = (j > i) if every else (large[j] | (j > i)) & (codes[j] != codes[i])
+            j = j[apart & (one_block | (block[j] != block[i]))]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             j = j[may_be_similar(apart, sizes[j] + sizes[i], percent)]
             found.append(np.stack([np.minimum(nodes_[i], nodes_[j]), np.maximum(nodes_[i], nodes_[j])], axis=1))

@@ -103,3 +103,15 @@ def test_signature_guarantee():
                 continue
             signed = [jaccard_join.signatures(s, (s % np.uint64(7)).astype(np.uint8), 75) for s in sets]
             assert np.intersect1d(*signed).size
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 16])
+def test_link_counts_of_large_groups(groups, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = groups.collect()
+    sets = [brute.shingles(r.text) for r in rows]
+    distinct = set(sets)
+    links = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in distinct) for s in distinct}
+    got = jaccard_join.near_duplicates(groups, link_counts=True).collect()
+    assert max(links.values()) > jaccard_join.SMALL_GROUP
+    assert {r.doc_id: r.n_links for r in got} == {r.doc_id: links[s] for r, s in zip(rows, sets)}
