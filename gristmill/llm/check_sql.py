@@ -84,3 +84,57 @@ r(doc_id, least) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.least FROM
 SELECT t.doc_id, CAST(coalesce(max(n.size), 0) AS BIGINT) AS n_shingles, coalesce(min(r.least), t.doc_id) AS component_id
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY t.doc_id
 """
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = [
+        f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in ("doc_id", "source", "lang", n_chars, "text")
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+# The CRC-32 of a text of ASCII characters, bit by bit: the reflected polynomial 0xEDB88320.
+CRC32_SQL = r"""
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, list_transform(range(8), lambda x: CAST(x AS BIGINT))),
+               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)
+"""
+
+
+def crc32_sql(text: str) -> str:
+    codes = f"list_transform(list_filter(string_split({text}, ''), lambda ch: ch <> ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL},
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, n_chars, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('(n_chars + 1)')} AS changed,
+             {crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 AND n_chars IS NOT NULL AS hit FROM documents, crc),
+l AS (SELECT *, coalesce('+' || lang, '!') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t(tree, height, i, h) AS (
+  SELECT tree, 0, i, leaf FROM l
+  UNION ALL
+  SELECT tree, height + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM t) WHERE n > 1 GROUP BY tree, height, i // 2),
+s AS (SELECT tree, h AS subroot, height AS top FROM t QUALIFY row_number() OVER (PARTITION BY tree ORDER BY height DESC) = 1),
+g AS (SELECT *, row_number() OVER (ORDER BY encode(tree)) - 1 AS k FROM s),
+u(height, i, h) AS (
+  SELECT 0, k, subroot FROM g
+  UNION ALL
+  SELECT height + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY height, i // 2),
+root AS (SELECT h AS root, height AS top FROM u ORDER BY height DESC LIMIT 1),
+f AS (SELECT r, tree, i, k, s.top AS low, s.top + root.top AS steps, CASE WHEN hit THEN changed ELSE leaf END AS start
+      FROM l JOIN g USING (tree) JOIN s USING (tree), root),
+p AS (
+  SELECT r, height AS step, t.i < f.i >> height AS before, t.h AS side FROM f JOIN t ON t.tree = f.tree AND t.i = xor(f.i >> height, 1)
+  UNION ALL
+  SELECT r, low + height, u.i < k >> height, u.h FROM f, u WHERE u.i = xor(k >> height, 1)),
+q AS (SELECT r, sha256(string_agg(side, '' ORDER BY step)) AS proof FROM p GROUP BY r),
+w(r, step, steps, h) AS (
+  SELECT r, 0, steps, start FROM f
+  UNION ALL
+  SELECT w.r, w.step + 1, steps, sha256(CASE WHEN before THEN side || h WHEN NOT before THEN h || side ELSE h END)
+  FROM w LEFT JOIN p ON p.r = w.r AND p.step = w.step WHERE w.step < steps),
+z AS (SELECT r, h AS folded_root FROM w WHERE step = steps)
+SELECT l.doc_id, l.leaf, s.subroot, root.root, coalesce(q.proof, sha256('')) AS proof_sha256, z.folded_root, z.folded_root = root.root AS verified
+FROM l JOIN s USING (tree) JOIN z ON z.r = l.r LEFT JOIN q ON q.r = l.r, root
+"""

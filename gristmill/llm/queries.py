@@ -9,6 +9,7 @@ from . import (
     decontaminate,
     jaccard_join,
     licence_scan,
+    merkle_manifest,
     packing,
     quality_model,
     quality_rules,
@@ -17,7 +18,7 @@ from . import (
     token_files,
     url_filter,
 )
-from .check_sql import JACCARD_SQL, QUALITY_RULES_SQL, url_filter_sql
+from .check_sql import JACCARD_SQL, MERKLE_SQL, QUALITY_RULES_SQL, url_filter_sql
 from .common import read_table, scratch_path
 from .encoding import tokenizer_path
 
@@ -74,6 +75,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return findings
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(read_table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -85,4 +90,5 @@ LLM_QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_quality_rules": (op9_quality_rules, QUALITY_RULES_SQL),
     "op10_secret_scans": (op10_secret_scans, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, MERKLE_SQL),
 }
