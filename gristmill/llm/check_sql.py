@@ -102,7 +102,11 @@ crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n,
 
 
 def crc32_sql(text: str) -> str:
-    codes = f"list_transform(list_filter(string_split({text}, ''), lambda ch: ch <> ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    """The CRC-32 of a text of code points up to U+00FF in UTF-8."""
+    codes = (
+        f"flatten(list_transform(list_filter(string_split({text}, ''), lambda ch: ch <> ''), lambda ch: "
+        "CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [192 + (ord(ch) >> 6), 128 + (ord(ch) & 63)] END))"
+    )
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
@@ -138,3 +142,24 @@ z AS (SELECT r, h AS folded_root FROM w WHERE step = steps)
 SELECT l.doc_id, l.leaf, s.subroot, root.root, coalesce(q.proof, sha256('')) AS proof_sha256, z.folded_root, z.folded_root = root.root AS verified
 FROM l JOIN s USING (tree) JOIN z ON z.r = l.r LEFT JOIN q ON q.r = l.r, root
 """
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL},
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM t GROUP BY 1, 2),
+h AS (SELECT run, k, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM c, crc),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+i AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+m AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM i),
+p AS (SELECT a.word, b.word AS near FROM m a JOIN m b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT m.word, w.word FROM m JOIN w ON w.word = m.rest
+      UNION SELECT w.word, m.word FROM m JOIN w ON w.word = m.rest),
+b AS (SELECT p.word, count(*) AS n_near, first(p.near ORDER BY v.n DESC, encode(p.near)) AS near, max(v.n) AS near_n FROM p JOIN w v ON v.word = p.near GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+      FROM w LEFT JOIN b ON b.word = w.word),
+r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON e.word = f.word
+"""

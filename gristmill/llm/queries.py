@@ -14,11 +14,12 @@ from . import (
     quality_model,
     quality_rules,
     secret_scan,
+    spelling_variants,
     token_counts,
     token_files,
     url_filter,
 )
-from .check_sql import JACCARD_SQL, MERKLE_SQL, QUALITY_RULES_SQL, url_filter_sql
+from .check_sql import JACCARD_SQL, MERKLE_SQL, QUALITY_RULES_SQL, SPELLING_SQL, url_filter_sql
 from .common import read_table, scratch_path
 from .encoding import tokenizer_path
 
@@ -75,6 +76,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return findings
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read_table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(read_table(spark, folder, "documents"))
 
@@ -90,5 +95,6 @@ LLM_QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_quality_rules": (op9_quality_rules, QUALITY_RULES_SQL),
     "op10_secret_scans": (op10_secret_scans, None),
+    "op12_spelling_variants": (op12_spelling_variants, SPELLING_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, MERKLE_SQL),
 }
