@@ -9,6 +9,7 @@ from . import (
     decontaminate,
     jaccard_join,
     licence_scan,
+    lm_scoring,
     merkle_manifest,
     packing,
     quality_model,
@@ -76,6 +77,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return findings
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.lm_scores(read_table(spark, folder, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.spelling_variants(read_table(spark, folder, "documents"))
 
@@ -95,6 +100,7 @@ LLM_QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_quality_rules": (op9_quality_rules, QUALITY_RULES_SQL),
     "op10_secret_scans": (op10_secret_scans, None),
+    "op11_lm_scoring": (op11_lm_scoring, None),
     "op12_spelling_variants": (op12_spelling_variants, SPELLING_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, MERKLE_SQL),
 }
