@@ -6,33 +6,38 @@ the weights are learned by expectation-maximisation on a part of these texts tha
 counts of the others.
 
 Words and word pairs travel as sorted arrays of whole numbers, one array per task and partition, not as rows.
-Pairs of frequent words (a bounded list that all tasks know) are numbered by their words; pairs with another
-word are keyed by hashes and get the counts of their words by a join. A text's score is what it would be if
-it had no known pair and no rare word, plus a correction for each of these it has, added up where it is known.
-Words and pairs with rare words are told apart by 63-bit hashes or more.
+Pairs of frequent words (a bounded list that all tasks know) are numbered by their words. A pair with one rare
+word goes to the partition that holds this word's counts; only pairs of two rare words need a join. A text's
+score is what it would be if it had no known pair and no rare word, plus a correction for each of these it
+has, added up where it is known. Words and pairs with rare words are told apart by 63-bit hashes or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_texts, small_batches, written
-from .word_hashes import WORD_HASHES, mixed
+from .word_hashes import mixed
 
 # Words, and pairs of them, that all tasks know: at most so many, the most frequent ones. The numbers decide
 # only how many entries are exchanged.
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 19
 HEAD_PAIRS = 1 << 18
-# Tokens that a task gathers before it passes on what it has counted, and tokens for each partition of pairs.
-HELD = 2_000_000
-PARTITION_TOKENS = 1 << 22
+# Tokens that a task gathers before it passes on what it has counted, distinct words after which it forgets
+# their numbers, and tokens for each partition of pairs.
+HELD = 500_000
+WORDS_HELD = 200_000
+PARTITION_TOKENS = 1 << 21
+MOST_PARTITIONS = 1 << 20
 # One training document in so many is held out for the weights.
 HELD_OUT = 8
 # Histogram of the ratios of two estimates: steps of an octave.
@@ -41,14 +46,21 @@ NEVER = -1_000_000
 # Weights stay this far from 0 and 1.
 MARGIN = 1e-6
 
-START = int(WORD_HASHES([b"\n"])[0])
-END = int(WORD_HASHES([b""])[0])
-_SHIFT = np.uint64(24)
+# The end token is the empty word, the start of a text a word that no text has.
+END_WORD, START_WORD = b"", b"\n"
+END = xxhash.xxh64_intdigest(END_WORD)
+_SHIFT = np.uint64(21)
+_LOW = np.uint64((1 << 21) - 1)
+_ONE = np.uint64(1)
 _TAG = np.uint64(1 << 63)
 
-_COUNTED = "p int, kind int, keys binary, u binary, w binary, n binary, b binary"
-_MODEL = "p int, kind int, keys binary, counts binary, u long, w long, n long, a long, nu long, au long, nw long, aw long, bucket int, bin int, weight double, moment double"
-_PARTS = "p int, kind int, block long, keys binary, x binary, y binary"
+# Kinds of rows, in the order in which a partition needs them.
+RARE_WORDS, HEAD_PAIR, RARE_PAIR, TWO_RARE, HISTOGRAM, ASKED, OWN = range(7)
+
+_COUNTED = "p int, kind int, keys binary, other binary, n binary, b binary"
+_MODEL = "p int, kind int, keys binary, n binary, nu binary, nw binary, key long, w long, times long, kept long, un long, ua long, bucket int, bin int, weight double, moment double"
+_PARTS = "p int, kind int, block long, keys binary, x binary, y binary, z binary"
+_SUMS = "block long, kind int, keys binary, x binary, y binary"
 
 
 @dataclass
@@ -76,10 +88,8 @@ class Model:
     unigram: float
     weights: list[float]
     head: Head
-    vocabulary: DataFrame
-    tail_from: int
     pairs: DataFrame
-    tail_pairs: DataFrame
+    two_rare: DataFrame
     partitions: int
 
     def word_probability(self, n):
@@ -156,18 +166,24 @@ def learn(docs: DataFrame) -> Model:
     known = spark.sparkContext.broadcast(head)
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PARTITION_TOKENS), 1)
-    entries = texts.mapInArrow(_count_pairs(known, partitions), _COUNTED)
+    partitions = min(partitions, MOST_PARTITIONS)
+    rare = vocabulary.where(F.col("n") < tail_from).where(F.col("key") != _signed(END))
+    rare = rare.select("key", "n", (F.col("n") - F.col("a")).alias("b")).mapInArrow(_pack_words(partitions), _COUNTED)
+    entries = rare.union(texts.mapInArrow(_count_pairs(known, partitions), _COUNTED))
+    entries = entries.repartition(partitions, "p").sortWithinPartitions("p", "kind")
     base = (kept, words, unigram)
-    merged = written(entries.repartition(partitions, "p").mapInArrow(_merge_pairs(known, partitions, base), _MODEL), "pairs")
-    tail = _with_word_counts(merged.where("kind = 1"), vocabulary)
+    merged = written(entries.mapInArrow(_merge_pairs(known, base), _MODEL), "pairs")
+    # Pairs of two rare words have the counts of the first one; the second one's are joined.
+    second = vocabulary.select(F.col("key").alias("w"), F.col("n").alias("wn"), F.col("a").alias("wa"))
+    two_rare = written(merged.where(F.col("kind") == TWO_RARE).select("p", "key", "w", "times", "kept", "un", "ua").join(second, "w"), "two-rare")
 
-    estimate = F.col("a") / F.col("au") / word_probability(F.col("aw"), kept, words, unigram)
-    level = (F.floor(F.log2(F.col("au").cast("double"))) + 1).cast("int")
-    of_tail = _histogram(tail.where("au > 0 AND n > a"), level, estimate, F.col("n") - F.col("a"))
-    of_head = merged.where("kind = 2").select("bucket", "bin", "weight", "moment")
-    both = of_head.union(of_tail).groupBy("bucket", "bin").agg(F.sum("weight").alias("weight"), F.sum("moment").alias("moment"))
-    weights = weights_by_bucket(both.collect())
-    return Model(tokens, words, unigram, weights, head, vocabulary, tail_from, merged.where("kind = 0"), tail, partitions)
+    estimate = F.col("kept") / F.col("ua") / word_probability(F.col("wa"), kept, words, unigram)
+    level = (F.floor(F.log2(F.col("ua").cast("double"))) + 1).cast("int")
+    rest = _histogram(two_rare.where("ua > 0 AND times > kept"), level, estimate, F.col("times") - F.col("kept"))
+    seen = merged.where(F.col("kind") == HISTOGRAM).select("bucket", "bin", "weight", "moment").union(rest)
+    rows = seen.groupBy("bucket", "bin").agg(F.sum("weight").alias("weight"), F.sum("moment").alias("moment")).collect()
+    pairs = merged.where(F.col("kind").isin(RARE_WORDS, HEAD_PAIR, RARE_PAIR))
+    return Model(tokens, words, unigram, weights_by_bucket(rows), head, pairs, two_rare, partitions)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,26 +194,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((model.head, _Values(model), _head_pairs(model)))
     asked = keyed_texts(docs).mapInArrow(_ask(known, model.partitions), _PARTS)
-    none = F.lit(None).cast("binary")
-    pairs = model.pairs.select("p", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "keys", F.col("counts").alias("x"), none.alias("y"))
-
-    least = model.word_probability(0)
-    rates = F.array(*[F.lit(float(w)) for w in model.weights])
-    rate = F.element_at(rates, (F.floor(F.log2(F.col("nu").cast("double"))) + 2).cast("int"))
-    gain = F.log10(1 + rate / (1 - rate) * (F.col("n") / F.col("nu")) / model.word_probability(F.col("nw")))
-    tail = model.tail_pairs.select("u", "w", gain.alias("score"), F.lit(0.0).alias("base"))
-    own = F.element_at(rates, (F.floor(F.log2(F.col("n").cast("double"))) + 2).cast("int"))
-    rare = model.vocabulary.where(F.col("n") < model.tail_from).where(F.col("key") != _signed(END))
-    rare = rare.select(
-        F.lit(None).cast("long").alias("u"),
-        F.col("key").alias("w"),
-        (F.log10(model.word_probability(F.col("n")) / least) + F.log10(1 - own)).alias("score"),
-        F.log10(F.col("n") + 1.0).alias("base"),
+    none = F.lit(None).cast("long").alias("block")
+    pairs = model.pairs.select("p", "kind", none, "keys", F.col("n").alias("x"), F.col("nu").alias("y"), F.col("nw").alias("z"))
+    two_rare = model.two_rare.select("p", "key", "times", "un", "wn").mapInArrow(_pack_pairs, _PARTS)
+    dealt = pairs.union(two_rare).union(asked).repartition(model.partitions, "p").sortWithinPartitions("p", "kind")
+    return dealt.mapInArrow(_answer(known), _SUMS).groupBy("block").applyInArrow(
+        _add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
-    features = tail.union(rare).mapInArrow(_pack_features(model.partitions), _PARTS)
-    dealt = pairs.union(features).union(asked).repartition(model.partitions, "p").sortWithinPartitions("p", "kind")
-    sums = dealt.mapInArrow(_answer(known), "block long, kind int, keys binary, x binary, y binary")
-    return sums.groupBy("block").applyInArrow(_add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, of: int = 7, rest: int = 2) -> DataFrame:
@@ -243,18 +246,6 @@ def _threshold(df: DataFrame, count: str, most: int) -> int:
     return threshold
 
 
-def _with_word_counts(tail: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Pairs with the counts of their rare words; those of frequent words are there already."""
-    columns = ["u", "w", "n", "a", "nu", "au", "nw", "aw"]
-    rows = tail.select(*columns)
-    for side in "uw":
-        counts = vocabulary.select(F.col("key").alias(side), F.col("n").alias(f"_n{side}"), F.col("a").alias(f"_a{side}"))
-        rare = rows.where(f"n{side} IS NULL").drop(f"n{side}", f"a{side}").join(counts, side)
-        rare = rare.withColumnsRenamed({f"_n{side}": f"n{side}", f"_a{side}": f"a{side}"})
-        rows = rows.where(f"n{side} IS NOT NULL").select(*columns).union(rare.select(*columns))
-    return written(rows, "tail-pairs")
-
-
 def _planes(values: np.ndarray) -> bytes:
     """64-bit numbers, byte by byte of equal weight, so that leading zeros compress to nothing."""
     return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -277,70 +268,130 @@ def _partition(keys: np.ndarray, partitions: int) -> np.ndarray:
     return ((mixed(keys) >> np.uint64(20)) % np.uint64(partitions)).astype(np.int32)
 
 
-def _dealt(keys: np.ndarray, partitions: int, *arrays: np.ndarray):
+def _dealt(places: np.ndarray, keys: np.ndarray, *arrays: np.ndarray):
     """For each partition that has keys: its number, its keys in order, and what goes with them."""
-    places = _partition(keys, partitions)
     order = np.lexsort((keys, places))
-    keys, places, arrays = keys[order], places[order], [a[order] for a in arrays]
+    places, keys, arrays = places[order], keys[order], [a[order] for a in arrays]
     starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(keys) else []
     for start, end in zip(starts, [*starts[1:], len(keys)]):
         yield int(places[start]), keys[start:end], *[a[start:end] for a in arrays]
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray):
-    """Distinct keys in order, the place of the first of each, and sums of what goes with them."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys in order, the place of one of each, and sums of what goes with them."""
+    order = np.argsort(keys)
     ordered = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return ordered[starts], order[starts], *[np.add.reduceat(c[order], starts) if len(starts) else c for c in counts]
 
 
-def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(mixed(u) + w) | _TAG
+def _pair_key(known: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Key of a pair: of a rare word and the other one's place and side, or of two rare words."""
+    return mixed(mixed(known) + other) | _TAG
 
 
 def _word_key(w: np.ndarray) -> np.ndarray:
     return mixed(w ^ np.uint64(0x5851F42D4C957F2D)) | _TAG
 
 
-def _tokens(text: str) -> list[bytes]:
-    # bytes.lower and bytes.split know A-Z and ASCII white space only, which is what is asked for.
-    return [*text.encode().lower().split(), b""]
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Vocabulary:
+    """Numbers of the words that a task has seen since it last forgot them, from 0, the end token, on."""
 
+    def __init__(self, head: Head | None = None):
+        self._head = head
+        self.forget()
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Texts of about HELD tokens at a time: the column beside the text, token keys of all texts, lengths."""
-    firsts, keys, lengths, size = [], [], [], 0
+    def forget(self) -> None:
+        self._numbers = _Numbers()
+        self.keys = np.zeros(0, np.uint64)
+        self.places = np.zeros(0, np.int64)
+        self([END_WORD])
+
+    def __len__(self) -> int:
+        return len(self._numbers)
+
+    def __call__(self, words: Sequence[bytes]) -> np.ndarray:
+        numbers = np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words))
+        known = len(self.keys)
+        if len(self._numbers) > known:
+            fresh = np.array([xxhash.xxh64_intdigest(w) for w in islice(self._numbers, known, None)], dtype=np.uint64)
+            self.keys = np.concatenate([self.keys, fresh])
+            if self._head is not None:
+                self.places = np.concatenate([self.places, self._head.places(fresh)])
+                self.places[0] = len(self._head.keys) + 1
+        return numbers
+
+
+def _held(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Texts of about HELD tokens at a time: the column beside the text, the tokens' numbers, lengths of texts."""
+    beside, numbers, lengths, size = [], [], [], 0
     for batch in small_batches(batches):
-        columns = [c.to_pylist() for c in batch.columns]
         at = batch.schema.names.index("text")
-        words = [_tokens(t) for t in columns[at]]
-        firsts += columns[1 - at]
-        lengths += map(len, words)
-        keys.append(WORD_HASHES([w for text in words for w in text]))
-        size += len(keys[-1])
-        if size >= HELD:
-            yield firsts, np.concatenate(keys), np.array(lengths, dtype=np.int64)
-            firsts, keys, lengths, size = [], [], [], 0
-    if firsts:
-        yield firsts, np.concatenate(keys), np.array(lengths, dtype=np.int64)
+        beside += batch.column(1 - at).to_pylist()
+        words = []
+        for text in batch.column(at).to_pylist():
+            before = len(words)
+            # bytes.lower and bytes.split know A-Z and ASCII white space only, which is what is asked for.
+            words += text.encode().lower().split()
+            words.append(END_WORD)
+            lengths.append(len(words) - before)
+        numbers.append(vocabulary(words))
+        size += len(words)
+        if size >= HELD or len(vocabulary) > WORDS_HELD:
+            yield beside, np.concatenate(numbers), np.array(lengths, dtype=np.int64)
+            beside, numbers, lengths, size = [], [], [], 0
+    if beside:
+        yield beside, np.concatenate(numbers), np.array(lengths, dtype=np.int64)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for aside, keys, lengths in _held(batches):
-        apart = np.repeat(np.array(aside, dtype=np.int64), lengths)
-        distinct, _, n, b = _summed(keys, np.ones(len(keys), np.int64), apart)
-        yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(n), pa.array(b)], names=["key", "n", "b"])
-
-
-def _numbered(head: Head, keys: np.ndarray, lengths: np.ndarray):
-    """Numbers of tokens and of their contexts (-1: a rare word), and keys of the contexts."""
-    ends = np.cumsum(lengths) - 1
-    starts = ends - lengths + 1
-    word = head.places(keys)
-    word[ends] = len(head.keys) + 1
-    context, before = np.roll(word, 1), np.roll(keys, 1)
-    context[starts], before[starts] = len(head.keys), np.uint64(START)
+    vocabulary = Vocabulary()
+    n, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows() -> pa.RecordBatch:
+        seen = n > 0
+        return pa.record_batch([pa.array(x[seen]) for x in (vocabulary.keys.view(np.int64), n, b)], names=["key", "n", "b"])
+
+    for aside, numbers, lengths in _held(batches, vocabulary):
+        apart = np.repeat(np.array(aside, dtype=bool), lengths)
+        more = [np.bincount(x, minlength=len(vocabulary)) for x in (numbers, numbers[apart])]
+        for old, new in zip((n, b), more):
+            new[: len(old)] += old
+        n, b = more
+        if len(vocabulary) > WORDS_HELD:
+            yield rows()
+            vocabulary.forget()
+            n, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(n):
+        yield rows()
+
+
+def _pack_words(partitions: int):
+    """Rows of rare words to arrays by partition."""
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n, b = (c.to_numpy() for c in batch.columns)
+            keys = keys.view(np.uint64)
+            rows = [(p, RARE_WORDS, _pack(k), None, _planes(n), _planes(b)) for p, k, n, b in _dealt(_partition(_word_key(keys), partitions), keys, n, b)]
+            yield _rows(rows, names)
+
+    return pack
+
+
+def _numbered(head: Head, vocabulary: Vocabulary, numbers: np.ndarray, lengths: np.ndarray):
+    """Places in the head list of tokens and of their contexts (-1: a rare word), and keys of the contexts."""
+    starts = np.cumsum(lengths) - lengths
+    word = vocabulary.places[numbers]
+    context, before = np.roll(word, 1), np.roll(numbers, 1)
+    context[starts] = len(head.keys)
     return word, context, before
 
 
@@ -348,95 +399,134 @@ def _code(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context.astype(np.uint64) << _SHIFT) | word.astype(np.uint64)
 
 
+def _rare_parts(vocabulary: Vocabulary, word, context, numbers, before):
+    """Pairs with one rare word (where, its key, the other's place and side) and with two (where, both keys)."""
+    one = np.flatnonzero((word < 0) != (context < 0))
+    first = context[one] < 0
+    rare = vocabulary.keys[np.where(first, before[one], numbers[one])]
+    other = (np.where(first, word[one], context[one]).astype(np.uint64) << _ONE) | first.astype(np.uint64)
+    two = np.flatnonzero((word < 0) & (context < 0))
+    return (one, rare, other), (two, vocabulary.keys[before[two]], vocabulary.keys[numbers[two]])
+
+
 def _count_pairs(known, partitions: int):
-    names = ["p", "kind", "keys", "u", "w", "n", "b"]
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+    wide = np.uint64(43)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = known.value
-        for aside, keys, lengths in _held(batches):
-            apart = np.repeat(np.array(aside, dtype=np.int64), lengths)
-            word, context, before = _numbered(head, keys, lengths)
-            frequent = (word >= 0) & (context >= 0)
+        vocabulary = Vocabulary(head)
+        for aside, numbers, lengths in _held(batches, vocabulary):
+            apart = np.repeat(np.array(aside, dtype=np.uint64), lengths)
+            word, context, before = _numbered(head, vocabulary, numbers, lengths)
             rows = []
+            frequent = (word >= 0) & (context >= 0)
             code = _code(context[frequent], word[frequent])
-            distinct, _, n, b = _summed(code, np.ones(len(code), np.int64), apart[frequent])
-            for p, k, n, b in _dealt(distinct, partitions, n, b):
-                rows.append((p, 0, _pack(k), None, None, _planes(n), _planes(b)))
-            u, w = before[~frequent], keys[~frequent]
-            distinct, first, n, b = _summed(_pair_key(u, w), np.ones(len(u), np.int64), apart[~frequent])
-            for p, k, u, w, n, b in _dealt(distinct, partitions, u[first], w[first], n, b):
-                rows.append((p, 1, _pack(k), _planes(u), _planes(w), _planes(n), _planes(b)))
-            yield _rows(rows, names, 2)
+            # Partition, pair and fold in one number, so that one plain sort brings all together.
+            whole = np.sort((_partition(code, partitions).astype(np.uint64) << wide) | (code << _ONE) | apart[frequent])
+            pair = whole >> _ONE
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            n = np.diff(starts, append=len(pair))
+            b = np.add.reduceat(whole & _ONE, starts) if len(starts) else n
+            place, code = (pair[starts] >> (wide - _ONE)).astype(np.int64), pair[starts] & np.uint64((1 << 42) - 1)
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+            for start, end in zip(cuts, [*cuts[1:], len(place)]):
+                rows.append((int(place[start]), HEAD_PAIR, _pack(code[start:end]), None, _planes(n[start:end]), _planes(b[start:end])))
+            for kind, (at, rare, other) in zip((RARE_PAIR, TWO_RARE), _rare_parts(vocabulary, word, context, numbers, before)):
+                _, one, n, b = _summed(_pair_key(rare, other), np.ones(len(at), np.int64), apart[at].astype(np.int64))
+                places = _partition(_word_key(rare[one]), partitions)
+                for p, r, o, n, b in _dealt(places, rare[one], other[one], n, b):
+                    rows.append((p, kind, _pack(r), _planes(o), _planes(n), _planes(b)))
+            yield _rows(rows, names)
+            if len(vocabulary) > WORDS_HELD:
+                vocabulary.forget()
 
     return count
 
 
-def _rows(rows: list, names: list[str], numbers: int) -> pa.RecordBatch:
-    """Rows of a few int columns and binary ones."""
+def _rows(rows: list, names: list[str]) -> pa.RecordBatch:
+    """Rows of a partition, a kind and binary values; a block goes third if it is among the names."""
     columns = list(zip(*rows)) or [()] * len(names)
-    kinds = [pa.int32()] * numbers + [pa.binary()] * (len(names) - numbers)
+    kinds = [pa.int32() if c in ("p", "kind") else pa.int64() if c == "block" else pa.binary() for c in names]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _merge_pairs(known, partitions: int, base: tuple[int, int, float]):
-    """Adds up the counts of a partition's pairs: arrays for frequent words, rows for others, and a histogram."""
-    names = [c.split()[0] for c in _MODEL.split(", ")]
+def _merge_pairs(known, base: tuple[int, int, float]):
+    """Adds up the counts of a partition's pairs, partition by partition: arrays of keys and counts, rows for
+    pairs of two rare words, and a histogram of the ratios that teach the weights."""
     types = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _MODEL.split(", ")])
+    limit = 4_000_000
 
     def batch(rows: int, /, **columns) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(columns[c], schema.field(c).type) if c in columns else pa.nulls(rows, schema.field(c).type) for c in names], schema=schema)
+        return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+    def compact(parts: list) -> list:
+        if len(parts) < 2:
+            return parts
+        keys, n, b, rare, other = (np.concatenate(x) for x in zip(*parts))
+        keys, one, n, b = _summed(keys, n, b)
+        return [(keys, n, b, rare[one] if len(rare) else rare, other[one] if len(other) else other)]
+
+    def histogram(ua, wa, n, b):
+        levels, ratio = bucket(ua), (n - b) / np.maximum(ua, 1) / word_probability(wa, *base)
+        seen = (b > 0) & (levels > 0)
+        levels, ratio, times = levels[seen], ratio[seen], b[seen].astype(float)
+        if len(times):
+            steps = np.where(ratio > 0, np.floor(np.log2(np.where(ratio > 0, ratio, 1)) * STEPS), NEVER).astype(np.int64)
+            cells, place = np.unique(levels * np.int64(1 << 32) + steps - NEVER, return_inverse=True)
+            sums = [np.bincount(place, weights=x) for x in (times, times * ratio)]
+            rows = len(cells)
+            yield batch(rows, kind=np.full(rows, HISTOGRAM), bucket=cells >> 32, bin=(cells & ((1 << 32) - 1)) + NEVER, weight=sums[0], moment=sums[1])
+
+    def finished(p: int, held: dict, head: Head):
+        held = {kind: compact(parts) for kind, parts in held.items()}
+        rare_keys, rare_n, rare_b = held[RARE_WORDS][0][:3] if held[RARE_WORDS] else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        if len(rare_keys):
+            keys = _word_key(rare_keys)
+            order = np.argsort(keys)
+            yield batch(1, p=[p], kind=[RARE_WORDS], keys=[_pack(keys[order])], n=[_planes(rare_n[order])])
+        for keys, n, b, _, _ in held[HEAD_PAIR]:
+            u, w = (keys >> _SHIFT).astype(np.int64), (keys & _LOW).astype(np.int64)
+            yield from histogram(head.a[u], head.a[w], n, b)
+            yield batch(1, p=[p], kind=[HEAD_PAIR], keys=[_pack(keys)], n=[_planes(n)])
+        for kind in (RARE_PAIR, TWO_RARE):
+            for keys, n, b, rare, other in held[kind]:
+                at = np.searchsorted(rare_keys, rare)
+                own_n, own_a = rare_n[at], rare_n[at] - rare_b[at]
+                if kind == TWO_RARE:
+                    for start in range(0, len(keys), 100_000):
+                        s = slice(start, start + 100_000)
+                        size = len(keys[s])
+                        yield batch(size, p=np.full(size, p), kind=np.full(size, kind), key=keys[s].view(np.int64), w=other[s].view(np.int64), times=n[s], kept=(n - b)[s], un=own_n[s], ua=own_a[s])
+                    continue
+                place, first = (other >> _ONE).astype(np.int64), (other & _ONE).astype(bool)
+                yield from histogram(np.where(first, own_a, head.a[place]), np.where(first, head.a[place], own_a), n, b)
+                nu, nw = np.where(first, own_n, head.n[place]), np.where(first, head.n[place], own_n)
+                order = np.argsort(keys)
+                yield batch(1, p=[p], kind=[kind], keys=[_pack(keys[order])], **{c: [_planes(x[order])] for c, x in (("n", n), ("nu", nu), ("nw", nw))})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = known.value
-        held = {0: [], 1: []}
-        sizes = {0: 0, 1: 0}
-
-        def compact(kind: int) -> None:
-            if len(held[kind]) > 1:
-                keys, n, b, u, w = (np.concatenate(x) for x in zip(*held[kind]))
-                keys, first, n, b = _summed(keys, n, b)
-                held[kind] = [(keys, n, b, u[first] if kind else u, w[first] if kind else w)]
-            sizes[kind] = sum(len(x[0]) for x in held[kind])
-
-        limit = {0: 4_000_000, 1: 4_000_000}
+        head, current, sizes = known.value, None, {}
+        held = {kind: [] for kind in (RARE_WORDS, HEAD_PAIR, RARE_PAIR, TWO_RARE)}
         for part in batches:
-            for row in part.to_pylist():
-                kind = row["kind"]
-                n, b = (_from_planes(row[c]).astype(np.int64) for c in "nb")
-                u, w = (_from_planes(row[c]) if kind else np.zeros(0, np.uint64) for c in "uw")
-                held[kind].append((_unpack(row["keys"]), n, b, u, w))
-                sizes[kind] += len(n)
-                if sizes[kind] > limit[kind]:
-                    compact(kind)
-                    limit[kind] = max(4_000_000, 2 * sizes[kind])
-        for kind in held:
-            compact(kind)
-        for keys, n, b, _, _ in held[0]:
-            u, w = (keys >> _SHIFT).astype(np.int64), (keys & np.uint64((1 << 24) - 1)).astype(np.int64)
-            levels, ratio = bucket(head.a[u]), (n - b) / np.maximum(head.a[u], 1) / word_probability(head.a[w], *base)
-            seen = (b > 0) & (levels > 0)
-            levels, ratio, times = levels[seen], ratio[seen], b[seen].astype(float)
-            steps = np.where(ratio > 0, np.floor(np.log2(np.where(ratio > 0, ratio, 1)) * STEPS), NEVER).astype(np.int64)
-            cells, place = np.unique(np.stack([levels, steps]), axis=1, return_inverse=True)
-            place = place.ravel()
-            if len(place):
-                sums = [np.bincount(place, weights=x) for x in (times, times * ratio)]
-                m = cells.shape[1]
-                yield batch(m, kind=np.full(m, 2), bucket=cells[0], bin=cells[1], weight=sums[0], moment=sums[1])
-            for p, k, n in _dealt(keys, partitions, n):
-                yield batch(1, p=[p], kind=[0], keys=[_pack(k)], counts=[_planes(n)])
-        for _, n, b, u, w in held[1]:
-            for start in range(0, len(n), 100_000):
-                s = slice(start, start + 100_000)
-                columns = {}
-                for side, keys in (("u", u[s]), ("w", w[s])):
-                    at = head.places(keys)
-                    at = np.where(keys == np.uint64(START if side == "u" else END), len(head.keys), at)
-                    for c, counts in (("n", head.n), ("a", head.a)):
-                        columns[f"{c}{side}"] = pa.array(counts[at], mask=at < 0)
-                    columns[side] = keys.view(np.int64)
-                yield batch(len(n[s]), kind=np.full(len(n[s]), 1), n=n[s], a=(n - b)[s], **columns)
+            for p, kind, keys, other, n, b in zip(*[c.to_pylist() for c in part.columns]):
+                if p != current:
+                    if current is not None:
+                        yield from finished(current, held, head)
+                    current, sizes = p, {}
+                    held = {kind: [] for kind in held}
+                n, b = (_from_planes(x).astype(np.int64) for x in (n, b))
+                rare, other = (_unpack(keys), _from_planes(other)) if other is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+                keys = _pair_key(rare, other) if len(rare) else _unpack(keys)
+                held[kind].append((keys, n, b, rare, other))
+                sizes[kind] = sizes.get(kind, 0) + len(n)
+                if sizes[kind] > limit:
+                    held[kind] = compact(held[kind])
+                    # What is left after adding up is the partition's own size, which is bounded by its tokens.
+                    sizes[kind] = -len(held[kind][0][0])
+        if current is not None:
+            yield from finished(current, held, head)
 
     return merge
 
@@ -446,8 +536,10 @@ class _Values:
 
     def __init__(self, model: Model):
         n = model.head.n
-        self._rate = np.array(model.weights)[bucket(n)]
-        self._p = model.word_probability(n.astype(float))
+        self._rates = np.array(model.weights)
+        self._rate = self._rates[bucket(n)]
+        self._base = (model.tokens, model.words, model.unigram)
+        self._p = self._probability(n)
         self.word = np.log10(self._p)
         self.context = np.log10(1 - self._rate)
         self.base = np.log10(n + 1.0)
@@ -455,11 +547,23 @@ class _Values:
         self.total = float(np.log10(model.tokens + model.words + 1))
         self._n = n
 
+    def _probability(self, n: np.ndarray) -> np.ndarray:
+        return word_probability(n.astype(float), *self._base)
+
     def gain(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How much a known pair adds to the score without it."""
-        u, w = (codes >> _SHIFT).astype(np.int64), (codes & np.uint64((1 << 24) - 1)).astype(np.int64)
+        """How much a known pair of frequent words adds to the score without it."""
+        u, w = (codes >> _SHIFT).astype(np.int64), (codes & _LOW).astype(np.int64)
         return np.log10(1 + self._rate[u] / (1 - self._rate[u]) * (counts / np.maximum(self._n[u], 1)) / self._p[w])
 
+    def rare_gain(self, n: np.ndarray, nu: np.ndarray, nw: np.ndarray) -> np.ndarray:
+        """The same for other pairs, from the counts of the pair and its words."""
+        rate = self._rates[bucket(nu)]
+        return np.log10(1 + rate / (1 - rate) * (n / np.maximum(nu, 1)) / self._probability(nw))
+
+    def rare_words(self, n: np.ndarray) -> np.ndarray:
+        """How much a known rare word adds, as a token and as the context of the next one."""
+        return np.log10(self._probability(n)) - self.rare_word + np.log10(1 - self._rates[bucket(n)])
+
 
 def _head_pairs(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent pairs of frequent words in order, with their counts."""
@@ -470,7 +574,8 @@ def _head_pairs(model: Model) -> tuple[np.ndarray, np.ndarray]:
             distinct, times = np.unique(n, return_counts=True)
             yield pa.record_batch([pa.array(distinct.astype(np.int64)), pa.array(times.astype(np.int64))], names=["n", "times"])
 
-    numbers = model.pairs.select("counts").mapInArrow(steps, "n long, times long")
+    own = model.pairs.where(F.col("kind") == HEAD_PAIR)
+    numbers = own.select("n").mapInArrow(steps, "n long, times long")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("int")
     reached, threshold = 0, 1 << 62
     for row in numbers.groupBy(step.alias("step")).agg(F.sum("times").alias("times"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
@@ -486,7 +591,7 @@ def _head_pairs(model: Model) -> tuple[np.ndarray, np.ndarray]:
                 kept = counts >= threshold
                 yield pa.record_batch([pa.array(keys[kept].view(np.int64)), pa.array(counts[kept])], names=["key", "n"])
 
-    table = model.pairs.select("keys", "counts").mapInArrow(frequent, "key long, n long").toArrow()
+    table = own.select("keys", "n").mapInArrow(frequent, "key long, n long").toArrow()
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], table.column("n").to_numpy()[order]
@@ -496,89 +601,88 @@ def _ask(known, partitions: int):
     """Per block of texts: sums of what is known here, and the keys of all else by partition."""
     names = [c.split()[0] for c in _PARTS.split(", ")]
 
-    def rows_of(rows):
-        columns = list(zip(*rows))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, values, (pairs, counts) = known.value
         gains = values.gain(pairs, counts)
+        vocabulary = Vocabulary(head)
         block = TaskContext.get().partitionId() << 32
-        for ids, keys, lengths in _held(batches):
+        for ids, numbers, lengths in _held(batches, vocabulary):
             n = len(ids)
-            doc = np.repeat(np.arange(n), lengths)
-            word, context, before = _numbered(head, keys, lengths)
-            if not head.n[-1]:
-                word[np.cumsum(lengths) - 1] = -2  # no training text: the end is an unknown word, too
+            doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
+            word, context, before = _numbered(head, vocabulary, numbers, lengths)
             rare = word < 0
+            known_token = ~rare
+            if not head.n[-1]:
+                known_token[np.cumsum(lengths) - 1] = False  # without training texts the end is unknown, too
             score = np.where(rare, values.rare_word, values.word[word]) + np.where(context >= 0, values.context[context], 0.0)
             base = np.where(rare, 0.0, values.base[word]) - values.total
-            frequent = (word >= 0) & (context >= 0)
-            code = _code(context[frequent], word[frequent])
+            frequent = ~rare & (context >= 0)
+            code, owner = _code(context[frequent], word[frequent]), doc[frequent]
             at = np.minimum(np.searchsorted(pairs, code), max(len(pairs) - 1, 0))
             here = pairs[at] == code if len(pairs) else np.zeros(len(code), bool)
-            owner = doc[frequent]
             sums = np.bincount(doc, weights=score, minlength=n) + np.bincount(owner[here], weights=gains[at[here]], minlength=n)
-            unknown = word == -1
-            wanted = [code[~here], _word_key(keys[unknown]), _pair_key(before[~frequent], keys[~frequent])]
-            owners = np.concatenate([owner[~here], doc[unknown], doc[~frequent]])
-            rows = [(p, 2, block, _pack(k), d.astype(np.int32).tobytes(), None) for p, k, d in _dealt(np.concatenate(wanted), partitions, owners)]
+            (one, first, other), (two, u, w) = _rare_parts(vocabulary, word, context, numbers, before)
+            own = vocabulary.keys[numbers[rare]]
+            parts = [
+                (_partition(code[~here], partitions), code[~here], owner[~here]),
+                (_partition(_word_key(own), partitions), _word_key(own), doc[rare]),
+                (_partition(_word_key(first), partitions), _pair_key(first, other), doc[one]),
+                (_partition(_word_key(u), partitions), _pair_key(u, w), doc[two]),
+            ]
+            rows = [(p, ASKED, block, _pack(k), d.tobytes(), None, None) for p, k, d in _dealt(*[np.concatenate(x) for x in zip(*parts)])]
             missing = np.array([i is None for i in ids], dtype=np.uint8)
-            own = np.stack([lengths, np.bincount(doc, weights=~rare, minlength=n), np.bincount(doc, weights=base, minlength=n), sums])
-            numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            rows.append((block % partitions, 3, block, numbers.tobytes(), missing.tobytes(), own.astype(float).tobytes()))
-            yield rows_of(rows)
+            own = np.stack([lengths, np.bincount(doc, weights=known_token, minlength=n), np.bincount(doc, weights=base, minlength=n), sums])
+            keys = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+            rows.append((block % partitions, OWN, block, keys.tobytes(), missing.tobytes(), own.astype(float).tobytes(), None))
+            yield _rows(rows, names)
             block += 1
+            if len(vocabulary) > WORDS_HELD:
+                vocabulary.forget()
 
     return ask
 
 
-def _pack_features(partitions: int):
-    """Rows of rare words (u missing) and pairs, with what they add, to arrays by partition."""
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of two rare words to arrays by partition."""
     names = [c.split()[0] for c in _PARTS.split(", ")]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            alone = np.asarray(b.column(0).is_null())
-            u = pa.compute.fill_null(b.column(0), 0).to_numpy().view(np.uint64)
-            w, gain, base = (b.column(i).to_numpy() for i in (1, 2, 3))
-            w = w.view(np.uint64)
-            keys = np.where(alone, _word_key(w), _pair_key(u, w))
-            rows = [(p, 1, None, _pack(k), g.tobytes(), x.tobytes()) for p, k, g, x in _dealt(keys, partitions, gain, base)]
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return pack
+    for batch in batches:
+        places, keys, n, un, wn = (c.to_numpy() for c in batch.columns)
+        parts = _dealt(places, keys.view(np.uint64), n, un, wn)
+        yield _rows([(p, TWO_RARE, None, _pack(k), *map(_planes, counts)) for p, k, *counts in parts], names)
 
 
 def _answer(known):
     """Partitions in order, in each the model's arrays first: sums per block and text of what was asked for."""
-    names = ["block", "kind", "keys", "x", "y"]
+    names = [c.split()[0] for c in _SUMS.split(", ")]
+
+    def learned(values: _Values, kind: int, keys: np.ndarray, x: bytes, y: bytes, z: bytes):
+        n = _from_planes(x).astype(np.int64)
+        none = np.zeros(len(keys))
+        if kind == HEAD_PAIR:
+            return keys, values.gain(keys, n), none
+        if kind == RARE_WORDS:
+            return keys, values.rare_words(n), np.log10(n + 1.0)
+        return keys, values.rare_gain(n, *(_from_planes(c).astype(np.int64) for c in (y, z))), none
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, values, _ = known.value
         current, arrays, table = None, [], None
         for b in batches:
             out = []
-            for p, kind, block, keys, x, y in zip(*[c.to_pylist() for c in b.columns]):
+            for p, kind, block, keys, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
                 if p != current:
                     current, arrays, table = p, [], None
-                if kind == 3:
-                    out.append((block, 3, keys, x, y))
+                if kind == OWN:
+                    out.append((block, kind, keys, x, y))
                     continue
                 keys = _unpack(keys)
-                if kind == 0:
-                    arrays.append((keys, values.gain(keys, _from_planes(x).astype(np.int64)), np.zeros(len(keys))))
-                    continue
-                if kind == 1:
-                    arrays.append((keys, np.frombuffer(x), np.frombuffer(y)))
+                if kind != ASKED:
+                    arrays.append(learned(values, kind, keys, x, y, z))
                     continue
                 if table is None:
                     table = [np.concatenate(a) for a in zip(*arrays)] if arrays else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
                     order = np.argsort(table[0])
-                    table = [a[order] for a in table]
+                    table, arrays = [a[order] for a in table], []
                 if not len(table[0]):
                     continue
                 at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
@@ -586,21 +690,20 @@ def _answer(known):
                 docs, places = np.unique(np.frombuffer(x, np.int32)[hit], return_inverse=True)
                 at = at[hit]
                 sums = [np.bincount(places, weights=v, minlength=len(docs)) for v in (table[2][at] > 0, table[2][at], table[1][at])]
-                out.append((block, 2, None, docs.tobytes(), np.stack(sums).tobytes()))
+                out.append((block, kind, None, docs.tobytes(), np.stack(sums).tobytes()))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                yield _rows(out, names)
 
     return answer
 
 
 def _add_up(block: pa.Table) -> pa.Table:
     rows = list(zip(*[block.column(c).to_pylist() for c in ("kind", "keys", "x", "y")]))
-    (keys, missing, own), *_ = [r[1:] for r in rows if r[0] == 3]
+    ((_, keys, missing, own),) = [r for r in rows if r[0] == OWN]
     ids, missing = np.frombuffer(keys, np.int64), np.frombuffer(missing, np.uint8).astype(bool)
     own = np.frombuffer(own).reshape(4, -1).copy()
     for kind, _, docs, sums in rows:
-        if kind == 2:
+        if kind == ASKED:
             docs = np.frombuffer(docs, np.int32)
             own[1:, docs] += np.frombuffer(sums).reshape(3, -1)
     columns = [pa.array(ids, mask=missing), pa.array(own[0].astype(np.int64)), pa.array(np.rint(own[1]).astype(np.int64)), pa.array(own[2]), pa.array(own[3])]

@@ -111,6 +111,7 @@ def test_rare_words_and_pairs(documents, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 50)
     monkeypatch.setattr(lm_scoring, "HEAD_PAIRS", 10)
     monkeypatch.setattr(lm_scoring, "HELD", 2000)
+    monkeypatch.setattr(lm_scoring, "WORDS_HELD", 500)
     check(documents)
 
 
