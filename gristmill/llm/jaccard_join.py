@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.expressions import named
+
 from .common import bounded, keyed_texts, small_arrow_batches, small_batches, written
 from .word_hashes import WORD_HASHES, mixed
 
@@ -34,8 +36,9 @@ FREQUENT = 1 << 20
 # Groups of signatures up to this size give all their pairs at once; larger ones go through components.
 SMALL_GROUP = 16
 PIVOTS = 4
-# Members of a crowded group that meet in one task.
+# Members of a crowded group that meet in one task, and rounds in which they are dealt to blocks at random.
 BLOCK = 8192
+RANDOM_ROUNDS = 3
 SKETCH_BITS = 2048
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -132,8 +135,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def node_of(elements: np.ndarray, collided: frozenset[int], key=set_key) -> int:
+    """The number of a set: its key, or its second key if two different sets have the first one."""
+    first = key(elements)
+    return key(elements, 1) if first in collided else first
+
+
 def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS, link_counts: bool = False
+    docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS, link_counts: bool = False, key=set_key
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and set_key, with `link_counts` also n_links.
 
@@ -145,29 +154,44 @@ def near_duplicates(
     other columns are left out. set_key is equal for equal sets and missing for those without shingles.
 
     Components need few of the links within a large group; with `link_counts` all its pairs are compared.
+    Keys have 64 bits. Where two different sets have the same one (n * n / 2**65 such keys are expected among n
+    sets, a few at 10**10), both go by their second key instead.
     """
     texts = keyed_texts(docs)
-    first = written(texts.mapInArrow(_first_pass(width), "doc_id long, size long, node long, other long, sketch binary, element long, seen long"), "sets")
+    first = written(texts.mapInArrow(_first_pass(width, key), "doc_id long, size long, node long, other long, sketch binary, element long, seen long"), "sets")
     sizes = first.where(F.col("seen").isNull()).select("doc_id", "size", "node", "other", "sketch")
-    nodes = sizes.where("node IS NOT NULL").groupBy("node")
-    nodes = nodes.agg(F.min("doc_id").alias("rep"), F.min("other").alias("low"), F.max("other").alias("high"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
-    if not nodes.where("low <> high").isEmpty():
-        raise ValueError("two different sets have the same key; use another hash seed")
+    sizes = sizes.withColumn("set_key", F.col("node"))
+
+    def known_nodes() -> DataFrame:
+        grouped = sizes.where("node IS NOT NULL").groupBy("node")
+        return written(grouped.agg(F.min("doc_id").alias("rep"), F.min("other").alias("low"), F.max("other").alias("high"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "nodes")
+
+    nodes = known_nodes()
+    collided = frozenset(r["node"] for r in nodes.where("low <> high").select("node").collect())
+    if collided:
+        sizes = sizes.withColumn("node", F.when(F.col("node").isin(*collided), F.col("other")).otherwise(F.col("node")))
+        nodes = known_nodes()
+
+    def number(elements: np.ndarray) -> int:
+        return node_of(elements, collided, key)
+
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(first.where("seen IS NOT NULL")))
 
-    signed = written_groups(texts.mapInArrow(_signer(width, percent, frequent, partitions), "signature long, node long"))
-    rest = _rest_pairs(texts, signed, width)
+    signed = written_groups(texts.mapInArrow(_signer(width, percent, frequent, partitions, number), "signature long, node long"))
+    rest = _rest_pairs(texts, signed, width, number)
     pairs = signed.where("kind = 0").select("a", "b").distinct()
     pairs = written(pairs if rest is None else pairs.union(rest).distinct(), "pairs")
-    links = written(_verified(pairs, texts, nodes, percent, width), "links")
-    labels = components(links)
 
+    def verified(candidates: DataFrame) -> DataFrame:
+        return written(_verified(candidates, texts, nodes, percent, width, number), "links")
+
+    links = verified(pairs)
     crowded = signed.where("kind = 1").select(F.col("b").alias("signature"), F.col("a").alias("node"))
-    more = _crowded_pairs(crowded, labels, pairs, nodes, percent, link_counts)
-    if more is not None:
-        links = written(links.union(_verified(more, texts, nodes, percent, width)), "all-links")
+    if link_counts:
+        links = written(links.union(verified(_all_crowded_pairs(crowded, pairs, nodes, percent))), "all-links")
         labels = components(links)
+    else:
+        labels = _merged_groups(crowded, links, pairs, nodes, percent, verified)
 
     # The smallest document of a component, over all nodes that carry its label.
     node_labels = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
@@ -181,7 +205,7 @@ def near_duplicates(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("node").alias("set_key"),
+        "set_key",
         *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if link_counts else []),
     )
 
@@ -189,7 +213,7 @@ def near_duplicates(
 def with_set_keys(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """The rows as structs `row`, with the set_key that near_duplicates gives their texts."""
     small_arrow_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -238,7 +262,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _first_pass(width: int):
+def _first_pass(width: int, key):
     """Rows of documents (size and keys of their sets) and of shingles that a task saw in more than one set."""
     names = ["doc_id", "size", "node", "other", "sketch", "element", "seen"]
 
@@ -258,12 +282,12 @@ def _first_pass(width: int):
             for text in batch.column(1).to_pylist():
                 elements = shingler(text)
                 sizes.append(len(elements))
-                keys.append(set_key(elements) if len(elements) else None)
-                others.append(set_key(elements, 1) if len(elements) else None)
+                keys.append(key(elements) if len(elements) else None)
+                others.append(key(elements, 1) if len(elements) else None)
                 sketches.append(None)
-                if keys[-1] is not None and keys[-1] not in seen:
+                if keys[-1] is not None and (keys[-1], others[-1]) not in seen:
                     sketches[-1] = sketch(elements)
-                    seen.add(keys[-1])
+                    seen.add((keys[-1], others[-1]))
                     held.append(elements)
                     size += len(elements)
                 if size > 2_000_000:
@@ -294,14 +318,14 @@ def _frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return elements[order], kept.column("level").to_numpy().astype(np.uint8)[order]
 
 
-def _signer(width: int, percent: int, frequent, rule):
+def _signer(width: int, percent: int, frequent, rule, number):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, (known, known_levels) = Shingler(width), set(), frequent.value
         for batch in small_batches(batches):
             rows, keys = [], []
             for text in batch.column(1).to_pylist():
                 elements = shingler(text)
-                key = set_key(elements)
+                key = number(elements)
                 if not len(elements) or key in seen:
                     continue
                 seen.add(key)
@@ -376,7 +400,7 @@ def _groups(pairs, crowd, singles) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kinds), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])
 
 
-def _elements(width: int):
+def _elements(width: int, number):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in small_batches(batches):
@@ -384,7 +408,7 @@ def _elements(width: int):
             rows = []
             for text, node in zip(batch.column(0).to_pylist(), wanted):
                 elements = shingler(text)
-                key = set_key(elements)
+                key = number(elements)
                 if len(elements) and (node is None or node == key):
                     rows.append((key, len(elements), elements.tobytes()))
             if rows:
@@ -393,25 +417,25 @@ def _elements(width: int):
     return make
 
 
-def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, number) -> DataFrame:
     """node, size and elements of the wanted nodes, made again from one document each."""
     reps = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    named = bounded(reps.where("doc_id IS NOT NULL"), "representatives")
-    own = texts.where("doc_id IS NOT NULL").join(named, "doc_id").select("text", "node")
-    sets = own.mapInArrow(_elements(width), _SETS)
+    holders = bounded(reps.where("doc_id IS NOT NULL"), "representatives")
+    own = texts.where("doc_id IS NOT NULL").join(holders, "doc_id").select("text", "node")
+    sets = own.mapInArrow(_elements(width, number), _SETS)
     nameless = reps.where("doc_id IS NULL").select("node")
     if not nameless.isEmpty():
         found = texts.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("node"))
-        sets = sets.union(found.mapInArrow(_elements(width), _SETS).join(nameless, "node", "left_semi"))
+        sets = sets.union(found.mapInArrow(_elements(width, number), _SETS).join(nameless, "node", "left_semi"))
     return sets.dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int, width: int, number) -> DataFrame:
     """The pairs whose sets are similar enough."""
     own = nodes.select("node", "size", "sketch")
     for side in "ab":
-        named = [F.col(c).alias(f"{c}_{side}") for c in ("size", "sketch")]
-        pairs = pairs.join(own.select(F.col("node").alias(side), *named), side)
+        renamed = [F.col(c).alias(f"{c}_{side}") for c in ("size", "sketch")]
+        pairs = pairs.join(own.select(F.col("node").alias(side), *renamed), side)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -424,7 +448,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int
     columns = ["a", "b", "size_a", "size_b", "sketch_a", "sketch_b"]
     pairs = written(pairs.select(*columns).mapInArrow(likely, "a long, b long"), "likely-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(wanted, texts, nodes, width).select("node", "elements")
+    sets = _sets(wanted, texts, nodes, width, number).select("node", "elements")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
 
@@ -438,7 +462,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int
     return joined.mapInArrow(check, "a long, b long").distinct()
 
 
-def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame | None:
+def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int, number) -> DataFrame | None:
     """Pairs of the sets without signatures with all sets that share a shingle; almost never needed."""
     rest = signed.where("kind = 2").select(F.col("a").alias("node")).distinct()
     if rest.isEmpty():
@@ -450,7 +474,7 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
             for text in batch.column(0).to_pylist():
                 elements = shingler(text)
                 if len(elements):
-                    keys = pa.array(np.full(len(elements), set_key(elements), dtype=np.int64))
+                    keys = pa.array(np.full(len(elements), number(elements), dtype=np.int64))
                     yield pa.record_batch([keys, pa.array(elements.view(np.int64))], names=["node", "element"])
 
     postings = texts.select("text").mapInArrow(explode, "node long, element long")
@@ -459,38 +483,132 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int) -> DataFrame |
     return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
-def _crowded_pairs(crowded, labels, pairs, nodes, percent: int, every: bool) -> DataFrame | None:
-    """Pairs in crowded groups that are in different components (or `every` pair) and that a sketch cannot rule out.
+def _merged_groups(crowded, links, tested, nodes, percent: int, verified) -> DataFrame:
+    """Labels of all components, after the crowded groups have been searched for links between components.
 
-    Groups are cut into blocks, and each pair of blocks is compared by itself. Members of the most frequent
-    component are only compared with others.
+    A round takes, per block of a group, a spanning forest of the members' components along pairs that their
+    sketches leave possible: fewer pairs than members. These are compared exactly, and what they link is one
+    component in the next round. Where pairs were refuted, twice as many disjoint forests are taken next time,
+    so the rounds end when every possible pair between different components has been compared. Groups of more
+    than BLOCK members are dealt to random blocks at first, which joins most of what belongs together;
+    then all members but those of the largest component visit every block.
     """
-    labelled = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = labelled.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+    labels = components(links)
+    for turn in range(1 << 30):
+        placed = _open_groups(crowded, labels, turn)
+        if placed is None:
+            return labels
+        placed = placed.join(nodes.select("node", "size", "sketch"), "node")
+        found = placed.groupBy("signature", "block").applyInArrow(_forests(percent, 1 << max(0, turn - RANDOM_ROUNDS)), "a long, b long, every boolean")
+        found = written(found, "forests")
+        fresh = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
+        complete = turn >= RANDOM_ROUNDS and found.where("NOT every").isEmpty()
+        if fresh.isEmpty():
+            if complete:
+                return labels
+            continue
+        new = verified(fresh)
+        tested = written(tested.union(fresh), "tested-pairs")
+        if not new.isEmpty():
+            links = written(links.union(new), "all-links")
+            labels = components(links)
+
+
+def _open_groups(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame | None:
+    """Members of the crowded groups that hold several components, with label, block and whether they visit it."""
+    labelled = written(crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowded")
+    counts = labelled.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("signature").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")
     )
-    groups = groups.where(F.lit(every) | (F.col("low") != F.col("high"))).select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = written(labelled.join(groups, "signature"), "crowded")
-    if members.isEmpty():
+    groups = bounded(groups.where("labels > 1").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "main"), "open-groups")
+    if groups.isEmpty():
         return None
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    members = members.join(nodes.select("node", "size", "sketch"), "node").withColumn("block", own)
+    members = labelled.join(groups, "signature")
+    home = F.pmod(F.xxhash64("node", F.lit(turn if turn < RANDOM_ROUNDS else 0)), F.col("blocks")).cast("int")
+    members = members.withColumn("home", home)
+    if turn < RANDOM_ROUNDS:
+        return members.select("signature", "node", "label", F.col("home").alias("block"), F.lit(False).alias("visits"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    members = members.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(everywhere)))
+    return members.select("signature", "node", "label", "block", (F.col("block") != F.col("home")).alias("visits"))
+
+
+def _forests(percent: int, forests: int):
+    """Disjoint spanning forests of a block's components along possible pairs; every: whether no pair is left."""
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "ascending"), ("node", "ascending")])
+        nodes, labels, sizes = (group.column(c).to_numpy() for c in ("node", "label", "size"))
+        visits = np.asarray(group.column("visits"), dtype=bool)
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(nodes), -1)
+        _, codes = np.unique(labels, return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        members = np.split(order, np.cumsum(np.bincount(codes))[:-1])
+        low, high = np.searchsorted(sizes, -(-sizes * percent // 100)), np.searchsorted(sizes, sizes * 100 // percent, side="right")
+        taken: dict[int, list[int]] = {}
+
+        def possible(i: int, open_: np.ndarray) -> np.ndarray:
+            j = np.arange(low[i], high[i])
+            j = j[open_[j]]
+            if visits[i]:
+                j = j[~visits[j]]
+            j = j[may_be_similar(np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64), sizes[j] + sizes[i], percent)]
+            return j[~np.isin(j, taken[i])] if i in taken else j
+
+        out, left = [], False
+        for forest in range(forests + 1):
+            open_, grown = np.ones(len(nodes), dtype=bool), []
+            for first in range(len(members)):
+                if not open_[members[first][0]]:
+                    continue
+                open_[members[first]] = False
+                queue = members[first].tolist()
+                while queue:
+                    i = queue.pop()
+                    for j in possible(i, open_).tolist():
+                        if not open_[j]:
+                            continue  # its component came in by an earlier member
+                        grown.append((i, j))
+                        open_[members[codes[j]]] = False
+                        queue += members[codes[j]].tolist()
+            if forest == forests:
+                left = bool(grown)
+                break
+            if not grown:
+                break
+            out += grown
+            for i, j in grown:
+                taken.setdefault(i, []).append(j)
+                taken.setdefault(j, []).append(i)
+        pairs = np.sort(nodes[np.array(out, dtype=np.int64).reshape(-1, 2)], axis=1)
+        a, b = pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())
+        if left:
+            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
+        return pa.table({"a": a, "b": b, "every": pa.array([not left] * len(a), pa.bool_())})
+
+    return search
+
+
+def _all_crowded_pairs(crowded, pairs, nodes, percent: int) -> DataFrame:
+    """All pairs in crowded groups that a sketch cannot rule out; groups are cut into blocks, and each pair of
+    blocks is compared by itself. Only numbers of links need this."""
+    groups = crowded.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = crowded.join(bounded(groups, "groups"), "signature").join(nodes.select("node", "size", "sketch"), "node")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros((0, 2), dtype=np.int64)]
         group = group.sort_values("size", kind="stable")
-        sizes, labels_, nodes_ = (group[c].to_numpy() for c in ("size", "label", "node"))
+        sizes, nodes_ = (group[c].to_numpy() for c in ("size", "node"))
         block, one_block = group["block"].to_numpy(), group["low"].iloc[0] == group["high"].iloc[0]
         bits = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint64).reshape(len(group), -1)
-        names, codes = np.unique(labels_, return_inverse=True)
-        large = codes == np.bincount(codes).argmax()
-        within = np.searchsorted(sizes, -(-sizes * percent // 100)), np.searchsorted(sizes, sizes * 100 // percent, side="right")
-        for i in range(len(group)) if every else np.flatnonzero(~large):
-            j = np.arange(within[0][i], within[1][i])
-            apart = (j > i) if every else (large[j] | (j > i)) & (codes[j] != codes[i])
-            j = j[apart & (one_block | (block[j] != block[i]))]
+        high = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+        for i in range(len(group)):
+            j = np.arange(i + 1, max(high[i], i + 1))
+            j = j[one_block | (block[j] != block[i])]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             j = j[may_be_similar(apart, sizes[j] + sizes[i], percent)]
             found.append(np.stack([np.minimum(nodes_[i], nodes_[j]), np.maximum(nodes_[i], nodes_[j])], axis=1))

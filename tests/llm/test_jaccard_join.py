@@ -115,3 +115,33 @@ def test_link_counts_of_large_groups(groups, monkeypatch, block):
     got = jaccard_join.near_duplicates(groups, link_counts=True).collect()
     assert max(links.values()) > jaccard_join.SMALL_GROUP
     assert {r.doc_id: r.n_links for r in got} == {r.doc_id: links[s] for r, s in zip(rows, sets)}
+
+
+def test_colliding_keys(groups):
+    def few_bits(elements, seed=0):
+        """Keys of which many are the same for different sets."""
+        key = jaccard_join.set_key(elements, seed)
+        return key if seed else key % 40
+
+    rows = groups.limit(150)
+    rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    assert found(jaccard_join.near_duplicates(rows, key=few_bits)) == expected(rows.collect())
+
+
+def test_forests_cover_all_pairs_but_stay_small():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(base)[: rng.integers(220, 300)]) for _ in range(60)]
+    table = {
+        "node": np.arange(60), "label": np.arange(60) // 2, "size": [len(s) for s in sets],
+        "sketch": [jaccard_join.sketch(s) for s in sets], "visits": np.zeros(60, bool),
+    }
+    table = jaccard_join.pa.table({k: list(v) for k, v in table.items()})
+    one = jaccard_join._forests(75, 1)(table).to_pydict()
+    assert sum(a is not None for a in one["a"]) < 60
+    many = jaccard_join._forests(75, 1000)(table).to_pydict()
+    pairs = set(zip(many["a"], many["b"]))
+    possible = {
+        (i, j) for i in range(60) for j in range(i + 1, 60) if i // 2 != j // 2 and jaccard_join.similar(sets[i], sets[j], 75)
+    }
+    assert possible and possible <= pairs and all(many["every"])
