@@ -36,9 +36,10 @@ FREQUENT = 1 << 20
 # Groups of signatures up to this size give all their pairs at once; larger ones go through components.
 SMALL_GROUP = 16
 PIVOTS = 4
-# Members of a crowded group that meet in one task, and rounds in which they are dealt to blocks at random.
+# Members of a crowded group that meet in one task, and rounds that look for a few links before all pairs that
+# are still possible are compared.
 BLOCK = 8192
-RANDOM_ROUNDS = 3
+FOREST_ROUNDS = 2
 SKETCH_BITS = 2048
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -488,33 +489,27 @@ def _merged_groups(crowded, links, tested, nodes, percent: int, verified) -> Dat
 
     A round takes, per block of a group, a spanning forest of the members' components along pairs that their
     sketches leave possible: fewer pairs than members. These are compared exactly, and what they link is one
-    component in the next round. Where pairs were refuted, twice as many disjoint forests are taken next time,
-    so the rounds end when every possible pair between different components has been compared. Groups of more
-    than BLOCK members are dealt to random blocks at first, which joins most of what belongs together;
-    then all members but those of the largest component visit every block.
+    component in the next round. In the first round groups of more than BLOCK members are dealt to random blocks;
+    then all members but those of the largest component visit every block. The last round compares all pairs
+    between different components that are still possible, so nothing is left out.
     """
     labels = components(links)
-    for turn in range(1 << 30):
-        placed = _open_groups(crowded, labels, turn)
+    for turn in range(FOREST_ROUNDS + 1):
+        placed = _open_groups(crowded, labels, at_random=turn == 0)
         if placed is None:
-            return labels
+            break
         placed = placed.join(nodes.select("node", "size", "sketch"), "node")
-        found = placed.groupBy("signature", "block").applyInArrow(_forests(percent, 1 << max(0, turn - RANDOM_ROUNDS)), "a long, b long, every boolean")
-        found = written(found, "forests")
-        fresh = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
-        complete = turn >= RANDOM_ROUNDS and found.where("NOT every").isEmpty()
-        if fresh.isEmpty():
-            if complete:
-                return labels
-            continue
+        found = placed.groupBy("signature", "block").applyInArrow(_possible_pairs(percent, turn < FOREST_ROUNDS), "a long, b long")
+        fresh = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
         new = verified(fresh)
         tested = written(tested.union(fresh), "tested-pairs")
         if not new.isEmpty():
             links = written(links.union(new), "all-links")
             labels = components(links)
+    return labels
 
 
-def _open_groups(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame | None:
+def _open_groups(crowded: DataFrame, labels: DataFrame, at_random: bool) -> DataFrame | None:
     """Members of the crowded groups that hold several components, with label, block and whether they visit it."""
     labelled = written(crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowded")
     counts = labelled.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -525,67 +520,40 @@ def _open_groups(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame
     if groups.isEmpty():
         return None
     members = labelled.join(groups, "signature")
-    home = F.pmod(F.xxhash64("node", F.lit(turn if turn < RANDOM_ROUNDS else 0)), F.col("blocks")).cast("int")
-    members = members.withColumn("home", home)
-    if turn < RANDOM_ROUNDS:
-        return members.select("signature", "node", "label", F.col("home").alias("block"), F.lit(False).alias("visits"))
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    members = members.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(everywhere)))
-    return members.select("signature", "node", "label", "block", (F.col("block") != F.col("home")).alias("visits"))
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = members.withColumns({"home": home, "largest": F.col("label") == F.col("main")})
+    everywhere = F.array("home") if at_random else F.sequence(F.lit(0), F.col("blocks") - 1)
+    members = members.withColumn("block", F.explode(F.when(F.col("largest"), F.array("home")).otherwise(everywhere)))
+    return members.select("signature", "node", "label", "block", (F.col("block") != F.col("home")).alias("visits"), "largest")
 
 
-def _forests(percent: int, forests: int):
-    """Disjoint spanning forests of a block's components along possible pairs; every: whether no pair is left."""
+def _possible_pairs(percent: int, forest: bool):
+    """Pairs of different components in a block that sketches leave possible: all, or as many as join what they can."""
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "ascending"), ("node", "ascending")])
         nodes, labels, sizes = (group.column(c).to_numpy() for c in ("node", "label", "size"))
-        visits = np.asarray(group.column("visits"), dtype=bool)
+        visits, largest = (np.asarray(group.column(c), dtype=bool) for c in ("visits", "largest"))
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(nodes), -1)
-        _, codes = np.unique(labels, return_inverse=True)
-        order = np.argsort(codes, kind="stable")
-        members = np.split(order, np.cumsum(np.bincount(codes))[:-1])
+        tree = np.unique(labels, return_inverse=True)[1]
         low, high = np.searchsorted(sizes, -(-sizes * percent // 100)), np.searchsorted(sizes, sizes * 100 // percent, side="right")
-        taken: dict[int, list[int]] = {}
-
-        def possible(i: int, open_: np.ndarray) -> np.ndarray:
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        # A pair of two components has a member outside of the largest one, and a pair of two guests is met at home.
+        for i in np.flatnonzero(~largest).tolist():
             j = np.arange(low[i], high[i])
-            j = j[open_[j]]
+            j = j[(tree[j] != tree[i]) & (largest[j] | (j > i))]
             if visits[i]:
                 j = j[~visits[j]]
             j = j[may_be_similar(np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64), sizes[j] + sizes[i], percent)]
-            return j[~np.isin(j, taken[i])] if i in taken else j
-
-        out, left = [], False
-        for forest in range(forests + 1):
-            open_, grown = np.ones(len(nodes), dtype=bool), []
-            for first in range(len(members)):
-                if not open_[members[first][0]]:
-                    continue
-                open_[members[first]] = False
-                queue = members[first].tolist()
-                while queue:
-                    i = queue.pop()
-                    for j in possible(i, open_).tolist():
-                        if not open_[j]:
-                            continue  # its component came in by an earlier member
-                        grown.append((i, j))
-                        open_[members[codes[j]]] = False
-                        queue += members[codes[j]].tolist()
-            if forest == forests:
-                left = bool(grown)
-                break
-            if not grown:
-                break
-            out += grown
-            for i, j in grown:
-                taken.setdefault(i, []).append(j)
-                taken.setdefault(j, []).append(i)
-        pairs = np.sort(nodes[np.array(out, dtype=np.int64).reshape(-1, 2)], axis=1)
-        a, b = pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())
-        if left:
-            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
-        return pa.table({"a": a, "b": b, "every": pa.array([not left] * len(a), pa.bool_())})
+            if forest and len(j):
+                # One pair for each tree, after which these trees are one.
+                trees, first = np.unique(tree[j], return_index=True)
+                j = j[first]
+                tree[np.isin(tree, trees)] = tree[i]
+            if len(j):
+                out.append(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return search
 

@@ -128,20 +128,17 @@ def test_colliding_keys(groups):
     assert found(jaccard_join.near_duplicates(rows, key=few_bits)) == expected(rows.collect())
 
 
-def test_forests_cover_all_pairs_but_stay_small():
+def test_forests_stay_small_and_all_pairs_are_whole():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [np.sort(rng.permutation(base)[: rng.integers(220, 300)]) for _ in range(60)]
     table = {
-        "node": np.arange(60), "label": np.arange(60) // 2, "size": [len(s) for s in sets],
-        "sketch": [jaccard_join.sketch(s) for s in sets], "visits": np.zeros(60, bool),
+        "node": range(60), "label": [i // 2 for i in range(60)], "size": [len(s) for s in sets],
+        "sketch": [jaccard_join.sketch(s) for s in sets], "visits": [False] * 60, "largest": [i < 2 for i in range(60)],
     }
     table = jaccard_join.pa.table({k: list(v) for k, v in table.items()})
-    one = jaccard_join._forests(75, 1)(table).to_pydict()
-    assert sum(a is not None for a in one["a"]) < 60
-    many = jaccard_join._forests(75, 1000)(table).to_pydict()
-    pairs = set(zip(many["a"], many["b"]))
-    possible = {
-        (i, j) for i in range(60) for j in range(i + 1, 60) if i // 2 != j // 2 and jaccard_join.similar(sets[i], sets[j], 75)
-    }
-    assert possible and possible <= pairs and all(many["every"])
+    few, every = (jaccard_join._possible_pairs(75, forest)(table).to_pydict() for forest in (True, False))
+    pairs = set(zip(every["a"], every["b"]))
+    wanted = {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 2 != j // 2 and jaccard_join.similar(sets[i], sets[j], 75)}
+    assert wanted and wanted <= pairs and 0 < len(few["a"]) < 30 < len(pairs)
+    assert set(zip(few["a"], few["b"])) <= pairs
