@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.expressions import col, require_columns
+from gristmill.functions.expressions import col, named, require_columns
 
 from .common import bounded, keyed_texts, small_batches
 from .word_hashes import WORD_HASHES, mixed
@@ -186,7 +186,7 @@ def leaks(
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents (all columns) in which nothing was found; rows without doc_id stay."""
     ids = bounded(found.select("doc_id").distinct(), "leaking")
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(ids, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def _finder(shared, threshold: float):

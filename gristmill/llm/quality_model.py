@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.expressions import col, require_columns
+from gristmill.functions.expressions import col, named, require_columns
 
 from .common import keyed_texts, small_batches
 from .quality_rules import STOP_WORDS
@@ -207,14 +207,17 @@ def score(docs: DataFrame, trees: FlatTrees, keep: float = KEEP_SCORE) -> DataFr
 
 def accepted(docs: DataFrame, trees: FlatTrees, keep: float = KEEP_SCORE) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores at least `keep`."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    # All columns travel as one struct: single ones are looked up by name, and names may hold dots.
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            values = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+            texts = batch.column(0).field(batch.column(0).type.get_field_index("text"))
+            values = np.array([statistics(t or "") for t in texts.to_pylist()])
             yield batch.filter(pa.array(shared.value.scores(values) >= keep))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return rows.mapInArrow(choose, rows.schema).select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: float = KEEP_SCORE) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 # Names that the operators use for themselves.
-CLASHING = ("row", "pre", "known", "tie", "shard", "task", "length", "rank", "blob", "path", "words", "item_id", "_n", "_slice", "host", "set_key")
+CLASHING = ("row", "pre", "known", "tie", "shard", "task", "length", "rank", "blob", "path", "words", "item_id", "_n", "_slice", "host", "set_key", "a.b", "found_spans")
 
 ODD_TEXTS = (
     None,
