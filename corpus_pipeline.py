@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gristmill.functions.expressions import col, named
 from gristmill.llm import decontaminate, jaccard_join, packing, quality_model, secret_scan
 from gristmill.llm.common import bounded, join_without_hot_keys, read_table, small_arrow_batches, small_batches, written
 from gristmill.llm.encoding import tokenizer_path
@@ -37,17 +39,17 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ids = found.groupBy("doc_id").agg(F.max("is_copy").alias("some"), F.min("is_copy").alias("every"))
     ids = written(ids.where("some"), "ids-of-copies")
     copies = bounded(ids.where("every").select("doc_id"), "copies")
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(copies, "doc_id", "left_anti").select(*named(docs.columns))
     mixed = bounded(ids.where("NOT every").select("doc_id"), "mixed-ids")
     if not mixed.isEmpty():
         # Ids of several texts, some of them copies: these are told apart by their sets.
         gone = found.where("is_copy").join(mixed, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
-        own = jaccard_join.with_set_keys(left.join(mixed, "doc_id", "left_semi").select(*docs.columns))
+        own = jaccard_join.with_set_keys(left.join(mixed, "doc_id", "left_semi").select(*named(docs.columns)))
         own = own.join(gone, (F.col("row.doc_id") == gone["doc_id"]) & (own["set_key"] == gone["set_key"]), "left_anti")
-        left = left.join(mixed, "doc_id", "left_anti").select(*docs.columns).union(own.select("row.*"))
+        left = left.join(mixed, "doc_id", "left_anti").select(*named(docs.columns)).union(own.select("row.*"))
     repeated = bounded(left.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.union(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    single = left.join(repeated, "doc_id", "left_anti").select(*named(docs.columns))
+    return single.union(left.join(repeated, "doc_id", "left_semi").select(*named(docs.columns)).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,14 +64,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     fresh = written(secret_scan.scan_unseen(docs, ledger), "secret-ledger")
     found = fresh.where("spans <> ''").select("blob", F.col("spans").alias("found_spans"))
     # The text decides, so rows without an id and ids of several texts get the spans of their own.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), secret_scan.blob_of("text").alias("blob"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), secret_scan.blob_of("text").alias("blob"))
     if (found.agg(F.sum(F.length("found_spans") + 64)).first()[0] or 0) <= FEW_BYTES:
         joined = rows.join(F.broadcast(found), "blob", "left")
     else:
         joined = join_without_hot_keys(rows, found, "blob")
-    columns = docs.columns
-    masked = joined.select("row.*", "found_spans").mapInArrow(_mask, docs.schema)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    schema = T.StructType([T.StructField("row", docs.select(F.struct(*named(docs.columns)).alias("row")).schema["row"].dataType)])
+    masked = joined.select("row", "found_spans").mapInArrow(_mask, schema).select("row.*")
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return masked.select(*[counted if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,11 +102,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        names = batch.schema.names[:-1]
-        at = names.index("text")
+        rows = batch.column(0)
+        at = rows.type.get_field_index("text")
         texts = [
             t if t is None or not s else secret_scan.masked(t, s)
-            for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
+            for t, s in zip(rows.field(at).to_pylist(), batch.column(1).to_pylist())
         ]
-        columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-        yield pa.record_batch(columns, names=names)
+        fields = [pa.array(texts, rows.type[i].type) if i == at else rows.field(i) for i in range(rows.type.num_fields)]
+        yield pa.record_batch([pa.StructArray.from_arrays(fields, fields=list(rows.type))], names=["row"])

@@ -121,28 +121,34 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
 
 
 def _pairs_by_blocks(narrow: DataFrame, names: Sequence[str], means: Sequence[float], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson's r of all pairs from products of blocks of rows, taken around the means."""
+    """Pearson's r of pairs from products of blocks of rows, taken around the means.
+
+    Only the columns that stand second in some pair are multiplied with all others, so many features against
+    one target are as many numbers per task as there are features.
+    """
     center, width = np.array(means), len(names)
+    seconds = sorted({names.index(b) for _, b in pairs})
+    few = len(seconds)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, width, width))
+        total = np.zeros((6, width, few))
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
             known = ~np.isnan(x)
             x = np.where(known, x - center, 0.0)
             known = known.astype(float)
-            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
-        at = np.arange(width)
-        columns = [np.repeat(at, width), np.tile(at, width), *total.reshape(4, -1)]
-        yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "n", "s", "q", "p"])
-
-    sums = narrow.select(*[col(f"__{c}") for c in names]).mapInArrow(products, "a long, b long, n double, s double, q double, p double")
-    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nsqp"])
+            y, there = x[:, seconds], known[:, seconds]
+            total += np.stack([known.T @ there, x.T @ there, (x * x).T @ there, x.T @ y, known.T @ y, known.T @ (y * y)])
+        columns = [np.repeat(np.arange(width), few), np.tile(seconds, width), *total.reshape(6, -1)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", *"nsqptu"])
+
+    # Plain names: columns are looked up by name on the way to Arrow, and names may hold dots.
+    plain = narrow.select(*[col(f"__{c}").alias(f"c{i}") for i, c in enumerate(names)])
+    sums = plain.mapInArrow(products, "a long, b long, n double, s double, q double, p double, t double, u double")
+    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nsqptu"])
     wanted = [(names.index(a), names.index(b), a, b) for a, b in pairs]
     wanted = F.broadcast(narrow.sparkSession.createDataFrame(wanted, "a long, b long, col_a string, col_b string"))
-    # The sums over b next to a, where both are known, are those of (b, a).
-    other = sums.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s").alias("t"), F.col("q").alias("u"))
-    both = sums.join(wanted, ["a", "b"]).join(other, ["a", "b"])
+    both = sums.join(wanted, ["a", "b"])
     n = F.col("n")
     varied = (F.col("q") / n - F.pow(F.col("s") / n, F.lit(2))) * (F.col("u") / n - F.pow(F.col("t") / n, F.lit(2)))
     shared = F.col("p") / n - F.col("s") / n * F.col("t") / n

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.modelling.prepare import leakage_check
 from gristmill.operators import charts, cleaning, features, profiling, shape
 from gristmill.operators.recipe import Recipe, replay, steps_from_json
 from gristmill.sources import tables as sources
@@ -253,3 +254,13 @@ def test_correlation_by_blocks_equals_pair_by_pair(spark):
     # An infinite value goes pair by pair.
     endless = df.withColumn("c0", F.when(F.col("c1") > 0, F.lit(float("inf"))).otherwise(F.col("c0")))
     assert len(charts.pair_correlations(endless, pairs).collect()) == 28
+
+
+def test_names_with_dots_in_many_correlations(spark):
+    names = [f"x.{i}" for i in range(18)]
+    df = spark.range(200).selectExpr("id", "CAST(id AS DOUBLE) AS `y.t`", *[f"CAST(id * {i + 1} + hash(id, {i}) % {10 ** (i % 4 + 1)} AS DOUBLE) AS `x.{i}`" for i in range(18)])
+    flagged = {r.feature: r.correlation for r in leakage_check(df, names, "y.t").collect()}
+    for name in names:
+        one = charts.pair_correlations(df, [(name, "y.t")]).first().r
+        assert (name in flagged) == (abs(one) > 0.95)
+        assert name not in flagged or flagged[name] == pytest.approx(one, abs=1e-4)
