@@ -36,10 +36,8 @@ FREQUENT = 1 << 20
 # Groups of signatures up to this size give all their pairs at once; larger ones go through components.
 SMALL_GROUP = 16
 PIVOTS = 4
-# Members of a crowded group that meet in one task, and rounds that look for a few links before all pairs that
-# are still possible are compared.
+# Members of a crowded group that meet in one task.
 BLOCK = 8192
-FOREST_ROUNDS = 2
 SKETCH_BITS = 2048
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -487,19 +485,22 @@ def _rest_pairs(texts: DataFrame, signed: DataFrame, width: int, number) -> Data
 def _merged_groups(crowded, links, tested, nodes, percent: int, verified) -> DataFrame:
     """Labels of all components, after the crowded groups have been searched for links between components.
 
-    A round takes, per block of a group, a spanning forest of the members' components along pairs that their
-    sketches leave possible: fewer pairs than members. These are compared exactly, and what they link is one
-    component in the next round. In the first round groups of more than BLOCK members are dealt to random blocks;
-    then all members but those of the largest component visit every block. The last round compares all pairs
-    between different components that are still possible, so nothing is left out.
+    The first rounds take, per block of a group, a spanning forest of the members' components along pairs that
+    their sketches leave possible: fewer pairs than members. These are compared exactly, and what they link is
+    one component in the next round. Groups of more than BLOCK members are dealt to random blocks first; then all
+    members but those of the largest component visit every block, in a round of forests and in the last round,
+    which compares all pairs between different components that are still possible, so nothing is left out.
+    Without such groups the first round has met all members, and the last one follows at once.
     """
     labels = components(links)
-    for turn in range(FOREST_ROUNDS + 1):
-        placed = _open_groups(crowded, labels, at_random=turn == 0)
-        if placed is None:
+    for stage in ("dealt", "forests", "all"):
+        placed, blocks = _open_groups(crowded, labels, at_random=stage == "dealt")
+        if not blocks:
             break
+        if stage == "forests" and blocks == 1:
+            continue
         placed = placed.join(nodes.select("node", "size", "sketch"), "node")
-        found = placed.groupBy("signature", "block").applyInArrow(_possible_pairs(percent, turn < FOREST_ROUNDS), "a long, b long")
+        found = placed.groupBy("signature", "block").applyInArrow(_possible_pairs(percent, stage != "all"), "a long, b long")
         fresh = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
         new = verified(fresh)
         tested = written(tested.union(fresh), "tested-pairs")
@@ -509,22 +510,22 @@ def _merged_groups(crowded, links, tested, nodes, percent: int, verified) -> Dat
     return labels
 
 
-def _open_groups(crowded: DataFrame, labels: DataFrame, at_random: bool) -> DataFrame | None:
-    """Members of the crowded groups that hold several components, with label, block and whether they visit it."""
-    labelled = written(crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowded")
+def _open_groups(crowded: DataFrame, labels: DataFrame, at_random: bool) -> tuple[DataFrame, int]:
+    """Members of the crowded groups that hold several components, with label, block and whether they visit it;
+    and the most blocks that a group has, 0 without groups."""
+    labelled = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = labelled.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("signature").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")
     )
     groups = bounded(groups.where("labels > 1").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "main"), "open-groups")
-    if groups.isEmpty():
-        return None
     members = labelled.join(groups, "signature")
     home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumns({"home": home, "largest": F.col("label") == F.col("main")})
     everywhere = F.array("home") if at_random else F.sequence(F.lit(0), F.col("blocks") - 1)
     members = members.withColumn("block", F.explode(F.when(F.col("largest"), F.array("home")).otherwise(everywhere)))
-    return members.select("signature", "node", "label", "block", (F.col("block") != F.col("home")).alias("visits"), "largest")
+    members = members.select("signature", "node", "label", "block", (F.col("block") != F.col("home")).alias("visits"), "largest")
+    return members, groups.agg(F.max("blocks")).first()[0] or 0
 
 
 def _possible_pairs(percent: int, forest: bool):
