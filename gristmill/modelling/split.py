@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import col, hash_number, require_columns
-from ..operators.ordering import running_totals
+from ..operators.ordering import running_totals, with_row_index
 
 # 13 hex digits fit a double exactly.
 FINE_DIGITS = 13
@@ -105,6 +105,13 @@ def fold_number(key: Column, folds: int = 5, seed: int = 42) -> Column:
     return (hash_number(key, f"fold{seed}") % folds).cast("int")
 
 
+def deal_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
+    """Folds dealt in turn along the hashes of the keys, so that none is empty; for tables where a fold by hash is."""
+    hashed = df.withColumn("__hash", hash_number(col(key), f"fold{seed}"))
+    dealt = with_row_index(hashed, ["__hash", key], "__place")
+    return dealt.withColumn(name, (F.col("__place") % folds).cast("int")).drop("__hash", "__place")
+
+
 def assign_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """A fold from 0 to ``folds - 1`` for each key."""
     require_columns(df, key)

@@ -40,7 +40,8 @@ from .prepare import (
     learn_preparation,
     model_features,
 )
-from .split import both_sides, fold_number, split_holdout, split_stratified
+from .linear_cv import linear_fold_scores
+from .split import both_sides, deal_folds, fold_number, split_holdout, split_stratified
 
 SEED = 42
 DEEPEST = 30
@@ -415,21 +416,82 @@ def feature_importance(model: Model, features: Sequence[str]) -> tuple[tuple[str
     return tuple((f, round(float(v), 4)) for f, v in ranked)
 
 
-def cross_validate(data: TrainingSet, estimator: Estimator, folds: int = 5, parallelism: int = 2) -> dict[str, Any]:
-    """Score per fold over all rows; folds follow from the row keys."""
+def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
+    """For each fold a table (key, label, fold, features), kept, whose preparation was learned without that fold.
+
+    Folds follow from the row keys; should one be empty, rows are dealt in turn in the order of their hashes.
+    With fit_scope "all" the folds share the preparation of the training set.
+    """
+    if folds < 2:
+        raise ValueError("need at least 2 folds")
+    fold = fold_number(col(data.key), folds)
+    if data.options["fit_scope"] == "all":
+        labelled = data.prepared
+    else:
+        rows = data.source.select(*[col(c) for c in dict.fromkeys((data.key, data.target, *data.features))])
+        rows = rows.where(_known_target(rows, data.target, data.task))
+        labelled = rows.withColumn(LABEL, _label(rows, data.target, data.classes))
+    placed = labelled.withColumn("fold", fold)
+    if placed.select("fold").distinct().count() < folds:
+        if labelled.count() < folds:
+            raise ValueError(f"{folds} folds need at least {folds} rows")
+        placed = deal_folds(labelled, data.key, folds)
+    if data.options["fit_scope"] == "all":
+        return [placed.persist(StorageLevel.MEMORY_AND_DISK)] * folds
+    rows, tables = data.train_rows + data.test_rows, []
+    for i in range(folds):
+        preparation = learn_preparation(placed.where(F.col("fold") != i), data.features)
+        wide = preparation.transform(placed).select(col(data.key), F.col(LABEL).alias("label"), "fold", "features")
+        tables.append(_balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK))
+    return tables
+
+
+def cross_validate(
+    data: TrainingSet, estimator: Estimator, folds: int = 5, parallelism: int = 2, prepared: Sequence[DataFrame] | None = None
+) -> dict[str, Any]:
+    """A score per fold over all rows, each with a preparation learned without the fold.
+
+    Every fold has a score; a fold without one (no two rows, or no variance of a number to explain) is an
+    error. Plain linear regression over numbers takes its scores from sums per fold, see linear_cv.
+    `prepared` are tables of prepared_folds(), for several estimators in turn.
+    """
     if folds < 2:
         raise ValueError("need at least 2 folds")
-    placed = data.prepared.withColumn("fold", fold_number(col(data.key), folds))
     name = "accuracy" if data.task == "classification" else "r2"
+    if prepared is None and _plain_linear(data, estimator):
+        rows = linear_fold_scores(data.source, data.target, data.features, data.key, folds)
+        return _cv_summary([r["r2"] if r["r2"] is None else round(r["r2"], 4) for r in rows], name, folds)
+    tables = prepared if prepared is not None else prepared_folds(data, folds)
 
     def one(i: int) -> float | None:
-        inside, outside = placed.where(F.col("fold") != i), placed.where(F.col("fold") == i)
+        inside, outside = tables[i].where(F.col("fold") != i), tables[i].where(F.col("fold") == i)
         scored = estimator.copy().fit(inside).transform(outside)
         found = rate(scored, data.task, ["fold"], data.positive)
         return found[i][name] if i in found else None
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = [s for s in pool.map(one, range(folds)) if s is not None]
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            return _cv_summary(list(pool.map(one, range(folds))), name, folds)
+    finally:
+        if prepared is None:
+            release(tables)
+
+
+def release(tables: Sequence[DataFrame]) -> None:
+    for kept in tables:
+        kept.unpersist()
+
+
+def _plain_linear(data: TrainingSet, estimator: Estimator) -> bool:
+    if not isinstance(estimator, LinearRegression) or estimator.getRegParam() or data.options["fit_scope"] == "all":
+        return False
+    return not any(is_text(data.source, f) for f in data.features)
+
+
+def _cv_summary(scores: list[float | None], name: str, folds: int) -> dict[str, Any]:
+    without = [i for i, s in enumerate(scores) if s is None or math.isnan(s)]
+    if without:
+        raise ValueError(f"no {name} for fold(s) {', '.join(map(str, without))}: too few rows or no variance")
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return {"scores": scores, "mean": round(mean, 4), "std": round(spread, 4), "metric": name, "folds": folds}
@@ -606,17 +668,20 @@ def tune(
     for f in features:
         if not is_text(df, f):
             complete = complete.where(finite(df, f).isNotNull())
-    data = training_set(complete, target, features, task, key, fit_scope="all", seed=seed)
+    data = training_set(complete, target, features, task, key, seed=seed)
     rows = data.train_rows + data.test_rows
     if rows < 10:
         raise ValueError("too few complete rows for tuning; at least 10 are needed")
     trials = trials or min(20, max(5, rows // 100))
     folds = min(folds, rows // 2)
-    rated = []
-    for draw in sample_hyperparams(space, trials, seed):
-        estimator = make_estimator(task, algorithm, rows, max(2, len(data.classes)), **draw)
-        rated.append((cross_validate(data, estimator, folds, parallelism)["mean"], draw))
-    data.release()
+    rated, prepared = [], prepared_folds(data, folds)
+    try:
+        for draw in sample_hyperparams(space, trials, seed):
+            estimator = make_estimator(task, algorithm, rows, max(2, len(data.classes)), **draw)
+            rated.append((cross_validate(data, estimator, folds, parallelism, prepared)["mean"], draw))
+    finally:
+        release(prepared)
+        data.release()
     rated.sort(key=lambda t: -t[0])
     table = [
         (i + 1, {k: str(v) for k, v in draw.items()}, float(score)) for i, (score, draw) in enumerate(rated[:KEPT_TRIALS])

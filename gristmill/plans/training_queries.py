@@ -15,6 +15,7 @@ from ..modelling import metrics as M
 from ..modelling import report as R
 from ..modelling import split as S
 from ..modelling import train as T
+from ..modelling.linear_cv import linear_cv
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as sources
 from .model_queries import hash_sql
@@ -128,6 +129,13 @@ def train_cv(spark, folder):
     return spark.createDataFrame(rows, "fold int, possible boolean, mean_fits boolean")
 
 
+def cv_linear(spark, folder):
+    """Scores per fold of a model of one column with missing values, which take the median of the other folds."""
+    quantity = F.expr("CASE WHEN l_quantity % 10 = 3 THEN NULL ELSE l_quantity END").alias("quantity")
+    lines = price_lines(spark, folder).select("line", quantity, "l_extendedprice")
+    return rounded(linear_cv(lines, "l_extendedprice", ["quantity"], "line"), 6)
+
+
 def compare_all(spark, folder):
     data = _documents(spark, folder)
     results, _ = T.compare_all(data, {"random_forest": QUICK_FOREST, "xgboost": QUICK_BOOST, "lightgbm": {"n_estimators": 10, "num_leaves": 8}})
@@ -344,6 +352,16 @@ z AS (SELECT CAST(sum(floor(n * 0.2 + 0.5)) AS BIGINT) AS test_rows, CAST(sum(n)
 """
 _SIDES_SQL = "z AS (SELECT count(*) FILTER (WHERE {flag}) AS test_rows, count(*) AS rows FROM {source})"
 _ORDER_SIDES_SQL = _SIDES_SQL.format(flag=f"{hash_sql('o_orderkey')} % 100 < 20", source="orders")
+_CV_LINEAR_SQL = f"""
+WITH p AS (SELECT {hash_sql('line', 'fold42')} % 5 AS fold, y, CASE WHEN x % 10 = 3 THEN NULL ELSE x END AS x FROM {_LINES_SQL}),
+k AS (SELECT unnest(range(5)) AS k),
+m AS (SELECT k, median(x) AS fill FROM k JOIN p ON fold <> k GROUP BY k),
+z AS (SELECT k, fold, y, coalesce(x, fill) AS x FROM p, m),
+c AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM z WHERE fold <> k GROUP BY k),
+o AS (SELECT z.k, y, a + b * x AS fitted, avg(y) OVER (PARTITION BY z.k) AS mean FROM z JOIN c ON c.k = z.k WHERE fold = z.k)
+SELECT CAST(k AS INTEGER) AS fold, count(*) AS rows, round(1 - sum((y - fitted) * (y - fitted)) / sum((y - mean) * (y - mean)), 6) AS r2,
+       round(sqrt(avg((y - fitted) * (y - fitted))), 6) AS rmse FROM o GROUP BY k
+"""
 _PRICE_SIDES_SQL = _SIDES_SQL.format(flag=f"{hash_sql('line')} % 100 < 20", source=_LINES_SQL)
 
 
@@ -419,6 +437,7 @@ TRAINING_QUERIES = {
     "train_gbt_multiclass": (train_gbt_multiclass, _facts_sql(_ORDER_SIDES_SQL, "lightgbm")),
     "train_gbt_reg": (train_gbt_reg, _facts_sql(_PRICE_SIDES_SQL, "lightgbm")),
     "linreg_1d": (linreg_1d, _LINREG_SQL),
+    "cv_linear": (cv_linear, _CV_LINEAR_SQL),
     "train_cv": (train_cv, "SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, true AS possible, true AS mean_fits"),
     "compare_all": (compare_all, _facts_sql(_DOCUMENTS_SQL, *T.ALGORITHMS["classification"])),
     "tune": (tune, "SELECT CAST(5 AS BIGINT) AS trials, true AS in_order, true AS different"),

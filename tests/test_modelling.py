@@ -8,6 +8,7 @@ from gristmill.functions.expressions import hash_number
 from gristmill.modelling import cluster as C
 from gristmill.modelling import density, diagnose, explain, metrics, prepare, report, split
 from gristmill.modelling import train as T
+from gristmill.modelling.linear_cv import linear_fold_scores
 
 NAN, INF = float("nan"), float("inf")
 
@@ -93,6 +94,50 @@ def test_cross_validation_floor(three):
     assert cv["mean"] == pytest.approx(np.mean(cv["scores"]), abs=1e-4) and cv["std"] == pytest.approx(np.std(cv["scores"]), abs=1e-4)
 
 
+def with_gaps(spark, rows):
+    df = numbers_table(spark, rows, (30, 20, 20), 45)
+    return df.withColumn("f0", F.expr("CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE f0 END"))
+
+
+def test_linear_cv_equals_fitting_each_fold(spark):
+    """Sums per fold give the scores that fitting on the other folds, with their medians, gives."""
+    df = with_gaps(spark, 300)
+    rows = [r.asDict() for r in df.withColumn("fold", split.fold_number(F.col("id"), 4)).collect()]
+    names = [f"f{j}" for j in range(10)]
+    x = np.array([[math.nan if r[f] is None else r[f] for f in names] for r in rows])
+    y, fold = np.array([r["target"] for r in rows]), np.array([r["fold"] for r in rows])
+    found = linear_fold_scores(df.repartition(5), "target", names, "id", 4)
+    for k in range(4):
+        fills = np.nanmedian(x[fold != k], axis=0)
+        design = np.column_stack([np.ones(len(x)), np.where(np.isnan(x), fills, x)])
+        weights = np.linalg.lstsq(design[fold != k], y[fold != k], rcond=None)[0]
+        off = y[fold == k] - design[fold == k] @ weights
+        r2 = 1 - (off**2).sum() / ((y[fold == k] - y[fold == k].mean()) ** 2).sum()
+        assert found[k]["rows"] == (fold == k).sum()
+        assert found[k]["r2"] == pytest.approx(r2, abs=1e-9) and found[k]["rmse"] == pytest.approx(np.sqrt((off**2).mean()))
+
+
+def test_cross_validation_prepares_each_fold_anew(spark):
+    data = T.training_set(with_gaps(spark, 300), "target", ["f0", "f1", "f2"], "regression", "id")
+    one_pass = T.cross_validate(data, T.make_estimator("regression", "linear_regression", 240), 4)
+    tables = T.prepared_folds(data, 4)
+    each = T.cross_validate(data, T.make_estimator("regression", "linear_regression", 240), 4, prepared=tables)
+    T.release(tables)
+    assert np.allclose(one_pass["scores"], each["scores"], atol=1.01e-4) and len(each["scores"]) == 4
+
+
+def test_no_fold_is_dropped(spark):
+    rows = spark.range(100).where(split.fold_number(F.col("id"), 5) != 2).limit(8).collect()
+    tiny = spark.createDataFrame([(r.id, float(i % 3), i % 2) for i, r in enumerate(rows)], "id long, x double, y int")
+    data = T.training_set(tiny, "y", ["x"], "classification", "id")
+    assert len(T.cross_validate(data, T.make_estimator("classification", "logistic_regression", 6), 5)["scores"]) == 5
+    number = T.training_set(tiny.withColumn("y", F.col("id") * 1.5), "y", ["x"], "regression", "id")
+    with pytest.raises(ValueError, match="no r2 for fold"):
+        T.cross_validate(number, T.make_estimator("regression", "linear_regression", 6), 5)
+    with pytest.raises(ValueError, match="need at least"):
+        T.cross_validate(data, T.make_estimator("classification", "logistic_regression", 6), 9)
+
+
 def test_guards(spark):
     one = spark.createDataFrame([(1, 1, 1)], "id long, x int, y int")
     single = spark.createDataFrame([(i, i, 1) for i in range(20)], "id long, x int, y int")
