@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_double, col, double_array, is_text, named, require_columns
 from ..operators.ordering import rows_at
 from ..session import cut_lineage
-from .prepare import learn_preparation, model_features
+from .prepare import inner_names, learn_preparation, model_features
 
 RESTARTS = 10
 FIRST_SEED = 42
@@ -51,7 +51,7 @@ def scaled_points(df: DataFrame, features: Sequence[str], key: str) -> DataFrame
     require_columns(df, key)
     model_features(df, features)
     prepared = learn_preparation(df, features).transform(df)
-    names = [f + "__num" for f in features]
+    names = inner_names(features)
     scaled = scale_columns(prepared.select(col(key), *named(names)), names, "")
     return scaled.select(col(key), F.array(*named(names)).alias(POINTS))
 

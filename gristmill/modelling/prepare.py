@@ -13,11 +13,15 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import as_double, col, is_numeric, is_scalar, is_text, quoted, require_columns, text_literal
 from ..operators.charts import pair_correlations
-from ..operators.ordering import column_medians, with_row_index
+from ..operators.ordering import column_medians
+from .categories import CategoryCodes, code_table, join_codes
 
 # Fixed value: the category of missing text.
 MISSING = "__missing__"
-MAX_CATEGORIES = 100_000
+# Code tables of at most this many texts are broadcast as a whole.
+BROADCAST_CATEGORIES = 100_000
+# Features of at most this many texts are coded from a list in the model, others from a written table.
+LISTED_CATEGORIES = 10_000
 MAX_CLASSES = 1_000
 LEAKAGE_LIMIT = 0.95
 IMBALANCE_LIMIT = 20.0
@@ -26,21 +30,21 @@ IMBALANCE_LIMIT = 20.0
 # Encoding and imputation as table operators ----------------------------------------------
 
 
-def label_encode(df: DataFrame, column: str, name: str | None = None, broadcast_limit: int = MAX_CATEGORIES) -> DataFrame:
+def label_encode(df: DataFrame, column: str, name: str | None = None, broadcast_limit: int = BROADCAST_CATEGORIES) -> DataFrame:
     """Codes 0, 1, 2, ... in sorted text order, missing values being a category of their own.
 
     Up to ``broadcast_limit`` categories the code table is broadcast; beyond it the codes come
-    from the distributed row index and an ordinary join.
+    from the distributed row index, and only those of frequent texts are broadcast.
     """
     require_columns(df, column)
     name = name or f"{column}_code"
     text = F.coalesce(col(column).cast("string"), F.lit(MISSING))
     categories = df.select(text.alias("__text")).distinct()
-    if categories.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        ranked = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__text")) - 1
-        codes = F.broadcast(categories.withColumn(name, ranked.cast("bigint")))
-    else:
-        codes = with_row_index(categories, ["__text"], name)
+    if categories.limit(broadcast_limit + 1).count() > broadcast_limit:
+        codes, _ = code_table(df, [text])
+        return join_codes(df, text, codes, name)
+    ranked = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__text")) - 1
+    codes = F.broadcast(categories.withColumn(name, ranked.cast("bigint")))
     return df.withColumn("__text", text).join(codes, "__text").drop("__text")
 
 
@@ -176,35 +180,52 @@ def model_features(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"columns without a scalar type cannot be features: {', '.join(wrong)}")
 
 
-def learn_preparation(df: DataFrame, features: Sequence[str], max_categories: int = MAX_CATEGORIES, **options) -> Preparation:
-    """Learn category lists and medians from ``df`` (normally the training side) and build
-    persistable stages from them."""
+def learn_preparation(
+    df: DataFrame, features: Sequence[str], listed_categories: int = LISTED_CATEGORIES, **options
+) -> Preparation:
+    """Learn category codes and medians from ``df`` (normally the training side) and build
+    persistable stages from them.
+
+    Text features take their codes in sorted order, missing text being a category and unseen text
+    having the code after the last. Up to ``listed_categories`` texts are a list in the model; features
+    with more have a code table, which is saved with the model and joined.
+    """
     model_features(df, features)
     texts = [f for f in features if is_text(df, f)]
     numbers = [f for f in features if f not in texts]
     clean = df.select(*[finite(df, f).alias(f) for f in numbers]) if numbers else df
     medians = column_medians(clean, numbers, **options)
     fills = {f: float(medians[f]) if medians[f] is not None else 0.0 for f in numbers}
-    categories = _categories(df, texts, max_categories)
+    categories = _categories(df, texts, listed_categories)
+    listed, wide = [f for f in texts if f in categories], [f for f in texts if f not in categories]
+    text, place, number = (dict(zip(features, inner_names(features, kind))) for kind in ("txt", "idx", "num"))
     stages: list[Transformer] = [
-        _select([f"coalesce({_finite_sql(df, f)}, double('{fills[f]!r}')) AS {quoted(f + '__num')}" for f in numbers]
-                + [f"coalesce({quoted(f)}, {text_literal(MISSING)}) AS {quoted(f + '__txt')}" for f in texts])
+        _select([f"coalesce({_finite_sql(df, f)}, double('{fills[f]!r}')) AS {quoted(number[f])}" for f in numbers]
+                + [f"coalesce({quoted(f)}, {text_literal(MISSING)}) AS {quoted(text[f])}" for f in texts])
     ]
-    if texts:
+    if listed:
         stages.append(
             StringIndexerModel.from_arrays_of_labels(
-                [categories[f] for f in texts],
-                inputCols=[f + "__txt" for f in texts],
-                outputCols=[f + "__idx" for f in texts],
+                [categories[f] for f in listed],
+                inputCols=[text[f] for f in listed],
+                outputCols=[place[f] for f in listed],
                 handleInvalid="keep",
             )
         )
         # Plain numbers: as nominal columns they would need a tree bin per category.
-        stages.append(_select([f"{quoted(f + '__idx')} + double('0') AS {quoted(f + '__num')}" for f in texts]))
-    stages.append(VectorAssembler(inputCols=[f + "__num" for f in features], outputCol="features"))
+        stages.append(_select([f"{quoted(place[f])} + double('0') AS {quoted(number[f])}" for f in listed]))
+    if wide:
+        codes, sizes = code_table(df, [F.coalesce(col(f), F.lit(MISSING)) for f in wide])
+        stages.append(CategoryCodes([text[f] for f in wide], [number[f] for f in wide], sizes).over(codes))
+    stages.append(VectorAssembler(inputCols=[number[f] for f in features], outputCol="features"))
     return Preparation(tuple(features), fills, categories, tuple(stages))
 
 
+def inner_names(features: Sequence[str], kind: str = "num") -> list[str]:
+    """Names of prepared columns. MLlib reads a dot as a path, so names with one go by their place."""
+    return [f"__feature{i}__{kind}" if "." in f or "`" in f else f"{f}__{kind}" for i, f in enumerate(features)]
+
+
 def _select(expressions: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement="SELECT *, " + ", ".join(expressions) + " FROM __THIS__")
 
@@ -223,17 +244,15 @@ def _finite_sql(df: DataFrame, name: str) -> str:
 
 
 def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, list[str]]:
-    """The sorted distinct texts of each column, from one grouping of (column, text) pairs."""
+    """The sorted distinct texts of each column that has at most ``limit``, from one grouping of (column, text) pairs."""
     if not names:
         return {}
     text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in names]
     pairs = df.select(F.inline(F.array(*text))).distinct()
-    found: dict[str, list[str]] = {n: [] for n in names}
-    for r in pairs.limit(limit * len(names) + 1).collect():
+    wide = {r.name for r in pairs.groupBy("name").count().where(F.col("count") > limit).collect()}
+    found: dict[str, list[str]] = {n: [] for n in names if n not in wide}
+    for r in pairs.where(F.col("name").isin(list(found))).collect() if found else []:
         found[r.name].append(r.text)
-    wide = [n for n in names if len(found[n]) > limit]
-    if wide:
-        raise ValueError(f"more than {limit} categories, which looks like free text, in {', '.join(wide)}")
     return {n: sorted(v) for n, v in found.items()}
 
 

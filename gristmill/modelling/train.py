@@ -32,9 +32,11 @@ from . import metrics as M
 from .prepare import (
     IMBALANCE_LIMIT,
     LEAKAGE_LIMIT,
+    LISTED_CATEGORIES,
     Preparation,
     choose_algorithm,
     finite,
+    inner_names,
     is_text,
     learn_classes,
     learn_preparation,
@@ -162,6 +164,7 @@ def training_set(
     positive_class=None,
     fit_scope: str = "train",
     seed: int = SEED,
+    listed_categories: int = LISTED_CATEGORIES,
 ) -> TrainingSet:
     """Check the table, code the target, split by key, learn the preparation and apply it."""
     require_columns(df, target, key)
@@ -173,9 +176,9 @@ def training_set(
     if fit_scope not in ("train", "all"):
         raise ValueError("fit_scope is train or all")
     # Every step below reads this table again, so its few columns are kept until the end.
-    data = df.select(*dict.fromkeys([key, target, *features])).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.select(*[col(c) for c in dict.fromkeys([key, target, *features])]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed)
+        return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed, listed_categories)
     finally:
         data.unpersist()
 
@@ -191,6 +194,7 @@ def _training_set(
     positive_class,
     fit_scope: str,
     seed: int,
+    listed_categories: int,
 ) -> TrainingSet:
     known = data.where(col(target).isNotNull() if task == "classification" else finite(data, target).isNotNull())
     rows, kept = data.agg(F.count("*"), F.count(F.when(_known_target(data, target, task), 1))).first()
@@ -216,7 +220,7 @@ def _training_set(
         sided = split_holdout(labelled, key, test_size, seed)
         sided = both_sides(sided, key, seed)
     learn_from = sided if fit_scope == "all" else sided.where(~F.col("is_test"))
-    preparation = learn_preparation(learn_from, features)
+    preparation = learn_preparation(learn_from, features, listed_categories)
     wide = preparation.transform(sided)
     leaky = _leaky_features(wide, features)
     prepared = wide.select(col(key), F.col(LABEL).alias("label"), "is_test", "features")
@@ -240,7 +244,13 @@ def _training_set(
         dropped_rows=rows - kept,
         imbalance=imbalance,
         leaky=leaky,
-        options={"test_size": test_size, "positive_class": positive_class, "fit_scope": fit_scope, "seed": seed},
+        options={
+            "test_size": test_size,
+            "positive_class": positive_class,
+            "fit_scope": fit_scope,
+            "seed": seed,
+            "listed_categories": listed_categories,
+        },
     )
 
 
@@ -276,10 +286,10 @@ def _as_class(value, classes: Sequence[str]) -> str | None:
 
 
 def _leaky_features(wide: DataFrame, features: Sequence[str]) -> tuple[tuple[str, float], ...]:
-    pairs = [(f + "__num", LABEL) for f in features]
-    found = pair_correlations(wide, pairs).where(F.abs("r") > LEAKAGE_LIMIT).collect()
-    strength = {r.col_a.removesuffix("__num"): round(r.r, 4) for r in found}
-    return tuple((f, strength[f]) for f in features if f in strength)
+    names = inner_names(features)
+    found = pair_correlations(wide, [(n, LABEL) for n in names]).where(F.abs("r") > LEAKAGE_LIMIT).collect()
+    strength = {r.col_a: round(r.r, 4) for r in found}
+    return tuple((f, strength[n]) for f, n in zip(features, names) if n in strength)
 
 
 # Fitting ---------------------------------------------------------------------------------
@@ -440,7 +450,7 @@ def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
         return [placed.persist(StorageLevel.MEMORY_AND_DISK)] * folds
     rows, tables = data.train_rows + data.test_rows, []
     for i in range(folds):
-        preparation = learn_preparation(placed.where(F.col("fold") != i), data.features)
+        preparation = learn_preparation(placed.where(F.col("fold") != i), data.features, data.options["listed_categories"])
         wide = preparation.transform(placed).select(col(data.key), F.col(LABEL).alias("label"), "fold", "features")
         tables.append(_balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK))
     return tables
@@ -775,7 +785,7 @@ def refit_on_all(result: TrainResult) -> PipelineModel:
     """The same model learned from all rows, test side included."""
     d = result.data
     known = d.source.where(_known_target(d.source, d.target, d.task))
-    preparation = learn_preparation(known, d.features)
+    preparation = learn_preparation(known, d.features, d.options["listed_categories"])
     labelled = preparation.transform(known.withColumn(LABEL, _label(known, d.target, d.classes)))
     rows = d.train_rows + d.test_rows
     estimator = make_estimator(d.task, result.algorithm, rows, max(2, len(d.classes)), **result.hyperparams)

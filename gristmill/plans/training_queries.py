@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..modelling import cluster as C
 from ..modelling import density, diagnose, explain
 from ..modelling import metrics as M
+from ..modelling import prepare
 from ..modelling import report as R
 from ..modelling import split as S
 from ..modelling import train as T
@@ -50,6 +51,14 @@ def price_lines(spark, folder) -> DataFrame:
     return table(spark, folder, "lineitem").select(line.alias("line"), "l_extendedprice", *PRICE_FEATURES)
 
 
+def wide_lines(spark, folder) -> DataFrame:
+    """Order lines with text features of many values; a seventh of the parts is missing."""
+    part = F.when(F.col("l_partkey") % 7 != 0, F.concat(F.lit("part "), F.col("l_partkey")))
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line")
+    order = F.concat(F.lit("order "), F.col("l_orderkey"))
+    return table(spark, folder, "lineitem").select(line, part.alias("part"), order.alias("order_text"), "l_quantity", "l_extendedprice")
+
+
 def _documents(spark, folder, target: str = "quality") -> T.TrainingSet:
     return T.training_set(labelled_documents(spark, folder), target, DOCUMENT_FEATURES, "classification", "doc_id")
 
@@ -69,6 +78,17 @@ QUICK_FOREST = {"n_estimators": 20, "max_depth": 6, "min_samples_split": 4}
 QUICK_BOOST = {"n_estimators": 10, "max_depth": 4}
 
 
+# Preparation -----------------------------------------------------------------------------
+
+
+def wide_category_codes(spark, folder):
+    """Codes of two text features of many values, learned from the training side and joined to all lines."""
+    sided = S.split_holdout(wide_lines(spark, folder), "line")
+    learned = prepare.learn_preparation(sided.where(~F.col("is_test")), ["part", "order_text"], listed_categories=100)
+    codes = [F.col(f"{f}__num").cast("bigint").alias(f"{f}_code") for f in ("part", "order_text")]
+    return learned.transform(sided).select("line", "is_test", *codes)
+
+
 # Training --------------------------------------------------------------------------------
 #
 # Learned numbers differ between libraries, so these queries return facts that SQL can state: exact
@@ -214,12 +234,21 @@ def predictions_export(spark, folder):
 def model_export(spark, folder):
     """A saved model, read back, scores all rows as it did before: 0 rows differ."""
     result = T.fit(_prices(spark, folder), "linear_regression")
+    return _saved_and_read(spark, result, price_lines(spark, folder))
+
+
+def wide_model_export(spark, folder):
+    """The same of a model over text features whose code table is saved with it."""
+    features = ("part", "order_text", "l_quantity")
+    data = T.training_set(wide_lines(spark, folder), "l_extendedprice", features, "regression", "line", listed_categories=100)
+    return _saved_and_read(spark, T.fit(data, "linear_regression"), wide_lines(spark, folder))
+
+
+def _saved_and_read(spark, result, df):
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
-    model, df = T.save_model(result, path), price_lines(spark, folder)
+    model = T.save_model(result, path)
     again = T.load_model(path)
-    both = model.transform(df).select("*", F.col("prediction").alias("first")).drop(
-        "prediction", *[c for c in model.transform(df).columns if c not in df.columns and c != "prediction"]
-    )
+    both = model.transform(df).select(*df.columns, F.col("prediction").alias("first"))
     scored = again.transform(both)
     return scored.agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("first") - F.col("prediction")) > 1e-9).alias("different"))
 
@@ -346,6 +375,16 @@ SELECT is_test, count(*) AS rows, round(1 - sum(r * r) / (var_pop(y) * count(*))
 FROM s GROUP BY is_test
 """
 
+_WIDE_CODES_SQL = f"""
+WITH l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line,
+       CASE WHEN l_partkey % 7 = 0 THEN '__missing__' ELSE 'part ' || l_partkey END AS part, 'order ' || l_orderkey AS order_text FROM lineitem),
+e AS (SELECT *, {hash_sql('line')} % 100 < 20 AS is_test FROM l),
+p AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS code FROM (SELECT DISTINCT part FROM e WHERE NOT is_test)),
+o AS (SELECT order_text, row_number() OVER (ORDER BY order_text) - 1 AS code FROM (SELECT DISTINCT order_text FROM e WHERE NOT is_test))
+SELECT line, is_test, coalesce(p.code, (SELECT count(*) FROM p)) AS part_code, coalesce(o.code, (SELECT count(*) FROM o)) AS order_text_code
+FROM e LEFT JOIN p USING (part) LEFT JOIN o USING (order_text)
+"""
+
 _DOCUMENTS_SQL = """
 d AS (SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality),
 z AS (SELECT CAST(sum(floor(n * 0.2 + 0.5)) AS BIGINT) AS test_rows, CAST(sum(n) AS BIGINT) AS rows FROM d)
@@ -430,6 +469,7 @@ _ATTRIBUTION_SQL = f"WITH e AS {events_sql('event_id', *COEFFICIENTS)}, a AS ("
 ) + ")"
 
 TRAINING_QUERIES = {
+    "wide_category_codes": (wide_category_codes, _WIDE_CODES_SQL),
     "train_rf_class": (train_rf_class, _facts_sql(_ORDER_SIDES_SQL, "random_forest")),
     "train_rf_reg": (train_rf_reg, _facts_sql(_PRICE_SIDES_SQL, "random_forest")),
     "train_logreg": (train_logreg, _facts_sql(_DOCUMENTS_SQL, "logistic_regression")),
@@ -448,6 +488,7 @@ TRAINING_QUERIES = {
     "confusion_of_model": (confusion_of_model, f"SELECT CAST((SELECT count(DISTINCT b.o_orderstatus) FROM orders b WHERE b.o_orderstatus < a.o_orderstatus) AS DOUBLE) AS actual, count(*) AS rows, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS columns FROM orders a WHERE {hash_sql('o_orderkey')} % 100 < 20 GROUP BY o_orderstatus"),
     "roc_of_model": (roc_of_model, "SELECT true AS from_origin, true AS rising, true AS inside"),
     "predictions_export": (predictions_export, _TEST_DOCUMENTS_SQL),
+    "wide_model_export": (wide_model_export, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM lineitem"),
     "model_export": (model_export, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM lineitem"),
     "scale_features": (
         scale_features,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions.expressions import hash_number
+from gristmill.modelling import categories
 from gristmill.modelling import cluster as C
 from gristmill.modelling import density, diagnose, explain, metrics, prepare, report, split
 from gristmill.modelling import train as T
@@ -170,8 +171,53 @@ def test_categorical_and_missing_features(spark):
 def test_more_categories_than_tree_bins(spark):
     df = spark.createDataFrame([(i, f"c{i % 200:03d}", int(i % 200 >= 100)) for i in range(600)], "id long, c string, y int")
     assert T.train(df, "y", ["c"], "classification", "id", "random_forest", QUICK["random_forest"]).metrics["accuracy"] > 0.9
-    with pytest.raises(ValueError):
-        prepare.learn_preparation(df, ["c"], max_categories=100)
+    coded = [prepare.learn_preparation(df, ["c"], listed_categories=n).transform(df).select("id", "c__num") for n in (100, 200)]
+    assert coded[0].exceptAll(coded[1]).isEmpty() and coded[1].exceptAll(coded[0]).isEmpty()
+
+
+def test_codes_from_a_table(spark):
+    known = spark.createDataFrame([("b",), ("a",), (None,), ("é",), ("b",), ("",)] + [("hot",)] * 3000, "`c.d` string").withColumn("x", F.lit(1.0))
+    stage = prepare.learn_preparation(known, ["c.d", "x"], listed_categories=2)
+    rows = spark.createDataFrame([("new",), ("a",), (None,), (None,), ("é",), ("",), ("hot",), ("b",)], "`c.d` string").withColumn("x", F.lit(1.0))
+    codes = [(r[0], r[1]) for r in stage.transform(rows).select("`c.d`", "__feature0__num").collect()]
+    order = sorted(["b", "a", "__missing__", "é", "", "hot"])
+    assert sorted(codes, key=str) == sorted([(r[0], float(order.index(r[0] or ("__missing__" if r[0] is None else ""))) if r[0] != "new" else 6.0) for r in rows.select("`c.d`").collect()], key=str)
+    hot = stage.stages[1].codes.where("hot").select("text").collect()
+    assert {r.text for r in hot} >= {"hot"}
+    nothing = prepare.learn_preparation(known.limit(0), ["c.d", "x"], listed_categories=-1)
+    assert nothing.transform(rows).select("__feature0__num").distinct().collect() == [(0.0,)]
+
+
+def test_names_with_dots_train(spark):
+    df = spark.range(300).select(F.col("id").alias("row.id"), F.concat(F.lit("t"), F.col("id") % 50).alias("te.xt"), F.col("id").cast("double").alias("nu.m"))
+    df = df.withColumn("tar.get", F.col("`nu.m`") * 3)
+    result = T.train(df, "tar.get", ["te.xt", "nu.m"], "regression", "row.id", "linear_regression", listed_categories=10, cv_folds=3)
+    assert result.metrics["r2"] > 0.9999 and result.data.leaky == (("nu.m", 1.0),)
+    assert {f for f, _ in result.importance} == {"te.xt", "nu.m"}
+
+
+def test_frequent_values_stay_out_of_the_exchange(spark):
+    """A value of a third of the rows is neither in the joined table nor a key of the join."""
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("c"))
+    codes, sizes = categories.code_table(df, [F.col("c")])
+    assert sizes == [6001] and [r.text for r in codes.where("hot").collect()] == ["hot"]
+    joined = categories.join_codes(df, F.col("c"), codes, "code")
+    assert joined.where("c = 'hot' AND code = 0").count() == 3000 and joined.select("code").distinct().count() == 6001
+    encoded = prepare.label_encode(df, "c", "code", broadcast_limit=100)
+    assert encoded.exceptAll(joined).isEmpty() and encoded.count() == 9000
+
+
+def test_training_with_150000_categories(spark, tmp_path):
+    df = spark.range(150_000).select("id", F.format_string("k%06d", "id").alias("c"), (F.col("id") * 2.0 + 1).alias("y"))
+    data = T.training_set(df, "y", ["c"], "regression", "id", fit_scope="all")
+    assert data.preparation.categories == {}
+    result = T.fit(data, "linear_regression")
+    assert result.metrics["r2"] > 0.999999
+    model = T.save_model(result, str(tmp_path / "model"))
+    again = T.load_model(str(tmp_path / "model"))
+    one, two = (m.transform(df).select("id", "prediction") for m in (model, again))
+    both = one.join(two.withColumnRenamed("prediction", "again"), "id")
+    assert both.where("prediction <> again").isEmpty() and both.where("abs(prediction - (id * 2 + 1)) < 1e-3").count() == 150_000
 
 
 def test_text_target_positive_class_and_dropped_rows(spark):
