@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -12,8 +11,9 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import as_double, col, double_array, is_text, named, require_columns
 from ..operators.ordering import rows_at
@@ -23,6 +23,8 @@ from .prepare import inner_names, learn_preparation, model_features
 RESTARTS = 10
 FIRST_SEED = 42
 MICRO_CLUSTERS = 256
+# So many different points are merged without micro-clusters.
+EXACT_POINTS = 2_000
 PROFILED_FEATURES = 5
 NOTABLE_PERCENT = 10.0
 POINTS = "point"
@@ -87,47 +89,80 @@ def assign_nearest(points: DataFrame, centers: Sequence[Sequence[float]], name:
 
 
 def ward_groups(centers: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
-    """Merge weighted centers by Ward's criterion until ``k`` groups are left.
+    """Merge weighted centers by Ward's criterion until ``k`` groups are left, numbered by their first member.
 
-    The centers stand for micro-clusters: a few hundred, or a few times ``k``.
+    Ward's costs never fall when groups grow, so the merges of chains of nearest neighbours, taken in
+    the order of their costs, are those of always merging the cheapest pair (but for equal costs).
+    One row of distances is held at a time.
     """
-    groups = {i: [i] for i in range(len(centers))}
-    center, weight = dict(enumerate(centers.astype(float))), dict(enumerate(weights.astype(float)))
-    while len(groups) > k:
-        ids = sorted(groups)
-        at = np.array([center[i] for i in ids])
-        w = np.array([weight[i] for i in ids])
-        square = (at**2).sum(1)
-        distance = np.maximum(square[:, None] + square[None, :] - 2 * at @ at.T, 0)
-        cost = distance * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
-        cost[np.tril_indices(len(ids))] = np.inf
-        a, b = (ids[i] for i in np.unravel_index(np.argmin(cost), cost.shape))
-        total = weight[a] + weight[b]
-        center[a] = (center[a] * weight[a] + center[b] * weight[b]) / total
-        weight[a] = total
-        groups[a] += groups.pop(b)
-    names = [0] * len(centers)
-    for number, members in enumerate(sorted(groups.values(), key=min)):
-        for m in members:
-            names[m] = number
-    return names
-
-
-def hierarchical(points: DataFrame, k: int = 3, micro: int = MICRO_CLUSTERS, seed: int = FIRST_SEED) -> DataFrame:
-    """Ward clusters of K-Means micro-clusters: the rows are only ever assigned, and the
-    merging works on a few hundred centers whatever the size of the table."""
+    merges = sorted(_chain_merges(centers, weights), key=lambda m: m[0])[: max(0, len(centers) - k)]
+    first = list(range(len(centers)))
+
+    def group(i: int) -> int:
+        while first[i] != i:
+            first[i] = first[first[i]]
+            i = first[i]
+        return i
+
+    for _, a, b in merges:
+        a, b = sorted((group(a), group(b)))
+        first[b] = a
+    heads = [group(i) for i in range(len(centers))]
+    number = {head: n for n, head in enumerate(sorted(set(heads)))}
+    return [number[head] for head in heads]
+
+
+def _chain_merges(centers: np.ndarray, weights: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges as (cost, member, member); a merge comes after those of its parts."""
+    at, weight = centers.astype(float), weights.astype(float)
+    alive = np.ones(len(at), dtype=bool)
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    while len(merges) < len(at) - 1:
+        tip = chain[-1] if chain else int(np.argmax(alive))
+        chain = chain or [tip]
+        cost = ((at - at[tip]) ** 2).sum(1) * (weight * weight[tip] / (weight + weight[tip]))
+        cost[~alive] = np.inf
+        cost[tip] = np.inf
+        nearest = int(np.argmin(cost))
+        before = chain[-2] if len(chain) > 1 else None
+        if before is None or cost[nearest] < cost[before]:
+            chain.append(nearest)
+            continue
+        merges.append((float(cost[before]), tip, before))
+        total = weight[tip] + weight[before]
+        at[before] = (at[tip] * weight[tip] + at[before] * weight[before]) / total
+        weight[before] = total
+        alive[tip] = False
+        del chain[-2:]
+    return merges
+
+
+def hierarchical(
+    points: DataFrame, k: int = 3, micro: int = MICRO_CLUSTERS, seed: int = FIRST_SEED, exact: int = EXACT_POINTS
+) -> DataFrame:
+    """Ward clusters. Up to ``exact`` different points (or ``micro``, if more) are merged themselves, weighted by their rows;
+    of more, K-Means micro-clusters are, so the rows are only ever assigned."""
     micro = max(micro, 3 * k)
-    distinct = points.select(POINTS).distinct().limit(micro).count()
-    if distinct < k:
+    distinct = points.groupBy(POINTS).agg(F.count("*").alias("__rows"))
+    most = max(exact, micro)
+    found = distinct.limit(most + 1).collect()
+    if len(found) < k:
         raise ValueError(f"fewer than {k} different points")
-    model = kmeans(points, min(micro, distinct), restarts=1, seed=seed) if distinct > 2 else kmeans(points, 2, 1, seed)
+    if len(found) <= most:
+        found = sorted(found, key=lambda r: list(r[POINTS]))
+        groups = ward_groups(np.array([r[POINTS] for r in found]), np.array([r["__rows"] for r in found]), k)
+        schema = T.StructType([T.StructField("__point", points.schema[POINTS].dataType), T.StructField("cluster", T.IntegerType())])
+        labels = points.sparkSession.createDataFrame([(r[POINTS], g) for r, g in zip(found, groups)], schema)
+        return points.join(F.broadcast(labels), F.col(POINTS) == F.col("__point")).drop("__point")
+    model = kmeans(points, micro, restarts=1, seed=seed)
     scored = model.setFeaturesCol("__v").setPredictionCol("__micro").transform(points.withColumn("__v", array_to_vector(POINTS)))
     sizes = {r["__micro"]: r["count"] for r in scored.groupBy("__micro").count().collect()}
     used = sorted(sizes)
     centers = np.array([model.clusterCenters()[i] for i in used])
     groups = ward_groups(centers, np.array([sizes[i] for i in used]), k)
-    of = F.create_map(*itertools.chain.from_iterable((F.lit(i), F.lit(g)) for i, g in zip(used, groups)))
-    return scored.withColumn("cluster", of[F.col("__micro")]).drop("__v", "__micro")
+    labels = points.sparkSession.createDataFrame(list(zip(used, groups)), "__of int, cluster int")
+    return scored.join(F.broadcast(labels), F.col("__micro") == F.col("__of")).drop("__v", "__micro", "__of")
 
 
 # Quality ---------------------------------------------------------------------------------
@@ -136,7 +171,7 @@ def hierarchical(points: DataFrame, k: int = 3, micro: int = MICRO_CLUSTERS, see
 def cluster_sizes(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Rows per cluster and the number of clusters, noise (-1) not counted as one."""
     sizes = labels.groupBy(col(cluster).alias("cluster")).agg(F.count("*").alias("size"))
-    found = F.count_if(F.col("cluster") != -1).over(Window.partitionBy(F.lit(0)))
+    found = labels.where(col(cluster) != -1).select(col(cluster)).distinct().agg(F.count("*")).scalar()
     return sizes.select("cluster", "size", found.alias("n_clusters"))
 
 
@@ -219,7 +254,7 @@ def cluster_profile(df: DataFrame, cluster: str, features: Sequence[str], most:
         blank = F.lit(None).cast("double")
         parts.append(
             sizes.select("cluster", "size")
-            .join(F.broadcast(modes), "cluster")
+            .join(modes, "cluster")
             .select("cluster", "size", "feature", blank.alias("mean"), blank.alias("percent"), F.lit(None).cast("string").alias("side"), "mode")
         )
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -87,8 +87,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Rows and percent per class, the smallest share, and whether it is below the limit."""
     require_columns(df, target)
     counts = df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("class")).agg(F.count("*").alias("count"))
-    everything = Window.partitionBy(F.lit(0))
-    total, least = F.sum("count").over(everything), F.min("count").over(everything)
+    total, least = counts.agg(F.sum("count")).scalar(), counts.agg(F.min("count")).scalar()
     return counts.select(
         "class",
         "count",

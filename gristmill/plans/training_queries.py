@@ -290,7 +290,7 @@ def kmeans_clusters(spark, folder):
 
 def hierarchical_clusters(spark, folder):
     points = vectors(spark, folder).select("vec_id", "point")
-    sizes = C.cluster_sizes(C.hierarchical(points, 4, micro=64))
+    sizes = C.cluster_sizes(C.hierarchical(points, 4))
     return sizes.agg(F.sum("size").alias("rows"), F.count("*").alias("clusters"), F.max("n_clusters").alias("n_clusters"))
 
 

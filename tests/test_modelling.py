@@ -381,11 +381,49 @@ def blobs(spark):
 def test_kmeans_and_ward_find_the_blobs(blobs):
     model = C.kmeans(blobs, 3, restarts=3)
     found = C.assign_nearest(blobs, [c.tolist() for c in model.clusterCenters()])
-    for labels in (found, C.hierarchical(blobs, 3, micro=20)):
+    for labels in (found, C.hierarchical(blobs, 3), C.hierarchical(blobs, 3, micro=20, exact=0)):
         assert labels.select("truth", "cluster").distinct().count() == 3
     assert C.silhouette_sq(found).first()[0] > 0.9
 
 
+def plain_ward(points, weights, k):
+    """Merge the cheapest of all pairs until k groups are left."""
+    groups = [([i], p, w) for i, (p, w) in enumerate(zip(points, weights))]
+    while len(groups) > k:
+        at, w = np.array([g[1] for g in groups]), np.array([g[2] for g in groups])
+        cost = ((at[:, None] - at[None]) ** 2).sum(2) * (w[:, None] * w / (w[:, None] + w))
+        cost[np.tril_indices(len(groups))] = np.inf
+        a, b = np.unravel_index(np.argmin(cost), cost.shape)
+        both = (groups[a][0] + groups[b][0], (groups[a][1] * w[a] + groups[b][1] * w[b]) / (w[a] + w[b]), w[a] + w[b])
+        groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [both]
+    return {frozenset(g[0]) for g in groups}
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 60, 119, 120])
+def test_ward_equals_merging_the_cheapest_pair(k):
+    rng = np.random.default_rng(k)
+    points, weights = rng.normal(size=(120, 3)), rng.integers(1, 9, 120)
+    groups = C.ward_groups(points, weights, k)
+    assert sorted(set(groups)) == list(range(k))
+    assert {frozenset(i for i, g in enumerate(groups) if g == n) for n in range(k)} == plain_ward(points, weights, k)
+
+
+def test_ward_of_rows_counts_repeated_points(spark):
+    rng = np.random.default_rng(5)
+    distinct = rng.normal(size=(150, 2)).round(3)
+    rows = [(i, distinct[i % 150 if i < 300 else i % 7].tolist()) for i in range(500)]
+    weights = [sum(r[1] == p.tolist() for r in rows) for p in distinct]
+    labels = C.hierarchical(spark.createDataFrame(rows, "id long, point array<double>"), 6).collect()
+    groups = plain_ward(distinct, weights, 6)
+    found = {frozenset(r.id % 150 if r.id < 300 else r.id % 7 for r in labels if r.cluster == n) for n in range(6)}
+    assert len(labels) == 500 and found == groups
+
+
+def test_many_ward_groups_need_no_matrix():
+    rng = np.random.default_rng(9)
+    assert len(set(C.ward_groups(rng.normal(size=(4000, 8)), np.ones(4000), 1000))) == 1000
+
+
 def test_silhouettes_equal_brute_force(blobs):
     noisy = blobs.withColumn("cluster", F.when(F.col("id") % 10 == 0, 2).otherwise(F.col("truth")))
     noisy = noisy.withColumn("cluster", F.when(F.col("id") == 5, -1).otherwise(F.col("cluster")))
