@@ -26,6 +26,8 @@ SAMPLED = (
     "box_outliers",
     "recipe_apply",
     "label_encode_names",
+    "wide_category_codes",
+    "hierarchical_clusters",
     "split_stratified",
     "roc_auc_by_user",
     "next_steps",
