@@ -82,24 +82,24 @@ def _profile_row(df: DataFrame, i: int, name: str, approx: bool) -> Column:
         unique.cast("bigint").alias("unique_count"),
         (F.col(f"mean{i}") if numeric else nothing).alias("mean"),
         (F.col(f"std{i}") if numeric else nothing).alias("std"),
-        (_four_places(F.col(f"min{i}")) if numeric else nothing.cast("string")).alias("min"),
-        (_four_places(F.col(f"max{i}")) if numeric else nothing.cast("string")).alias("max"),
+        (four_places(F.col(f"min{i}")) if numeric else nothing.cast("string")).alias("min"),
+        (four_places(F.col(f"max{i}")) if numeric else nothing.cast("string")).alias("max"),
     )
 
 
-def _four_places(value: Column) -> Column:
+def four_places(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.4f", value))
 
 
 def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
         return df.sparkSession.createDataFrame([], "name string, unique_count bigint")
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), _identity(df, c).alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), identity(df, c).alias("value")) for c in columns])
     values = df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").groupBy("name", "value").agg(F.lit(1))
     return values.groupBy("name").agg(F.count("*").alias("unique_count"))
 
 
-def _identity(df: DataFrame, name: str) -> Column:
+def identity(df: DataFrame, name: str) -> Column:
     """Text that is equal exactly where the values are; 0.0 and -0.0 are one value.
 
     Long text is grouped by its digest, so that whole documents do not travel."""
