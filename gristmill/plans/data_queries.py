@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import NUMBER_PATTERN
-from ..operators import charts, cleaning, features, profiling, shape
+from ..operators import charts, cleaning, features, frequent, profile_state, profiling, shape
 from ..operators.ordering import group_quantiles
 from ..operators.recipe import Recipe, steps_from_json, replay
 from ..session import ensure_checkpoint_dir
@@ -117,6 +117,17 @@ def _scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+def _written(format: str):
+    def query(spark, folder):
+        """The whole table, written by the export and loaded again."""
+        path = f"{_scratch(spark)}/customers.{format}"
+        sources.write_table(table(spark, folder, "customer"), path, format)
+        back = sources.load(spark, path)
+        return rounded(back.select("c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("double").alias("c_acctbal")))
+
+    return query
+
+
 # Cleaning --------------------------------------------------------------------------------
 
 
@@ -249,10 +260,49 @@ def value_counts_top15(spark, folder):
     return rounded(charts.top_values(table(spark, folder, "lineitem").select("l_suppkey"), "l_suppkey"))
 
 
+def profile_of_days(spark, folder):
+    """States of three batches of days, the last of them with a day that came before in part, merged and rated
+    against the exact numbers of distinct values and the ranks of the estimated medians."""
+    df = events(spark, folder, "ts", *STATE_COLUMNS)
+    day, path = F.to_date("ts"), _scratch(spark) + "/states"
+    for batch in (F.dayofmonth("ts") <= 10, F.dayofmonth("ts").between(11, 20) & (F.hour("ts") < 12), F.dayofmonth("ts") > 10):
+        profile_state.write_states(profile_state.slice_states(df.where(batch), day, STATE_COLUMNS), path)
+    merged = profile_state.profile_of_states(profile_state.read_states(spark, path))
+    medians = {r["name"]: r["quantiles"][1] for r in merged.select("name", "quantiles").collect() if r["quantiles"]}
+    below = F.array(*[
+        F.struct(
+            F.lit(c).alias("name"),
+            *[(F.count_if(test) / F.count(F.col(c))).alias(side) for side, test in (("under", F.col(c) < m), ("up_to", F.col(c) <= m))],
+        )
+        for c, m in medians.items()
+    ])
+    ranks = df.agg(below.alias("r")).select(F.inline("r"))
+    exact = profiling.profile_columns(df, STATE_COLUMNS).select("name", F.col("unique_count").alias("exact"))
+    rated = merged.drop("ord").join(exact, "name").join(ranks, "name", "left")
+    return rounded(
+        rated.select(
+            *[c for c in profiling.PROFILE_COLUMNS if c not in ("ord", "unique_count")],
+            (F.abs(F.col("unique_count") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("distinct_fits"),
+            ((F.col("under") <= 0.53) & (F.col("up_to") >= 0.47)).alias("median_fits"),
+        )
+    )
+
+
+def most_frequent_parts(spark, folder):
+    return frequent.most_frequent(table(spark, folder, "lineitem"), "l_partkey", 15, 256)
+
+
+def most_frequent_words(spark, folder):
+    """Words of all texts: a few are in every line, most are rare."""
+    words = table(spark, folder, "documents").select(F.explode(F.split("text", "[ \\n]+")).alias("word"))
+    return frequent.most_frequent(words.where("word <> ''"), "word", 40, 1024)
+
+
 def distribution_text(spark, folder):
     return charts.distribution(events(spark, folder, "type_n"), "type_n")
 
 
+STATE_COLUMNS = ("event_id", "user_id", "event_type", "value", "value_n", "type_n", "num_text", "flag01_n", "const")
 CORRELATED = ("value", "value_n", "zero_div", "signed", "leaky", "const", "user_id")
 
 
@@ -311,6 +361,17 @@ def recipe_apply(spark, folder):
     return rounded(replay(steps, other.drop("event_type")))
 
 
+def recipe_log(spark, folder):
+    """The log of a recipe, with what each step learned from the table and the rows it left."""
+    recipe = Recipe(events(spark, folder, "event_id", "value_n", "type_n"))
+    recipe = recipe.apply("fill_mode", "type_n").apply("filter_rows", "type_n", query="purchase").apply("fill_mean", "value_n")
+    learned = [(i + 1, str(s.learned.get("value", "")) if s.action == "fill_mode" else None, float(s.learned["value"]) if s.action == "fill_mean" else None) for i, s in enumerate(recipe.steps)]
+    left = [(i + 1, recipe.restore(i + 1).df.count()) for i in range(len(recipe.steps))]
+    known = spark.createDataFrame(learned, "step int, text string, number double")
+    rows = spark.createDataFrame(left, "step int, rows_left long")
+    return rounded(recipe.log().drop("detail").join(known, "step").join(rows, "step"))
+
+
 # Checks ----------------------------------------------------------------------------------
 
 NULL_TEXT = "CAST(NULL AS VARCHAR)"
@@ -371,6 +432,16 @@ def _transform_sql(column: str, expression: str) -> str:
 MODE_SQL = f"(SELECT type_n FROM {events_sql('type_n')} WHERE type_n IS NOT NULL GROUP BY type_n ORDER BY count(*) DESC, type_n LIMIT 1)"
 MEAN_SQL = _stats_sql("value_n", "avg(value_n)")
 
+_CUSTOMERS_SQL = "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal FROM customer"
+
+_LOGGED_SQL = f"(SELECT value_n, coalesce(type_n, {MODE_SQL}) AS type_n FROM {events_sql('value_n', 'type_n')})"
+RECIPE_LOG_SQL = f"""
+WITH e AS {_LOGGED_SQL}, p AS (SELECT * FROM e WHERE type_n = 'purchase')
+SELECT 1 AS step, 'fill_mode' AS action, 'type_n' AS column, {MODE_SQL} AS text, {NULL_DOUBLE} AS number, (SELECT count(*) FROM e) AS rows_left
+UNION ALL SELECT 2, 'filter_rows', 'type_n', NULL, NULL, (SELECT count(*) FROM p)
+UNION ALL SELECT 3, 'fill_mean', 'value_n', NULL, (SELECT round(avg(value_n), 6) FROM p), (SELECT count(*) FROM p)
+"""
+
 HINTS_SQL = f"""
 WITH p AS ({events_profile_sql(*HINT_COLUMNS)}),
 h AS (
@@ -616,4 +687,21 @@ DATA_QUERIES = {
         _RECIPE_SQL
         + "SELECT event_id, round(value_n, 6) AS value_n, type_n, round(CASE WHEN value_n > 0 THEN ln(value_n) END, 6) AS value_log FROM f WHERE event_type = 'purchase'",
     ),
+    "export_parquet": (_written("parquet"), _CUSTOMERS_SQL),
+    "export_csv": (_written("csv"), _CUSTOMERS_SQL),
+    "recipe_log": (recipe_log, RECIPE_LOG_SQL),
+    "profile_of_days": (
+        profile_of_days,
+        "SELECT * EXCLUDE (unique_count), unique_count > 0 AS distinct_fits, "
+        f"CASE WHEN mean IS NOT NULL THEN TRUE END AS median_fits FROM ({events_profile_sql(*STATE_COLUMNS)})",
+    ),
+    "most_frequent_parts": (
+        most_frequent_parts,
+        "SELECT l_partkey AS value, count(*) AS count FROM lineitem GROUP BY l_partkey ORDER BY count DESC, value LIMIT 15",
+    ),
+    "most_frequent_words": (
+        most_frequent_words,
+        "WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS value FROM documents) "
+        "SELECT value, count(*) AS count FROM w WHERE value <> '' GROUP BY value ORDER BY count DESC, value LIMIT 40",
+    ),
 }

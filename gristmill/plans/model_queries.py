@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_number
 from ..modelling import diagnose, metrics, prepare, split
+from ..modelling import train as T
 from ..operators import profiling
 from ..operators.charts import pair_correlations
 from .data_queries import HINT_COLUMNS, events_profile_sql
@@ -80,6 +81,67 @@ def default_features(spark, folder):
     return prepare.default_features(_screen_profile(spark, folder), "event_type")
 
 
+CHOICE_TABLES = ("nation", "customer", "orders", "lineitem", "events")
+CHOICE_TASKS = ("classification", "regression")
+
+
+def default_algorithm(spark, folder):
+    """The algorithm that each table's rows and columns lead to."""
+    rows = []
+    for name in CHOICE_TABLES:
+        df = table(spark, folder, name)
+        texts = sum(t == "string" for _, t in df.dtypes)
+        n = df.count()
+        rows += [(name, task, n, prepare.choose_algorithm(task, n, len(df.columns), texts)) for task in CHOICE_TASKS]
+    return spark.createDataFrame(rows, "table_name string, task string, rows long, algorithm string")
+
+
+# Per case: the target of the events, the task, and the rows of the table, the last two of them too few for it.
+GUARD_CASES = (
+    ("const", "classification", "TRUE"),
+    ("event_type", "classification", "TRUE"),
+    ("flag01", "classification", "TRUE"),
+    ("value_rare", "regression", "TRUE"),
+    ("value_rare", "regression", "event_id < 4"),
+    ("flag01", "classification", "event_id < 4"),
+)
+
+
+def training_guards(spark, folder):
+    """Which tables training refuses, and for which reason."""
+    rows = []
+    for target, task, where in GUARD_CASES:
+        df = events(spark, folder, *dict.fromkeys(["event_id", "value", target])).where(where)
+        try:
+            T.training_set(df, target, ["value"], task, "event_id")
+            reason = "accepted"
+        except ValueError as error:
+            reason = "one class" if "distinct value" in str(error) else "too few rows"
+        rows.append((target, task, where, reason))
+    return spark.createDataFrame(rows, "target string, task string, source string, reason string")
+
+
+def _guards_sql() -> str:
+    """Two rows and classes at least, and five rows with a target."""
+    return " UNION ALL ".join(
+        f"SELECT '{target}' AS target, '{task}' AS task, '{where}' AS source, CASE WHEN count({target}) < 2 THEN 'too few rows' "
+        f"WHEN '{task}' = 'classification' AND count(DISTINCT {target}) < 2 THEN 'one class' WHEN count({target}) < 5 THEN 'too few rows' "
+        f"ELSE 'accepted' END AS reason FROM {events_sql(*dict.fromkeys(['event_id', target]))} WHERE {where}"
+        for target, task, where in GUARD_CASES
+    )
+
+
+def _choice_sql() -> str:
+    shape = "(SELECT count_if(data_type = 'VARCHAR') * 2 > count(*) FROM duckdb_columns() WHERE table_name = '{0}')"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{task}' AS task, count(*) AS rows, CASE WHEN count(*) >= 10000 THEN 'lightgbm' "
+        f"WHEN count(*) >= 1000 THEN 'random_forest' WHEN '{task}' = 'regression' THEN 'linear_regression' "
+        f"WHEN {shape.format(name)} THEN 'random_forest' ELSE 'logistic_regression' END AS algorithm FROM {name}"
+        for name in CHOICE_TABLES
+        for task in CHOICE_TASKS
+    )
+
+
 def target_suggestions(spark, folder):
     profile = _screen_profile(spark, folder)
     both = [prepare.target_suggestions(profile, t).withColumn("task", F.lit(t)) for t in ("classification", "regression")]
@@ -404,6 +466,8 @@ MODEL_QUERIES = {
         default_features,
         _SCREEN_SQL + "SELECT name, unique_count <= 1 AS low_variance, null_percent > 50 AS high_nulls FROM p WHERE name <> 'event_type' AND NOT (unique_count >= least(count * 0.9, count - 1))",
     ),
+    "default_algorithm": (default_algorithm, _choice_sql()),
+    "training_guards": (training_guards, _guards_sql()),
     "target_suggestions": (
         target_suggestions,
         _SCREEN_SQL + "SELECT name, dtype, unique_count, 'classification' AS task FROM p WHERE unique_count BETWEEN 2 AND 20 "
