@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Transformer
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col, is_scalar
+from ..functions.expressions import col, is_scalar, require_columns
 from ..operators.ordering import with_row_index
 from ..session import cut_lineage, ensure_checkpoint_dir
 
@@ -76,6 +79,43 @@ def join_codes(df: DataFrame, text: Column, codes: DataFrame, name: str, unknown
     return joined.select(*[col(c) for c in df.columns if c != name], code.alias(name))
 
 
+@dataclass(frozen=True)
+class OneHotVectors:
+    """A learned one-hot encoding into sparse vectors, for columns with any number of values.
+
+    Slot i stands for the i-th value in text order. A value that was not learned gives a vector of zeros,
+    NULL gives NULL, and so does every row where nothing was learned.
+    """
+
+    column: str
+    codes: DataFrame
+    size: int
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """The table with the column replaced by its vectors, in the column's place."""
+        require_columns(df, self.column)
+        if not self.size:
+            return df.select(*[F.lit(None).cast(VectorUDT()).alias(c) if c == self.column else col(c) for c in df.columns])
+        row = F.xxhash64(*[col(c) for c in df.columns if is_scalar(df, c)])
+        text = F.coalesce(col(self.column).cast("string"), F.hex(row))
+        coded = join_codes(df, text, self.codes, "__code", F.lit(self.size).cast("bigint"))
+        coded = coded.withColumn("__code", F.when(col(self.column).isNotNull(), F.col("__code").cast("double")))
+        known = self.codes.sparkSession.range(self.size - 1, self.size).select(F.col("id").cast("double").alias("__code"))
+        # The slot for unknown values comes last and is left out, so they have no slot.
+        encoder = OneHotEncoder(inputCols=["__code"], outputCols=["__vector"], handleInvalid="keep", dropLast=True).fit(known)
+        # The encoder takes no NULL, so such rows go through it as unknown ones.
+        filled = coded.select(*[col(c) for c in df.columns], F.coalesce("__code", F.lit(float(self.size))).alias("__code"))
+        vector = F.when(col(self.column).isNotNull(), F.col("__vector"))
+        return encoder.transform(filled).select(*[vector.alias(c) if c == self.column else col(c) for c in df.columns])
+
+
+def learn_one_hot_vectors(df: DataFrame, column: str) -> OneHotVectors:
+    """Index the values of a column; the index is a written table, never a list on the driver."""
+    require_columns(df, column)
+    codes, sizes = code_table(df, [col(column).cast("string")])
+    return OneHotVectors(column, codes, sizes[0])
+
+
 class CategoryCodes(Transformer, MLWritable, MLReadable):
     """Adds each feature's code as a number; unseen values get the number of known ones."""
 

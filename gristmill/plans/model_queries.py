@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import hash_number
 from ..modelling import diagnose, metrics, prepare, split
 from ..modelling import train as T
+from ..modelling.categories import learn_one_hot_vectors
 from ..operators import profiling
 from ..operators.charts import pair_correlations
 from .data_queries import HINT_COLUMNS, events_profile_sql
@@ -81,6 +82,14 @@ def default_features(spark, folder):
     return prepare.default_features(_screen_profile(spark, folder), "event_type")
 
 
+def one_hot_vectors(spark, folder):
+    """A slot for every order: size, place and value of the only entry, or nothing for a missing number."""
+    df = table(spark, folder, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS wide")
+    vectors = learn_one_hot_vectors(df, "wide").apply(df)
+    parts = [F.regexp_extract(F.col("wide").cast("string"), r"^\((\d+),\[(\d+)\],\[([\d.]+)\]\)$", i).cast("double") for i in (1, 2, 3)]
+    return vectors.select("o_orderkey", *[p.cast("bigint").alias(n) for p, n in zip(parts, ("size", "slot", "entry"))])
+
+
 CHOICE_TABLES = ("nation", "customer", "orders", "lineitem", "events")
 CHOICE_TASKS = ("classification", "regression")
 
@@ -466,6 +475,12 @@ MODEL_QUERIES = {
         default_features,
         _SCREEN_SQL + "SELECT name, unique_count <= 1 AS low_variance, null_percent > 50 AS high_nulls FROM p WHERE name <> 'event_type' AND NOT (unique_count >= least(count * 0.9, count - 1))",
     ),
+    "one_hot_vectors": (
+        one_hot_vectors,
+        "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS wide FROM orders), "
+        "k AS (SELECT wide, row_number() OVER (ORDER BY wide) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT wide FROM o WHERE wide IS NOT NULL)) "
+        "SELECT o_orderkey, size, slot, CASE WHEN slot IS NOT NULL THEN 1 END AS entry FROM o LEFT JOIN k USING (wide)",
+    ),
     "default_algorithm": (default_algorithm, _choice_sql()),
     "training_guards": (training_guards, _guards_sql()),
     "target_suggestions": (
