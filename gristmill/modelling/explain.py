@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_double, col, double_array, hash_number, long_array, named, require_columns
 from .train import TrainResult
+from .tree_attribution import FORESTS, tree_shapley
 
 SAMPLES = 5
 PERMUTATIONS = 16
@@ -119,7 +121,8 @@ def explain(result: TrainResult, n: int | None = SAMPLES, permutations: int = PE
 
     Linear models have a closed form on the scale of their linear term. For trees the
     output is the prediction, or the probability of class 1; with more classes, of the
-    predicted class.
+    predicted class. Forests and boosted regression are exact for the background rows; other
+    probabilities are no sums over trees and are sampled over `permutations` orders.
     """
     data, model = result.data, result.estimator_model
     test = result.test_side
@@ -132,6 +135,9 @@ def explain(result: TrainResult, n: int | None = SAMPLES, permutations: int = PE
         means = dict(zip(data.features, train.agg(*[F.avg(col(f)) for f in data.features]).first()))
         return linear_attribution(flat, data.key, dict(zip(data.features, coefficients.toArray())), means)
     pool = background_rows(result, background)
+    if isinstance(model, (*FORESTS, GBTRegressionModel)):
+        chosen = None if data.task == "regression" else F.lit(1) if len(data.classes) == 2 else F.col("prediction")
+        return tree_shapley(test, data.key, model, pool, data.features, chosen)
     if data.task == "regression":
         return sampled_shapley(test, data.key, model, pool, data.features, F.col("prediction"), permutations)
     scores = vector_to_array("probability" if "probability" in test.columns else "rawPrediction")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from ..modelling import report as R
 from ..modelling import split as S
 from ..modelling import train as T
 from ..modelling.linear_cv import linear_cv
+from ..modelling.tree_attribution import flat_trees, tree_output
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as sources
 from .model_queries import hash_sql
@@ -384,6 +387,18 @@ def tree_attribution(spark, folder):
     return explain.explained_predictions(result, found, 5)
 
 
+def tree_additivity(spark, folder):
+    """Whether the contributions of every test document add up to its probability less the background's mean."""
+    result = T.fit(_documents(spark, folder), "random_forest", QUICK_FOREST)
+    pool = explain.background_rows(result)
+    trees = flat_trees(result.estimator_model, spark)
+    base = float(sum(tree_output(t, np.array(pool))[:, 1] for t in trees).mean())
+    sums = explain.explain(result, None).groupBy("doc_id").agg(F.sum("contribution").alias("total"), F.count("*").alias("n"))
+    scored = result.test_side.select("doc_id", vector_to_array("probability")[1].alias("p"))
+    adds_up = F.abs(F.col("total") - (F.col("p") - F.lit(base))) < 1e-9
+    return scored.join(sums, "doc_id").select("doc_id", (adds_up & (F.col("n") == len(result.data.features))).alias("adds_up"))
+
+
 def model_report(spark, folder):
     data = _documents(spark, folder)
     forest = T.fit(data, "random_forest", QUICK_FOREST)
@@ -564,5 +579,6 @@ TRAINING_QUERIES = {
         "SELECT event_id, direction, CAST(rank AS INTEGER) AS rank, feature, round(contribution, 6) AS contribution FROM r WHERE rank <= 2",
     ),
     "tree_attribution": (tree_attribution, None),
+    "tree_additivity": (tree_additivity, _TEST_DOCUMENTS_SQL.replace("of_a_class", "adds_up")),
     "model_report": (model_report, None),
 }
