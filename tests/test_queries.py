@@ -16,6 +16,15 @@ SAMPLED = (
     "fill_median",
     "one_hot",
     "type_recommendations",
+    "export_csv",
+    "recipe_log",
+    "profile_of_days",
+    "most_frequent_parts",
+    "most_frequent_words",
+    "default_algorithm",
+    "training_guards",
+    "one_hot_vectors",
+    "tree_additivity",
     "column_hints",
     "transform_sqrt",
     "bin_column",
