@@ -12,11 +12,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import col, is_text, require_columns
-from ..operators.ordering import column_medians
+from ..operators.ordering import medians_without
 from .prepare import finite
 from .split import deal_folds, fold_number
 
@@ -34,21 +35,42 @@ def linear_fold_scores(df: DataFrame, target: str, features: Sequence[str], key:
     if not features or any(is_text(df, f) for f in features):
         raise ValueError("linear_fold_scores takes one number column or more")
     rows = df.where(finite(df, target).isNotNull())
-    placed = rows.withColumn("__fold", fold_number(col(key), folds))
-    if placed.select("__fold").distinct().count() < folds:
-        if rows.count() < folds:
-            raise ValueError(f"{folds} folds need at least {folds} rows")
-        placed = deal_folds(rows, key, folds, name="__fold")
-    plain = placed.select("__fold", finite(placed, target).cast("double").alias("y"), *[finite(placed, f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    names = [f"x{i}" for i in range(len(features))]
-    means = plain.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in ("y", *names)]).first()
-    sums = _moments(plain, folds, list(means))
+    numbers = [finite(df, target).cast("double").alias("y"), *[finite(df, f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]]
+    plain = rows.select(fold_number(col(key), folds).alias("__fold"), *numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fold_scores(plain, len(features), folds)
+    except _EmptyFold as empty:
+        if empty.rows < folds:
+            raise ValueError(f"{folds} folds need at least {folds} rows") from None
+    finally:
+        plain.unpersist()
+    dealt = deal_folds(rows, key, folds, name="__fold").select("__fold", *numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fold_scores(dealt, len(features), folds)
+    finally:
+        dealt.unpersist()
+
+
+class _EmptyFold(Exception):
+    def __init__(self, rows: int):
+        super().__init__(rows)
+        self.rows = rows
+
+
+def _fold_scores(plain: DataFrame, count: int, folds: int) -> list[dict[str, Any]]:
+    names = [f"x{i}" for i in range(count)]
+    all_names = ["y", *names]
+    totals = plain.groupBy("__fold").agg(F.count("*").alias("n"), *[F.struct(F.sum(c).alias("s"), F.count(c).alias("n")).alias(c) for c in all_names]).collect()
+    if len(totals) < folds:
+        raise _EmptyFold(sum(r["n"] for r in totals))
+    known = {c: sum(r[c].n for r in totals) for c in all_names}
+    means = [sum(r[c].s or 0.0 for r in totals) / known[c] if known[c] else 0.0 for c in all_names]
+    sums = _moments(plain, folds, means)
     missing = [c for i, c in enumerate(names) if sums[:, 0, 2 + 2 * i].any()]
     out = []
-    for k in range(folds):
-        fills = column_medians(plain.where(F.col("__fold") != k), missing)
+    for k, fills in enumerate(medians_without(plain, missing, "__fold", folds)):
         # In terms of centred columns, a filled value is the column plus the fill times its mark.
-        shift = [0.0 if fills.get(c) is None and c not in missing else (fills[c] or 0.0) - means[1 + i] for i, c in enumerate(names)]
+        shift = [0.0 if c not in missing else (fills[c] or 0.0) - means[1 + i] for i, c in enumerate(names)]
         out.append({"fold": k, **_score(sums.sum(axis=0) - sums[k], sums[k], shift)})
     return out
 

@@ -302,7 +302,9 @@ def column_medians(df: DataFrame, columns: Sequence[str], in_memory_rows: int =
     """The exact median of each column, NULL and NaN left out; None where nothing is left."""
     if not columns:
         return {}
-    if len(columns) <= WIDE_COLUMNS and df.count() <= in_memory_rows:
+    if len(columns) <= WIDE_COLUMNS:
+        if df.count() > in_memory_rows:
+            return _enclosed_medians(df, columns, F.lit(0), [(0,)], **options)[0]
         row = df.agg(*[F.percentile(as_double(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]).first()
         return {c: row[i] for i, c in enumerate(columns)}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value")) for c in columns])
@@ -310,3 +312,63 @@ def column_medians(df: DataFrame, columns: Sequence[str], in_memory_rows: int =
     found = group_quantiles(long, F.col("value"), [0.5], ["column"], in_memory_rows, **options).collect()
     medians = {r.column: r.q[0] for r in found}
     return {c: medians.get(c) for c in columns}
+
+
+def medians_without(df: DataFrame, columns: Sequence[str], part: str, parts: int, **options) -> list[dict[str, float | None]]:
+    """For each part k of 0 to ``parts - 1``, the exact medians over the rows of all other parts; all from the same few passes."""
+    if not columns:
+        return [{} for _ in range(parts)]
+    return _enclosed_medians(df, columns, col(part), [tuple(p for p in range(parts) if p != k) for k in range(parts)], **options)
+
+
+def _enclosed_medians(
+    df: DataFrame, columns: Sequence[str], part: Column, unions: Sequence[Sequence[int]], accuracy: int | None = 10_000, **options
+) -> list[dict[str, float | None]]:
+    """Exact medians of each column over unions of parts.
+
+    The median of a union lies between the least and the greatest median of its parts, and approximate quantiles a
+    little to each side enclose those. Only values in between are counted and read off at the rank; should an
+    enclosure miss its rank, all values take part.
+    """
+    values = df.select(part.alias("__part"), *[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    places = range(len(columns))
+    ends = [0.5 - 3 / (accuracy or 10), 0.5 + 3 / (accuracy or 10)]
+    about = [F.percentile_approx(f"v{i}", ends, accuracy or 10).alias(f"q{i}") for i in places]
+    found = values.groupBy("__part").agg(*[F.count(f"v{i}").alias(f"n{i}") for i in places], *(about if accuracy else [])).collect()
+    rows = {(r["__part"], i): r[f"n{i}"] for r in found for i in places}
+    used = [i for i in places if any(rows[r["__part"], i] for r in found)]
+    if not used:
+        return [{c: None for c in columns} for _ in unions]
+    low, high = dict.fromkeys(used, float("-inf")), dict.fromkeys(used, float("inf"))
+    if accuracy:
+        for i in used:
+            known = [r[f"q{i}"] for r in found if r[f"n{i}"]]
+            low[i], high[i] = min(q[0] for q in known), max(q[1] for q in known)
+    bounds = {i: double_array([low[i], high[i]]) for i in used}
+    below = values.groupBy("__part").agg(*[F.count_if(F.col(f"v{i}") < bounds[i][0]).alias(f"b{i}") for i in used]).collect()
+    under = {(r["__part"], i): r[f"b{i}"] for r in below for i in used}
+    entries = [F.when(F.col(f"v{i}").between(bounds[i][0], bounds[i][1]), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i in used]
+    inside = values.select("__part", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    counts = inside.groupBy("__part", "i", "v").agg(F.count("*").alias("c"))
+    members = [(k, p) for k, union in enumerate(unions) for p in union]
+    belongs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in members])
+    shared = counts.select("__part", "i", "v", "c", F.inline(belongs)).where("p = __part")
+    summed = cut_lineage(shared.groupBy("k", "i", "v").agg(F.sum("c").alias("c")))
+    ranked = running_totals(summed, "v", ["c"], ["k", "i"], **options)
+    wanted = {}
+    for k, union in enumerate(unions):
+        for i in used:
+            n = sum(rows.get((p, i), 0) for p in union)
+            if n:
+                before = sum(under.get((p, i), 0) for p in union)
+                wanted[k, i] = ((n - 1) // 2 - before, n // 2 - before)
+    ranks = df.sparkSession.createDataFrame([(k, i, r) for (k, i), pair in wanted.items() for r in set(pair)], "k int, i int, rank bigint")
+    hit = ranked.join(F.broadcast(ranks), ["k", "i"]).where((F.col("rank") < F.col("running_c")) & (F.col("rank") >= F.col("running_c") - F.col("c")))
+    at = {(r.k, r.i, r["rank"]): r.v for r in hit.select("k", "i", "rank", "v").collect()}
+    if accuracy and any((k, i, r) not in at for (k, i), pair in wanted.items() for r in pair):
+        return _enclosed_medians(df, columns, part, unions, None, **options)
+
+    def median(k: int, i: int) -> float | None:
+        return sum(at[k, i, r] * 0.5 for r in wanted[k, i]) if (k, i) in wanted else None
+
+    return [{c: median(k, i) for i, c in enumerate(columns)} for k in range(len(unions))]
