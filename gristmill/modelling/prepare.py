@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import as_double, col, is_numeric, is_scalar, is_text, quoted, require_columns, text_literal
 from ..operators.charts import pair_correlations
-from ..operators.ordering import column_medians
+from ..operators.ordering import column_medians, medians_without
 from .categories import CategoryCodes, code_table, join_codes
 
 # Fixed value: the category of missing text.
@@ -194,8 +194,49 @@ def learn_preparation(
     numbers = [f for f in features if f not in texts]
     clean = df.select(*[finite(df, f).alias(f) for f in numbers]) if numbers else df
     medians = column_medians(clean, numbers, **options)
-    fills = {f: float(medians[f]) if medians[f] is not None else 0.0 for f in numbers}
     categories = _categories(df, texts, listed_categories)
+    wide = [f for f in texts if f not in categories]
+    codes = code_table(df, [F.coalesce(col(f), F.lit(MISSING)) for f in wide]) if wide else None
+    return _preparation(df, features, _fills(medians, numbers), categories, codes)
+
+
+def learn_fold_preparations(
+    df: DataFrame, features: Sequence[str], fold: str, folds: int, listed_categories: int = LISTED_CATEGORIES
+) -> list[Preparation]:
+    """learn_preparation() without each fold in turn, from passes shared by all folds.
+
+    Preparations that treat all rows of ``df`` alike are one object: a median matters only where a value is missing.
+    """
+    model_features(df, features)
+    texts = [f for f in features if is_text(df, f)]
+    numbers = [f for f in features if f not in texts]
+    held = _fold_categories(df, texts, fold, folds, listed_categories)
+    if held is None:
+        return [learn_preparation(df.where(col(fold) != k), features, listed_categories) for k in range(folds)]
+    names = dict(zip(numbers, inner_names(numbers)))
+    clean = df.select(col(fold), *[finite(df, f).alias(names[f]) for f in numbers])
+    gaps = clean.agg(F.lit(0), *[F.count_if(col(names[f]).isNull()) for f in numbers]).first()
+    medians = medians_without(clean, list(names.values()), fold, folds)
+    found: dict[tuple, Preparation] = {}
+    out = []
+    for k in range(folds):
+        fills = _fills({f: medians[k][names[f]] for f in numbers}, numbers)
+        alike = (tuple(fills[f] for i, f in enumerate(numbers) if gaps[1 + i]), tuple(tuple(held[k][f]) for f in texts))
+        if alike not in found:
+            found[alike] = _preparation(df, features, fills, held[k], None)
+        out.append(found[alike])
+    return out
+
+
+def _fills(medians: dict[str, float | None], numbers: Sequence[str]) -> dict[str, float]:
+    return {f: float(medians[f]) if medians[f] is not None else 0.0 for f in numbers}
+
+
+def _preparation(
+    df: DataFrame, features: Sequence[str], fills: dict[str, float], categories: dict[str, list[str]], codes: tuple[DataFrame, list[int]] | None
+) -> Preparation:
+    texts = [f for f in features if is_text(df, f)]
+    numbers = [f for f in features if f not in texts]
     listed, wide = [f for f in texts if f in categories], [f for f in texts if f not in categories]
     text, place, number = (dict(zip(features, inner_names(features, kind))) for kind in ("txt", "idx", "num"))
     stages: list[Transformer] = [
@@ -214,8 +255,7 @@ def learn_preparation(
         # Plain numbers: as nominal columns they would need a tree bin per category.
         stages.append(_select([f"{quoted(place[f])} + double('0') AS {quoted(number[f])}" for f in listed]))
     if wide:
-        codes, sizes = code_table(df, [F.coalesce(col(f), F.lit(MISSING)) for f in wide])
-        stages.append(CategoryCodes([text[f] for f in wide], [number[f] for f in wide], sizes).over(codes))
+        stages.append(CategoryCodes([text[f] for f in wide], [number[f] for f in wide], codes[1]).over(codes[0]))
     stages.append(VectorAssembler(inputCols=[number[f] for f in features], outputCol="features"))
     return Preparation(tuple(features), fills, categories, tuple(stages))
 
@@ -255,6 +295,20 @@ def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, li
     return {n: sorted(v) for n, v in found.items()}
 
 
+def _fold_categories(df: DataFrame, names: Sequence[str], fold: str, folds: int, limit: int) -> list[dict[str, list[str]]] | None:
+    """Per fold the sorted distinct texts of each column in all other folds; None where a column has more than ``limit`` in all."""
+    if not names:
+        return [{} for _ in range(folds)]
+    text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in names]
+    found = df.select(col(fold).alias("fold"), F.inline(F.array(*text))).distinct()
+    if not found.groupBy("name").agg(F.count_distinct("text").alias("n")).where(F.col("n") > limit).isEmpty():
+        return None
+    inside: dict[tuple[str, str], set[int]] = {}
+    for r in found.groupBy("name", "text").agg(F.collect_set("fold").alias("folds")).collect():
+        inside[r.name, r.text] = set(r.folds)
+    return [{n: sorted(t for (m, t), where in inside.items() if m == n and where - {k}) for n in names} for k in range(folds)]
+
+
 def learn_classes(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> list[tuple[str, int]]:
     """The classes as text with their rows, in sorted order (by number for numbers)."""
     counts = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n"), F.first(col(target).cast("string")).alias("t"))

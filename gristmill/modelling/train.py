@@ -39,6 +39,7 @@ from .prepare import (
     inner_names,
     is_text,
     learn_classes,
+    learn_fold_preparations,
     learn_preparation,
     model_features,
 )
@@ -441,19 +442,26 @@ def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
         rows = data.source.select(*[col(c) for c in dict.fromkeys((data.key, data.target, *data.features))])
         rows = rows.where(_known_target(rows, data.target, data.task))
         labelled = rows.withColumn(LABEL, _label(rows, data.target, data.classes))
-    placed = labelled.withColumn("fold", fold)
+    placed = labelled.withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
     if placed.select("fold").distinct().count() < folds:
+        placed.unpersist()
         if labelled.count() < folds:
             raise ValueError(f"{folds} folds need at least {folds} rows")
-        placed = deal_folds(labelled, data.key, folds)
+        placed = deal_folds(labelled, data.key, folds).persist(StorageLevel.MEMORY_AND_DISK)
     if data.options["fit_scope"] == "all":
-        return [placed.persist(StorageLevel.MEMORY_AND_DISK)] * folds
-    rows, tables = data.train_rows + data.test_rows, []
-    for i in range(folds):
-        preparation = learn_preparation(placed.where(F.col("fold") != i), data.features, data.options["listed_categories"])
-        wide = preparation.transform(placed).select(col(data.key), F.col(LABEL).alias("label"), "fold", "features")
-        tables.append(_balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK))
-    return tables
+        return [placed] * folds
+    rows, made = data.train_rows + data.test_rows, {}
+    try:
+        learned = learn_fold_preparations(placed, data.features, "fold", folds, data.options["listed_categories"])
+        for preparation in learned:
+            if id(preparation) not in made:
+                wide = preparation.transform(placed).select(col(data.key), F.col(LABEL).alias("label"), "fold", "features")
+                made[id(preparation)] = _balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK)
+                # Laid out now, while the rows they come from are kept.
+                made[id(preparation)].count()
+    finally:
+        placed.unpersist()
+    return [made[id(p)] for p in learned]
 
 
 def cross_validate(

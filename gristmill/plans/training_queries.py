@@ -38,8 +38,8 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
         "n_chars",
         F.size(F.split("text", r"\s+")).alias("n_words"),
         F.size(F.split("text", "\n")).alias("n_lines"),
-        F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("n_digits"),
-        F.length(F.regexp_replace("text", r"[^.,;:!?]", "")).alias("n_marks"),
+        F.length(F.regexp_replace("text", r"[^0-9]+", "")).alias("n_digits"),
+        F.length(F.regexp_replace("text", r"[^.,;:!?]+", "")).alias("n_marks"),
     )
     return table(spark, folder, "labels").join(documents, "doc_id")
 

@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from gristmill.modelling import prepare, train
 from gristmill.modelling.linear_cv import linear_fold_scores
 from gristmill.operators.ordering import medians_without
 
@@ -43,3 +43,25 @@ def test_fold_scores_compute_their_columns_once(spark):
     scores = linear_fold_scores(df, "y", ["x"], "id", 4)
     assert sum(s["rows"] for s in scores) == 2000
     assert seen.value <= 2000
+
+
+def test_prepared_folds_compute_the_source_once_and_share_what_is_alike(spark):
+    rows = [(i, float(i % 7), "ab"[i % 2], float(i % 3)) for i in range(600)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "id int, x double, t string, y double"), "x")
+    data = train.training_set(df, "y", ["x", "t"], "regression", "id")
+    before = seen.value
+    tables = train.prepared_folds(data, 3)
+    assert [t.where(f"fold = {i}").count() > 0 for i, t in enumerate(tables)] == [True] * 3
+    assert seen.value - before <= 600
+    assert tables[0] is tables[1] is tables[2]
+    train.release(tables)
+    data.release()
+
+
+def test_fold_preparations_are_those_learned_without_each_fold(spark):
+    rows = [(i % 3, float(i % 11) if i % 5 else None, ["a", "b", "c", "d"][min(i % 4, 2 + (i == 7))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "fold int, x double, t string")
+    found = prepare.learn_fold_preparations(df, ["x", "t"], "fold", 3)
+    for k in range(3):
+        alone = prepare.learn_preparation(df.where(F.col("fold") != k), ["x", "t"])
+        assert (found[k].fills, found[k].categories) == (alone.fills, alone.categories)
