@@ -17,10 +17,11 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ TREE_BINS = 64
 # Rows per partition of a training set, and of a large one beyond its first few partitions.
 PARTITION_ROWS = 20_000
 LARGE_PARTITION_ROWS = 2_000_000
+# Iterative training takes equal rows as one with a weight if that leaves at most this part of the rows.
+GROUPED_PART = 0.1
 # The least rows of a leaf in either style of boosting.
 BOOSTED_LEAF_ROWS = {"xgboost": 1, "lightgbm": 20}
 
@@ -381,8 +384,8 @@ def fit(data: TrainingSet, algorithm: str = "auto", hyperparams: Mapping[str, An
         texts = sum(is_text(data.source, f) for f in data.features)
         algorithm = choose_algorithm(data.task, data.train_rows + data.test_rows, len(data.features), texts)
     estimator = make_estimator(data.task, algorithm, data.train_rows, max(2, len(data.classes)), **(hyperparams or {}))
-    model = estimator.fit(data.train_side)
-    scored = model.transform(data.prepared)
+    model = learn(estimator, data.train_side, data.task)
+    scored = score(model, data.prepared)
     if data.classes:
         scored = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(data.classes)).transform(scored)
     sides = rate(scored, data.task, ["is_test"], data.positive)
@@ -401,6 +404,52 @@ def fit(data: TrainingSet, algorithm: str = "auto", hyperparams: Mapping[str, An
     )
 
 
+def learn(estimator: Estimator, rows: DataFrame, task: str) -> Model:
+    """The model of the rows (label, features); boosting and logistic regression learn from few different rows with weights.
+
+    Equal features (and equal classes) count as often as they occur, and for a number their mean is all that squared
+    error asks for, so splits, leaves and coefficients are those of the single rows. Forests draw single rows.
+    """
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    boosted = isinstance(inner, GBTClassifier | GBTRegressor)
+    if not boosted and not isinstance(inner, LogisticRegression):
+        return estimator.fit(rows)
+    values = vector_to_array("features")
+    same = [values.alias("values"), *([F.col("label")] if task == "classification" else [])]
+    count, about = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*same), 0.02)).first()
+    if about > count * GROUPED_PART:
+        return estimator.fit(rows)
+    mean = [F.avg("label").alias("label")] if task == "regression" else []
+    grouped = rows.groupBy(*same).agg(F.count("*").cast("double").alias("weight"), *mean)
+    wanted = max(1, math.ceil(about / PARTITION_ROWS))
+    grouped = grouped.repartition(wanted, "values").sortWithinPartitions("values", "label")
+    grouped = grouped.select("label", "weight", array_to_vector("values").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    inner = inner.copy().setWeightCol("weight")
+    if boosted:
+        # Rows of a leaf are counted by weight; half a row less keeps rounding out of it.
+        least = inner.getMinInstancesPerNode()
+        inner = inner.setMinInstancesPerNode(1).setMinWeightFractionPerNode(min((least - 0.5) / count, 0.499))
+    if isinstance(estimator, OneVsRest):
+        inner = estimator.copy().setClassifier(inner).setWeightCol("weight")
+    try:
+        return inner.fit(grouped)
+    finally:
+        grouped.unpersist()
+
+
+def score(model: Model, rows: DataFrame) -> DataFrame:
+    """The rows with the model's predictions; one model per class is scored without leaving Spark's own functions."""
+    if not isinstance(model, OneVsRestModel):
+        return model.transform(rows)
+    scored, names = rows, [f"__raw{i}" for i in range(len(model.models))]
+    for name, one in zip(names, model.models):
+        scored = one.copy({one.rawPredictionCol: name, one.probabilityCol: "", one.predictionCol: ""}).transform(scored)
+    raw = F.array(*[vector_to_array(n)[1] for n in names])
+    first = (F.array_position("__raws", F.array_max("__raws")) - 1).cast("double")
+    kept = scored.withColumn("__raws", raw).select(*[col(c) for c in rows.columns], "__raws")
+    return kept.select(*[col(c) for c in rows.columns], array_to_vector("__raws").alias("rawPrediction"), first.alias("prediction"))
+
+
 def rate(scored: DataFrame, task: str, by: Sequence[str], positive: int | None = None) -> dict[Any, dict[str, float]]:
     if task == "classification":
         rows = M.classification_metrics(scored, "label", "prediction", by, positive).collect()
@@ -483,7 +532,7 @@ def cross_validate(
 
     def one(i: int) -> float | None:
         inside, outside = tables[i].where(F.col("fold") != i), tables[i].where(F.col("fold") == i)
-        scored = estimator.copy().fit(inside).transform(outside)
+        scored = score(learn(estimator.copy(), inside, data.task), outside)
         found = rate(scored, data.task, ["fold"], data.positive)
         return found[i][name] if i in found else None
 
@@ -797,7 +846,7 @@ def refit_on_all(result: TrainResult) -> PipelineModel:
     labelled = preparation.transform(known.withColumn(LABEL, _label(known, d.target, d.classes)))
     rows = d.train_rows + d.test_rows
     estimator = make_estimator(d.task, result.algorithm, rows, max(2, len(d.classes)), **result.hyperparams)
-    return scoring_pipeline(preparation, estimator.fit(labelled.select(F.col(LABEL).alias("label"), "features")), d.classes)
+    return scoring_pipeline(preparation, learn(estimator, labelled.select(F.col(LABEL).alias("label"), "features"), d.task), d.classes)
 
 
 def save_model(result: TrainResult, path: str) -> PipelineModel:

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gristmill.modelling import prepare, train
@@ -65,3 +66,35 @@ def test_fold_preparations_are_those_learned_without_each_fold(spark):
     for k in range(3):
         alone = prepare.learn_preparation(df.where(F.col("fold") != k), ["x", "t"])
         assert (found[k].fills, found[k].categories) == (alone.fills, alone.categories)
+
+
+@pytest.mark.parametrize("algorithm", ["xgboost", "lightgbm"])
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_boosting_learns_from_grouped_rows_what_it_learns_from_single_ones(spark, task, algorithm):
+    rows = [(i, float(i % 5), float(i % 3), float((i * 7) % 11 > 4) if task == "classification" else i % 5 * 2.0 + i % 7 % 3) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, label double")
+    df = prepare.learn_preparation(df, ["a", "b"]).transform(df).select("id", "label", "features").coalesce(1).cache()
+    classes = 3 if task == "classification" and algorithm == "xgboost" else 2
+    if classes == 3:
+        df = df.withColumn("label", F.col("label") + (F.col("id") % 15 == 3).cast("double"))
+    estimator = train.make_estimator(task, algorithm, 1500, classes, n_estimators=4, max_depth=3)
+    single, grouped = estimator.fit(df), train.learn(estimator, df, task)
+    assert "weight" in (grouped.models[0] if classes == 3 else grouped).explainParam("weightCol").split("current: ")[-1]
+    name = "prediction" if task == "regression" else "rawPrediction"
+    value = (lambda c: F.array(c)) if task == "regression" else vector_to_array
+    both = single.transform(df).select("id", value(name).alias("p")).join(train.score(grouped, df).select("id", value(name).alias("q")), "id")
+    assert both.count() == 1500
+    assert both.where(F.exists(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), lambda d: d > 1e-6)).isEmpty()
+
+
+def test_a_training_set_of_any_size_has_small_partitions(spark):
+    class Asked:
+        def repartition(self, n, *_):
+            self.n = n
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+    for rows in (9_000_000, 54_000_000, 216_000_000):
+        assert rows / train._balanced(Asked(), "id", rows).n < 600_000
