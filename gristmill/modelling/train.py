@@ -52,7 +52,7 @@ DEEPEST = 30
 TREE_BINS = 64
 # Rows per partition of a training set, and of a large one beyond its first few partitions.
 PARTITION_ROWS = 20_000
-LARGE_PARTITION_ROWS = 2_000_000
+LARGE_PARTITION_ROWS = 500_000
 # Iterative training takes equal rows as one with a weight if that leaves at most this part of the rows.
 GROUPED_PART = 0.1
 # The least rows of a leaf in either style of boosting.
