@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,9 @@ from ..session import cut_lineage
 from .prepare import inner_names, learn_preparation, model_features
 
 RESTARTS = 10
+# Different points per partition while K-Means runs, and runs at a time.
+PARTITION_POINTS = 50_000
+RUNS_AT_ONCE = 4
 FIRST_SEED = 42
 MICRO_CLUSTERS = 256
 # So many different points are merged without micro-clusters.
@@ -65,12 +69,25 @@ def kmeans(points: DataFrame, k: int = 3, restarts: int = RESTARTS, seed: int =
     """The cheapest of several seeded runs."""
     if k < 2:
         raise ValueError("need at least 2 clusters")
-    vectors = points.select(array_to_vector(POINTS).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    # Equal points are one with a weight. Their partitions follow from the points alone.
+    distinct = points.groupBy(POINTS).agg(F.count("*").cast("double").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = None
     try:
-        runs = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(restarts)]
-        return min(runs, key=lambda m: m.summary.trainingCost)
+        wanted = max(1, math.ceil(distinct.count() / PARTITION_POINTS))
+        laid = distinct.repartition(wanted, POINTS).sortWithinPartitions(POINTS)
+        vectors = laid.select(array_to_vector(POINTS).alias("features"), "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        vectors.count()
+        distinct.unpersist()
+
+        def run(i: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + i, maxIter=max_iter, weightCol="weight").fit(vectors)
+
+        with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
+            return min(pool.map(run, range(restarts)), key=lambda m: m.summary.trainingCost)
     finally:
-        vectors.unpersist()
+        distinct.unpersist()
+        if vectors is not None:
+            vectors.unpersist()
 
 
 def squared_distance(point: Column, center: Column) -> Column:
