@@ -22,6 +22,8 @@ MISSING = "__missing__"
 BROADCAST_CATEGORIES = 100_000
 # Features of at most this many texts are coded from a list in the model, others from a written table.
 LISTED_CATEGORIES = 10_000
+# An estimated number of texts above the limit by this much is above it for certain (five standard errors).
+FEW_MARGIN = 1.1
 MAX_CLASSES = 1_000
 LEAKAGE_LIMIT = 0.95
 IMBALANCE_LIMIT = 20.0
@@ -286,13 +288,16 @@ def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, li
     """The sorted distinct texts of each column that has at most ``limit``, from one grouping of (column, text) pairs."""
     if not names:
         return {}
-    text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in names]
-    pairs = df.select(F.inline(F.array(*text))).distinct()
-    wide = {r.name for r in pairs.groupBy("name").count().where(F.col("count") > limit).collect()}
-    found: dict[str, list[str]] = {n: [] for n in names if n not in wide}
-    for r in pairs.where(F.col("name").isin(list(found))).collect() if found else []:
+    about = df.agg(*[F.approx_count_distinct(F.coalesce(col(n), F.lit(MISSING)), 0.02) for n in names]).first()
+    # Columns of clearly more texts are not exchanged here; the others' texts are few enough to be counted on the driver.
+    few = [n for i, n in enumerate(names) if about[i] <= limit * FEW_MARGIN + 10]
+    if not few:
+        return {}
+    text = [F.struct(F.lit(n).alias("name"), F.coalesce(col(n), F.lit(MISSING)).alias("text")) for n in few]
+    found: dict[str, list[str]] = {n: [] for n in few}
+    for r in df.select(F.inline(F.array(*text))).distinct().collect():
         found[r.name].append(r.text)
-    return {n: sorted(v) for n, v in found.items()}
+    return {n: sorted(v) for n, v in found.items() if len(v) <= limit}
 
 
 def _fold_categories(df: DataFrame, names: Sequence[str], fold: str, folds: int, limit: int) -> list[dict[str, list[str]]] | None:

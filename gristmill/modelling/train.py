@@ -45,7 +45,7 @@ from .prepare import (
     model_features,
 )
 from .linear_cv import linear_fold_scores
-from .split import both_sides, deal_folds, fold_number, split_holdout, split_stratified
+from .split import both_sides, deal_folds, fold_number, holdout_flag, split_stratified
 
 SEED = 42
 DEEPEST = 30
@@ -60,6 +60,7 @@ BOOSTED_LEAF_ROWS = {"xgboost": 1, "lightgbm": 20}
 
 # The target as numbers, while a table may still hold a column called label.
 LABEL = "__label"
+HELD_OUT = "__held_out"
 
 # Algorithms per task, in the order they are compared.
 ALGORITHMS = {
@@ -180,7 +181,9 @@ def training_set(
     if fit_scope not in ("train", "all"):
         raise ValueError("fit_scope is train or all")
     # Every step below reads this table again, so its few columns are kept until the end.
-    data = df.select(*[col(c) for c in dict.fromkeys([key, target, *features])]).persist(StorageLevel.MEMORY_AND_DISK)
+    # The side of each row is kept too: its hash costs more than reading the row.
+    kept = [col(c) for c in dict.fromkeys([key, target, *features])]
+    data = df.select(*kept, holdout_flag(col(key), test_size, seed).alias(HELD_OUT)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed, listed_categories)
     finally:
@@ -219,10 +222,9 @@ def _training_set(
         raise ValueError("too few rows with a target; at least 5 are needed")
     labelled = known.withColumn(LABEL, _label(known, target, classes))
     if stratify:
-        sided = split_stratified(labelled, key, LABEL, test_size, seed)
+        sided = split_stratified(labelled.drop(HELD_OUT), key, LABEL, test_size, seed)
     else:
-        sided = split_holdout(labelled, key, test_size, seed)
-        sided = both_sides(sided, key, seed)
+        sided = both_sides(labelled.withColumn("is_test", F.col(HELD_OUT)).drop(HELD_OUT), key, seed)
     learn_from = sided if fit_scope == "all" else sided.where(~F.col("is_test"))
     preparation = learn_preparation(learn_from, features, listed_categories)
     wide = preparation.transform(sided)

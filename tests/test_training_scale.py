@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from gristmill.modelling import prepare, train
+from gristmill.modelling import cluster, prepare, split, train
 from gristmill.modelling.linear_cv import linear_fold_scores
 from gristmill.operators.ordering import medians_without
 
@@ -98,3 +98,29 @@ def test_a_training_set_of_any_size_has_small_partitions(spark):
 
     for rows in (9_000_000, 54_000_000, 216_000_000):
         assert rows / train._balanced(Asked(), "id", rows).n < 600_000
+
+
+def test_kmeans_takes_equal_points_as_one_with_a_weight(spark):
+    centers = [[0.0, 0.0], [10.0, 0.0], [0.0, 30.0]]
+    rows = [([c[0] + i % 3, c[1] + i % 2],) for c in centers for i in range(600)]
+    model = cluster.kmeans(spark.createDataFrame(rows, "point array<double>"), 3, restarts=3)
+    found = sorted(c.tolist() for c in model.clusterCenters())
+    assert np.allclose(found, sorted([c[0] + 1, c[1] + 0.5] for c in centers))
+    assert model.summary.trainingCost == pytest.approx(1800 * (2 / 3 + 0.25))
+    assert model.getOrDefault("weightCol") == "weight"
+
+
+def test_many_texts_are_known_without_exchanging_them(spark):
+    df = spark.range(3000).selectExpr("CAST(id AS STRING) AS many", "CAST(id % 9 AS STRING) AS few", "CAST(id % 11 AS STRING) AS more")
+    found = prepare._categories(df, ["many", "few", "more"], 10)
+    assert found == {"few": [str(i) for i in range(9)]}
+
+
+def test_the_side_of_a_row_is_hashed_once(spark):
+    df, seen = counted(spark, spark.range(1000).selectExpr("id", "double(id % 5) AS x", "double(id % 7) AS y"), "id")
+    data = train.training_set(df, "y", ["x"], "regression", "id")
+    # Once for the key, once for its hash, if Spark does not share the two.
+    assert seen.value <= 2000
+    expected = df.where(split.holdout_flag(F.col("id"))).count()
+    assert data.test_rows == expected
+    data.release()
