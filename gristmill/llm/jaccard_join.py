@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -357,8 +358,8 @@ def _grouper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs += [(a, b) for i, a in enumerate(members) for b in members[i + 1 :]]
 
     for batch in batches:
-        singles = batch.filter(pa.compute.is_null(batch.column(0)))
-        rows = batch.filter(pa.compute.is_valid(batch.column(0)))
+        singles = batch.filter(pc.is_null(batch.column(0)))
+        rows = batch.filter(pc.is_valid(batch.column(0)))
         pairs, crowd = [], []
         signatures_, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], signatures_[1:] != signatures_[:-1]])) if len(nodes) else []

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def _search_shard(group: pa.Table) -> pa.Table:
     indexed = group.column("indexed")
-    own, asked = (sorted(set(group.filter(f).column("word").to_pylist())) for f in (indexed, pa.compute.invert(indexed)))
+    own, asked = (sorted(set(group.filter(f).column("word").to_pylist())) for f in (indexed, pc.invert(indexed)))
     if not own or not asked:
         return pa.table({"word": pa.array([], pa.string()), "near": pa.array([], pa.string())})
     index = BidirectionalIndex([w.encode("latin-1") for w in own])

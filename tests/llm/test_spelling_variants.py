@@ -2,9 +2,12 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from gristmill.llm import common, spelling_variants
 from gristmill.llm.fm_index import BidirectionalIndex
@@ -110,3 +113,20 @@ def test_index_of_one_word():
     index = BidirectionalIndex([b"abcde"])
     hits = [[len(index.one_error([q], first)[0]) for first in (True, False)] for q in (b"abcde", b"abxde", b"xbcde", b"abcd", b"zzzzz")]
     assert hits[0] == [0, 0] and hits[1][0] and hits[2][1] and hits[3][0] and hits[4] == [0, 0]
+
+
+def test_shards_are_searched_in_a_fresh_process():
+    """A worker that gets its first rows from Spark has not loaded pyarrow.compute, unless the module asks for it."""
+    group = pa.table({"word": ["house", "horse"], "indexed": [True, False], "start": [True, True]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, group.schema) as stream:
+        stream.write_table(group)
+    code = (
+        "import sys, pyarrow as pa\n"
+        "from gristmill.llm.spelling_variants import _search_shard\n"
+        "group = pa.ipc.open_stream(sys.stdin.buffer.read()).read_all()\n"
+        "print(_search_shard(group).to_pylist())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], input=sink.getvalue().to_pybytes(), capture_output=True, timeout=60)
+    assert done.returncode == 0, done.stderr.decode()
+    assert done.stdout.decode().strip() == "[{'word': 'horse', 'near': 'house'}]"
