@@ -35,6 +35,8 @@ HEAD_PAIRS = 1 << 18
 # Tokens that a task gathers before it passes on what it has counted, distinct words after which it forgets
 # their numbers, and tokens for each partition of pairs.
 HELD = 500_000
+# Bytes of packed arrays that a task hands back at a time.
+BATCH_BYTES = 1 << 20
 WORDS_HELD = 200_000
 PARTITION_TOKENS = 1 << 21
 MOST_PARTITIONS = 1 << 20
@@ -381,7 +383,7 @@ def _pack_words(partitions: int):
             keys, n, b = (c.to_numpy() for c in batch.columns)
             keys = keys.view(np.uint64)
             rows = [(p, RARE_WORDS, _pack(k), None, _planes(n), _planes(b)) for p, k, n, b in _dealt(_partition(_word_key(keys), partitions), keys, n, b)]
-            yield _rows(rows, names)
+            yield from _rows(rows, names)
 
     return pack
 
@@ -437,18 +439,25 @@ def _count_pairs(known, partitions: int):
                 places = _partition(_word_key(rare[one]), partitions)
                 for p, r, o, n, b in _dealt(places, rare[one], other[one], n, b):
                     rows.append((p, kind, _pack(r), _planes(o), _planes(n), _planes(b)))
-            yield _rows(rows, names)
+            yield from _rows(rows, names)
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
 
     return count
 
 
-def _rows(rows: list, names: list[str]) -> pa.RecordBatch:
-    """Rows of a partition, a kind and binary values; a block goes third if it is among the names."""
-    columns = list(zip(*rows)) or [()] * len(names)
+def _rows(rows: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition, a kind and binary values, in batches of about BATCH_BYTES; a block goes third if it is among the names."""
     kinds = [pa.int32() if c in ("p", "kind") else pa.int64() if c == "block" else pa.binary() for c in names]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(value) for value in row if isinstance(value, bytes))
+        if size >= BATCH_BYTES:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
 
 def _merge_pairs(known, base: tuple[int, int, float]):
@@ -634,7 +643,7 @@ def _ask(known, partitions: int):
             own = np.stack([lengths, np.bincount(doc, weights=known_token, minlength=n), np.bincount(doc, weights=base, minlength=n), sums])
             keys = np.array([0 if i is None else i for i in ids], dtype=np.int64)
             rows.append((block % partitions, OWN, block, keys.tobytes(), missing.tobytes(), own.astype(float).tobytes(), None))
-            yield _rows(rows, names)
+            yield from _rows(rows, names)
             block += 1
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
@@ -648,7 +657,7 @@ def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places, keys, n, un, wn = (c.to_numpy() for c in batch.columns)
         parts = _dealt(places, keys.view(np.uint64), n, un, wn)
-        yield _rows([(p, TWO_RARE, None, _pack(k), *map(_planes, counts)) for p, k, *counts in parts], names)
+        yield from _rows([(p, TWO_RARE, None, _pack(k), *map(_planes, counts)) for p, k, *counts in parts], names)
 
 
 def _answer(known):
@@ -692,7 +701,7 @@ def _answer(known):
                 sums = [np.bincount(places, weights=v, minlength=len(docs)) for v in (table[2][at] > 0, table[2][at], table[1][at])]
                 out.append((block, kind, None, docs.tobytes(), np.stack(sums).tobytes()))
             if out:
-                yield _rows(out, names)
+                yield from _rows(out, names)
 
     return answer
 

@@ -133,3 +133,14 @@ def test_packing_is_exact():
     assert (lm_scoring._unpack(lm_scoring._pack(keys)) == keys).all()
     assert (lm_scoring._from_planes(lm_scoring._planes(keys)) == keys).all()
     assert len(lm_scoring._unpack(lm_scoring._pack(keys[:0]))) == 0
+
+
+def test_tasks_hand_back_packed_arrays_in_small_batches():
+    """A batch is held by Python and Spark at once, so many partitions' arrays must not be one batch."""
+    part = lm_scoring.BATCH_BYTES // 4 + 1
+    rows = [(i, lm_scoring.ASKED, i, bytes([i]) * part, None, None, None) for i in range(21)]
+    names = [c.split()[0] for c in lm_scoring._PARTS.split(", ")]
+    batches = list(lm_scoring._rows(rows, names))
+    assert max(b.num_rows for b in batches) == 4
+    assert [tuple(r[n] for n in names) for b in batches for r in b.to_pylist()] == rows
+    assert not list(lm_scoring._rows([], names))
