@@ -183,7 +183,8 @@ def training_set(
     # Every step below reads this table again, so its few columns are kept until the end.
     # The side of each row is kept too: its hash costs more than reading the row.
     kept = [col(c) for c in dict.fromkeys([key, target, *features])]
-    data = df.select(*kept, holdout_flag(col(key), test_size, seed).alias(HELD_OUT)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _spread(df.select(*kept), key)
+    data = rows.select("*", holdout_flag(col(key), test_size, seed).alias(HELD_OUT)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed, listed_categories)
     finally:
@@ -260,6 +261,12 @@ def _training_set(
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The table dealt to all tasks by its key; a file of few row groups gives its rows to as few tasks,
+    and all passes over the kept rows would run there."""
+    return df.repartition(col(key))
+
+
 def _balanced(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The table in as many partitions as its rows deserve, in a fixed row order.
 
@@ -490,7 +497,7 @@ def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
     if data.options["fit_scope"] == "all":
         labelled = data.prepared
     else:
-        rows = data.source.select(*[col(c) for c in dict.fromkeys((data.key, data.target, *data.features))])
+        rows = _spread(data.source.select(*[col(c) for c in dict.fromkeys((data.key, data.target, *data.features))]), data.key)
         rows = rows.where(_known_target(rows, data.target, data.task))
         labelled = rows.withColumn(LABEL, _label(rows, data.target, data.classes))
     placed = labelled.withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)

@@ -124,3 +124,12 @@ def test_the_side_of_a_row_is_hashed_once(spark):
     expected = df.where(split.holdout_flag(F.col("id"))).count()
     assert data.test_rows == expected
     data.release()
+
+
+def test_rows_of_one_partition_are_dealt_to_several_tasks(spark, monkeypatch):
+    """The flag of the test side says which task computed it; one partition would put all rows on one side."""
+    monkeypatch.setattr(train, "holdout_flag", lambda *_: F.spark_partition_id() % 2 == 1)
+    df = spark.range(0, 200_000, 1, 1).selectExpr("concat('a key of some length ', md5(cast(id AS string))) AS key", "id % 7 + rand(1) AS x", "id % 3 + rand(2) AS y")
+    data = train.training_set(df, "y", ["x"], "regression", "key")
+    assert min(data.train_rows, data.test_rows) > 10_000
+    data.release()
