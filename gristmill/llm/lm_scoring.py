@@ -14,6 +14,7 @@ has, added up where it is known. Words and pairs with rare words are told apart
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -38,6 +39,8 @@ HELD = 500_000
 # Bytes of packed arrays that a task hands back at a time.
 BATCH_BYTES = 1 << 20
 WORDS_HELD = 200_000
+# Pairs that a task turns from counts into ratios or gains at a time.
+PAIRS_AT_ONCE = 1 << 17
 PARTITION_TOKENS = 1 << 21
 MOST_PARTITIONS = 1 << 20
 # One training document in so many is held out for the weights.
@@ -54,6 +57,8 @@ END = xxhash.xxh64_intdigest(END_WORD)
 _SHIFT = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _ONE = np.uint64(1)
+# Of glibc only; elsewhere freed memory stays with the process.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _TAG = np.uint64(1 << 63)
 
 # Kinds of rows, in the order in which a partition needs them.
@@ -296,6 +301,24 @@ def _word_key(w: np.ndarray) -> np.ndarray:
     return mixed(w ^ np.uint64(0x5851F42D4C957F2D)) | _TAG
 
 
+def _joined(parts: list[tuple]) -> list[np.ndarray]:
+    """The parts' arrays, one after the other; the list is emptied, so that no more than one array is there twice."""
+    columns = [list(column) for column in zip(*parts)]
+    parts.clear()
+    out = []
+    for column in columns:
+        out.append(np.concatenate(column))
+        column.clear()
+    return out
+
+
+def _give_back() -> None:
+    """Return to the system what this process has freed; else each of an executor's processes keeps the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
@@ -345,8 +368,11 @@ def _held(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator
             lengths.append(len(words) - before)
         numbers.append(vocabulary(words))
         size += len(words)
+        # The words are numbered; only their numbers are kept while a task works on them.
+        del words, text
         if size >= HELD or len(vocabulary) > WORDS_HELD:
-            yield beside, np.concatenate(numbers), np.array(lengths, dtype=np.int64)
+            numbers = np.concatenate(numbers)
+            yield beside, numbers, np.array(lengths, dtype=np.int64)
             beside, numbers, lengths, size = [], [], [], 0
     if beside:
         yield beside, np.concatenate(numbers), np.array(lengths, dtype=np.int64)
@@ -415,33 +441,38 @@ def _count_pairs(known, partitions: int):
     names = [c.split()[0] for c in _COUNTED.split(", ")]
     wide = np.uint64(43)
 
+    def rows_of(head: Head, vocabulary: Vocabulary, aside: list, numbers: np.ndarray, lengths: np.ndarray) -> list[tuple]:
+        apart = np.repeat(np.array(aside, dtype=np.uint64), lengths)
+        word, context, before = _numbered(head, vocabulary, numbers, lengths)
+        rows = []
+        frequent = (word >= 0) & (context >= 0)
+        code = _code(context[frequent], word[frequent])
+        # Partition, pair and fold in one number, so that one plain sort brings all together.
+        whole = np.sort((_partition(code, partitions).astype(np.uint64) << wide) | (code << _ONE) | apart[frequent])
+        pair = whole >> _ONE
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        n = np.diff(starts, append=len(pair))
+        b = np.add.reduceat(whole & _ONE, starts) if len(starts) else n
+        place, code = (pair[starts] >> (wide - _ONE)).astype(np.int64), pair[starts] & np.uint64((1 << 42) - 1)
+        cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+        for start, end in zip(cuts, [*cuts[1:], len(place)]):
+            rows.append((int(place[start]), HEAD_PAIR, _pack(code[start:end]), None, _planes(n[start:end]), _planes(b[start:end])))
+        for kind, (at, rare, other) in zip((RARE_PAIR, TWO_RARE), _rare_parts(vocabulary, word, context, numbers, before)):
+            _, one, n, b = _summed(_pair_key(rare, other), np.ones(len(at), np.int64), apart[at].astype(np.int64))
+            places = _partition(_word_key(rare[one]), partitions)
+            for p, r, o, n, b in _dealt(places, rare[one], other[one], n, b):
+                rows.append((p, kind, _pack(r), _planes(o), _planes(n), _planes(b)))
+        return rows
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = known.value
         vocabulary = Vocabulary(head)
-        for aside, numbers, lengths in _held(batches, vocabulary):
-            apart = np.repeat(np.array(aside, dtype=np.uint64), lengths)
-            word, context, before = _numbered(head, vocabulary, numbers, lengths)
-            rows = []
-            frequent = (word >= 0) & (context >= 0)
-            code = _code(context[frequent], word[frequent])
-            # Partition, pair and fold in one number, so that one plain sort brings all together.
-            whole = np.sort((_partition(code, partitions).astype(np.uint64) << wide) | (code << _ONE) | apart[frequent])
-            pair = whole >> _ONE
-            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            n = np.diff(starts, append=len(pair))
-            b = np.add.reduceat(whole & _ONE, starts) if len(starts) else n
-            place, code = (pair[starts] >> (wide - _ONE)).astype(np.int64), pair[starts] & np.uint64((1 << 42) - 1)
-            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
-            for start, end in zip(cuts, [*cuts[1:], len(place)]):
-                rows.append((int(place[start]), HEAD_PAIR, _pack(code[start:end]), None, _planes(n[start:end]), _planes(b[start:end])))
-            for kind, (at, rare, other) in zip((RARE_PAIR, TWO_RARE), _rare_parts(vocabulary, word, context, numbers, before)):
-                _, one, n, b = _summed(_pair_key(rare, other), np.ones(len(at), np.int64), apart[at].astype(np.int64))
-                places = _partition(_word_key(rare[one]), partitions)
-                for p, r, o, n, b in _dealt(places, rare[one], other[one], n, b):
-                    rows.append((p, kind, _pack(r), _planes(o), _planes(n), _planes(b)))
-            yield from _rows(rows, names)
+        for held in _held(batches, vocabulary):
+            yield from _rows(rows_of(head, vocabulary, *held), names)
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
+        del vocabulary
+        _give_back()
 
     return count
 
@@ -471,13 +502,19 @@ def _merge_pairs(known, base: tuple[int, int, float]):
         return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def compact(parts: list) -> list:
+        """The parts as one, added up; the list is emptied on the way."""
         if len(parts) < 2:
             return parts
-        keys, n, b, rare, other = (np.concatenate(x) for x in zip(*parts))
+        keys, n, b, rare, other = _joined(parts)
         keys, one, n, b = _summed(keys, n, b)
         return [(keys, n, b, rare[one] if len(rare) else rare, other[one] if len(other) else other)]
 
     def histogram(ua, wa, n, b):
+        for start in range(0, len(n), PAIRS_AT_ONCE):
+            s = slice(start, start + PAIRS_AT_ONCE)
+            yield from cells_of(ua[s], wa[s], n[s], b[s])
+
+    def cells_of(ua, wa, n, b):
         levels, ratio = bucket(ua), (n - b) / np.maximum(ua, 1) / word_probability(wa, *base)
         seen = (b > 0) & (levels > 0)
         levels, ratio, times = levels[seen], ratio[seen], b[seen].astype(float)
@@ -489,18 +526,21 @@ def _merge_pairs(known, base: tuple[int, int, float]):
             yield batch(rows, kind=np.full(rows, HISTOGRAM), bucket=cells >> 32, bin=(cells & ((1 << 32) - 1)) + NEVER, weight=sums[0], moment=sums[1])
 
     def finished(p: int, held: dict, head: Head):
-        held = {kind: compact(parts) for kind, parts in held.items()}
+        for kind in held:
+            held[kind] = compact(held[kind])
         rare_keys, rare_n, rare_b = held[RARE_WORDS][0][:3] if held[RARE_WORDS] else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
         if len(rare_keys):
             keys = _word_key(rare_keys)
             order = np.argsort(keys)
             yield batch(1, p=[p], kind=[RARE_WORDS], keys=[_pack(keys[order])], n=[_planes(rare_n[order])])
-        for keys, n, b, _, _ in held[HEAD_PAIR]:
+        for keys, n, b, _, _ in held.pop(HEAD_PAIR):
             u, w = (keys >> _SHIFT).astype(np.int64), (keys & _LOW).astype(np.int64)
             yield from histogram(head.a[u], head.a[w], n, b)
+            del u, w
             yield batch(1, p=[p], kind=[HEAD_PAIR], keys=[_pack(keys)], n=[_planes(n)])
+            del keys, n, b
         for kind in (RARE_PAIR, TWO_RARE):
-            for keys, n, b, rare, other in held[kind]:
+            for keys, n, b, rare, other in held.pop(kind):
                 at = np.searchsorted(rare_keys, rare)
                 own_n, own_a = rare_n[at], rare_n[at] - rare_b[at]
                 if kind == TWO_RARE:
@@ -516,15 +556,15 @@ def _merge_pairs(known, base: tuple[int, int, float]):
                 yield batch(1, p=[p], kind=[kind], keys=[_pack(keys[order])], **{c: [_planes(x[order])] for c, x in (("n", n), ("nu", nu), ("nw", nw))})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, current, sizes = known.value, None, {}
-        held = {kind: [] for kind in (RARE_WORDS, HEAD_PAIR, RARE_PAIR, TWO_RARE)}
+        head, current, sizes, held = known.value, None, {}, {}
         for part in batches:
             for p, kind, keys, other, n, b in zip(*[c.to_pylist() for c in part.columns]):
                 if p != current:
                     if current is not None:
                         yield from finished(current, held, head)
                     current, sizes = p, {}
-                    held = {kind: [] for kind in held}
+                    held = {kind: [] for kind in (RARE_WORDS, HEAD_PAIR, RARE_PAIR, TWO_RARE)}
+                    _give_back()
                 n, b = (_from_planes(x).astype(np.int64) for x in (n, b))
                 rare, other = (_unpack(keys), _from_planes(other)) if other is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 keys = _pair_key(rare, other) if len(rare) else _unpack(keys)
@@ -536,6 +576,8 @@ def _merge_pairs(known, base: tuple[int, int, float]):
                     sizes[kind] = -len(held[kind][0][0])
         if current is not None:
             yield from finished(current, held, head)
+        held = {}
+        _give_back()
 
     return merge
 
@@ -610,43 +652,51 @@ def _ask(known, partitions: int):
     """Per block of texts: sums of what is known here, and the keys of all else by partition."""
     names = [c.split()[0] for c in _PARTS.split(", ")]
 
+    def rows_of(shared: tuple, gains: np.ndarray, vocabulary: Vocabulary, block: int, ids: list, numbers: np.ndarray, lengths: np.ndarray) -> list[tuple]:
+        head, values, (pairs, _) = shared
+        n = len(ids)
+        doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        word, context, before = _numbered(head, vocabulary, numbers, lengths)
+        rare = word < 0
+        known_token = ~rare
+        if not head.n[-1]:
+            known_token[np.cumsum(lengths) - 1] = False  # without training texts the end is unknown, too
+        score = np.where(rare, values.rare_word, values.word[word]) + np.where(context >= 0, values.context[context], 0.0)
+        base = np.where(rare, 0.0, values.base[word]) - values.total
+        own = np.stack([lengths, np.bincount(doc, weights=known_token, minlength=n), np.bincount(doc, weights=base, minlength=n), np.bincount(doc, weights=score, minlength=n)])
+        del score, base, known_token
+        frequent = ~rare & (context >= 0)
+        code, owner = _code(context[frequent], word[frequent]), doc[frequent]
+        at = np.minimum(np.searchsorted(pairs, code), max(len(pairs) - 1, 0))
+        here = pairs[at] == code if len(pairs) else np.zeros(len(code), bool)
+        own[3] += np.bincount(owner[here], weights=gains[at[here]], minlength=n)
+        (one, first, other), (two, u, w) = _rare_parts(vocabulary, word, context, numbers, before)
+        single = vocabulary.keys[numbers[rare]]
+        parts = [
+            (_partition(code[~here], partitions), code[~here], owner[~here]),
+            (_partition(_word_key(single), partitions), _word_key(single), doc[rare]),
+            (_partition(_word_key(first), partitions), _pair_key(first, other), doc[one]),
+            (_partition(_word_key(u), partitions), _pair_key(u, w), doc[two]),
+        ]
+        rows = [(p, ASKED, block, _pack(k), d.tobytes(), None, None) for p, k, d in _dealt(*[np.concatenate(x) for x in zip(*parts)])]
+        missing = np.array([i is None for i in ids], dtype=np.uint8)
+        keys = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+        rows.append((block % partitions, OWN, block, keys.tobytes(), missing.tobytes(), own.astype(float).tobytes(), None))
+        return rows
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, values, (pairs, counts) = known.value
+        shared = known.value
+        head, values, (pairs, counts) = shared
         gains = values.gain(pairs, counts)
         vocabulary = Vocabulary(head)
         block = TaskContext.get().partitionId() << 32
-        for ids, numbers, lengths in _held(batches, vocabulary):
-            n = len(ids)
-            doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
-            word, context, before = _numbered(head, vocabulary, numbers, lengths)
-            rare = word < 0
-            known_token = ~rare
-            if not head.n[-1]:
-                known_token[np.cumsum(lengths) - 1] = False  # without training texts the end is unknown, too
-            score = np.where(rare, values.rare_word, values.word[word]) + np.where(context >= 0, values.context[context], 0.0)
-            base = np.where(rare, 0.0, values.base[word]) - values.total
-            frequent = ~rare & (context >= 0)
-            code, owner = _code(context[frequent], word[frequent]), doc[frequent]
-            at = np.minimum(np.searchsorted(pairs, code), max(len(pairs) - 1, 0))
-            here = pairs[at] == code if len(pairs) else np.zeros(len(code), bool)
-            sums = np.bincount(doc, weights=score, minlength=n) + np.bincount(owner[here], weights=gains[at[here]], minlength=n)
-            (one, first, other), (two, u, w) = _rare_parts(vocabulary, word, context, numbers, before)
-            own = vocabulary.keys[numbers[rare]]
-            parts = [
-                (_partition(code[~here], partitions), code[~here], owner[~here]),
-                (_partition(_word_key(own), partitions), _word_key(own), doc[rare]),
-                (_partition(_word_key(first), partitions), _pair_key(first, other), doc[one]),
-                (_partition(_word_key(u), partitions), _pair_key(u, w), doc[two]),
-            ]
-            rows = [(p, ASKED, block, _pack(k), d.tobytes(), None, None) for p, k, d in _dealt(*[np.concatenate(x) for x in zip(*parts)])]
-            missing = np.array([i is None for i in ids], dtype=np.uint8)
-            own = np.stack([lengths, np.bincount(doc, weights=known_token, minlength=n), np.bincount(doc, weights=base, minlength=n), sums])
-            keys = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            rows.append((block % partitions, OWN, block, keys.tobytes(), missing.tobytes(), own.astype(float).tobytes(), None))
-            yield from _rows(rows, names)
+        for held in _held(batches, vocabulary):
+            yield from _rows(rows_of(shared, gains, vocabulary, block, *held), names)
             block += 1
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
+        del vocabulary
+        _give_back()
 
     return ask
 
@@ -665,13 +715,17 @@ def _answer(known):
     names = [c.split()[0] for c in _SUMS.split(", ")]
 
     def learned(values: _Values, kind: int, keys: np.ndarray, x: bytes, y: bytes, z: bytes):
-        n = _from_planes(x).astype(np.int64)
-        none = np.zeros(len(keys))
-        if kind == HEAD_PAIR:
-            return keys, values.gain(keys, n), none
-        if kind == RARE_WORDS:
-            return keys, values.rare_words(n), np.log10(n + 1.0)
-        return keys, values.rare_gain(n, *(_from_planes(c).astype(np.int64) for c in (y, z))), none
+        counts = [_from_planes(c).astype(np.int64, copy=False) for c in (x, y, z) if c is not None]
+        gains, known = np.empty(len(keys)), np.zeros(len(keys))
+        for start in range(0, len(keys), PAIRS_AT_ONCE):
+            s = slice(start, start + PAIRS_AT_ONCE)
+            if kind == HEAD_PAIR:
+                gains[s] = values.gain(keys[s], counts[0][s])
+            elif kind == RARE_WORDS:
+                gains[s], known[s] = values.rare_words(counts[0][s]), np.log10(counts[0][s] + 1.0)
+            else:
+                gains[s] = values.rare_gain(*[c[s] for c in counts])
+        return keys, gains, known
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, values, _ = known.value
@@ -681,6 +735,7 @@ def _answer(known):
             for p, kind, block, keys, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
                 if p != current:
                     current, arrays, table = p, [], None
+                    _give_back()
                 if kind == OWN:
                     out.append((block, kind, keys, x, y))
                     continue
@@ -689,9 +744,11 @@ def _answer(known):
                     arrays.append(learned(values, kind, keys, x, y, z))
                     continue
                 if table is None:
-                    table = [np.concatenate(a) for a in zip(*arrays)] if arrays else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
+                    table = _joined(arrays) if arrays else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
                     order = np.argsort(table[0])
-                    table, arrays = [a[order] for a in table], []
+                    for i in range(len(table)):
+                        table[i] = table[i][order]
+                    del order
                 if not len(table[0]):
                     continue
                 at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
@@ -702,6 +759,8 @@ def _answer(known):
                 out.append((block, kind, None, docs.tobytes(), np.stack(sums).tobytes()))
             if out:
                 yield from _rows(out, names)
+        arrays, table = [], None
+        _give_back()
 
     return answer
 
