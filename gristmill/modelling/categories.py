@@ -9,6 +9,7 @@ splitting of skewed joins.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,12 +22,15 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col, is_scalar, require_columns
-from ..operators.ordering import with_row_index
+from ..functions.expressions import col, is_scalar, long_array, require_columns
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 # A value with at least this part of a feature's rows is frequent, so at most this many are.
 HOT_PART = 1_024
+# Bits of monotonically_increasing_id() that number the rows of a task.
+ID_BITS = 33
+# Codes up to this number in each partition of a join are hashed, more are sorted.
+HASHED_CODES = 1_000_000
 CODES_SCHEMA = "text string, code bigint, feature int, hot boolean"
 
 
@@ -41,15 +45,25 @@ def code_table(df: DataFrame, texts: Sequence[Column], path: str | None = None)
     entries = [F.struct(F.lit(i).alias("feature"), t.alias("text")) for i, t in enumerate(texts)]
     values = df.select(F.inline(F.array(*entries))).where("text IS NOT NULL")
     counts = cut_lineage(values.groupBy("feature", "text").agg(F.count("*").alias("rows")))
-    found = {r.feature: r for r in counts.groupBy("feature").agg(F.count("*").alias("values"), F.sum("rows").alias("rows")).collect()}
-    sizes = [found[i]["values"] if i in found else 0 for i in range(len(texts))]
-    first = F.array(*[F.lit(sum(sizes[:i])).cast("bigint") for i in range(len(texts))])
-    least = F.array(*[F.lit(found[i]["rows"] / HOT_PART if i in found else 0.0) for i in range(len(texts))])
-    placed = with_row_index(counts, ["feature", "text"], "place")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = counts.repartitionByRange(tasks, "feature", "text").sortWithinPartitions("feature", "text")
+    # The id is the number of the row's task, in order, and of the row in it; another run might cut the tasks elsewhere.
+    placed = cut_lineage(ordered.withColumn("place", F.monotonically_increasing_id()))
+    task = F.shiftright("place", ID_BITS)
+    found = placed.groupBy(task.alias("task"), "feature").agg(F.count("*").alias("values"), F.sum("rows").alias("rows")).collect()
+    sizes, rows, inside = [0] * len(texts), [0] * len(texts), [0] * (1 + max((r.task for r in found), default=0))
+    for r in found:
+        sizes[r.feature] += r["values"]
+        rows[r.feature] += r.rows
+        inside[r.task] += r["values"]
+    starts = long_array([0, *itertools.accumulate(inside)][:-1])
+    place = starts[task.cast("int")] + F.col("place").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    first = long_array([0, *itertools.accumulate(sizes)][:-1])
+    least = F.array(*[F.lit(n / HOT_PART) for n in rows])
     write_codes(
         placed.select(
             "text",
-            (F.col("place") - first[F.col("feature")]).cast("bigint").alias("code"),
+            (place - first[F.col("feature")]).cast("bigint").alias("code"),
             "feature",
             (F.col("rows") >= least[F.col("feature")]).alias("hot"),
         ),
@@ -66,10 +80,13 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CODES_SCHEMA).parquet(path)
 
 
-def join_codes(df: DataFrame, text: Column, codes: DataFrame, name: str, unknown: Column | None = None) -> DataFrame:
-    """Add the code of a text that is never NULL; a text without one gets `unknown`."""
+def join_codes(df: DataFrame, text: Column, codes: DataFrame, name: str, unknown: Column | None = None, size: int | None = None) -> DataFrame:
+    """Add the code of a text that is never NULL; a text without one gets `unknown`. `size` is the number of codes, if known."""
     hot = codes.where("hot").select(F.col("text").alias("__hot_text"), F.col("code").alias("__hot_code"))
     cold = codes.where("NOT hot").select(F.col("text").alias("__cold_text"), F.col("code").alias("__cold_code"))
+    if size is not None and size <= HASHED_CODES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # Spares sorting all rows. Each text has one code, so the codes are dealt evenly.
+        cold = cold.hint("shuffle_hash")
     row = F.xxhash64(*[col(c) for c in df.columns if is_scalar(df, c)])
     marked = df.withColumn("__text", text).join(F.broadcast(hot), F.col("__text") == F.col("__hot_text"), "left")
     # A frequent value has its code already; should its row's hash be some other text, that code comes second.
@@ -98,7 +115,7 @@ class OneHotVectors:
             return df.select(*[F.lit(None).cast(VectorUDT()).alias(c) if c == self.column else col(c) for c in df.columns])
         row = F.xxhash64(*[col(c) for c in df.columns if is_scalar(df, c)])
         text = F.coalesce(col(self.column).cast("string"), F.hex(row))
-        coded = join_codes(df, text, self.codes, "__code", F.lit(self.size).cast("bigint"))
+        coded = join_codes(df, text, self.codes, "__code", F.lit(self.size).cast("bigint"), self.size)
         coded = coded.withColumn("__code", F.when(col(self.column).isNotNull(), F.col("__code").cast("double")))
         known = self.codes.sparkSession.range(self.size - 1, self.size).select(F.col("id").cast("double").alias("__code"))
         # The slot for unknown values comes last and is left out, so they have no slot.
@@ -136,7 +153,7 @@ class CategoryCodes(Transformer, MLWritable, MLReadable):
         wanted = zip(self.getOrDefault(self.inputs), self.getOrDefault(self.outputs), self.getOrDefault(self.sizes))
         for i, (text, name, size) in enumerate(wanted):
             codes = self.codes.where(F.col("feature") == i)
-            dataset = join_codes(dataset, col(text), codes, name, F.lit(size).cast("bigint"))
+            dataset = join_codes(dataset, col(text), codes, name, F.lit(size).cast("bigint"), size)
             dataset = dataset.withColumn(name, col(name).cast("double"))
         return dataset
 

@@ -119,10 +119,16 @@ def bucket_by_order(
         return Bucketed(df.withColumn(BUCKET, F.lit(0)), sizes or [0])
     borders = tops.agg(F.array_sort(F.collect_list("__top"))).scalar()
     placed = df.withColumn("__borders", borders)
-    placed = placed.withColumn(BUCKET, F.size(F.filter("__borders", lambda top: top < key))).drop("__borders")
+    placed = placed.withColumn(BUCKET, _borders_below(F.col("__borders"), len(sizes), key)).drop("__borders")
     return Bucketed(placed, sizes)
 
 
+def _borders_below(borders: Column, most: int, key: Column) -> Column:
+    """How many of at most ``most`` sorted borders are below the key, in as many comparisons as that number has bits."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) < key, at + step).otherwise(at))
+
+
 def _sort_key(df: DataFrame, name: str) -> Column:
     """A double that never decreases along the column's ascending order, NULL first and NaN last."""
     c = col(name)

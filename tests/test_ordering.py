@@ -154,3 +154,14 @@ def test_large_groups_stay_in_place(spark):
         assert ordering.group_quantiles(df, F.col("v"), [0.5], ["g"], in_memory_rows=0).count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 8])
+def test_borders_below_a_key_are_counted_by_halving(spark, most):
+    borders = [(None, 0), *[("abcdefgh"[i // 2], i) for i in range(1, most)]][:most]
+    keys = [*borders, (None, -1), ("", 5), ("b", 3), ("zz", 0)]
+    df = spark.createDataFrame([(keys, borders)], "keys array<struct<t string, n int>>, borders array<struct<t string, n int>>")
+    df = df.select(F.explode("keys").alias("key"), "borders")
+    below = ordering._borders_below(F.col("borders"), most, F.col("key"))
+    got = df.select(below.alias("fast"), F.size(F.filter("borders", lambda b: b < F.col("key"))).alias("slow")).collect()
+    assert len(got) == most + 4 and all(r.fast == r.slow for r in got)
