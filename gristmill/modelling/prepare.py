@@ -24,6 +24,8 @@ BROADCAST_CATEGORIES = 100_000
 LISTED_CATEGORIES = 10_000
 # An estimated number of texts above the limit by this much is above it for certain (five standard errors).
 FEW_MARGIN = 1.1
+# Rows for each listed category in which a column may show that it has more.
+PROOF_ROWS = 4
 MAX_CLASSES = 1_000
 LEAKAGE_LIMIT = 0.95
 IMBALANCE_LIMIT = 20.0
@@ -43,8 +45,8 @@ def label_encode(df: DataFrame, column: str, name: str | None = None, broadcast_
     text = F.coalesce(col(column).cast("string"), F.lit(MISSING))
     categories = df.select(text.alias("__text")).distinct()
     if categories.limit(broadcast_limit + 1).count() > broadcast_limit:
-        codes, _ = code_table(df, [text])
-        return join_codes(df, text, codes, name)
+        codes, sizes = code_table(df, [text])
+        return join_codes(df, text, codes, name, size=sizes[0])
     ranked = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__text")) - 1
     codes = F.broadcast(categories.withColumn(name, ranked.cast("bigint")))
     return df.withColumn("__text", text).join(codes, "__text").drop("__text")
@@ -288,7 +290,14 @@ def _categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, li
     """The sorted distinct texts of each column that has at most ``limit``, from one grouping of (column, text) pairs."""
     if not names:
         return {}
-    about = df.agg(*[F.approx_count_distinct(F.coalesce(col(n), F.lit(MISSING)), 0.02) for n in names]).first()
+    texts = {n: F.coalesce(col(n), F.lit(MISSING)) for n in names}
+    # Some rows with more texts than the limit prove a column to have them; only the others are looked at in all rows.
+    some = df.select(*[t.alias(f"t{i}") for i, t in enumerate(texts.values())]).limit(PROOF_ROWS * (limit + 1))
+    proven = some.agg(*[F.count_distinct(F.col(f"t{i}")) for i in range(len(names))]).first()
+    names = [n for i, n in enumerate(names) if proven[i] <= limit]
+    if not names:
+        return {}
+    about = df.agg(*[F.approx_count_distinct(texts[n], 0.02) for n in names]).first()
     # Columns of clearly more texts are not exchanged here; the others' texts are few enough to be counted on the driver.
     few = [n for i, n in enumerate(names) if about[i] <= limit * FEW_MARGIN + 10]
     if not few:

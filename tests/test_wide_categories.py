@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gristmill.modelling import categories
+from gristmill.modelling import categories, prepare
 
 
 def test_codes_follow_the_order_of_texts_over_many_tasks(spark):
@@ -34,3 +34,12 @@ def test_rows_are_not_sorted_for_codes_of_known_number(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_many_texts_are_proven_by_some_rows(spark, monkeypatch):
+    df = spark.range(100_000).selectExpr("CAST(id AS STRING) AS t")
+    with monkeypatch.context() as without:
+        without.setattr(F, "approx_count_distinct", None)
+        assert prepare._categories(df, ["t"], 10) == {}
+    few = spark.range(1000).selectExpr("CAST(id AS STRING) AS many", "CAST(id % 10 AS STRING) AS few")
+    assert prepare._categories(few, ["many", "few"], 10) == {"few": [str(i) for i in range(10)]}
