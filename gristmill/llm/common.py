@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +26,9 @@ FEW_IDS = 1_000_000
 # At most this many keys can each hold 1/HOT_KEYS of all rows, so a list of them is small for any input.
 HOT_KEYS = 256
 
+# Of glibc only; elsewhere freed memory stays with the process.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -57,6 +61,13 @@ def row_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[column.to_pylist() for column in batch.columns])
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; else each of an executor's processes keeps the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares for checkpoints."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

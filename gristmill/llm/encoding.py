@@ -7,7 +7,11 @@ import re
 
 import numpy as np
 
+from .common import give_back
+
 ID_TYPE = np.dtype("<u4")
+# Words of a generation; each process keeps two.
+REMEMBERED = 300_000
 
 # A space before a visible character always starts a new pre-token of byte-level BPE.
 _WORD_START = re.compile(r" (?=\S)")
@@ -30,16 +34,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+# A space, and the letters beyond ASCII that _LETTERS knows, as byte-level BPE writes them.
+_SPACE = _BYTE_LETTERS[ord(" ")]
+_WRITTEN = {c: "".join(_BYTE_LETTERS[b] for b in chr(c).encode()) for c in range(0xC0, 0x2B0)}
+
+
+class _Memory(dict):
+    """Ids of words by word; what is not there is looked up once."""
+
+    def __init__(self, look_up):
+        self._look_up = look_up
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._look_up(word)
+        return ids
 
 
 class TextEncoder:
     """Texts to ids, equal to the library's encode(text, add_special_tokens=False).
 
     Where the tokenizer splits at spaces before it merges, each word is encoded once and
-    remembered. Two generations of at most `remembered` words bound the memory.
+    remembered. Two generations of about `remembered` words bound the memory.
     """
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,56 +76,41 @@ class TextEncoder:
             and not any(" " in t.content or t.lstrip or t.rstrip or t.content[:1].isalpha() for t in added)
         )
         self._remembered = remembered
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._rests: dict[str, bytes] = {}
+        self._new, self._old = _Memory(self._word), {}
+        self._rests = _Memory(lambda rest: self._encode_all([rest])[0])
         self._id_bytes = [i.to_bytes(ID_TYPE.itemsize, "little") for i in range(self._library.get_vocab_size())]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self._by_word:
             return self._encode_all([text])[0]
+        if len(self._new) > self._remembered:
+            self._old, self._new = self._new, _Memory(self._word)
+        if len(self._rests) > self._remembered // 2:
+            self._rests.clear()
         words = _WORD_START.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         first = self._encode_all(words[:1])[0]
         del words[0]
-        found = list(map(self._new.get, words))
-        if None in found:
-            self._learn(words, found)
-            found = [f or self._new[w] for f, w in zip(found, words)]
-        return first + b"".join(found)
-
-    def _learn(self, words: list[str], found: list[bytes | None]) -> None:
-        missing = {w for w, f in zip(words, found) if f is None}
-        if len(self._new) + len(missing) > self._remembered:
-            self._old, self._new = self._new, {w: f for w, f in zip(words, found) if f is not None}
-        new, old, rests, odd = self._new, self._old, self._rests, []
-        if len(rests) > self._remembered:
-            rests.clear()
-        for word in missing:
-            ids = old.get(word)
-            if ids is None:
-                letters = _LETTERS.match(word)
-                if letters is None:
-                    odd.append(word)
-                    continue
-                # A run of letters ends at an ASCII mark, and what follows is split as if it stood alone.
-                start, rest = letters[0], word[letters.end() :]
-                ids = new.get(start) or old.get(start)
-                if ids is None:
-                    ids = new[start] = self._merge(start)
-                if rest:
-                    tail = rests.get(rest)
-                    if tail is None:
-                        tail = rests[rest] = self._encode_all([rest])[0]
-                    ids += tail
-            new[word] = ids
-        if odd:
-            new.update(zip(odd, self._encode_all([" " + w for w in odd])))
+        return first + b"".join(map(self._new.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word and the space before it."""
+        ids = self._old.get(word)
+        if ids is not None:
+            return ids
+        letters = _LETTERS.match(word)
+        if letters is None:
+            return self._encode_all([" " + word])[0]
+        end = letters.end()
+        if end == len(word):
+            return self._merge(word)
+        # A run of letters ends at an ASCII mark, and what follows is split as if it stood alone.
+        return self._new[word[:end]] + self._rests[word[end:]]
 
     def _merge(self, letters: str) -> bytes:
         """The ids of one pre-token, a space and letters, by the library's model alone."""
-        mapped = (" " + letters).encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return b"".join([self._id_bytes[token.id] for token in self._tokenize(mapped)])
+        tokens = self._tokenize(_SPACE + (letters if letters.isascii() else letters.translate(_WRITTEN)))
+        return b"".join([self._id_bytes[token.id] for token in tokens])
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         encoded = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -119,6 +122,7 @@ _ENCODERS: dict[str, TextEncoder] = {}
 
 def encoder(path: str) -> TextEncoder:
     """This process's encoder; tasks that run in the same process share what it has learned."""
+    give_back()
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]

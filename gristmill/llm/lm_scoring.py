@@ -14,7 +14,6 @@ has, added up where it is known. Words and pairs with rare words are told apart
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, small_batches, written
+from .common import give_back, keyed_texts, small_batches, written
 from .word_hashes import mixed
 
 # Words, and pairs of them, that all tasks know: at most so many, the most frequent ones. The numbers decide
@@ -57,8 +56,6 @@ END = xxhash.xxh64_intdigest(END_WORD)
 _SHIFT = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _ONE = np.uint64(1)
-# Of glibc only; elsewhere freed memory stays with the process.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _TAG = np.uint64(1 << 63)
 
 # Kinds of rows, in the order in which a partition needs them.
@@ -312,13 +309,6 @@ def _joined(parts: list[tuple]) -> list[np.ndarray]:
     return out
 
 
-def _give_back() -> None:
-    """Return to the system what this process has freed; else each of an executor's processes keeps the most it ever held."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
@@ -472,7 +462,7 @@ def _count_pairs(known, partitions: int):
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
         del vocabulary
-        _give_back()
+        give_back()
 
     return count
 
@@ -564,7 +554,7 @@ def _merge_pairs(known, base: tuple[int, int, float]):
                         yield from finished(current, held, head)
                     current, sizes = p, {}
                     held = {kind: [] for kind in (RARE_WORDS, HEAD_PAIR, RARE_PAIR, TWO_RARE)}
-                    _give_back()
+                    give_back()
                 n, b = (_from_planes(x).astype(np.int64) for x in (n, b))
                 rare, other = (_unpack(keys), _from_planes(other)) if other is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 keys = _pair_key(rare, other) if len(rare) else _unpack(keys)
@@ -577,7 +567,7 @@ def _merge_pairs(known, base: tuple[int, int, float]):
         if current is not None:
             yield from finished(current, held, head)
         held = {}
-        _give_back()
+        give_back()
 
     return merge
 
@@ -696,7 +686,7 @@ def _ask(known, partitions: int):
             if len(vocabulary) > WORDS_HELD:
                 vocabulary.forget()
         del vocabulary
-        _give_back()
+        give_back()
 
     return ask
 
@@ -735,7 +725,7 @@ def _answer(known):
             for p, kind, block, keys, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
                 if p != current:
                     current, arrays, table = p, [], None
-                    _give_back()
+                    give_back()
                 if kind == OWN:
                     out.append((block, kind, keys, x, y))
                     continue
@@ -760,7 +750,7 @@ def _answer(known):
             if out:
                 yield from _rows(out, names)
         arrays, table = [], None
-        _give_back()
+        give_back()
 
     return answer
 
