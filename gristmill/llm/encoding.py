@@ -12,6 +12,8 @@ from .common import give_back
 ID_TYPE = np.dtype("<u4")
 # Words of a generation; each process keeps two.
 REMEMBERED = 300_000
+# Texts without a space before them are remembered if they have fewer characters.
+LONG = 64
 
 # A space before a visible character always starts a new pre-token of byte-level BPE.
 _WORD_START = re.compile(r" (?=\S)")
@@ -89,7 +91,8 @@ class TextEncoder:
         if len(self._rests) > self._remembered // 2:
             self._rests.clear()
         words = _WORD_START.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        first = self._encode_all(words[:1])[0]
+        # What comes before the first space is split as if it stood alone; it may be long where a text has few spaces.
+        first = self._rests[words[0]] if len(words[0]) < LONG else self._encode_all(words[:1])[0]
         del words[0]
         return first + b"".join(map(self._new.__getitem__, words))
 
@@ -117,12 +120,13 @@ class TextEncoder:
         return [np.array(e.ids, dtype=ID_TYPE).tobytes() for e in encoded]
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     """This process's encoder; tasks that run in the same process share what it has learned."""
     give_back()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = path, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(*key)
+    return _ENCODERS[key]

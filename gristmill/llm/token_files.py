@@ -39,6 +39,8 @@ _ROWS = pa.schema(
         ("ids", pa.list_(pa.int32())),
     ]
 )
+# Words of each of the encoder's two generations.
+REMEMBERED = 600_000
 # Ids held before a batch of rows is handed to the writer.
 BATCH_IDS = 1 << 20
 
@@ -77,7 +79,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
 
 def _encoder(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = encoder(tokenizer)
+        texts = encoder(tokenizer, REMEMBERED)
         end = np.array([end_id], dtype=ID_TYPE).tobytes()
         shard, start = TaskContext.get().partitionId(), 0
         keys, held, sizes, size = [], [], [], 0

@@ -31,3 +31,14 @@ def test_forgotten_words_have_the_same_ids():
     for page in pages:
         ids = b"".join(i.to_bytes(4, "little") for i in library.encode(page, add_special_tokens=False).ids)
         assert small.encode(page) == ids
+
+
+def test_first_words_are_remembered():
+    texts, calls = TextEncoder(PATH), []
+    encode_all = texts._encode_all
+    texts._encode_all = lambda given: calls.append(given) or encode_all(given)
+    assert len({texts.encode("Start of it") for _ in range(50)}) == 1
+    assert calls == [["Start"]]
+    whole = "x" * 100 + " y"
+    ids = b"".join(i.to_bytes(4, "little") for i in texts._library.encode(whole, add_special_tokens=False).ids)
+    assert texts.encode(whole) == ids and "x" * 100 not in texts._rests
