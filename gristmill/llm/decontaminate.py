@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.expressions import col, named, require_columns
 
 from .common import bounded, keyed_texts, small_batches
-from .word_hashes import WORD_HASHES, mixed
+from .word_hashes import mixed, word_hashes
 
 THRESHOLD = 0.75
 SHINGLE_WORDS = 5
@@ -155,7 +155,7 @@ class ItemIndex:
             nearest = int(sizes[np.abs(np.log(sizes / len(w))).argmin()])
             by_size.setdefault(nearest, []).append(k)
         self.sizes = {
-            size: (np.array(own), FingerprintIndex(np.array([fingerprint(WORD_HASHES(self.items[k][1])) for k in own], dtype=np.uint64)))
+            size: (np.array(own), FingerprintIndex(np.array([fingerprint(word_hashes(self.items[k][1])) for k in own], dtype=np.uint64)))
             for size, own in sorted(by_size.items())
         }
         self.longest = max(self.sizes, default=0)
@@ -191,7 +191,7 @@ def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _finder(shared, threshold: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hasher = shared.value, WORD_HASHES
+        index = shared.value
         rows, chunk, size = [], [], 0
         for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -205,14 +205,14 @@ def _finder(shared, threshold: float):
                     chunk.append((doc_id, words, best, *piece))
                     size += len(piece[1])
                     if size >= CHUNK_WORDS:
-                        _search(index, hasher, chunk, threshold)
+                        _search(index, chunk, threshold)
                         rows += _done(chunk, (doc_id, words, best) if start + CHUNK_WORDS < len(words) - index.longest else None)
                         chunk, size = [], 0
             if rows:
                 yield _batch(rows)
                 rows = []
         if chunk:
-            _search(index, hasher, chunk, threshold)
+            _search(index, chunk, threshold)
             if rows := _done(chunk, None):
                 yield _batch(rows)
 
@@ -236,11 +236,11 @@ def _done(chunk, unfinished) -> list[tuple]:
     return rows
 
 
-def _search(index: ItemIndex, hasher, chunk, threshold: float) -> None:
+def _search(index: ItemIndex, chunk, threshold: float) -> None:
     """Fingerprint the windows of all pieces at once and verify the candidates."""
     lengths = np.array([len(p[4]) for p in chunk])
     begins = np.concatenate([[0], np.cumsum(lengths)])
-    hashes = hasher([w for p in chunk for w in p[4]])
+    hashes = word_hashes([w for p in chunk for w in p[4]])
     # The last word has no successor; the feature at a piece's end is never inside a window.
     bits = pair_bits(np.append(hashes, hashes[-1:]))
     kinds = {size: sum_kind(size) for size in index.sizes}

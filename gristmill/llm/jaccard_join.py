@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.expressions import named
 
 from .common import bounded, keyed_texts, small_arrow_batches, small_batches, written
-from .word_hashes import WORD_HASHES, mixed
+from .word_hashes import mixed, word_hashes
 
 PERCENT = 75
 SHINGLE_WORDS = 5
@@ -57,7 +57,7 @@ class Shingler:
         n, width = len(words), self._width
         if not n:
             return np.zeros(0, dtype=np.uint64)
-        values = WORD_HASHES(words)
+        values = word_hashes(words)
         span = min(n, width)
         rows = n - span + 1
         total = np.full(rows, span, dtype=np.uint64)

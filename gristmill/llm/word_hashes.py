@@ -1,13 +1,12 @@
-"""64-bit hashes of words, remembered per process."""
+"""64-bit hashes of words."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 
-# Words that a process remembers; then it starts anew.
-REMEMBERED = 200_000
-
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
@@ -18,22 +17,6 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
-class WordHasher:
-    def __init__(self, remembered: int = REMEMBERED):
-        self._hashes: dict[bytes, bytes] = {}
-        self._remembered = remembered
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        hashes = self._hashes
-        if len(hashes) > self._remembered:
-            hashes.clear()
-        found = list(map(hashes.get, words))
-        if None in found:
-            for word in {w for w, f in zip(words, found) if f is None}:
-                hashes[word] = xxhash.xxh64_digest(word)
-            found = list(map(hashes.__getitem__, words))
-        return np.frombuffer(b"".join(found), dtype=">u8").astype(np.uint64)
-
-
-# Shared by all tasks of a process, whatever operator they belong to.
-WORD_HASHES = WordHasher()
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    """XXH64 of each word. Hashing a word takes less time than looking it up among remembered ones."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
