@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import col, is_scalar, long_array, require_columns
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, free_files
 
 # A value with at least this part of a feature's rows is frequent, so at most this many are.
 HOT_PART = 1_024
 # Bits of monotonically_increasing_id() that number the rows of a task.
 ID_BITS = 33
+# Bits of a row's hash that spread the rows of a frequent value.
+SLOT_BITS = 16
 # Codes up to this number in each partition of a join are hashed, more are sorted.
 HASHED_CODES = 1_000_000
 CODES_SCHEMA = "text string, code bigint, feature int, hot boolean"
@@ -42,6 +44,13 @@ def code_table(df: DataFrame, texts: Sequence[Column], path: str | None = None)
     """
     spark = df.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/codes-{uuid.uuid4().hex}"
+    sizes = _write_numbered(df, texts, path)
+    free_files(spark)
+    return read_codes(spark, path), sizes
+
+
+def _write_numbered(df: DataFrame, texts: Sequence[Column], path: str) -> list[int]:
+    spark = df.sparkSession
     entries = [F.struct(F.lit(i).alias("feature"), t.alias("text")) for i, t in enumerate(texts)]
     values = df.select(F.inline(F.array(*entries))).where("text IS NOT NULL")
     counts = cut_lineage(values.groupBy("feature", "text").agg(F.count("*").alias("rows")))
@@ -69,7 +78,7 @@ def code_table(df: DataFrame, texts: Sequence[Column], path: str | None = None)
         ),
         path,
     )
-    return read_codes(spark, path), sizes
+    return sizes
 
 
 def write_codes(codes: DataFrame, path: str) -> None:
@@ -80,17 +89,27 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CODES_SCHEMA).parquet(path)
 
 
-def join_codes(df: DataFrame, text: Column, codes: DataFrame, name: str, unknown: Column | None = None, size: int | None = None) -> DataFrame:
-    """Add the code of a text that is never NULL; a text without one gets `unknown`. `size` is the number of codes, if known."""
+def row_slot(df: DataFrame) -> Column:
+    """A number of a few bits from a hash of all columns of a row."""
+    return F.shiftrightunsigned(F.xxhash64(*[col(c) for c in df.columns if is_scalar(df, c)]), 64 - SLOT_BITS).cast("int")
+
+
+def join_codes(
+    df: DataFrame, text: Column, codes: DataFrame, name: str, unknown: Column | None = None, size: int | None = None, slot: Column | None = None
+) -> DataFrame:
+    """Add the code of a text that is never NULL; a text without one gets `unknown`. `size` is the number of codes, if known.
+
+    `slot` is the row's row_slot(), if it was taken before; then no column has to be exchanged for it alone.
+    """
     hot = codes.where("hot").select(F.col("text").alias("__hot_text"), F.col("code").alias("__hot_code"))
     cold = codes.where("NOT hot").select(F.col("text").alias("__cold_text"), F.col("code").alias("__cold_code"))
     if size is not None and size <= HASHED_CODES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         # Spares sorting all rows. Each text has one code, so the codes are dealt evenly.
         cold = cold.hint("shuffle_hash")
-    row = F.xxhash64(*[col(c) for c in df.columns if is_scalar(df, c)])
+    slot = row_slot(df) if slot is None else slot
     marked = df.withColumn("__text", text).join(F.broadcast(hot), F.col("__text") == F.col("__hot_text"), "left")
-    # A frequent value has its code already; should its row's hash be some other text, that code comes second.
-    sought = F.when(F.col("__hot_code").isNull(), F.col("__text")).otherwise(F.hex(row))
+    # A frequent value has its code already; should its row's slot be some other text, that code comes second.
+    sought = F.when(F.col("__hot_code").isNull(), F.col("__text")).otherwise(F.hex(slot))
     joined = marked.withColumn("__sought", sought).join(cold, F.col("__sought") == F.col("__cold_text"), "left")
     code = F.coalesce("__hot_code", "__cold_code", *([] if unknown is None else [unknown]))
     return joined.select(*[col(c) for c in df.columns if c != name], code.alias(name))
@@ -151,11 +170,13 @@ class CategoryCodes(Transformer, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         wanted = zip(self.getOrDefault(self.inputs), self.getOrDefault(self.outputs), self.getOrDefault(self.sizes))
+        # Taken once, before the first exchange: columns that nothing else needs stay behind.
+        dataset = dataset.withColumn("__slot", row_slot(dataset))
         for i, (text, name, size) in enumerate(wanted):
             codes = self.codes.where(F.col("feature") == i)
-            dataset = join_codes(dataset, col(text), codes, name, F.lit(size).cast("bigint"), size)
+            dataset = join_codes(dataset, col(text), codes, name, F.lit(size).cast("bigint"), size, F.col("__slot"))
             dataset = dataset.withColumn(name, col(name).cast("double"))
-        return dataset
+        return dataset.drop("__slot")
 
     def write(self) -> MLWriter:
         return _Writer(self)

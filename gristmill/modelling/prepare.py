@@ -170,6 +170,10 @@ class Preparation:
     categories: dict[str, list[str]]
     stages: tuple[Transformer, ...]
 
+    @property
+    def has_code_table(self) -> bool:
+        return any(isinstance(s, CategoryCodes) for s in self.stages)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return PipelineModel(list(self.stages)).transform(df)
 

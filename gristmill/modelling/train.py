@@ -10,19 +10,20 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from py4j.protocol import Py4JError
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     OneVsRest,
     OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,11 +229,10 @@ def _training_set(
         sided = both_sides(labelled.withColumn("is_test", F.col(HELD_OUT)).drop(HELD_OUT), key, seed)
     learn_from = sided if fit_scope == "all" else sided.where(~F.col("is_test"))
     preparation = learn_preparation(learn_from, features, listed_categories)
-    wide = preparation.transform(sided)
-    leaky = _leaky_features(wide, features)
-    prepared = wide.select(col(key), F.col(LABEL).alias("label"), "is_test", "features")
+    prepared = preparation.transform(sided).select(col(key), F.col(LABEL).alias("label"), "is_test", "features")
     prepared = _balanced(prepared, key, kept).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows, test_rows = prepared.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
+    leaky = _leaky_features(prepared, features)
     positive = None
     if positive_class is not None and len(classes) == 2 and _as_class(positive_class, classes) is not None:
         positive = classes.index(_as_class(positive_class, classes))
@@ -298,8 +298,11 @@ def _as_class(value, classes: Sequence[str]) -> str | None:
         return None
 
 
-def _leaky_features(wide: DataFrame, features: Sequence[str]) -> tuple[tuple[str, float], ...]:
+def _leaky_features(prepared: DataFrame, features: Sequence[str]) -> tuple[tuple[str, float], ...]:
+    """Features that go with the label, by the prepared rows, which are kept: codes of texts are not joined again."""
     names = inner_names(features)
+    values = prepared.select(F.col("label").alias(LABEL), vector_to_array("features").alias("__values"))
+    wide = values.select(LABEL, *[F.col("__values")[i].alias(n) for i, n in enumerate(names)])
     found = pair_correlations(wide, [(n, LABEL) for n in names]).where(F.abs("r") > LEAKAGE_LIMIT).collect()
     strength = {r.col_a: round(r.r, 4) for r in found}
     return tuple((f, strength[n]) for f, n in zip(features, names) if n in strength)
@@ -855,7 +858,30 @@ def refit_on_all(result: TrainResult) -> PipelineModel:
     labelled = preparation.transform(known.withColumn(LABEL, _label(known, d.target, d.classes)))
     rows = d.train_rows + d.test_rows
     estimator = make_estimator(d.task, result.algorithm, rows, max(2, len(d.classes)), **result.hyperparams)
-    return scoring_pipeline(preparation, learn(estimator, labelled.select(F.col(LABEL).alias("label"), "features"), d.task), d.classes)
+    labelled = labelled.select(F.col(LABEL).alias("label"), "features")
+    if not preparation.has_code_table:
+        return scoring_pipeline(preparation, learn(estimator, labelled, d.task), d.classes)
+    # Codes are joined once for all passes over the rows.
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = without_rows(learn(estimator, labelled, d.task))
+    finally:
+        labelled.unpersist()
+    return scoring_pipeline(preparation, model, d.classes)
+
+
+def without_rows(model: Model) -> Model:
+    """The model without the summary of its training, which would keep the rows and the files of their exchanges."""
+    if isinstance(model, LinearRegressionModel | LogisticRegressionModel):
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
+def only_model(result: TrainResult) -> TrainResult:
+    """The result without its rows, which are not kept any longer; enough to save its model."""
+    result.data.release()
+    data = replace(result.data, prepared=None)
+    return replace(result, data=data, scored=None, estimator_model=without_rows(result.estimator_model))
 
 
 def save_model(result: TrainResult, path: str) -> PipelineModel:

@@ -20,7 +20,7 @@ from ..modelling import split as S
 from ..modelling import train as T
 from ..modelling.linear_cv import linear_cv
 from ..modelling.tree_attribution import flat_trees, tree_output
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, free_files
 from ..sources import tables as sources
 from .model_queries import hash_sql
 from .tables import events, events_sql, rounded, table
@@ -273,14 +273,19 @@ def wide_model_export(spark, folder):
     """The same of a model over text features whose code table is saved with it."""
     features = ("part", "order_text", "l_quantity")
     data = T.training_set(wide_lines(spark, folder), "l_extendedprice", features, "regression", "line", listed_categories=100)
-    return _saved_and_read(spark, T.fit(data, "linear_regression"), wide_lines(spark, folder))
+    result = T.only_model(T.fit(data, "linear_regression"))
+    # Rows are exchanged for every feature, so the training set's files go before those of scoring come.
+    del data
+    return _saved_and_read(spark, result, wide_lines(spark, folder))
 
 
 def _saved_and_read(spark, result, df):
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    free_files(spark)
     model = T.save_model(result, path)
+    free_files(spark)
     again = T.load_model(path)
-    both = model.transform(df).select(*df.columns, F.col("prediction").alias("first"))
+    both = model.transform(df).select(*result.data.features, F.col("prediction").alias("first"))
     scored = again.transform(both)
     return scored.agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("first") - F.col("prediction")) > 1e-9).alias("different"))
 

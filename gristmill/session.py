@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_files(spark: SparkSession) -> None:
+    """Have Spark remove the files of exchanges and checkpoints that no table in use needs any more.
+
+    Its cleaner learns of them only from the driver's garbage collection, which may not come before the
+    disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
