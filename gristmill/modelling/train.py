@@ -21,13 +21,13 @@ from pyspark.ml.classification import (
     OneVsRestModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.feature import Bucketizer, IndexToString
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col, require_columns
+from ..functions.expressions import col, double_array, require_columns
 from ..operators.charts import pair_correlations
 from ..session import ensure_checkpoint_dir
 from . import metrics as M
@@ -56,6 +56,11 @@ PARTITION_ROWS = 20_000
 LARGE_PARTITION_ROWS = 500_000
 # Iterative training takes equal rows as one with a weight if that leaves at most this part of the rows.
 GROUPED_PART = 0.1
+# From this many rows on, boosting takes rows of equal bins as one, by the same part. Bins of features with many
+# values are learned first, from values that show in so many rows.
+BINNED_ROWS = 1_000_000
+PROOF_ROWS = 10_000
+QUANTILE_ACCURACY = 10_000
 # The least rows of a leaf in either style of boosting.
 BOOSTED_LEAF_ROWS = {"xgboost": 1, "lightgbm": 20}
 
@@ -185,7 +190,7 @@ def training_set(
     # The side of each row is kept too: its hash costs more than reading the row.
     kept = [col(c) for c in dict.fromkeys([key, target, *features])]
     rows = _spread(df.select(*kept), key)
-    data = rows.select("*", holdout_flag(col(key), test_size, seed).alias(HELD_OUT)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = rows.select("*", holdout_flag(col(key), test_size, seed).alias(HELD_OUT)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     try:
         return _training_set(df, data, target, features, task, key, test_size, positive_class, fit_scope, seed, listed_categories)
     finally:
@@ -230,7 +235,7 @@ def _training_set(
     learn_from = sided if fit_scope == "all" else sided.where(~F.col("is_test"))
     preparation = learn_preparation(learn_from, features, listed_categories)
     prepared = preparation.transform(sided).select(col(key), F.col(LABEL).alias("label"), "is_test", "features")
-    prepared = _balanced(prepared, key, kept).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = _balanced(prepared, key, kept).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     train_rows, test_rows = prepared.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
     leaky = _leaky_features(prepared, features)
     positive = None
@@ -273,8 +278,11 @@ def _balanced(df: DataFrame, key: str, rows: int) -> DataFrame:
     Iterative training runs a job per step, so one partition too many or too few counts many
     times over. The number follows from the rows alone, as sampling in MLlib depends on it.
     """
-    wanted = max(1, min(math.ceil(rows / PARTITION_ROWS), 8 + rows // LARGE_PARTITION_ROWS))
-    return df.repartition(wanted, col(key)).sortWithinPartitions(col(key))
+    return df.repartition(_partitions(rows), col(key)).sortWithinPartitions(col(key))
+
+
+def _partitions(rows: int) -> int:
+    return max(1, min(math.ceil(rows / PARTITION_ROWS), 8 + rows // LARGE_PARTITION_ROWS))
 
 
 def _known_target(df: DataFrame, target: str, task: str) -> Column:
@@ -420,7 +428,8 @@ def learn(estimator: Estimator, rows: DataFrame, task: str) -> Model:
     """The model of the rows (label, features); boosting and logistic regression learn from few different rows with weights.
 
     Equal features (and equal classes) count as often as they occur, and for a number their mean is all that squared
-    error asks for, so splits, leaves and coefficients are those of the single rows. Forests draw single rows.
+    error asks for, so splits, leaves and coefficients are those of the single rows. Trees tell values apart by bins only,
+    so of many rows boosting takes those of equal bins as equal. Forests draw single rows.
     """
     inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     boosted = isinstance(inner, GBTClassifier | GBTRegressor)
@@ -429,13 +438,21 @@ def learn(estimator: Estimator, rows: DataFrame, task: str) -> Model:
     values = vector_to_array("features")
     same = [values.alias("values"), *([F.col("label")] if task == "classification" else [])]
     count, about = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*same), 0.02)).first()
+    bins = None
     if about > count * GROUPED_PART:
-        return estimator.fit(rows)
+        bins = learn_bins(rows, count) if boosted and count >= BINNED_ROWS else None
+        if bins is None:
+            return estimator.fit(rows)
+        rows, same[0] = bins.apply(rows), F.col("cell")
     mean = [F.avg("label").alias("label")] if task == "regression" else []
     grouped = rows.groupBy(*same).agg(F.count("*").cast("double").alias("weight"), *mean)
     wanted = max(1, math.ceil(about / PARTITION_ROWS))
+    if bins is not None:
+        grouped, wanted = grouped.withColumn("values", bins.values()), _partitions(bins.cells)
+        # MLlib looks for bins in a sample of this number squared, here in all rows; their own number stays.
+        inner = inner.copy().setMaxBins(max(TREE_BINS, math.isqrt(count) + 1))
     grouped = grouped.repartition(wanted, "values").sortWithinPartitions("values", "label")
-    grouped = grouped.select("label", "weight", array_to_vector("values").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    grouped = grouped.select("label", "weight", array_to_vector("values").alias("features")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     inner = inner.copy().setWeightCol("weight")
     if boosted:
         # Rows of a leaf are counted by weight; half a row less keeps rounding out of it.
@@ -449,6 +466,80 @@ def learn(estimator: Estimator, rows: DataFrame, task: str) -> Model:
         grouped.unpersist()
 
 
+@dataclass(frozen=True)
+class Bins:
+    """Values that stand for all others of each feature, the nearest one for each. A tree learned from
+    them splits halfway between two, which is where their bins meet, so it holds for the values themselves.
+    """
+
+    centers: tuple[tuple[float, ...], ...]
+
+    @property
+    def cells(self) -> int:
+        return math.prod(len(c) for c in self.centers)
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """label and the number of the cell, which tells the bins of all features."""
+        values = vector_to_array("features")
+        split = [(i, [(a + b) / 2 for a, b in zip(c, c[1:])]) for i, c in enumerate(self.centers) if len(c) > 1]
+        placed = rows.select("label", values.alias("__values")).select("label", *[F.col("__values")[i].alias(f"__v{i}") for i, _ in split])
+        if split:
+            # A value on a border belongs to the bin below, as in a tree.
+            borders = [[float("-inf"), *[math.nextafter(m, math.inf) for m in middles], float("inf")] for _, middles in split]
+            outputs = [f"__b{i}" for i, _ in split]
+            placed = Bucketizer(splitsArray=borders, inputCols=[f"__v{i}" for i, _ in split], outputCols=outputs).transform(placed)
+        cell = F.lit(0).cast("bigint")
+        for i, _ in split:
+            cell = cell * len(self.centers[i]) + F.col(f"__b{i}").cast("bigint")
+        return placed.select("label", cell.alias("cell"))
+
+    def values(self) -> Column:
+        """The values that stand for a cell's rows."""
+        out, step = [], 1
+        for c in reversed(self.centers):
+            out.append(double_array(c)[F.expr(f"int((cell div {step}) % {len(c)})")])
+            step *= len(c)
+        return F.array(*reversed(out))
+
+
+def learn_bins(rows: DataFrame, count: int) -> Bins | None:
+    """Bins of the features, at most TREE_BINS each, that leave few different rows; None if there are none for certain.
+
+    A feature of few values has one for each, others have quantiles.
+    """
+    width = len(rows.select("features").first()[0])
+    most = count * GROUPED_PART
+    values = rows.select(vector_to_array("features").alias("values")).select(*[F.col("values")[i].alias(f"v{i}") for i in range(width)])
+    some = values.limit(PROOF_ROWS).agg(*[F.count_distinct(f"v{i}") for i in range(width)]).first()
+    if math.prod(min(n, TREE_BINS) for n in some) > most:
+        return None
+    rest = [i for i in range(width) if some[i] <= TREE_BINS]
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in rest])
+    different = values.select(F.inline(entries)).distinct() if rest else None
+    counts = {r.i: r.n for r in different.groupBy("i").agg(F.count("*").alias("n")).collect()} if rest else {}
+    few = [i for i in rest if counts[i] <= TREE_BINS]
+    if math.prod(counts[i] if i in few else TREE_BINS for i in range(width)) > most:
+        return None
+    centers: dict[int, list[float]] = {i: [] for i in few}
+    for r in different.where(F.col("i").isin(few)).collect() if few else []:
+        centers[r.i].append(r.v)
+    many = [i for i in range(width) if i not in few]
+    if many:
+        ranks = [(k + 0.5) / TREE_BINS for k in range(TREE_BINS)]
+        found = values.agg(*[F.percentile_approx(f"v{i}", ranks, QUANTILE_ACCURACY) for i in many]).first()
+        centers.update({i: found[k] for k, i in enumerate(many)})
+    return Bins(tuple(_apart(centers[i]) for i in range(width)))
+
+
+def _apart(values: Sequence[float]) -> tuple[float, ...]:
+    """The values in order, without those that have no number halfway to the one before."""
+    kept: list[float] = []
+    for v in sorted(values):
+        if not kept or kept[-1] < (kept[-1] + v) / 2 < v:
+            kept.append(v)
+    return tuple(kept)
+
+
 def score(model: Model, rows: DataFrame) -> DataFrame:
     """The rows with the model's predictions; one model per class is scored without leaving Spark's own functions."""
     if not isinstance(model, OneVsRestModel):
@@ -503,12 +594,12 @@ def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
         rows = _spread(data.source.select(*[col(c) for c in dict.fromkeys((data.key, data.target, *data.features))]), data.key)
         rows = rows.where(_known_target(rows, data.target, data.task))
         labelled = rows.withColumn(LABEL, _label(rows, data.target, data.classes))
-    placed = labelled.withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = labelled.withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     if placed.select("fold").distinct().count() < folds:
         placed.unpersist()
         if labelled.count() < folds:
             raise ValueError(f"{folds} folds need at least {folds} rows")
-        placed = deal_folds(labelled, data.key, folds).persist(StorageLevel.MEMORY_AND_DISK)
+        placed = deal_folds(labelled, data.key, folds).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     if data.options["fit_scope"] == "all":
         return [placed] * folds
     rows, made = data.train_rows + data.test_rows, {}
@@ -517,7 +608,7 @@ def prepared_folds(data: TrainingSet, folds: int) -> list[DataFrame]:
         for preparation in learned:
             if id(preparation) not in made:
                 wide = preparation.transform(placed).select(col(data.key), F.col(LABEL).alias("label"), "fold", "features")
-                made[id(preparation)] = _balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK)
+                made[id(preparation)] = _balanced(wide, data.key, rows).persist(StorageLevel.MEMORY_AND_DISK_DESER)
                 # Laid out now, while the rows they come from are kept.
                 made[id(preparation)].count()
     finally:
@@ -862,7 +953,7 @@ def refit_on_all(result: TrainResult) -> PipelineModel:
     if not preparation.has_code_table:
         return scoring_pipeline(preparation, learn(estimator, labelled, d.task), d.classes)
     # Codes are joined once for all passes over the rows.
-    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     try:
         model = without_rows(learn(estimator, labelled, d.task))
     finally:

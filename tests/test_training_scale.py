@@ -1,9 +1,11 @@
 """Training steps read a large table a few times only, and still learn the same."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from gristmill.modelling import cluster, prepare, split, train
@@ -87,6 +89,37 @@ def test_boosting_learns_from_grouped_rows_what_it_learns_from_single_ones(spark
     assert both.where(F.exists(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), lambda d: d > 1e-6)).isEmpty()
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_boosting_learns_from_rows_of_equal_bins_what_it_learns_from_single_ones(spark, task, monkeypatch):
+    monkeypatch.setattr(train, "BINNED_ROWS", 0)
+    target = "double(x * a > 1 or id % 50 = 3)" if task == "classification" else "x * a + id % 7"
+    df = spark.range(6000).selectExpr("id", "double(id % 3) AS a", "if(id % 5 = 0, 0, rand(3) * rand(4)) AS x", "double(7) AS c")
+    df = df.selectExpr("id", "a", "x", "c", f"{target} AS label")
+    df = prepare.learn_preparation(df, ["a", "x", "c"]).transform(df).select("id", "label", "features").coalesce(1).cache()
+    bins = train.learn_bins(df, 6000)
+    assert [len(c) for c in bins.centers[::2]] == [3, 1] and 40 <= len(bins.centers[1]) <= 64
+    estimator = train.make_estimator(task, "lightgbm", 6000, n_estimators=4, num_leaves=8)
+    binned = train.learn(estimator, df, task)
+    assert "weight" in binned.explainParam("weightCol").split("current: ")[-1]
+    # The same rows, each value replaced by the one that stands for it.
+    nearest = F.udf(lambda v: [min(c, key=lambda m: (abs(m - x), m)) for c, x in zip(bins.centers, v.toArray().tolist())], "array<double>")
+    single = estimator.fit(df.select("id", "label", array_to_vector(nearest("features")).alias("features")).coalesce(1))
+    both = single.transform(df).select("id", F.col("prediction").alias("p")).join(binned.transform(df).select("id", F.col("prediction").alias("q")), "id")
+    assert both.count() == 6000
+    assert both.where(F.abs(F.col("p") - F.col("q")) > 1e-6).isEmpty()
+    # Splits are as good as those that MLlib finds by itself.
+    if task == "regression":
+        error = [m.transform(df).agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0] for m in (binned, estimator.fit(df))]
+        assert error[0] <= error[1] * 1.02
+
+
+def test_bins_that_leave_too_many_rows_are_not_used(spark):
+    df = spark.range(3000).selectExpr("id", "rand(1) AS a", "rand(2) AS b", "rand(5) AS label")
+    df = prepare.learn_preparation(df, ["a", "b"]).transform(df)
+    assert train.learn_bins(df, 3000) is None
+    assert train._apart([1.0, 3.0, 1.0, math.nextafter(1.0, 2.0), 2.0]) == (1.0, 2.0, 3.0)
+
+
 def test_a_training_set_of_any_size_has_small_partitions(spark):
     class Asked:
         def repartition(self, n, *_):
